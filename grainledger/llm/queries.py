@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from grainledger.llm.mixing import op3_mixing
 from grainledger.llm.packing import op5_packing
 from grainledger.llm.token_files import op6_token_files
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
 }
