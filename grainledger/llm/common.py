@@ -90,19 +90,27 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of the words in UTF-8 bytes."""
-    inside = ~_SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+    edge = np.flatnonzero(np.diff(_SPACE[raw].view(np.int8), prepend=np.int8(1), append=np.int8(1)))
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hash of each word: equal words have equal hashes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _power(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[raw] if lower else raw] * up[: len(raw)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, chunk: int = 1 << 19) -> np.ndarray:
+    """64-bit hash of each word: equal words have equal hashes wherever they stand.
+
+    Works through about ``chunk`` bytes at a time, so that its memory doesn't follow the text's length.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + chunk, side="right")))
+        low, high = int(starts[at]), int(ends[to - 1])
+        part, a, b = raw[low:high], starts[at:to] - low, ends[at:to] - low
+        up, down = _power(high - low + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTE[_LOWER[part] if lower else part] * up[: high - low], out=total[1:])
+        out[at:to] = mix64((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+        at = to
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:

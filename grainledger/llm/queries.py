@@ -6,9 +6,11 @@ from grainledger.llm.language_id import op2_language_id
 from grainledger.llm.minhash import op9_minhash
 from grainledger.llm.mixing import op3_mixing
 from grainledger.llm.packing import op5_packing
+from grainledger.llm.substrings import op4_substrings
 from grainledger.llm.token_files import op6_token_files
 
 QUERIES = {
+    "op4_substrings": op4_substrings,
     "op9_minhash": op9_minhash,
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
