@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from grainledger.llm.brown_lm import op1_brown_lm
 from grainledger.llm.language_id import op2_language_id
 from grainledger.llm.minhash import op9_minhash
 from grainledger.llm.mixing import op3_mixing
@@ -10,6 +11,7 @@ from grainledger.llm.substrings import op4_substrings
 from grainledger.llm.token_files import op6_token_files
 
 QUERIES = {
+    "op1_brown_lm": op1_brown_lm,
     "op4_substrings": op4_substrings,
     "op9_minhash": op9_minhash,
     "op2_language_id": op2_language_id,
