@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from grainledger.llm.ann import op10_ann
 from grainledger.llm.brown_lm import op1_brown_lm
 from grainledger.llm.language_id import op2_language_id
 from grainledger.llm.minhash import op9_minhash
 from grainledger.llm.mixing import op3_mixing
 from grainledger.llm.packing import op5_packing
+from grainledger.llm.quality import op8_quality
 from grainledger.llm.substrings import op4_substrings
 from grainledger.llm.token_files import op6_token_files
 
 QUERIES = {
+    "op8_quality": op8_quality,
+    "op10_ann": op10_ann,
     "op1_brown_lm": op1_brown_lm,
     "op4_substrings": op4_substrings,
     "op9_minhash": op9_minhash,
