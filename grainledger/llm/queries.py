@@ -11,8 +11,10 @@ from grainledger.llm.packing import op5_packing
 from grainledger.llm.quality import op8_quality
 from grainledger.llm.substrings import op4_substrings
 from grainledger.llm.token_files import op6_token_files
+from grainledger.llm.vector_dedup import op7_vector_dedup
 
 QUERIES = {
+    "op7_vector_dedup": op7_vector_dedup,
     "op8_quality": op8_quality,
     "op10_ann": op10_ann,
     "op1_brown_lm": op1_brown_lm,
