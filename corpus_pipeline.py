@@ -1,13 +1,77 @@
-"""A training corpus from raw documents, in five stages."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before kept.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from grainledger.llm.common import shared_folder
+from grainledger.llm.language_id import UNKNOWN, learn, learning_rows, predict
+from grainledger.llm.minhash import near_duplicates
+from grainledger.llm.mixing import mixed
+from grainledger.llm.packing import pack
+from grainledger.llm.substrings import remove_repeats
+
+#: A language must be at least this probable for a document to stay.
+LEAST_PROBABLE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language stay: those without a letter go, and those of which no language is likely."""
+    others = [c for c in docs.columns if c != "doc_id"]
+    got = predict(docs, *learn(learning_rows(docs)), keep=others)
+    return got.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_PROBABLE)).select(*docs.columns)
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that with the smallest id."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are taken out of the texts."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    got = remove_repeats(docs, keep=others, texts=True).withColumnRenamed("kept", "text")
+    if "n_chars" in others:
+        got = got.withColumn("n_chars", F.length("text").cast("long"))
+    return got.select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix draws them, in shards that are each in shuffled order."""
+    return mixed(docs).repartition("shard").sortWithinPartitions("shard", "place").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences."""
+    return pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language_id),
+    ("MinHash near-dedup", minhash_dedup),
+    ("substring dedup", substring_dedup),
+    ("mixing", source_mixing),
+    ("packing", packing),
+]
+
+#: SQL can express neither the classifier nor the draws; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs

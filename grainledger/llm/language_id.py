@@ -59,21 +59,16 @@ def grams(texts: list[str], n: int, buckets: int = BUCKETS) -> Iterator[tuple[np
         yield (h * np.uint32(0xC2B2AE35)) >> shift, text
 
 
-def _batches(batches: Iterator[pa.RecordBatch], chars: int = 400_000) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts in runs of about so many characters."""
+def _batches(batches: Iterator[pa.RecordBatch], chars: int = 400_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of about so many characters at most, or one row, with their texts (column ``text``)."""
     for batch in batches:
-        ids, texts, total = [], [], 0
-        for at in range(0, len(batch), 128):
-            part = batch.slice(at, 128)
-            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids.append(i)
-                texts.append(t or "")
-                total += len(texts[-1])
-                if total >= chars:
-                    yield ids, texts
-                    ids, texts, total = [], [], 0
-        if ids:
-            yield ids, texts
+        low, texts, total = 0, [], 0
+        for i in range(len(batch)):
+            texts.append(batch.column("text")[i].as_py() or "")
+            total += len(texts[-1])
+            if total >= chars or i == len(batch) - 1:
+                yield batch.slice(low, i + 1 - low), texts
+                low, texts, total = i + 1, [], 0
 
 
 def learn(rows: DataFrame, n: int = max(GRAMS), buckets: int = BUCKETS, most: int = LEARN_ROWS, smooth: float = 0.1) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -92,8 +87,8 @@ def learn(rows: DataFrame, n: int = max(GRAMS), buckets: int = BUCKETS, most: in
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(langs), buckets), np.int64)
-        for ks, texts in _batches(batches):
-            ks = np.array(ks)
+        for part, texts in _batches(batches):
+            ks = part.column("k").to_numpy()
             for h, text in grams(texts, n, buckets):
                 key = ks[text] * buckets + h
                 at, c = np.unique(key, return_counts=True)
@@ -115,8 +110,9 @@ def learn(rows: DataFrame, n: int = max(GRAMS), buckets: int = BUCKETS, most: in
     return langs, np.log(np.array([sizes[s] for s in langs]) / sum(sizes.values())), np.log(total / total.sum(1, keepdims=True)).T.astype(np.float32).copy()
 
 
-def predict(docs: DataFrame, langs: list[str], prior: np.ndarray, matrix: np.ndarray, n: int = max(GRAMS)) -> DataFrame:
-    """doc_id, lang_pred and score, the posterior probability of that language, of each document.
+def predict(docs: DataFrame, langs: list[str], prior: np.ndarray, matrix: np.ndarray, n: int = max(GRAMS), keep: list[str] | None = None) -> DataFrame:
+    """doc_id, lang_pred and score, the posterior probability of that language, of each document; then the columns
+    named by ``keep``.
 
     Texts that are null or have no letter, and all texts where nothing was learned, get ``und`` and 0. Ties go to
     the language first in code-point order. Null ids are kept and repeated rows each get a row.
@@ -126,7 +122,7 @@ def predict(docs: DataFrame, langs: list[str], prior: np.ndarray, matrix: np.nda
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prior, matrix = model.value
         columns = np.ascontiguousarray(matrix.T)
-        for ids, texts in _batches(batches):
+        for part, texts in _batches(batches):
             total, letters = np.tile(prior, (len(texts), 1)), np.zeros(len(texts), np.int64)
             for h, text in grams(texts, n, matrix.shape[0]):
                 starts = np.flatnonzero(np.diff(text, prepend=-1))
@@ -142,14 +138,19 @@ def predict(docs: DataFrame, langs: list[str], prior: np.ndarray, matrix: np.nda
             known = (letters > 0) & bool(langs)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()),
+                    part.column("own_id"),
                     pa.array([langs[best[i]] if known[i] else UNKNOWN for i in range(len(texts))], pa.string()),
                     pa.array([float(share[i]) if known[i] else 0.0 for i in range(len(texts))], pa.float64()),
+                    *[part.column(f"own_{c}") for c in keep],
                 ],
-                names=["doc_id", "lang_pred", "score"],
+                names=["own_id", "lang_pred", "score", *[f"own_{c}" for c in keep]],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
+    keep = keep or []
+    kinds = "".join(f", `own_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    read = docs.select(F.col("doc_id").cast("long").alias("own_id"), "text", *[F.col(c).alias(f"own_{c}") for c in keep])
+    got = read.mapInArrow(score, f"own_id long, lang_pred string, score double{kinds}")
+    return got.select(F.col("own_id").alias("doc_id"), "lang_pred", "score", *[F.col(f"own_{c}").alias(c) for c in keep if c != "doc_id"])
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:

@@ -219,6 +219,7 @@ def _remove(buckets: int, window: int, phrase: int, keep: list[str], texts: bool
         np.add.at(cover, at[seen & repeats] + window, -1)
         gone = np.cumsum(cover[:-1]) > 0
         raw = shard.raw.tobytes()
+        given = documents.column("text").take(pa.array(shard.rows, pa.int64())).to_pylist() if texts else []
         n_words, n_removed, digest, kept = [], [], [], []
         for a, b in zip(shard.first[:-1].tolist(), shard.first[1:].tolist()):
             left = np.flatnonzero(~gone[a:b]) + a
@@ -226,7 +227,7 @@ def _remove(buckets: int, window: int, phrase: int, keep: list[str], texts: bool
             n_words.append(b - a)
             n_removed.append(b - a - len(left))
             digest.append(hashlib.sha256(text).hexdigest())
-            kept.append(text.decode("utf-8", "surrogatepass") if texts else None)
+            kept.append(None if not texts else text.decode("utf-8", "surrogatepass") if b - a > len(left) else given[len(kept)])
         out = {"doc_id": pa.array(shard.ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
         if texts:
             out["kept"] = pa.array(kept, pa.string())
@@ -237,23 +238,22 @@ def _remove(buckets: int, window: int, phrase: int, keep: list[str], texts: bool
 
 
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None, texts: bool = False, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of each document; with ``texts`` also ``kept``, the words left
-    joined by one space; then the columns named by ``keep``.
+    """doc_id, n_words, n_removed and kept_sha256 of each document; with ``texts`` also ``kept``, the text as
+    given where nothing is removed, else the words left joined by one space; then the columns named by ``keep``.
 
     A null or empty text has no words. A null id is larger than any other, and null ids are equal to one another.
     Rows that repeat an id are documents with that id: neither repeats the other. An empty table gives no rows.
     Passages are judged on the input, and texts are read whole; a text of any length is one document of one shard.
     """
     keep = keep or []
-    size, rows = parts_for(docs, "text", 1)
+    size, _ = parts_for(docs, "text", 1)
     shards, buckets = max(1, -(-size // SHARD_BYTES)), max(1, -(-size // BUCKET_BYTES))
     shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(shards)).cast("int")
     dealt = docs.select(shard.alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"own_{c}") for c in keep])
-    slim = dealt.select("shard", "doc_id", "text") if keep else dealt
 
-    ask = slim.groupBy("shard").applyInArrow(_ask_anchors(buckets, window, phrase), "bucket int, shard int, keys binary, several binary")
+    ask = dealt.groupBy("shard").applyInArrow(_ask_anchors(buckets, window, phrase), "bucket int, shard int, keys binary, several binary")
     anchors = ask.groupBy("bucket").applyInArrow(_tell_anchors, "shard int, bucket int, bits binary")
-    ask = slim.groupBy("shard").cogroup(anchors.groupBy("shard")).applyInArrow(_ask_windows(buckets, window, phrase), "bucket int, shard int, keys binary, more binary, docs binary")
+    ask = dealt.groupBy("shard").cogroup(anchors.groupBy("shard")).applyInArrow(_ask_windows(buckets, window, phrase), "bucket int, shard int, keys binary, more binary, docs binary")
     windows = ask.groupBy("bucket").applyInArrow(_tell_windows, "shard int, bucket int, bits binary")
 
     # the two kinds of answers side by side: a window's bit comes with its bucket below zero
