@@ -1,0 +1 @@
+"""Fundamental equity research as Spark jobs: panels, screens, valuations, citations and evaluation."""

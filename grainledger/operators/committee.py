@@ -1,0 +1,83 @@
+"""The committee: a persona's reply, the bundle key of what it read, cost, and the gates before a call."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Statements of a reply, assumed output tokens, and what a batch costs of the price.
+FEWEST, MOST, ASSUMED_OUTPUT, BATCH = 4, 8, 8_000, 0.5
+_REPLY = "struct<verdict:string,scores:map<string,double>,severity:string,statements:array<struct<text:string,refs:array<string>>>,errors:array<string>>"
+
+
+def _reply(raw: str | None, known: list | None) -> dict:
+    raw, errors = raw or "", []
+    part = {m[1].lower(): m[2].strip() for m in re.finditer(r"(?ims)^(verdict|scores|severity|statements):[ \t]*(.*?)(?=^(?:verdict|scores|severity|statements):|\Z)", raw)}
+    scores = {k.strip().lower(): float(v) for k, v in re.findall(r"([A-Za-z _]+)=\s*(-?\d+(?:\.\d+)?)", part.get("scores", ""))}
+    statements = []
+    for line in part.get("statements", "").splitlines():
+        if text := re.sub(r"^\s*[-*]\s*", "", line).strip():
+            statements.append({"text": re.sub(r"\s*\[[^\]]*\]", "", text), "refs": [r.strip() for x in re.findall(r"\[([^\]]*)\]", text) for r in x.split(",") if r.strip()]})
+    errors += [f"missing {k}" for k in ("verdict", "scores", "severity") if not part.get(k)]
+    errors += [f"score out of range: {k}" for k, v in sorted(scores.items()) if not 0 <= v <= 100]
+    if not FEWEST <= len(statements) <= MOST:
+        errors.append("number of statements")
+    unknown = {r for s in statements for r in s["refs"]} - set(known if known is not None else [])
+    errors += [f"unknown reference: {r}" for r in sorted(unknown)]
+    return {"verdict": part.get("verdict"), "scores": scores, "severity": (part.get("severity") or "").lower() or None, "statements": statements, "errors": errors}
+
+
+@F.pandas_udf(_REPLY)
+def persona_reply(raw: pd.Series, known: pd.Series) -> pd.DataFrame:
+    """A reply's parts, and what is wrong with it; ``known`` lists the references that it may use."""
+    return pd.DataFrame([_reply(r, k) for r, k in zip(raw, known)], columns=["verdict", "scores", "severity", "statements", "errors"])
+
+
+def bundle_key(*parts: Column) -> Column:
+    """A key of inputs: each part as text with its length before it, so that no two lists of parts read alike."""
+    said = [F.coalesce(F.concat(F.length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")), F.lit("-")) for p in parts]
+    return F.sha2(F.concat_ws("|", *said), 256)
+
+
+def sorted_text(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """key, and ``rows``: its rows as one canonical text, whatever their order."""
+    return df.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*columns)))).alias("rows"))
+
+
+def cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
+    """Rows with ``cost``, from token counts and prices a million; a model without a price is an error."""
+    met = usage.join(F.broadcast(prices), "model", "left")
+    total = (F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1e6
+    total = total * F.when(F.col("batch"), BATCH).otherwise(1.0)
+    return met.withColumn("cost", F.when(F.col("input_price").isNull(), F.raise_error(F.concat(F.lit("no price for "), F.col("model")))).otherwise(total))
+
+
+def gates(companies: DataFrame, analyses: DataFrame, valuations: DataFrame, cached: DataFrame, needed: list[str]) -> DataFrame:
+    """ticker, gate: why a company isn't read anew, or ``call``. Analyses: ticker, analysis_type; cached: ticker."""
+    kinds = analyses.where(F.col("analysis_type").isin(needed)).groupBy("ticker").agg(F.count_distinct("analysis_type").alias("kinds"))
+    met = companies.select("ticker").distinct().join(kinds, "ticker", "left")
+    met = met.join(valuations.select("ticker", F.lit(True).alias("valued")).distinct(), "ticker", "left").join(cached.select("ticker", F.lit(True).alias("hit")).distinct(), "ticker", "left")
+    gate = F.when(F.coalesce("kinds", F.lit(0)) < len(needed), "analysis missing").when(F.col("valued").isNull(), "valuation missing").when(F.col("hit"), "cached").otherwise("call")
+    return met.select("ticker", gate.alias("gate"))
+
+
+def replies(requests: DataFrame, provider: Callable[[str], str]) -> DataFrame:
+    """custom_id and reply of each request (custom_id, prompt): the provider is called in the tasks, one row at a time.
+
+    Without a network the provider looks replies up that were recorded.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"custom_id": frame["custom_id"], "reply": [provider(p) for p in frame["prompt"]]})
+
+    return requests.select("custom_id", "prompt").mapInPandas(run, "custom_id string, reply string")
+
+
+def outcome(cache_hit: Column, refused: Column, error: Column, invalid: Column, covered: Column) -> Column:
+    """What becomes of a reply, first that holds."""
+    return F.when(cache_hit, "cache_hit").when(refused, "refused").when(error.isNotNull(), "api_error").when(invalid, "validation_failed").when(covered < 1, "coverage_below_one").otherwise("persisted")

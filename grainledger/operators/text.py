@@ -1,0 +1,266 @@
+"""Filing text: normalisation, sections, quotes, claims in model replies, and re-anchoring of citations."""
+
+from __future__ import annotations
+
+import difflib
+import re
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Context kept beside a quote, the least share of a fuzzy match, bars of a section's length by item.
+CONTEXT, LEAST_SHARE = 48, 0.60
+FLOOR, GOOD = 5_000, {"1": 15_000, "1A": 20_000, "7": 15_000}
+MOST_OF_DOCUMENT, LEAST_ALPHA = 0.60, 0.55
+CONTENTS_SPAN, CONTENTS_ITEMS, LEADER_SPAN = 6_000, 4, 120
+
+_DASHES = dict.fromkeys(map(ord, "‐‑‒–—―−"), "-")
+_QUOTES = {ord("‘"): "'", ord("’"): "'", ord("“"): '"', ord("”"): '"'}
+_SPACES = dict.fromkeys(map(ord, "      　"), " ")
+
+
+class _Text(HTMLParser):
+    """Text of a page; blocks end a line, scripts and styles are no text."""
+
+    BLOCKS = frozenset("p div br tr li h1 h2 h3 h4 h5 h6 table section title".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.hidden = 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style")
+        if tag in self.BLOCKS:
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        self.hidden = max(0, self.hidden - (tag in ("script", "style")))
+        if tag in self.BLOCKS:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+
+def _normal(raw: str | None) -> str | None:
+    if raw is None:
+        return None
+    if "<" in raw and ">" in raw:
+        page = _Text()
+        page.feed(raw)
+        page.close()
+        raw = "".join(page.out)
+    raw = raw.translate(_DASHES | _QUOTES | _SPACES)
+    lines = [re.sub(r"[ \t]+", " ", x).strip() for x in raw.splitlines()]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+
+
+@F.pandas_udf("string")
+def normalise(raw: pd.Series) -> pd.Series:
+    """Text without tags, with plain dashes, quotes and spaces, lines trimmed and at most one empty line in a row."""
+    return raw.map(_normal)
+
+
+_HEADING = re.compile(r"^[ \t]*item[ \t]+(1a|1b|1|2|3|7a|7|8)\b[.:\- \t]*", re.I | re.M)
+_ENDS = {"1": ("1A", "1B", "2"), "1A": ("1B", "2", "3"), "7": ("7A", "8")}
+_SECTION = "array<struct<item:string,start:int,end:int,end_item:string>>"
+
+
+def _sections(text: str | None) -> list[tuple]:
+    """Spans of items 1, 1A and 7: the earliest headings, in this order, that aren't entries of a contents list."""
+    if not text:
+        return []
+    found = [(m.group(1).upper(), m.start(), m.end()) for m in _HEADING.finditer(text)]
+    real = []
+    for i, (item, at, end) in enumerate(found):
+        near = {x for x, a, _ in found[i:] if a - at <= CONTENTS_SPAN}
+        line = text[end : end + LEADER_SPAN].split("\n", 1)[0]
+        in_contents = len(near) >= CONTENTS_ITEMS or re.search(r"\.{3,}|\s\d{1,3}\s*$", line)
+        refers = re.search(r"\b(see|refer to|described in|included in)\b", text[max(0, at - 40) : at].rsplit("\n", 1)[-1], re.I)
+        if not in_contents and not refers:
+            real.append((item, at))
+    out, after = [], -1
+    for item in ("1", "1A", "7"):
+        start = min((a for x, a in real if x == item and a > after), default=None)
+        if start is None:
+            continue
+        ends = [(a, x) for x, a in real if x in _ENDS[item] and a > start]
+        end, by = min(ends, default=(len(text), None))
+        out.append((item, start, end, by))
+        after = start
+    return out
+
+
+@F.pandas_udf(_SECTION)
+def sections(text: pd.Series) -> pd.Series:
+    return text.map(_sections)
+
+
+def graded_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, item, start, end, confidence: high, low, or rejected for spans under 5,000 characters."""
+    spans = docs.select(key, F.col(text).alias("_t"), F.inline(sections(text)))
+    body = F.substring(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start"))
+    length = F.col("end") - F.col("start")
+    alpha = F.length(F.regexp_replace(body, "[^A-Za-z]", "")) / F.greatest(length, F.lit(1))
+    bar = F.lit(None).cast("int")
+    for item, least in GOOD.items():
+        bar = F.when(F.col("item") == item, least).otherwise(bar)
+    high = (length >= bar) & (length <= MOST_OF_DOCUMENT * F.length("_t")) & (alpha >= LEAST_ALPHA) & F.col("end_item").isNotNull()
+    return spans.select(key, "item", "start", "end", "end_item", F.when(length < FLOOR, "rejected").when(high, "high").otherwise("low").alias("confidence"))
+
+
+def extraction_method(graded: DataFrame, key: str) -> DataFrame:
+    """key, method: sections where all three are high, partial where only some are, else full."""
+    n = graded.groupBy(key).agg(F.count_if(F.col("confidence") == "high").alias("high"), F.count("*").alias("n"))
+    return n.select(key, F.when(F.col("high") == 3, "sections").when((F.col("high") > 0) & (F.col("high") == F.col("n")), "partial").otherwise("full").alias("method"))
+
+
+def occurrences(text: Column, quote: Column) -> Column:
+    """Starts, from 0, of all occurrences, overlapping ones too."""
+    hits = F.filter(F.sequence(F.lit(0), F.length(text) - F.length(quote)), lambda i: F.substring(text, i + 1, F.length(quote)) == quote)
+    return F.when((F.length(quote) > 0) & (F.length(text) >= F.length(quote)), hits).otherwise(F.array().cast("array<int>"))
+
+
+@F.pandas_udf("array<int>")
+def find_all(text: pd.Series, quote: pd.Series) -> pd.Series:
+    """As ``occurrences``, by the library's substring search: for long texts."""
+
+    def one(t: str | None, q: str | None) -> list[int]:
+        out, at = [], (t or "").find(q) if q else -1
+        while at >= 0:
+            out.append(at)
+            at = t.find(q, at + 1)
+        return out
+
+    return pd.Series([one(t, q) for t, q in zip(text, quote)])
+
+
+@F.pandas_udf("struct<start:int,end:int,share:double>")
+def fuzzy(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
+    """The longest run that text and quote share, as a part of the quote's length."""
+
+    def one(t: str | None, q: str | None) -> tuple:
+        if not t or not q:
+            return None, None, None
+        m = difflib.SequenceMatcher(None, t, q, autojunk=False).find_longest_match(0, len(t), 0, len(q))
+        return m.a, m.a + m.size, m.size / len(q)
+
+    return pd.DataFrame([one(t, q) for t, q in zip(text, quote)], columns=["start", "end", "share"])
+
+
+@F.pandas_udf("array<int>")
+def _loose(text: pd.Series, quote: pd.Series) -> pd.Series:
+    """Starts and ends of matches that may differ in white space, quotes and dashes."""
+
+    def one(t: str | None, q: str | None) -> list[int]:
+        words = (q or "").split()
+        if not t or not words:
+            return []
+        plain = lambda w: re.sub(r"[-‐-―−]", "[-‐-―−]", re.sub(r"['‘’]", "['‘’]", re.sub(r'["“”]', '["“”]', re.escape(w).replace("\\-", "-"))))
+        return [x for m in re.finditer(r"\s+".join(map(plain, words)), t) for x in m.span()]
+
+    return pd.Series([one(t, q) for t, q in zip(text, quote)])
+
+
+def re_anchor(citations: DataFrame) -> DataFrame:
+    """Where each citation's quote stands now: columns citation_id, result, new_section, new_start, new_end.
+
+    ``citations`` has citation_id, quote, start, prefix, suffix, section, text (of its section, now) and others
+    (array of struct<section, text>). Rungs, first that holds: exact, moved, other_section, renormalised, fuzzy, unresolved.
+    A quote that occurs several times is only taken where one occurrence alone has the known context.
+    """
+    c = citations.withColumn("_n", F.length("quote"))
+    exact = F.substring("text", F.col("start") + 1, F.col("_n")) == F.col("quote")
+
+    def by_context(text: Column, at: Column) -> Column:
+        fits = F.filter(at, lambda i: (F.substring(text, F.greatest(i - F.length("prefix") + 1, F.lit(1)), F.least(F.length("prefix"), i)) == F.col("prefix")) & (F.substring(text, i + F.col("_n") + 1, F.length("suffix")) == F.col("suffix")))
+        return F.when(F.size(at) == 1, at[0]).when(F.size(fits) == 1, fits[0])
+
+    c = c.withColumn("_at", find_all("text", "quote"))
+    moved = by_context(F.col("text"), F.col("_at"))
+    hits = c.select("citation_id", "quote", "prefix", "suffix", "_n", F.inline_outer("others").alias("o_section", "o_text")).where("o_text is not null").withColumn("_at", find_all("o_text", "quote"))
+    hits = hits.withColumn("o_start", by_context(F.col("o_text"), F.col("_at"))).where("o_start is not null")
+    one = hits.groupBy("citation_id").agg(F.count("*").alias("_k"), F.min("o_section").alias("o_section"), F.min("o_start").alias("o_start")).where("_k = 1").drop("_k")
+    c = c.join(one, "citation_id", "left").withColumn("_loose", _loose("text", "quote")).withColumn("_fuzzy", fuzzy("text", "quote"))
+    spot = lambda name, section, start, end: F.struct(F.lit(name).alias("result"), section.cast("string").alias("new_section"), start.cast("int").alias("new_start"), end.cast("int").alias("new_end"))
+    here, none = F.col("section"), F.lit(None)
+    found = F.coalesce(
+        F.when(exact, spot("exact", here, F.col("start"), F.col("start") + F.col("_n"))),
+        F.when(moved.isNotNull(), spot("moved", here, moved, moved + F.col("_n"))),
+        F.when(F.col("o_start").isNotNull(), spot("other_section", F.col("o_section"), F.col("o_start"), F.col("o_start") + F.col("_n"))),
+        F.when(F.size("_loose") == 2, spot("renormalised", here, F.get("_loose", F.lit(0)), F.get("_loose", F.lit(1)))),
+        F.when(F.col("_fuzzy.share") >= LEAST_SHARE, spot("fuzzy", here, F.col("_fuzzy.start"), F.col("_fuzzy.end"))),
+        spot("unresolved", none, none, none),
+    )
+    return c.select("citation_id", found.alias("_f")).select("citation_id", "_f.*")
+
+
+_CLAIM = "array<struct<section:string,ordinal:int,claim:string,status:string,citations:array<struct<document_index:int,start_char:int,end_char:int,cited_text:string>>>>"
+_MARK = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+")
+_HEAD = re.compile(r"^\s*#{1,4}\s*(.+?)\s*$")
+
+
+def _claims(blocks) -> list[dict]:
+    """Claims of one reply: a heading switches the section, a marker starts a claim, a cited block completes it."""
+    out: list[dict] = []
+    section, open_ = None, None
+
+    def close():
+        nonlocal open_
+        if open_ and (text := re.sub(r"\s*(?:-{3,}|_{3,})\s*$", "", open_["claim"]).strip()):
+            lacking = "insufficient evidence" in text.lower()
+            n = sum(c["section"] == open_["section"] for c in out) + 1
+            out.append(open_ | {"claim": text, "ordinal": n, "status": "insufficient" if lacking else "cited" if open_["citations"] else "uncited"})
+        open_ = None
+
+    for block in blocks if blocks is not None else []:
+        if block["type"] != "text":
+            continue
+        cites = [{"document_index": c["document_index"], "start_char": c["start_char_index"], "end_char": c["end_char_index"], "cited_text": c["cited_text"]} for c in (block["citations"] if block["citations"] is not None else [])]
+        lines = (block["text"] or "").split("\n")
+        for line in lines:
+            if head := _HEAD.match(line):
+                close()
+                section = head[1].lower()
+            elif mark := _MARK.match(line):
+                close()
+                open_ = {"section": section, "claim": line[mark.end() :], "citations": []}
+            elif open_ is not None and line.strip():
+                open_["claim"] += " " * bool(open_["claim"]) + line.strip()
+        if cites:
+            open_ = open_ or {"section": section, "claim": (block["text"] or "").strip(), "citations": []}
+            open_["citations"] += cites
+    close()
+    return out
+
+
+@F.pandas_udf(_CLAIM)
+def claims(blocks: pd.Series) -> pd.Series:
+    return blocks.map(_claims)
+
+
+def resolved_citations(found: DataFrame, documents: DataFrame) -> DataFrame:
+    """Cited claims against their documents: found, or why not: unknown_document, out_of_range, text_differs.
+
+    ``found`` has claim_id, document_id, start_char, end_char, cited_text; ``documents`` has document_id and text.
+    """
+    met = found.join(documents, "document_id", "left")
+    span = F.substring("text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
+    error = (
+        F.when(F.col("text").isNull(), "unknown_document").when((F.col("start_char") < 0) | (F.col("end_char") <= F.col("start_char")) | (F.col("end_char") > F.length("text")), "out_of_range")
+        .when(span != F.col("cited_text"), "text_differs")
+    )
+    low = F.greatest(F.col("start_char") - CONTEXT, F.lit(0))
+    return met.select(
+        "claim_id", "document_id", "start_char", "end_char", error.alias("error"), F.sha2("cited_text", 256).alias("quote_sha256"),
+        F.when(error.isNull(), F.substring("text", low + 1, F.col("start_char") - low)).alias("prefix"), F.when(error.isNull(), F.substring("text", F.col("end_char") + 1, F.lit(CONTEXT))).alias("suffix"),
+    )
+
+
+def coverage(cited: Column, asserted: Column) -> Column:
+    """Share of asserted claims that are cited; 1 where none is asserted."""
+    return F.when(asserted == 0, 1.0).otherwise(cited / asserted)
