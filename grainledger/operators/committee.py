@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainledger.functions.vectorised import vectorised
+
 #: Statements of a reply, assumed output tokens, and what a batch costs of the price.
 FEWEST, MOST, ASSUMED_OUTPUT, BATCH = 4, 8, 8_000, 0.5
 _REPLY = "struct<verdict:string,scores:map<string,double>,severity:string,statements:array<struct<text:string,refs:array<string>>>,errors:array<string>>"
@@ -31,7 +33,7 @@ def _reply(raw: str | None, known: list | None) -> dict:
     return {"verdict": part.get("verdict"), "scores": scores, "severity": (part.get("severity") or "").lower() or None, "statements": statements, "errors": errors}
 
 
-@F.pandas_udf(_REPLY)
+@vectorised(_REPLY)
 def persona_reply(raw: pd.Series, known: pd.Series) -> pd.DataFrame:
     """A reply's parts, and what is wrong with it; ``known`` lists the references that it may use."""
     return pd.DataFrame([_reply(r, k) for r, k in zip(raw, known)], columns=["verdict", "scores", "severity", "statements", "errors"])

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainledger.functions.vectorised import vectorised
+
 #: Context kept beside a quote, the least share of a fuzzy match, bars of a section's length by item.
 CONTEXT, LEAST_SHARE = 48, 0.60
 FLOOR, GOOD = 5_000, {"1": 15_000, "1A": 20_000, "7": 15_000}
@@ -59,7 +61,7 @@ def _normal(raw: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
-@F.pandas_udf("string")
+@vectorised("string")
 def normalise(raw: pd.Series) -> pd.Series:
     """Text without tags, with plain dashes, quotes and spaces, lines trimmed and at most one empty line in a row."""
     return raw.map(_normal)
@@ -95,7 +97,7 @@ def _sections(text: str | None) -> list[tuple]:
     return out
 
 
-@F.pandas_udf(_SECTION)
+@vectorised(_SECTION)
 def sections(text: pd.Series) -> pd.Series:
     return text.map(_sections)
 
@@ -125,7 +127,7 @@ def occurrences(text: Column, quote: Column) -> Column:
     return F.when((F.length(quote) > 0) & (F.length(text) >= F.length(quote)), hits).otherwise(F.array().cast("array<int>"))
 
 
-@F.pandas_udf("array<int>")
+@vectorised("array<int>")
 def find_all(text: pd.Series, quote: pd.Series) -> pd.Series:
     """As ``occurrences``, by the library's substring search: for long texts."""
 
@@ -139,7 +141,7 @@ def find_all(text: pd.Series, quote: pd.Series) -> pd.Series:
     return pd.Series([one(t, q) for t, q in zip(text, quote)])
 
 
-@F.pandas_udf("struct<start:int,end:int,share:double>")
+@vectorised("struct<start:int,end:int,share:double>")
 def fuzzy(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
     """The longest run that text and quote share, as a part of the quote's length."""
 
@@ -152,7 +154,7 @@ def fuzzy(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(t, q) for t, q in zip(text, quote)], columns=["start", "end", "share"])
 
 
-@F.pandas_udf("array<int>")
+@vectorised("array<int>")
 def _loose(text: pd.Series, quote: pd.Series) -> pd.Series:
     """Starts and ends of matches that may differ in white space, quotes and dashes."""
 
@@ -238,7 +240,7 @@ def _claims(blocks) -> list[dict]:
     return out
 
 
-@F.pandas_udf(_CLAIM)
+@vectorised(_CLAIM)
 def claims(blocks: pd.Series) -> pd.Series:
     return blocks.map(_claims)
 
