@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from grainledger.functions.measures import SPLIT_STEP, basis_change
 from grainledger.operators.series import top_row
 
 ENTRY = "array<struct<start:string,end:string,val:double,accn:string,form:string,filed:string,fy:int,fp:string>>"
-COMPANY_FACTS = T.StructType.fromDDL(f"cik string, facts struct<`us-gaap`: map<string, struct<units: map<string, {ENTRY}>>>>")
+COMPANY_FACTS = f"cik string, facts struct<`us-gaap`: map<string, struct<units: map<string, {ENTRY}>>>>"
 #: Days that a period of a year spans at least and at most.
 YEAR_DAYS = (350, 380)
 

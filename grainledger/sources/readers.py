@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh_json(spark: SparkSession, path: str, schema: T.StructType, not_before: datetime | None = None) -> DataFrame:
+def fresh_json(spark: SparkSession, path: str, schema: str | T.StructType, not_before: datetime | None = None) -> DataFrame:
     """JSON documents, a file each; with ``not_before`` only files written since."""
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
     return rows if not_before is None else rows.where(F.col("_metadata.file_modification_time") >= F.lit(not_before))
