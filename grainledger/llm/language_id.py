@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainledger.llm.common import remainder, table
+from grainledger.llm.common import remainder, small_batches, table
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3)
@@ -118,6 +118,7 @@ def predict(docs: DataFrame, langs: list[str], prior: np.ndarray, matrix: np.nda
     the language first in code-point order. Null ids are kept and repeated rows each get a row.
     """
     model = docs.sparkSession.sparkContext.broadcast((langs, prior, matrix))
+    small_batches(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prior, matrix = model.value

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from grainledger.llm.common import table
+from grainledger.llm.common import small_batches, table
 from grainledger.llm.token_ids import crc_of_ids, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -149,6 +149,7 @@ def pack(
     any length is encoded whole, and is cut at the limits.
     """
     chosen = [id_column, text_column] + ([loss_from] if loss_from else [])
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = encoder(tokenizer, True), _Packer(tokens, segments, loss, waiting)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainledger.llm.common import parts_for, shared_folder, table
+from grainledger.llm.common import parts_for, shared_folder, small_batches, table
 from grainledger.llm.token_ids import crc_of_ids, encoder
 
 END = 1
@@ -40,6 +40,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json"
     as the smallest integer. Rows that repeat an id are ordered by text. Other columns are not read.
     """
     shards, _ = parts_for(docs, text_column, shard_bytes)
+    small_batches(docs.sparkSession)
     # two copies of the key: the sort's own tie-break by text must not decide the shard
     ordered = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
