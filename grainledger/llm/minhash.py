@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from grainledger.llm.common import cut, gram_hashes, mix64, table, word_hashes, word_spans
+from grainledger.llm.common import cut, gram_hashes, mix64, small_batches, table, word_hashes, word_spans
 from grainledger.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -35,7 +35,7 @@ def sketch(hashes: np.ndarray, t: int = BANDS * ROWS) -> np.ndarray:
     """
     out = np.zeros(t, np.uint64)
     empty = np.ones(t, bool)
-    step = np.uint64(max(1, min(2 * t, 1024 // max(1, len(hashes)))))
+    step = np.uint64(max(1, min(256, 1024 // max(1, len(hashes)))))
     i = np.uint64(0)
     while empty.any():
         rounds = np.arange(i, min(i + step, np.uint64(2 * t)), dtype=np.uint64)
@@ -67,7 +67,7 @@ FINE = 512
 #: threshold but for a chance of about 1 in 30,000 (four standard deviations).
 SLACK = 4.0
 #: Members of a bucket that are compared at once.
-BLOCK = 256
+BLOCK = 1024
 #: Bits of the map of wanted documents, 4 MB; more documents than it can tell apart only cost extra reading.
 BITS = 1 << 25
 
@@ -133,7 +133,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _text_rows(batches):
-            ids, sets, fine = [], [], []
+            ids, sets, fine, keys = [], [], [], []
             for doc_id, text, slot in rows:
                 if bits.value[slot >> 3] >> (7 - (slot & 7)) & 1:
                     s = shingles(text or "")
@@ -141,12 +141,14 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         ids.append(doc_id)
                         sets.append(s.view(np.int64))
                         fine.append((mix64(sketch(s, FINE)) & np.uint64(255)).astype(np.uint8).tobytes())
+                        # 32 bits of each band key tell whether two documents share the band
+                        keys.append((bands(sketch(s)) & _M32).astype("<u4").tobytes())
             if ids:
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets))), pa.array(fine, pa.binary())], names=["rep", "members", "fine"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets))), pa.array(fine, pa.binary()), pa.array(keys, pa.binary())], names=["rep", "members", "fine", "bands"])
 
     read = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _slot("doc_id").alias("slot"))
-    return read.mapInArrow(run, "rep long, members array<long>, fine binary").join(wanted, "rep", "left_semi")
+    return read.mapInArrow(run, "rep long, members array<long>, fine binary, bands binary").join(wanted, "rep", "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -167,7 +169,7 @@ def _close(percent: int):
         rows = np.flatnonzero(own)
         columns = rows if group["left"][0] == group["right"][0] else np.flatnonzero(~own)
         fine = np.stack([np.frombuffer(x, np.uint8) for x in group["fine"]])
-        keys, out = np.stack(group["bands"]), []
+        keys, out = np.stack([np.frombuffer(x, "<u4") for x in group["bands"]]), []
         sizes = group["n"]
         for i in rows:
             others = columns[(group["component"][columns] != group["component"][i])]
@@ -201,7 +203,7 @@ def _close(percent: int):
     def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(parts)
         group = {c: whole.column(c).to_numpy() for c in ("block", "left", "right", "component", "n", "rep", "band")}
-        group["fine"], group["bands"] = whole.column("fine").to_pylist(), whole.column("bands").to_numpy()
+        group["fine"], group["bands"] = whole.column("fine").to_pylist(), whole.column("bands").to_pylist()
         if len(got := compare(group)):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*got)], names=["a", "b"])
 
@@ -221,6 +223,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     null component and is kept. Rows that repeat an id are one node. An empty table gives no rows. Other columns
     are not read.
     """
+    small_batches(docs.sparkSession)
     own = cut(sketched(docs))
     some = own.where("n > 0 and doc_id is not null")
     classes = cut(some.groupBy("n", "fp0", "fp1").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
@@ -239,7 +242,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     label = members.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = label.where("size > 2").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rest = label.join(open_, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    rest = rest.join(sets.select("rep", "fine"), "rep").join(classes.select("rep", "bands"), "rep")
+    rest = rest.join(sets.select("rep", "fine", "bands"), "rep")
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rest = rest.select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "band", "rep", "n", "component", "fine", "bands")
     rest = rest.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
