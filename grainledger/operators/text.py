@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import difflib
+import math
 import re
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from grainledger.functions.vectorised import vectorised
+from grainledger.session import cut
 
 #: Context kept beside a quote, the least share of a fuzzy match, bars of a section's length by item.
 CONTEXT, LEAST_SHARE = 48, 0.60
 FLOOR, GOOD = 5_000, {"1": 15_000, "1A": 20_000, "7": 15_000}
 MOST_OF_DOCUMENT, LEAST_ALPHA = 0.60, 0.55
 CONTENTS_SPAN, CONTENTS_ITEMS, LEADER_SPAN = 6_000, 4, 120
+#: Words of the runs by which documents are found for a passage, the first size that it is long enough for; parts of a frequent run.
+RUNS, SALTS = (3, 1), 16
 
 _DASHES = dict.fromkeys(map(ord, "‐‑‒–—―−"), "-")
 _QUOTES = {ord("‘"): "'", ord("’"): "'", ord("“"): '"', ord("”"): '"'}
@@ -168,6 +173,88 @@ def _loose(text: pd.Series, quote: pd.Series) -> pd.Series:
     return pd.Series([one(t, q) for t, q in zip(text, quote)])
 
 
+_ALIKE = ("‘’“”‐‑‒–—―−", "''\"\"-------")
+
+
+def _words(text: Column) -> Column:
+    """Words between white space, with plain quotes and dashes."""
+    return F.filter(F.split(F.translate(text, *_ALIKE), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+
+
+def _runs(words: Column, n: int) -> Column:
+    """Hashes of the different runs of n words."""
+    last = lambda w: F.greatest(F.size(w) - n, F.lit(0))
+    # the outer array has one element, so that the words are split once and not for each run
+    each = F.transform(F.array(words), lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), last(w)), lambda i: F.xxhash64(F.slice(w, i + 1, n)))))
+    return F.array_distinct(F.coalesce(each[0], F.array().cast("array<bigint>")))
+
+
+@vectorised("struct<n:int,need:int>")
+def _needed(quote: pd.Series, whole: pd.Series) -> pd.DataFrame:
+    """Words of a run, and how many different runs a document with the quote must hold; 0 words where none is sure.
+
+    A first or last word may be a part of a longer one, so only runs between them count. With ``whole`` all are needed,
+    else those that no part of the least share can do without.
+    """
+
+    def one(q: str, whole: bool) -> tuple[int, int]:
+        q = q.translate(str.maketrans(*_ALIKE))
+        inner = [m.span() for m in re.finditer(r"[^\s\x1c-\x1f]+", q)][1:-1]
+        size = math.ceil(LEAST_SHARE * len(q) - 1e-9)
+        for n in RUNS:
+            runs = [(tuple(q[a:b] for a, b in inner[i : i + n]), inner[i][0] - 1, inner[i + n - 1][1] + 1) for i in range(len(inner) - n + 1)]
+            need = len({r for r, _, _ in runs}) if whole else min(len({r for r, a, b in runs if at <= a and b <= at + size}) for at in range(len(q) - size + 1))
+            if need:
+                return n, need
+        return 0, 0
+
+    return pd.DataFrame([one(q, w) for q, w in zip(quote, whole)], columns=["n", "need"])
+
+
+def _pairs(documents: DataFrame, passages: DataFrame, whole: bool) -> DataFrame:
+    """doc_id, text, quote, n, need and runs: every document with every different passage that it can hold.
+
+    Of a passage's runs of words, of which a document needs some, only the rarest are looked up, so many that a document
+    without any of them lacks too many. Passages too short for a sure run, of one or two words, are tried with every document.
+    """
+    quotes = passages.where("quote is not null").select("quote").distinct().select("quote", _needed("quote", F.lit(whole)).alias("_n")).select("quote", "_n.*")
+    words = _words(F.col("quote"))
+    runs = F.array().cast("array<bigint>")
+    for n in RUNS:
+        runs = F.when(F.col("n") == n, _runs(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), n)).otherwise(runs)
+    quotes = cut(quotes.withColumn("runs", runs))
+    sizes = [r["n"] for r in quotes.where("n > 0").select("n").distinct().collect()]  # a row for each of RUNS at most
+    rest = documents.crossJoin(quotes.where("n = 0")).select("doc_id", "text", "quote", "n", "need", "runs")
+    if not sizes:
+        return rest
+    wanted = quotes.where("n > 0").select("quote", (F.lit(1) if whole else F.size("runs") - F.col("need") + 1).alias("keys"), F.explode("runs").alias("run"))
+    own = F.concat(*[_runs(_words(F.col("text")), n) for n in sizes])
+    held = cut(documents.select("doc_id", F.explode(own).alias("run")).join(wanted.select("run").distinct(), "run", "left_semi"))
+    often = held.groupBy("run").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(W.partitionBy("quote").orderBy(F.coalesce("often", F.lit(0)), "run"))
+    keys = wanted.join(often, "run", "left").withColumn("rank", rank).where("rank <= keys and often > 0").select("quote", "run", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = held.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(keys, ["run", "salt"]).select(F.col("doc_id").alias("_doc"), "quote").distinct()
+    return documents.join(met, F.col("doc_id").eqNullSafe(F.col("_doc"))).join(quotes, "quote").select("doc_id", "text", "quote", "n", "need", "runs").union(rest)
+
+
+def quoted(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """doc_id, text, item_id, quote: the passages (item_id, quote) with the documents (doc_id, text) that contain them."""
+    found = _pairs(documents, passages, True).where(F.contains(F.col("text"), F.col("quote"))).select("doc_id", "text", "quote")
+    return found.join(passages, "quote").select("doc_id", "text", "item_id", "quote")
+
+
+def fuzzy_quoted(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """doc_id, item_id, start, end, share: the longest run that they share, where it is the least share of the passage or
+    the document holds the passage but for white space, quotes and dashes."""
+    pairs = _pairs(documents, passages, False).where("text is not null")
+    shared = F.lit(0)
+    for n in RUNS:
+        shared = F.when(F.col("n") == n, F.size(F.array_intersect(_runs(_words(F.col("text")), n), F.col("runs")))).otherwise(shared)
+    near = pairs.where(shared >= F.col("need")).select("doc_id", "quote", fuzzy("text", "quote").alias("f"), _loose("text", "quote").alias("_at"))
+    return near.where((F.col("f.share") >= LEAST_SHARE) | (F.size("_at") > 0)).join(passages, "quote").select("doc_id", "item_id", "f.*")
+
+
+
 def re_anchor(citations: DataFrame) -> DataFrame:
     """Where each citation's quote stands now: columns citation_id, result, new_section, new_start, new_end.
 

@@ -271,13 +271,13 @@ def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
+def _passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+
+
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages with the documents that hold them. The number of passages is checked before they go to every task."""
-    q = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "quote")
-    if q.count() > 10_000:
-        raise ValueError("more passages than can go to every task: split them")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.join(F.broadcast(q), F.contains(F.col("text"), F.col("quote")))
+    """Benchmark passages with the documents that hold them."""
+    return text.quoted(*_passages(spark, sf_dir))
 
 
 @query("SELECT doc_id, item_id, CAST(strpos(d.text, b.text) - 1 AS INTEGER) AS start_ FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
@@ -301,8 +301,7 @@ def quote_disambiguate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def quote_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages against documents that hold them but for white space or wording; each with its longest shared run."""
-    got = _quotes(spark, sf_dir).withColumn("changed", F.concat(F.lit("x"), F.expr("substring(quote, 2)")))
-    return got.select("doc_id", "item_id", text.fuzzy("text", "changed").alias("f")).select("doc_id", "item_id", "f.*")
+    return text.fuzzy_quoted(*_passages(spark, sf_dir))
 
 
 @query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS ordinal FROM conversations")

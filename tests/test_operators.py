@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grainledger.functions import measures
 from grainledger.operators import committee, evaluation, facts, lineage, series, text, upsert
+from grainledger.plans import relating
 from grainledger.sources import readers
 from grainledger.streaming import incremental
 
@@ -181,3 +182,23 @@ def test_new_prices(spark):
     assert incremental.new_prices(stored, stored).count() == 0
     with pytest.raises(ValueError):
         incremental.new_prices(stored.limit(0), stored)
+
+
+def test_quoted_passages(spark):
+    said = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = [(1, f"so {said} it is"), (2, f"so {said.replace(' ', chr(10))} it is"), (3, f"so {said.replace('beta', 'other')} it is"), (4, "x" + said + "y"), (5, "alpha beta gamma and no more"), (6, None), (None, said), (7, "a kappab"), (7, said)]
+    docs = spark.createDataFrame(docs, "doc_id int, text string")
+    passages = spark.createDataFrame([(1, said), (2, said), (3, "kappa"), (4, "zeta eta theta"), (5, ""), (6, None), (7, "eta theta")], "item_id int, quote string")
+    whole = sorted(((d["doc_id"], p["item_id"]) for d in docs.collect() for p in passages.collect() if d["text"] is not None and p["quote"] is not None and p["quote"] in d["text"]), key=str)
+    assert sorted((tuple(r) for r in text.quoted(docs, passages).select("doc_id", "item_id").collect()), key=str) == whole
+    got = {r["doc_id"]: r for r in text.fuzzy_quoted(docs, passages.where("item_id = 1")).collect()}
+    assert set(got) == {1, 2, 3, 4, None, 7}
+    assert got[1]["share"] == 1.0 and got[1]["start"] == 3 and got[3]["share"] < 1 and got[2]["share"] < text.LEAST_SHARE
+
+
+def test_many_passages(spark, tmp_path):
+    said = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), *[F.concat(F.lit(f"w{i}x"), F.col("id"), F.lit(" ")) for i in range(5)], F.lit("end")).alias("text"))
+    said.write.parquet(str(tmp_path / "documents.parquet"))
+    said.toDF("item_id", "text").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = relating.quote_exact(spark, str(tmp_path))
+    assert got.count() == 12_000 and got.where("doc_id = item_id and start_ = 0").count() == 12_000
