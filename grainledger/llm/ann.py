@@ -5,7 +5,8 @@ the lists whose centroids are nearest. In a list it looks up, for each code, the
 code's centroid in a table that it makes once (the asymmetric distance), and reranks on the original vectors those
 rows that could by this estimate and its error be among the nearest. How many lists are read is set by an audit:
 for a bounded number of queries the true neighbours are found by comparing with all rows, and enough lists are read
-to meet nearly all of them.
+to meet nearly all of them. Where the nearest lists together hold too few rows for the query's neighbours, lists are first
+read on until there are enough, and then as many more.
 
 Lists are dealt into parts in blocks of a bounded number of rows, so that a list with very many rows is spread.
 """
@@ -73,6 +74,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 class _Index:
     def __init__(self, coarse: np.ndarray, books: np.ndarray, blocks: np.ndarray, parts: int):
         self.coarse, self.books, self.blocks, self.parts = coarse, books, blocks, parts
+        self.sizes = np.zeros(len(coarse), np.int64)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and length of what the codes miss, of unit vectors."""
@@ -127,6 +129,7 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataF
     coded = cut(base.mapInArrow(encode, "vec_id long, vec array<double>, list int, codes binary, missed double"))
     for r in coded.groupBy("list").count().collect():  # LISTS rows at most
         index.blocks[r["list"]] = -(-r["count"] // BLOCK)
+        index.sizes[r["list"]] = r["count"]
 
     some = asked.orderBy(F.xxhash64("vec_id", F.lit(11))).limit(AUDITED).collect()
     ids, q = np.array([r["vec_id"] for r in some]), np.array([r["vec"] for r in some])
@@ -151,7 +154,10 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataF
         for batch in batches:
             for i in range(len(batch)):
                 v = batch.column("vec")[i].values.to_numpy()
-                lists = np.argsort(-(unit(v[None, :]).astype(np.float32) @ index.coarse.T)[0], kind="stable")[:probes]
+                order = np.argsort(-(unit(v[None, :]).astype(np.float32) @ index.coarse.T)[0], kind="stable")
+                # lists that hold k rows beside the query's own
+                full = int(np.searchsorted(np.cumsum(index.sizes[order]), k + 1)) + 1
+                lists = order[: probes if full == 1 else full + probes]
                 n = index.blocks[lists]
                 each = np.repeat(lists, n)
                 part = index.part(each, np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n))

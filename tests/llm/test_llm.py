@@ -335,6 +335,19 @@ def test_nearest_neighbours(vectors, spark):
     assert ann.nearest_neighbours(df.limit(0), df).count() == 0 and ann.nearest_neighbours(df, df.limit(0)).count() == 0
 
 
+def test_neighbours_of_outliers(spark, monkeypatch):
+    """Outliers that are alone in their lists beside a hot cluster, where the audit is content with one list."""
+    monkeypatch.setattr(ann, "SHARE", 0.0)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(640, 16))
+    x[40:] = x[40] + 0.05 * rng.normal(size=(600, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ranks = {}
+    for r in ann.nearest_neighbours(df, df.where("vec_id < 60")).collect():
+        ranks.setdefault(r["query_id"], []).append(r["rank"])
+    assert sorted(ranks) == list(range(60)) and all(sorted(v) == [1, 2, 3, 4, 5] for v in ranks.values())
+
+
 def test_pipeline(spark, tmp_path):
     rows = spark.read.parquet(f"{DIR}/documents.parquet").collect()
     docs = spark.createDataFrame(rows)
