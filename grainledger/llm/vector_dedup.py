@@ -8,12 +8,16 @@
    shards are united.
 4. Each vector is searched for in all blocks of its first shard: greedy search from the block's medoid with a beam,
    which then expands its range: as long as a node within range has neighbours in range, they are looked at too.
-5. Links found are verified by cosine in double precision. An audit compares a bounded number of vectors with all
-   rows; if too few of their links were found, the overlap and beam grow and the search is done again.
+5. Links found are verified by cosine in double precision. An audit compares vectors with all rows, block by block,
+   until enough that have links were met; if too small a share of the links was found, on the average of these
+   vectors, the overlap and beam grow and the search is done again. Where the widest search is still not enough, this
+   is an error. Where hardly any vector has a link, the audit ends at a number of vectors that costs about as much as
+   the search; then a wider search is done too, and a warning says how little the audit met.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +33,10 @@ from grainledger.llm.vectors import k_means, nearest, sample, unit, usable
 SAMPLE, OVERLAP, SHARD, BLOCK, CENTROIDS = 20_000, 3, 1_500, 3_000, 4_096
 #: Neighbours of a node, near and chance candidates, the pruning factor, and the beam of a search.
 DEGREE, NEAR, CHANCE, ALPHA, BEAM = 32, 48, 16, 1.2, 48
-#: Nodes this far below the threshold are still expanded; audited vectors, and the share of links to be found.
+#: Nodes this far below the threshold are still expanded; vectors audited at first, and the share of links to be found.
 LEEWAY, AUDITED, RECALL = 0.1, 64, 0.97
+#: Audited vectors with links, vectors audited at once and in all at most; searches, each twice as wide as the one before.
+LINKED, AUDIT_BLOCK, AUDIT_MOST, TRIES = 64, 4_096, 16_384, 6
 _PAIR = "a long, b long"
 
 
@@ -198,22 +204,36 @@ def _links(base: DataFrame, count: int, least: float, overlap: int, beam: int) -
     return nodes.groupBy("shard", "block").cogroup(asked.groupBy("q_shard", "q_block")).applyInPandas(search, _PAIR).distinct()
 
 
-def _audit(base: DataFrame, links: DataFrame, least: float) -> float:
-    """Share of the links of a bounded number of vectors, found by comparison with all rows, that are in links."""
-    some = base.orderBy(F.xxhash64("vec_id", F.lit(17))).limit(AUDITED).collect()
-    shared = base.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in some]), unit(np.array([r["vec"] for r in some]))))
+def _audited(base: DataFrame, count: int, least: float) -> tuple[DataFrame, int, int]:
+    """(links of audited vectors: own, a, b; vectors audited; those with links), found by comparison with all rows."""
+    spark = base.sparkSession
+    order = base.select("vec_id", "vec").orderBy(F.xxhash64("vec_id", F.lit(17)), "vec_id")
+    true, audited, linked, size = None, 0, 0, AUDITED
+    while audited < min(count, AUDIT_MOST) and linked < LINKED:
+        some = order.offset(audited).limit(min(size, AUDIT_MOST - audited)).collect()
+        shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in some]), unit(np.array([r["vec"] for r in some]))))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            all_ids, all_q = shared.value
+            for batch in batches:
+                if len(batch):
+                    own, x = batch.column("vec_id").to_numpy(), unit(_matrix(batch.column("vec")))
+                    for at in range(0, len(all_ids), 256):
+                        ids, q = all_ids[at : at + 256], all_q[at : at + 256]
+                        i, j = np.nonzero((x @ q.T >= least) & (own[:, None] != ids[None, :]))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(np.minimum(own[i], ids[j])), pa.array(np.maximum(own[i], ids[j]))], names=["own", "a", "b"])
+
+        met = cut(base.select("vec_id", "vec").mapInArrow(run, "own long, a long, b long"))
+        true = met if true is None else true.union(met)
+        audited, linked, size = audited + len(some), linked + met.select("own").distinct().count(), min(4 * size, AUDIT_BLOCK)
+    return true, audited, linked
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        for batch in batches:
-            if len(batch):
-                own = batch.column("vec_id").to_numpy()
-                i, j = np.nonzero((unit(_matrix(batch.column("vec"))) @ q.T >= least) & (own[:, None] != ids[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[i], ids[j])), pa.array(np.maximum(own[i], ids[j]))], names=["a", "b"])
 
-    true = cut(base.select("vec_id", "vec").mapInArrow(run, _PAIR).distinct())
-    n = true.count()
-    return true.join(links, ["a", "b"], "left_semi").count() / n if n else 1.0
+def _recall(true: DataFrame, links: DataFrame) -> float:
+    """Average share of an audited vector's links that are in links; 1 where none has any."""
+    met = true.join(links.withColumn("met", F.lit(1.0)), ["a", "b"], "left")
+    share = met.groupBy("own").agg((F.sum(F.coalesce("met", F.lit(0.0))) / F.count("*")).alias("share")).agg(F.avg("share")).first()[0]
+    return 1.0 if share is None else share
 
 
 def near_duplicate_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
@@ -221,7 +241,8 @@ def near_duplicate_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
 
     Rows that ``usable`` leaves out have no links and are components of their own; a null id has a null component and is
     kept. Rows that repeat an id are one vector, the first by value, and each gets that result. Equal vectors are linked
-    with one another without being compared pair by pair. An empty table gives no rows.
+    with one another without being compared pair by pair. An empty table gives no rows. A search that the audit finds
+    incomplete at its widest is a RuntimeError.
     """
     own = usable(rows).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     own = cut(own)
@@ -230,12 +251,18 @@ def near_duplicate_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
     out = rows.select(F.col("vec_id").cast("long").alias("vec_id"))
     if not count:
         return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    overlap, beam = OVERLAP, BEAM
-    for _ in range(3):
+    true, audited, linked = _audited(classes, count, least)
+    sure = linked >= LINKED or audited >= count
+    for turn in range(TRIES):
+        overlap, beam = OVERLAP << turn, BEAM << turn
         links = cut(_links(classes, count, least, overlap, beam))
-        if _audit(classes, links, least) >= RECALL:
+        recall = _recall(true, links)
+        if recall >= RECALL and (sure or turn):
             break
-        overlap, beam = overlap * 2, beam * 2
+    else:
+        raise RuntimeError(f"links found of {linked} audited vectors that have any: {recall:.4f}, less than {RECALL}, with overlap {overlap} and beam {beam}")
+    if not sure:
+        warnings.warn(f"only {linked} of {audited} audited vectors have links, too few to tell what share of links was found", stacklevel=2)
     both = links.union(links.select("b", "a"))
     copies = classes.select(F.col("vec_id").alias("b"), "copies")
     linked = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "rep")

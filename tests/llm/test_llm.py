@@ -316,6 +316,35 @@ def test_vector_dedup(vectors, spark):
     assert vector_dedup.near_duplicate_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_vector_dedup_audit(spark, monkeypatch):
+    """A search that misses all pairs is widened, though few vectors have one, and an error if it stays so."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 16))
+    x[:7] = x[700:707] + 0.01 * rng.normal(size=(7, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS.split(", label")[0].replace("float", "double"))
+    real, widths = vector_dedup._links, []
+
+    def poor(base, count, least, overlap, beam, from_=2):
+        widths.append(overlap)
+        return real(base, count, least, overlap, beam).where("true" if len(widths) >= from_ else "false")
+
+    monkeypatch.setattr(vector_dedup, "_links", poor)
+    out = {r["vec_id"]: r["component_id"] for r in vector_dedup.near_duplicate_vectors(df).collect()}
+    assert widths == [3, 6] and all(out[700 + i] == i for i in range(7))
+    monkeypatch.setattr(vector_dedup, "_links", lambda *a: poor(*a, from_=99))
+    with pytest.raises(RuntimeError, match="audited"):
+        vector_dedup.near_duplicate_vectors(df)
+
+
+def test_vector_dedup_recall_by_vector(spark):
+    """A large group that was found doesn't outweigh the pairs that weren't."""
+    group = [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    pairs = [(100 + 2 * i, 101 + 2 * i) for i in range(20)]
+    true = spark.createDataFrame([(own, *p) for p in group + pairs for own in p], "own long, a long, b long")
+    assert vector_dedup._recall(true, spark.createDataFrame(group, "a long, b long")) == 0.5
+    assert vector_dedup._recall(true.limit(0), true.select("a", "b")) == 1.0
+
+
 def test_nearest_neighbours(vectors, spark):
     df, u = vectors
     out = {}
