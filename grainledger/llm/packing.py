@@ -3,8 +3,8 @@
 A piece of a document asks for three things of a sequence at once: tokens, one segment (its own attention
 span), and loss-bearing tokens. A sequence is filled by the dot-product heuristic: of the waiting pieces that
 fit in every dimension it takes the one whose demands point most along the room that is left. Where none fits,
-a piece is cut to fill the room, since a document may be cut freely. What a task has left at its end goes into
-sequences whose lengths are powers of two, which need no padding.
+a piece is cut to fill the room, since a document may be cut freely. Where segments or loss-bearing tokens run out
+before the tokens, and at a task's end, a sequence is cut to a power of two, which needs no padding.
 
 Packing is local to a task, so nothing is shuffled; documents of one task share sequences. Sequence ids hold the
 task's number above and a count below, so that they are unique and a rerun of a task gives them again.
@@ -54,8 +54,8 @@ class _Packer:
             a = b
         if a < n:
             self._wait((doc_id, ids, a, n, since))
-            if len(self.docs) >= self.most:
-                self._fill()
+            while len(self.docs) >= self.most:
+                self._close()
 
     def _wait(self, doc: tuple) -> None:
         self.demand[len(self.docs)] = self._ask(doc)
@@ -90,32 +90,22 @@ class _Packer:
             room -= self._ask(doc)
         return chosen, room
 
-    def _fill(self) -> None:
-        chosen, _ = self._choose()
-        at = 0
-        for doc in chosen:
-            self._place(doc, at)
-            at += doc[3] - doc[2]
+    def _close(self) -> None:
+        """One sequence: full, or where none fits any more as long as a power of two, which needs no padding."""
+        chosen, room = self._choose()
+        held = self.tokens - int(room[0])
+        size, at = held if held == self.tokens else 1 << (held.bit_length() - 1), 0
+        for doc_id, ids, a, b, since in chosen:
+            cut = min(b, a + size - at)
+            if cut > a:
+                self._place((doc_id, ids, a, cut, since), at)
+                at += cut - a
+            self._back((doc_id, ids, cut, b, since))
         self.closed += 1
 
     def end(self) -> None:
-        """Full sequences while they last, then powers of two."""
         while self.docs:
-            chosen, room = self._choose()
-            size = power = self.tokens if room[0] <= 0 else 1 << (int(self.tokens - room[0]).bit_length() - 1)
-            at = 0
-            for n, (doc_id, ids, a, b, since) in enumerate(chosen):
-                if at + b - a > size:
-                    for later in chosen[n + 1 :]:
-                        self._back(later)
-                    self._back((doc_id, ids, a + size - at, b, since))
-                    b = a + size - at
-                    self._place((doc_id, ids, a, b, since), at)
-                    at = power
-                    break
-                self._place((doc_id, ids, a, b, since), at)
-                at += b - a
-            self.closed += 1
+            self._close()
 
     def _back(self, doc: tuple) -> None:
         if doc[3] > doc[2]:

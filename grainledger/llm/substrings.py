@@ -1,28 +1,34 @@
 """Removal of passages that repeat across documents, by sharded Aho-Corasick automata.
 
 A window is 13 consecutive words of one document. A window recurs if its words also start in a document with a
-smaller id. The work goes in four steps; documents are dealt into shards of about 2 MB by a hash of the id, and this
-one shuffle of the texts serves all steps.
+smaller id. Documents are dealt into shards of about 2 MB by a hash of the id, and this one shuffle of the texts
+serves all steps.
 
 1. Of the nine 5-word phrases in a window the one with the smallest hash is its anchor, so equal windows have
    equal anchors. Each shard sends the distinct anchors of its windows, and gets back, a bit each, which of them
    occur in two documents or more.
-2. Recurring passages are confirmed on whole windows: for windows with such an anchor, a shard sends a 96-bit hash
-   and its smallest document, and gets back, a bit each, whether a smaller document elsewhere has the window.
-3. Each shard compiles an automaton of the anchor phrases of its confirmed windows, and streams all its documents
-   through it, which locates every occurrence of a phrase.
-4. Around each occurrence the windows are checked exactly, and the words they cover are removed.
-
-What a shard sends holds an anchor or window once, however often its documents have it, so a passage that very many
-documents share is no heavier than another.
+2. Windows with such an anchor may recur. For each distinct one a shard sends a 96-bit hash and its smallest document;
+   the shard that holds the smallest of all is told which shards have the window in a later document.
+3. That shard sends them the passages: the words of such windows, those that overlap as one run.
+4. A shard compiles an automaton of the anchor phrases of the passages it got, and streams all its documents through
+   it. Around each occurrence, and nowhere else, windows are compared word by word with those of the passages; where
+   one of a smaller document has the same words, they are removed.
+
+So hashes only propose. Different windows under one 64-bit hash are told apart; of windows that share all 96 bits a
+document that has another text could be named as the smallest, and the passage then not be found.
+
+What a shard sends holds an anchor, window or passage once, however often its documents have it, so a passage that very
+many documents share is no heavier than another.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,22 +143,26 @@ def _told(answers: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
     return out
 
 
-def _candidates(shard: _Shard, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows whose anchors recur: (which, their place among distinct ones, the distinct ones, their first document)."""
+def _classes(shard: _Shard, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows whose anchors recur: (hashes in order, smallest document, its first word there, whether a later
+    document of this shard has the window too)."""
     anchors, _ = shard.anchors()
     recurs = _told(answers, anchors, buckets)
     which = np.flatnonzero(recurs[np.searchsorted(anchors, shard.anchor)]) if len(anchors) else np.zeros(0, np.int64)
-    distinct, place = np.unique(shard.hashes(which), return_inverse=True)
-    first = np.full(len(distinct), _LAST)
-    np.minimum.at(first, place, shard.key[shard.of[shard.at[which]]])
-    return which, place, distinct, first
+    h, at = shard.hashes(which), shard.at[which]
+    doc = shard.key[shard.of[at]]
+    order = np.lexsort((at, doc, h["g"], h["h"]))
+    h, at, doc = h[order], at[order], doc[order]
+    start = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), (h["h"][1:] != h["h"][:-1]) | (h["g"][1:] != h["g"][:-1]))))
+    last = np.append(start[1:], len(h))[: len(start)] - 1
+    return h[start], doc[start], at[start], doc[last] > doc[start]
 
 
 def _ask_windows(buckets: int, window: int, phrase: int):
     def run(documents: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(documents):
             return _table(bucket=([], pa.int32()), shard=([], pa.int32()), keys=([], pa.binary()), more=([], pa.binary()), docs=([], pa.binary()))
-        _, _, distinct, first = _candidates(_Shard(documents, window, phrase), answers, buckets)
+        distinct, first, _, _ = _classes(_Shard(documents, window, phrase), answers, buckets)
         cuts = _cuts(distinct["h"], buckets)
         some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
         part = lambda x: [np.ascontiguousarray(x[cuts[b] : cuts[b + 1]]).tobytes() for b in some]
@@ -162,38 +172,77 @@ def _ask_windows(buckets: int, window: int, phrase: int):
 
 
 def _tell_windows(asked: pa.Table) -> pa.Table:
-    """For each shard's windows, in order, whether a smaller document elsewhere has them."""
-    keys = [np.frombuffer(x, "<u8") for x in asked.column("keys").to_pylist()]
-    h, g, d = np.concatenate(keys), np.concatenate([np.frombuffer(x, "<u4") for x in asked.column("more").to_pylist()]), np.concatenate([np.frombuffer(x, "<i8") for x in asked.column("docs").to_pylist()])
-    order = np.lexsort((g, h))
-    start = np.flatnonzero(np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1]))))
-    least = np.repeat(np.minimum.reduceat(d[order], start), np.diff(np.append(start, len(h))))
-    told = np.zeros(len(h), bool)
-    told[order] = least < d[order]
-    ends = np.cumsum([len(x) for x in keys])
-    bits = [np.packbits(told[b - len(x) : b]).tobytes() for x, b in zip(keys, ends)]
-    return _table(shard=(asked.column("shard").to_pylist(), pa.int32()), bucket=(asked.column("bucket").to_pylist(), pa.int32()), bits=(bits, pa.binary()))
+    """For each shard with the smallest document of a window: which window, by its place in what it sent, and which
+    shards have it in a later document."""
+    column = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in asked.column(name).to_pylist()])
+    h, g, d = column("keys", "<u8"), column("more", "<u4"), column("docs", "<i8")
+    each = np.array([len(x) // 8 for x in asked.column("keys").to_pylist()])
+    of = np.repeat(asked.column("shard").to_numpy(), each)
+    place = np.arange(len(h)) - np.repeat(np.cumsum(each) - each, each)
+    order = np.lexsort((of, d, g, h))
+    h, g, d, of, place = (x[order] for x in (h, g, d, of, place))
+    start = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))))
+    owner = np.repeat(start, np.diff(np.append(start, len(h))))
+    later = d > d[owner]
+    by, which, to = of[owner[later]], place[owner[later]], of[later]
+    order = np.lexsort((which, to, by))
+    by, which, to = by[order], which[order], to[order]
+    cuts = np.flatnonzero(np.concatenate((np.ones(min(1, len(by)), bool), by[1:] != by[:-1])))
+    ends = np.append(cuts[1:], len(by))[: len(cuts)]
+    part = lambda x: [x[a:b].astype("<i4").tobytes() for a, b in zip(cuts, ends)]
+    return _table(shard=(by[cuts].tolist(), pa.int32()), bucket=([asked.column("bucket")[0].as_py()] * len(cuts), pa.int32()), bits=(part(which), pa.binary()), to=(part(to), pa.binary()))
+
+
+def _give_passages(buckets: int, window: int, phrase: int):
+    def run(documents: pa.Table, told: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"shard": [], "docs": [], "texts": []}
+        if len(documents):
+            shard, own = _Shard(documents, window, phrase), told.column("to").is_null()
+            distinct, first, at, later = _classes(shard, told.filter(own), buckets)
+            cuts, wanted = _cuts(distinct["h"], buckets), told.filter(pc.invert(own))
+            which, to = [np.flatnonzero(later)], [np.full(int(later.sum()), documents.column("shard")[0].as_py())]
+            for b, places, shards in zip(*(wanted.column(c).to_pylist() for c in ("bucket", "bits", "to"))):
+                which.append(np.frombuffer(places, "<i4") + cuts[b])
+                to.append(np.frombuffer(shards, "<i4"))
+            which, to = np.concatenate(which), np.concatenate(to)
+            order = np.lexsort((at[which], to))
+            start, to, doc = at[which[order]], to[order], first[which[order]]
+            # windows of one document that overlap or meet are one passage
+            new = (to[1:] != to[:-1]) | (shard.of[start[1:]] != shard.of[start[:-1]]) | (start[1:] > start[:-1] + window)
+            low = np.flatnonzero(np.concatenate((np.ones(min(1, len(start)), bool), new)))
+            high = np.append(low[1:], len(start))[: len(low)] - 1
+            raw = shard.raw.tobytes()
+            for a, b in zip(low.tolist(), high.tolist()):
+                if not out["shard"] or out["shard"][-1] != to[a]:
+                    out["shard"].append(int(to[a]))
+                    out["docs"].append([])
+                    out["texts"].append([])
+                out["docs"][-1].append(int(doc[a]))
+                out["texts"][-1].append(raw[shard.starts[start[a]] : shard.ends[start[b] + window - 1]].decode("utf-8", "surrogatepass"))
+        return _table(shard=(out["shard"], pa.int32()), docs=(out["docs"], pa.list_(pa.int64())), texts=(out["texts"], pa.list_(pa.string())))
+
+    return run
 
 
-def _located(shard: _Shard, phrases: np.ndarray) -> np.ndarray:
-    """For each word whether one of the phrases begins there, by streaming all documents through their automaton."""
+def _located(shard: _Shard, passages: _Shard) -> np.ndarray:
+    """For each word whether an anchor phrase of the passages begins there, by streaming all documents through their
+    automaton."""
     import ahocorasick
 
     begins = np.zeros(len(shard.words), bool)
-    if not len(phrases):
-        return begins
-    known, at = np.unique(shard.phrases, return_index=True)
-    at = at[np.searchsorted(known, phrases)]
-    raw, k = shard.raw.tobytes(), shard.phrase
-    say = lambda i, j: b" ".join(raw[a:b] for a, b in zip(shard.starts[i:j].tolist(), shard.ends[i:j].tolist())).decode("utf-8", "surrogatepass")
+    raw, k = passages.raw.tobytes(), shard.phrase
     automaton = ahocorasick.Automaton()
-    for i in at.tolist():
-        automaton.add_word(f" {say(i, i + k)} ", 0)
+    for i in np.flatnonzero(np.isin(passages.phrases, passages.anchor)).tolist():
+        if passages.of[i] == passages.of[i + k - 1]:
+            automaton.add_word(f" {_said(raw, passages, i, i + k)} ", 0)
+    if not len(automaton):
+        return begins
     automaton.make_automaton()
+    raw = shard.raw.tobytes()
     for a, b in zip(shard.first[:-1].tolist(), shard.first[1:].tolist()):
         if b - a < shard.window:
             continue
-        text = f" {say(a, b)} "
+        text = f" {_said(raw, shard, a, b)} "
         ends = np.array([end for end, _ in automaton.iter(text)], np.int64)
         if len(ends):
             # the space after each word, among characters
@@ -202,24 +251,46 @@ def _located(shard: _Shard, phrases: np.ndarray) -> np.ndarray:
     return begins
 
 
-def _remove(buckets: int, window: int, phrase: int, keep: list[str], texts: bool):
-    def run(documents: pa.Table, anchors: pa.Table, windows: pa.Table) -> pa.Table:
+def _said(raw: bytes, shard: _Shard, a: int, b: int) -> str:
+    """The words from a to b, joined by one space."""
+    return b" ".join(raw[int(shard.starts[a]) : int(shard.ends[b - 1])].split()).decode("utf-8", "surrogatepass")
+
+
+def _gone(shard: _Shard, passages: _Shard) -> np.ndarray:
+    """For each word whether a window covers it whose words a passage of a smaller document has."""
+    window, cover = shard.window, np.zeros(len(shard.words) + 1, np.int64)
+    if not len(passages.at) or not len(shard.at):
+        return cover[:-1] > 0
+    count = np.concatenate(([0], np.cumsum(_located(shard, passages))))
+    # windows in which one of the phrases located lies
+    near = shard.at[count[shard.at + window - shard.phrase + 1] > count[shard.at]]
+    number: dict[bytes, int] = {}
+    theirs, own = (np.fromiter(map(number.setdefault, s.raw.tobytes().split(), itertools.count(low)), np.int64, len(s.words)) for s, low in ((passages, 0), (shard, len(passages.words))))
+    h, key = gram_hashes(passages.words, window)[passages.at], passages.key[passages.of[passages.at]]
+    order = np.lexsort((key, h))
+    h, key, at = h[order], key[order], passages.at[order]
+    want, doc, step = gram_hashes(shard.words, window)[near], shard.key[shard.of[near]], np.arange(window)
+    place, open_ = np.searchsorted(h, want), np.arange(len(near))
+    while len(open_):  # once more only for windows whose hash another window has
+        open_ = open_[place[open_] < len(h)]
+        i = place[open_]
+        there = (h[i] == want[open_]) & (key[i] < doc[open_])
+        open_, i = open_[there], i[there]
+        same = (theirs[at[i][:, None] + step] == own[near[open_][:, None] + step]).all(1)
+        np.add.at(cover, near[open_[same]], 1)
+        np.add.at(cover, near[open_[same]] + window, -1)
+        open_ = open_[~same]
+        place[open_] += 1
+    return np.cumsum(cover[:-1]) > 0
+
+
+def _remove(window: int, phrase: int, keep: list[str], texts: bool):
+    def run(documents: pa.Table, given: pa.Table) -> pa.Table:
         shard = _Shard(documents, window, phrase)
-        which, place, distinct, first = _candidates(shard, anchors, buckets)
-        earlier = _told(windows, distinct["h"], buckets)
-        doc = shard.key[shard.of[shard.at[which]]]
-        repeats = earlier[place] | (doc > first[place])
-        begins = _located(shard, np.unique(shard.anchor[which[repeats]]))
-        # a window is looked at if one of the phrases located lies in it
-        count = np.concatenate(([0], np.cumsum(begins)))
-        at = shard.at[which]
-        seen = count[at + window - phrase + 1] > count[at]
-        cover = np.zeros(len(shard.words) + 1, np.int64)
-        np.add.at(cover, at[seen & repeats], 1)
-        np.add.at(cover, at[seen & repeats] + window, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+        flat = lambda c, kind: pa.array([x for row in given.column(c).to_pylist() for x in row], kind)
+        gone = _gone(shard, _Shard(pa.table({"doc_id": flat("docs", pa.int64()), "text": flat("texts", pa.string())}), window, phrase))
         raw = shard.raw.tobytes()
-        given = documents.column("text").take(pa.array(shard.rows, pa.int64())).to_pylist() if texts else []
+        whole = documents.column("text").take(pa.array(shard.rows, pa.int64())).to_pylist() if texts else []
         n_words, n_removed, digest, kept = [], [], [], []
         for a, b in zip(shard.first[:-1].tolist(), shard.first[1:].tolist()):
             left = np.flatnonzero(~gone[a:b]) + a
@@ -227,7 +298,7 @@ def _remove(buckets: int, window: int, phrase: int, keep: list[str], texts: bool
             n_words.append(b - a)
             n_removed.append(b - a - len(left))
             digest.append(hashlib.sha256(text).hexdigest())
-            kept.append(None if not texts else text.decode("utf-8", "surrogatepass") if b - a > len(left) else given[len(kept)])
+            kept.append(None if not texts else text.decode("utf-8", "surrogatepass") if b - a > len(left) else whole[len(kept)])
         out = {"doc_id": pa.array(shard.ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
         if texts:
             out["kept"] = pa.array(kept, pa.string())
@@ -254,22 +325,17 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, texts: bool =
     ask = dealt.groupBy("shard").applyInArrow(_ask_anchors(buckets, window, phrase), "bucket int, shard int, keys binary, several binary")
     anchors = ask.groupBy("bucket").applyInArrow(_tell_anchors, "shard int, bucket int, bits binary")
     ask = dealt.groupBy("shard").cogroup(anchors.groupBy("shard")).applyInArrow(_ask_windows(buckets, window, phrase), "bucket int, shard int, keys binary, more binary, docs binary")
-    windows = ask.groupBy("bucket").applyInArrow(_tell_windows, "shard int, bucket int, bits binary")
+    windows = ask.groupBy("bucket").applyInArrow(_tell_windows, "shard int, bucket int, bits binary, to binary")
+
+    # both kinds of answers side by side
+    answers = anchors.select("*", F.lit(None).cast("binary").alias("to")).union(windows)
+    passages = dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_give_passages(buckets, window, phrase), "shard int, docs array<long>, texts array<string>")
 
-    # the two kinds of answers side by side: a window's bit comes with its bucket below zero
-    answers = anchors.union(windows.select("shard", (-F.col("bucket") - 1).alias("bucket"), "bits"))
-    remove = _remove(buckets, window, phrase, keep, texts)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * texts + keep
     kinds = {"doc_id": "long", "n_words": "long", "n_removed": "long", "kept_sha256": "string", "kept": "string"} | {c: docs.schema[c].dataType.simpleString() for c in keep}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-
-    def finish(documents: pa.Table, told: pa.Table) -> pa.Table:
-        bucket = told.column("bucket").to_numpy()
-        first, second = told.filter(pa.array(bucket >= 0)), told.filter(pa.array(bucket < 0))
-        second = second.set_column(second.column_names.index("bucket"), "bucket", pa.array(-second.column("bucket").to_numpy() - 1, pa.int32()))
-        return remove(documents, first, second).select(names)
-
-    return dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(finish, schema)
+    remove = _remove(window, phrase, keep, texts)
+    return dealt.groupBy("shard").cogroup(passages.groupBy("shard")).applyInArrow(lambda documents, given: remove(documents, given).select(names), schema)
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -394,3 +394,50 @@ def test_pipeline(spark, tmp_path):
     mixed = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert fifth(spark, docs, DIR).agg({"length": "sum"}).first()[0] == sum(len(ids_of("byte_bpe_50k.json", t)) for _, t in mixed)
     assert corpus_pipeline.run(spark, DIR).count() > 0
+
+
+def shard_of(rows):
+    import pyarrow as pa
+
+    return substrings._Shard(pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())}), 13, 5)
+
+
+def removed(rows, passages):
+    """What a shard removes of its documents, given passages of other ones."""
+    s = shard_of(rows)
+    gone = substrings._gone(s, shard_of(passages))
+    return {i: int(gone[a:b].sum()) for i, a, b in zip(s.ids, s.first[:-1], s.first[1:])}
+
+
+def test_automaton_decides(monkeypatch):
+    """Without the automaton's occurrences nothing is removed; hashes that all collide change nothing."""
+    rng = random.Random(5)
+    said = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    passage = said(30)
+    texts = [said(20) + passage + said(9), passage + said(5), said(40), said(7) + passage[3:25] + said(8), said(6) + passage[:12] + said(6), passage[:20] + ["w"] + passage[20:]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = {i: gone for i, _, gone, _ in repeats(rows)}
+    assert sum(want.values()) == 30 + 22 + 20 and removed(rows, rows) == want
+    with monkeypatch.context() as m:
+        m.setattr(substrings, "_located", lambda shard, passages: np.zeros(len(shard.words), bool))
+        assert not any(removed(rows, rows).values())
+    with monkeypatch.context() as m:
+        m.setattr(substrings, "gram_hashes", lambda words, n, salt=0: np.zeros(max(0, len(words) - n + 1), np.uint64))
+        assert removed(rows, rows) == want
+    other = [w if n != 6 else "other" for n, w in enumerate(passage[:13])]
+    with monkeypatch.context() as m:
+        m.setattr(substrings, "word_hashes", lambda raw, starts, ends: np.zeros(len(starts), np.uint64))
+        assert removed([(5, " ".join(passage[:13]))], [(1, " ".join(other))]) == {5: 0}
+
+
+def test_packing_short_texts(spark):
+    """Segments run out before tokens: still no padding and no empty piece."""
+    rng = random.Random(9)
+    sizes = [1, 2, 3, 4, 5]
+    rows = [(i, " ".join("abc"[rng.randrange(3)] for _ in range(rng.choice(sizes) - 1))) for i in range(3000)]
+    for part in (rows, [(i, "a b") for i in range(3000)], rows[:2]):
+        pieces = packing.pack(spark.createDataFrame(part, "doc_id long, text string").coalesce(1)).collect()
+        of = check_packing(part, pieces)
+        held = [sum(p["length"] for p in own) for own in of.values()]
+        assert all(p["length"] > 0 for p in pieces) and all(len(own) <= 256 for own in of.values())
+        assert sum(0 if n & (n - 1) == 0 else 2048 - n for n in held) == 0
