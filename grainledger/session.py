@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,25 @@ def session(name: str = "grainledger", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the folder in ``spark.checkpoint.dir``, which all executors share, and goes on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """URI of the folder that the driver and all executors share: what ``spark.checkpoint.dir`` names.
 
-    Only where that setting is empty, as in tests on one machine, a temporary folder is made.
+    Only where that is unset and driver and tasks are one process, as in tests, a temporary folder is made and set; on a
+    cluster without the setting this is an error.
     """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="grainledger-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder, so that a lost executor costs no work done before this point."""
     context = df.sparkSession.sparkContext
+    where = shared_folder(df.sparkSession)
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="grainledger-"))
+        context.setCheckpointDir(where)
     return df.checkpoint(eager=True)
