@@ -1,13 +1,17 @@
-"""What several corpus operators share: the shared folder, lineage cuts, words and vectorised hashes."""
+"""What several corpus operators share: columns set aside, words and vectorised hashes; and where they find cuts."""
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainledger.session import cut, shared_folder
+
+__all__ = ["cut", "shared_folder"]
+
 #: A word, for Spark's and for Python's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,31 +19,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER_ASCII = {c: c + 32 for c in range(65, 91)}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """URI of the folder that the driver and all executors share.
-
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset, as in tests on one machine, a
-    temporary folder is made and set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="grainledger-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder, so that a lost executor costs no work done before this point."""
-    context = df.sparkSession.sparkContext
-    where = shared_folder(df.sparkSession)
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lets at most so many rows go to Python at once: whole texts are large, and each task holds batches on both sides."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(docs with each column but those needed under a name that no operator uses, what gives a result docs' columns)."""
+    quoted = {c: "`" + c.replace("`", "``") + "`" for c in docs.columns}
+    names = {c: c if c in needed else f"aside_{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(quoted[c]).alias(names[c]) for c in docs.columns])
+    return plain, lambda got: got.select(*[F.col(names[c]).alias(c) for c in docs.columns])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,36 +15,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainledger.llm.common import remainder, small_batches, table
+from grainledger.llm.common import remainder, table
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3)
 #: Learning rows of one language at most, chosen by a hash of the id.
 LEARN_ROWS = 8_000
 UNKNOWN = "und"
-#: Languages at most: the matrix then has 128 MB.
+#: Languages at most, else an error: the matrix then has 128 MB.
 LANGUAGES = 1_000
 
 _tables: dict[str, np.ndarray] = {}
 
 
-def _letters() -> np.ndarray:
-    """For each code point of the first plane whether it is a letter, and its lower case."""
-    if not _tables:
-        _tables["letter"] = np.array([chr(i).isalpha() for i in range(65536)])
-        _tables["lower"] = np.array([ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(65536)], np.uint32)
-    return _tables["letter"]
+def _letters(codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of so many code points whether it is a letter, and its lower case."""
+    if len(_tables.get("letter", ())) < codes:
+        _tables["letter"] = np.array([chr(i).isalpha() for i in range(codes)])
+        _tables["lower"] = np.array([ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(codes)], np.uint32)
+    return _tables["letter"], _tables["lower"]
 
 
 def grams(texts: list[str], n: int, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each of 1 to n: hashed n-grams around the texts' letters, and the number of the text of each."""
-    letter = _letters()
     raw = np.frombuffer(("   " + "   ".join(texts) + "   ").encode("utf-32-le", "surrogatepass"), "<u4")
-    low = np.minimum(raw, 65535).astype(np.uint16)
-    is_letter = letter[low]
-    for i in np.flatnonzero(raw > 65535):
-        is_letter[i] = chr(raw[i]).isalpha()
-    code = np.where(is_letter, np.where(raw > 65535, raw, _tables["lower"][low]), np.uint32(32))
+    letter, lower = _letters(0x10000 if raw.max() < 0x10000 else 0x110000)
+    is_letter = letter[raw]
+    code = np.where(is_letter, lower[raw], np.uint32(32))
     at = np.flatnonzero(is_letter)
     ends = np.cumsum([len(t) + 3 for t in texts])
     text = np.searchsorted(ends, at - 3, side="right")
@@ -74,10 +71,13 @@ def _batches(batches: Iterator[pa.RecordBatch], chars: int = 400_000) -> Iterato
 def learn(rows: DataFrame, n: int = max(GRAMS), buckets: int = BUCKETS, most: int = LEARN_ROWS, smooth: float = 0.1) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log priors, log probabilities) from columns doc_id, text, lang; ``lang`` not null.
 
-    ``most`` bounds the learning rows of a language, about: a hash of the id chooses them. Priors come from all
-    rows.
+    ``most`` bounds the learning rows of a language, about: a hash of the id chooses them, so rows that repeat an id or
+    have none go together. Priors come from all rows. A null or empty text adds to the prior alone; without rows there
+    are no languages. Other columns are not read.
     """
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: the matrix that every task holds would be too large")
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros(0), np.zeros((buckets, 0), np.float32)
@@ -112,13 +112,12 @@ def learn(rows: DataFrame, n: int = max(GRAMS), buckets: int = BUCKETS, most: in
 
 def predict(docs: DataFrame, langs: list[str], prior: np.ndarray, matrix: np.ndarray, n: int = max(GRAMS), keep: list[str] | None = None) -> DataFrame:
     """doc_id, lang_pred and score, the posterior probability of that language, of each document; then the columns
-    named by ``keep``.
+    named by ``keep``, none of which may be called like a result (``set_aside`` renames them).
 
     Texts that are null or have no letter, and all texts where nothing was learned, get ``und`` and 0. Ties go to
     the language first in code-point order. Null ids are kept and repeated rows each get a row.
     """
     model = docs.sparkSession.sparkContext.broadcast((langs, prior, matrix))
-    small_batches(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prior, matrix = model.value

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from grainledger.llm.common import cut, gram_hashes, mix64, small_batches, table, word_hashes, word_spans
+from grainledger.llm.common import cut, gram_hashes, mix64, table, word_hashes, word_spans
 from grainledger.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -94,7 +94,9 @@ def sketched(docs: DataFrame) -> DataFrame:
                 known = last.get(print_.tobytes())
                 if known is None:
                     known = bands(sketch(s)).view(np.int64) if len(s) else np.zeros(0, np.int64)
-                    last = {print_.tobytes(): known} if len(last) > 2000 else last | {print_.tobytes(): known}
+                    if len(last) > 2000:
+                        last.clear()
+                    last[print_.tobytes()] = known
                 ids.append(doc_id)
                 n.append(len(s))
                 fp.append(print_.view(np.int64))
@@ -223,7 +225,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     null component and is kept. Rows that repeat an id are one node. An empty table gives no rows. Other columns
     are not read.
     """
-    small_batches(docs.sparkSession)
     own = cut(sketched(docs))
     some = own.where("n > 0 and doc_id is not null")
     classes = cut(some.groupBy("n", "fp0", "fp1").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
