@@ -1,6 +1,7 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
-Every stage takes (spark, docs, sf_dir) and works on all that the one before kept.
+Every stage takes (spark, docs, sf_dir) and works on all that the one before kept. Columns beside doc_id, text, lang,
+source and n_chars are passed on, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -8,10 +9,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainledger.llm.common import shared_folder
+from grainledger.llm.common import set_aside, shared_folder
 from grainledger.llm.language_id import UNKNOWN, learn, learning_rows, predict
 from grainledger.llm.minhash import near_duplicates
 from grainledger.llm.mixing import mixed
@@ -23,34 +25,50 @@ LEAST_PROBABLE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language stay: those without a letter go, and those of which no language is likely."""
-    others = [c for c in docs.columns if c != "doc_id"]
-    got = predict(docs, *learn(learning_rows(docs)), keep=others)
-    return got.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_PROBABLE)).select(*docs.columns)
+    """Documents in a learned language stay: those without a letter go, and those of which no language is likely.
+
+    A null or empty text goes. Null ids stay, repeated rows each do; with nothing to learn from no row stays.
+    """
+    plain, back = set_aside(docs, "doc_id", "text")
+    got = predict(plain, *learn(learning_rows(docs)), keep=[c for c in plain.columns if c != "doc_id"])
+    return back(got.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_PROBABLE)))
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest id."""
+    """One document of each group of near duplicates stays, that with the smallest id.
+
+    Rows with a null id, and texts without words, are duplicates of none and stay. Rows that repeat an id stay or go
+    together.
+    """
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    plain, back = set_aside(docs, "doc_id")
+    return back(plain.join(gone, "doc_id", "left_anti"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are taken out of the texts."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    got = remove_repeats(docs, keep=others, texts=True).withColumnRenamed("kept", "text")
-    if "n_chars" in others:
+    """Passages that an earlier document has are taken out of the texts; n_chars is counted anew.
+
+    All rows stay, also those left without words. A null text stays null; a null id comes after all others, and
+    rows that repeat an id don't repeat each other.
+    """
+    plain, back = set_aside(docs, "doc_id", "text", "n_chars")
+    got = remove_repeats(plain, keep=[c for c in plain.columns if c not in ("doc_id", "text")], texts=True).withColumnRenamed("kept", "text")
+    if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.length("text").cast("long"))
-    return got.select(*docs.columns)
+    return back(got)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them, in shards that are each in shuffled order."""
-    return mixed(docs).repartition("shard").sortWithinPartitions("shard", "place").select(*docs.columns)
+    """Documents as often as the mix draws them, in shards that are each in shuffled order.
+
+    Null and empty texts have no words and are never drawn. Null sources are one source, null ids are ids like others,
+    repeated rows are documents of their own.
+    """
+    return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences."""
+    """Pieces of the documents in sequences; a null or empty text is its end id alone, a null id is kept."""
     return pack(docs)
 
 
@@ -74,4 +92,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:  # nothing reads it any more
+                files, root = fs.FileSystem.from_uri(f"{folder}/{k - 1}" if "://" in folder else f"file://{folder}/{k - 1}")
+                files.delete_dir(root)
     return docs
