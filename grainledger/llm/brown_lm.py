@@ -1,14 +1,22 @@
 """Language-model scores of a Brown class-based bigram model.
 
-log P(text) is the sum over its tokens of log P(class | class before) + log P(word | class). The classes of the most
-frequent words come from exchange clustering: rounds in which each word may move to the class that most raises the
-likelihood of the class bigrams, judged on counts that are frozen for the round. All other words fall into tail
-classes by their ending, so that any word has one. The end of a text is a token and a class of its own, and stands
-before the first word.
-
-Word counts and bigram counts are taken over all training texts. What is broadcast has fixed bounds: the
-``FREQUENT`` most frequent words, and tables of the classes. Counts of the other words are joined to their
-occurrences, a row for each document and word.
+log P(text) is the sum over its tokens of log P(class | class before) + log P(word | class). The end of a text is a
+token and a class of its own, and stands before the first word. Every word of the training texts is assigned to a class
+by what the assignment gains the likelihood of the class bigrams:
+
+1. The ``SEEDS`` most frequent words by exchange clustering: rounds in which each word may move to the class that gains
+   most, judged on counts that are frozen for the round, until the likelihood hardly rises any more. Words that aren't
+   seeds count among their neighbours by their ending.
+2. All others, a row for each word, from the classes of their neighbours, to first order of the gain; this goes through
+   tasks, sorted by word, and holds the vectors of a few words at a time.
+3. With all classes known, texts become class numbers, and these give the counts of class pairs and all scores.
+
+The number of classes grows with the cube root of the vocabulary. Words that the training texts don't have are classed
+by ending. What such a class follows and precedes is what words that occur once do, and one of its words has as much
+weight as one of those.
+
+Counts are taken over all training texts. What is broadcast has fixed bounds: the ``FREQUENT`` most frequent words with
+their classes, and tables of the classes. Rarer words are joined to their occurrences, a row for each document and word.
 """
 
 from __future__ import annotations
@@ -21,20 +29,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainledger.llm.common import cut, remainder, table
 
-#: Words that are clustered, words that are broadcast, classes of clustered words, and of the others.
-CLUSTERED, FREQUENT, CLASSES, TAILS = 8192, 200_000, 32, 24
-ROUNDS, PARTS = 12, 3
-#: Tasks over the clustered words' neighbours: there are at most CLUSTERED + TAILS + 1 rows, whatever the input's size.
+#: Words of the exchange clustering, words that are broadcast, least number of classes, classes of unknown words.
+SEEDS, FREQUENT, CLASSES, TAILS = 8192, 200_000, 32, 24
+#: Rounds of exchange at most; parts of the words of which one moves at a time; gain of the likelihood that is worth a round.
+ROUNDS, PARTS, WORTH = 12, 3, 1e-4
+#: Tasks over the seeds' neighbours: there are at most SEEDS + TAILS + 1 rows, whatever the input's size.
 NEAR_PARTS = 24
 #: Weight of the class's own frequency among its transitions, and what each word's count is raised by.
 PRIOR, RAISED = 20.0, 1.0
-#: Distinct words or pairs that a task counts before it hands them on.
-HELD_WORDS, HELD_PAIRS = 300_000, 1 << 21
+#: Distinct words or pairs that a task counts before it hands them on, and neighbours of other words.
+HELD_WORDS, HELD_PAIRS, HELD_NEAR = 300_000, 1 << 21, 1 << 23
+#: In a text's class numbers: a word that is yet to be looked up.
+LATER = 0xFFFF
+
+
+def classes_for(vocabulary: int) -> int:
+    """Classes of so many distinct words."""
+    return max(CLASSES, round(vocabulary ** (1 / 3) / 2))
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -68,65 +84,120 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _frequent(counts: DataFrame) -> tuple[list[tuple[bytes, int]], int]:
-    """Up to FREQUENT words, most frequent first, and the least count among those that were asked for."""
-    level = F.floor(F.log2("c") * 16).cast("int")
-    levels = sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True)
-    total, lowest = 0, None
-    for r in levels:
-        total += r["count"]
-        if total > FREQUENT:
+def _level() -> Column:
+    return F.floor(F.log2("c") * 16).cast("int")
+
+
+def _most_frequent(counts: DataFrame, most: int) -> Column:
+    """Which rows (word, c) are among about ``most`` of the most frequent ones, never more.
+
+    Whole levels of frequency are taken while they fit; of the next one as many of its 1024 parts, by a hash of the word.
+    """
+    total, lowest, edge = 0, 0, None
+    for r in sorted(counts.groupBy(_level().alias("level")).count().collect(), reverse=True):
+        if total + r["count"] > most:
+            edge = r["level"]
+            break
+        total, lowest = total + r["count"], r["level"]
+    whole = (_level() >= lowest) if total else F.lit(False)
+    if edge is None:
+        return whole
+    part, parts = F.pmod(F.xxhash64("word"), F.lit(1024)), 0
+    for r in sorted(counts.where(_level() == edge).groupBy(part.alias("part")).count().collect()):
+        if total + r["count"] > most:
             break
-        lowest = r["level"]
-    if lowest is None:
-        return [], None
-    rows = counts.where(level >= lowest).collect()
-    return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0])), lowest
+        total, parts = total + r["count"], r["part"] + 1
+    return whole | ((_level() == edge) & (part < parts))
 
 
 def _tail(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAILS
 
 
-def _pairs(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    """(a int, b int, n long): counts of neighbouring symbols. Clustered words come first, then tails, then the end."""
-    known = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    k = len(words)
+class _Numbers(dict):
+    """Numbers of words: of those given, and from there on in the order in which others are met."""
+
+    def __init__(self, known: dict[bytes, int]):
+        super().__init__(known)
+        self.others: list[bytes] = []
+        self.first = len(known)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = self.first + len(self.others)
+        self.others.append(word)
+        return number
+
+
+def _packed(words: list[bytes], of: np.ndarray, values: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Words that have values, and their values as bytes."""
+    order = np.argsort(of, kind="stable")
+    there, starts = np.unique(of[order], return_index=True)
+    raw, size = values[order].tobytes(), values.itemsize
+    ends = np.append(starts[1:], len(of))
+    return pa.array([words[i] for i in there.tolist()], pa.binary()), pa.array([raw[a * size : b * size] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())
+
+
+def _neighbours(docs: DataFrame, seeds: list[bytes]) -> DataFrame:
+    """Two kinds of rows. (a, b, n): counts of neighbouring symbols, which are seeds, then endings of other words, then the
+    end. (word, near): for other words the symbols before (as they are) and after (raised by their number) each occurrence.
+    """
+    known = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(seeds)})
+    k = len(seeds)
     m = k + TAILS + 1
+    kinds = [("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64()), ("word", pa.binary()), ("near", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, run_, size, held = known.value.get, [], 0, (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        end = np.array([m - 1])
-
-        def add(codes: list[np.ndarray], held: tuple) -> tuple:
-            code, n = np.unique(np.concatenate([*codes]), return_counts=True)
+        number, tails = _Numbers(known.value), np.zeros(0, np.int64)
+        lines: list[list[int]] = []
+        size, held = 0, (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        near: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def row(**columns: pa.Array) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, t)) for c, t in kinds], names=[c for c, _ in kinds])
+
+        def add() -> None:
+            nonlocal held, tails, size, lines
+            if not lines:
+                return
+            tails = np.append(tails, np.array([k + _tail(w) for w in number.others[len(tails) :]], np.int64))
+            # the end stands before each text and after the last
+            flat = np.fromiter(itertools.chain.from_iterable(itertools.chain((-1,), line) for line in lines), np.int64, size)
+            flat = np.append(flat, -1)
+            symbol = np.where(flat < 0, m - 1, flat)
+            other = flat >= k
+            symbol[other] = tails[flat[other] - k]
+            code, n = np.unique(symbol[:-1] * m + symbol[1:], return_counts=True)
             code, n = np.concatenate([held[0], code]), np.concatenate([held[1], n])
             code, place = np.unique(code, return_inverse=True)
-            return code, np.bincount(place, n).astype(np.int64)
+            held = code, np.bincount(place, n).astype(np.int64)
+            at = np.flatnonzero(other)
+            near.append((np.tile(flat[at] - k, 2), np.concatenate([symbol[at - 1], symbol[at + 1] + m]).astype(np.uint16)))
+            lines, size = [], 0
 
-        def give(held: tuple) -> Iterator[pa.RecordBatch]:
+        def give() -> Iterator[pa.RecordBatch]:
+            nonlocal held, tails, number
             for at in range(0, len(held[0]), 1 << 17):
                 code, n = held[0][at : at + (1 << 17)], held[1][at : at + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(code // m, pa.int32()), pa.array(code % m, pa.int32()), pa.array(n)], names=["a", "b", "n"])
+                yield row(a=pa.array(code // m, pa.int32()), b=pa.array(code % m, pa.int32()), n=pa.array(n))
+            if near and number.others:
+                words, packed = _packed(number.others, np.concatenate([x for x, _ in near]), np.concatenate([x for _, x in near]))
+                for at in range(0, len(words), 1 << 16):
+                    yield row(word=words[at : at + (1 << 16)], near=packed[at : at + (1 << 16)])
+            near.clear()
+            held, tails, number = (held[0][:0], held[1][:0]), tails[:0], _Numbers(known.value)
 
         for (text,) in _texts(batches):
-            own = _words(text)
-            ids = np.array([get(w, -1) for w in own], np.int64)
-            for i in np.flatnonzero(ids < 0).tolist():
-                ids[i] = k + _tail(own[i])
-            line = np.concatenate([end, ids, end])
-            run_.append(line[:-1] * m + line[1:])
-            size += len(line)
+            lines.append(list(map(number.__getitem__, _words(text))))
+            size += len(lines[-1]) + 1
             if size > 500_000:
-                held, run_, size = add(run_, held), [], 0
-                if len(held[0]) > HELD_PAIRS:
-                    yield from give(held)
-                    held = (held[0][:0], held[1][:0])
-        if run_:
-            held = add(run_, held)
-        yield from give(held)
+                add()
+                if len(held[0]) > HELD_PAIRS or len(number.others) > HELD_WORDS or sum(len(x) for x, _ in near) > HELD_NEAR:
+                    yield from give()
+        add()
+        yield from give()
 
-    return docs.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "a int, b int, n long, word binary, near binary")
 
 
 def _gain(counts: np.ndarray, left: np.ndarray, right: np.ndarray, own: int, after: np.ndarray, before: np.ndarray, free: int) -> int:
@@ -152,13 +223,13 @@ def _likelihood(counts: np.ndarray) -> float:
     return x(counts) - x(counts.sum(0)) - x(counts.sum(1))
 
 
-def exchange(pairs: DataFrame, k: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def exchange(pairs: DataFrame, k: int, classes: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(class of each symbol, counts of class pairs). Symbols from k on keep classes of their own, after the others."""
     m, free = k + TAILS + 1, min(classes, max(k, 1))
     total = free + TAILS + 1
     of = np.concatenate([np.arange(k) % free, free + np.arange(TAILS + 1)])
     spark = pairs.sparkSession
-    # a row for each symbol and side, of at most m neighbours each
+    # a row for each seed or ending and side, of at most m neighbours each
     sides = pairs.select(F.col("a").alias("w"), F.lit(0).alias("side"), F.col("b").alias("o"), "n").union(pairs.select(F.col("b").alias("w"), F.lit(1).alias("side"), F.col("a").alias("o"), "n"))
     near = sides.groupBy("w", "side").agg(F.collect_list(F.struct("o", "n")).alias("near")).groupBy("w").agg(
         F.max(F.when(F.col("side") == 0, F.col("near"))).alias("after"), F.max(F.when(F.col("side") == 1, F.col("near"))).alias("before")
@@ -188,7 +259,7 @@ def exchange(pairs: DataFrame, k: int, classes: int = CLASSES, rounds: int = ROU
         return sum((np.frombuffer(r["counts"], np.int64) for r in got), np.zeros(total * total, np.int64)).reshape(total, total)
 
     counts, parts = class_pairs(of), PARTS
-    best = (_likelihood(counts), of.copy(), counts)
+    best, gains = (_likelihood(counts), of.copy(), counts), []
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((of, counts))
 
@@ -206,92 +277,172 @@ def exchange(pairs: DataFrame, k: int, classes: int = CLASSES, rounds: int = ROU
             of[r["w"]] = r["to"]
         counts = class_pairs(of)
         if (now := _likelihood(counts)) >= best[0]:
+            gains = (gains + [now - best[0]])[-parts:]
             best = (now, of.copy(), counts)
+            if len(gains) == parts and sum(gains) < WORTH * abs(now):
+                break  # all parts have had their turn and hardly gained
         else:  # too many moved to the same place: back, and on with fewer at a time
-            of, counts, parts = best[1].copy(), best[2], parts * 2
+            of, counts, parts, gains = best[1].copy(), best[2], parts * 2, []
     return best[1], best[2]
 
 
-def class_model_scores(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """Scores of all documents (columns doc_id, text, and held_out, which is passed on).
+def _assigned(near: DataFrame, of: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(word, c, cls): the class of each word that isn't a seed, by the likelihood of its neighbours' classes."""
+    total, free, m = len(counts), len(counts) - TAILS - 1, len(of)
+    share = counts + 0.1
+    # what one neighbour of a class adds, before the word and after it
+    gain = np.log(np.vstack([(share / share.sum(0, keepdims=True))[:, :free], (share / share.sum(1, keepdims=True))[:free].T]))
+    shared = near.sparkSession.sparkContext.broadcast((np.concatenate([of, of + total]), gain))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, gain = shared.value
+        last, vector = None, np.zeros(2 * total)
+
+        def give(words: list[bytes], vectors: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(vectors[:, :total].sum(1).astype(np.int64)), pa.array((vectors @ gain).argmax(1).astype(np.int32))], names=["word", "c", "cls"])
+
+        for batch in batches:
+            for low in range(0, len(batch), 2000):
+                words, packed = (batch.column(i)[low : low + 2000].to_pylist() for i in (0, 1))
+                new = np.array([a != b for a, b in zip(words, [last, *words[:-1]])])
+                # rows of one word follow each other; row 0 is the word carried on
+                place = np.repeat(np.cumsum(new), [len(x) // 2 for x in packed])
+                own = [last] + [w for w, n in zip(words, new) if n]
+                vectors = np.bincount(place * 2 * total + to[np.frombuffer(b"".join(packed), np.uint16)], minlength=len(own) * 2 * total).reshape(len(own), -1).astype(float)
+                vectors[0] += vector
+                if len(own) > 1:
+                    first = 0 if last is not None else 1
+                    if len(own) - 1 > first:
+                        yield give(own[first:-1], vectors[first:-1])
+                last, vector = own[-1], vectors[-1]
+        if last is not None:
+            yield give([last], vector[None, :])
+
+    return near.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word binary, c long, cls int")
+
+
+def class_model_scores(docs: DataFrame) -> DataFrame:
+    """Scores of all documents (columns doc_id, text and held_out), learned from those that aren't held out.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and ``perplexity``, by token. A null
-    or empty text has the end as its only token. Null ids are scored too, and repeated rows each get a row. With
-    nothing to learn from, counts are 0 and the model gives what its smoothing gives.
+    or empty text has the end as its only token. Null ids are scored too, and repeated rows each get a row. Words of equal
+    count are ordered by a hash, so ties don't depend on how rows are dealt. With nothing to learn from, counts are 0 and
+    the model gives what its smoothing gives. Other columns are not read.
     """
+    spark, training = docs.sparkSession, docs.where("not held_out")
     counts = cut(word_counts(training))
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = training.count()
     n, v = sums["n"] + ends, sums["v"] + (ends > 0)
-    frequent, lowest = _frequent(counts)
-    words = [w for w, _ in frequent]
-    k = min(CLUSTERED, len(words))
-    of, pairs = exchange(cut(_pairs(training, words[:k])), k)
+    seeds = sorted(((bytes(r["word"]), r["c"]) for r in counts.where(_most_frequent(counts, SEEDS)).collect()), key=lambda x: (-x[1], x[0]))
+    k = len(seeds)
+    met = cut(_neighbours(training, [w for w, _ in seeds]))
+    of, pairs = exchange(cut(met.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"))), k, classes_for(v))
     free, total = len(pairs) - TAILS - 1, len(pairs)
-
-    # words and occurrences of each class
-    cls = np.array([of[i] if i < k else free + _tail(w) for i, w in enumerate(words)], np.int64).reshape(-1)
-    c = np.array([x for _, x in frequent], np.int64).reshape(-1)
-    size, kinds = np.bincount(cls, c, total), np.bincount(cls, minlength=total).astype(float)
-    is_rare = F.lit(True) if lowest is None else F.floor(F.log2("c") * 16).cast("int") < lowest
-    rare = counts.where(is_rare)
-    tail = F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(TAILS))
-    for r in rare.groupBy(tail.alias("t")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
-        size[free + r["t"]] += r["c"]
-        kinds[free + r["t"]] += r["v"]
-    kinds[free : free + TAILS] += 1  # the unknown word
-    below = np.log10(np.maximum(size + RAISED * kinds, 1e-9))
-    below[total - 1] = 0
-    share = (pairs.sum(0) + 1) / (pairs.sum() + total)
-    step = np.log10((pairs + PRIOR * share) / (pairs.sum(1, keepdims=True) + PRIOR))
-
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((dict(zip(words, range(len(words)))), np.log10(c + RAISED) - below[cls], np.log10(c + 1), cls, step, below))
+    end = total - 1
+    others = cut(_assigned(met.where("word is not null").select("word", "near"), of, pairs))
+
+    # what is broadcast: seeds and as many others as there is room for
+    is_rare = ~_most_frequent(others, FREQUENT - SEEDS)
+    frequent = [(w, c, int(of[i])) for i, (w, c) in enumerate(seeds)] + sorted((bytes(r["word"]), r["c"], r["cls"]) for r in others.where(~is_rare).collect())
+    cls, c = np.array([x[2] for x in frequent], np.int64), np.array([x[1] for x in frequent], np.int64)
+    # of each class its tokens, its words, and its words that occur once, by ending
+    size, kinds, once = np.zeros(total, np.int64), np.zeros(total), np.zeros((total, TAILS))
+    ending = F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(TAILS))
+    for r in others.groupBy("cls", ending.alias("t")).agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect():
+        size[r["cls"]] += r["c"]
+        kinds[r["cls"]] += r["v"]
+        once[r["cls"], r["t"]] += r["once"]
+    size += np.bincount(cls[:k], c[:k], total).astype(np.int64)
+    kinds += np.bincount(cls[:k], minlength=total)
+    for (w, n_), own in zip(seeds, cls):
+        once[own, _tail(w)] += n_ == 1
+    below = np.log10(np.maximum(size + RAISED * kinds, 1))
+    below[free:end] = np.log10(once.sum(0) + 1)
+
+    shared = spark.sparkContext.broadcast((dict(zip([w for w, _, _ in frequent], range(len(frequent)))), np.log10(c + RAISED) - below[cls], np.log10(c + 1), cls))
     of_end = np.log10(ends + 1)
+    names = ["row", "word", "places", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "codes"]
+    types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, emits, base, cls, step, below = shared.value
-        get, end = known.get, total - 1
-        number = itertools.count(TaskContext.get().partitionId() << 36)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, emits, base, cls = shared.value
+        get, row_of = known.get, itertools.count(TaskContext.get().partitionId() << 36)
         rows: list[tuple] = []
         for doc_id, text, held in _texts(batches):
-            own, row = _words(text), next(number)
-            ids = np.array([get(w, -1) for w in own], np.int64)
+            own, row = _words(text), next(row_of)
+            ids = np.fromiter((get(w, -1) for w in own), np.int64, len(own))
             there = ids >= 0
-            at = ids[there]
-            line = np.empty(len(own) + 2, np.int64)
-            line[0] = line[-1] = end
-            line[1:-1][there] = cls[at]
-            others = Counter([own[i] for i in np.flatnonzero(~there).tolist()])
-            places = np.flatnonzero(~there)
-            tails = np.array([free + _tail(own[i]) for i in places.tolist()], np.int64)
-            line[1:-1][places] = tails
-            score = step[line[:-1], line[1:]].sum() + emits[at].sum() - below[tails].sum()
+            at, places = ids[there], np.flatnonzero(~there)
+            line = np.full(len(own), LATER, np.uint16)
+            line[there] = cls[at]
+            number = _Numbers({})
+            rare = np.fromiter((number[own[i]] for i in places.tolist()), np.int64, len(places))
             # a key with a space, which no word has: the row meets no count, and rows spread over tasks
-            rows.append((row, b" %d" % row, 1, doc_id, held, len(own) + 1, len(at) + (ends > 0), base[at].sum() + of_end, score))
-            rows.extend((row, w, m, None, None, 0, 0, 0.0, 0.0) for w, m in others.items())
+            rows.append((row, b" %d" % row, None, doc_id, held, len(own) + 1, len(at) + (ends > 0), base[at].sum() + of_end, emits[at].sum(), line.tobytes()))
+            if len(places):
+                words, packed = _packed(number.others, rare, places.astype(np.uint32))
+                rows.extend((row, w, p, None, None, 0, 0, 0.0, 0.0, None) for w, p in zip(words.to_pylist(), packed.to_pylist()))
             if len(rows) > 20_000:
                 yield give(rows)
                 rows = []
         if rows:
             yield give(rows)
 
-    kinds_ = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    names = ["row", "word", "m", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-
     def give(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds_)], names=names)
-
-    seen = docs.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(run, "row long, word binary, m long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
-    met = seen.join(rare, "word", "left")
-    real = F.substring("word", 1, 1) != F.lit(b" ")
-    more = met.select(
-        "row", "doc_id", "held_out", "n_tokens",
-        (F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("n_known"),
-        (F.col("base") + F.when(real, F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 1)).otherwise(0)).alias("base"),
-        (F.col("score") + F.when(real, F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + RAISED)).otherwise(0)).alias("score"),
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
+
+    seen = docs.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(encode, "row long, word binary, places binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, codes binary")
+    rare = others.where(is_rare).withColumn("emit", F.log10(F.col("c") + RAISED))
+    lows = spark.createDataFrame([(i, float(x)) for i, x in enumerate(below)], "cls int, low double")
+    rare = rare.join(F.broadcast(lows), "cls").select("word", "c", "cls", (F.col("emit") - F.col("low")).alias("emit"))
+    met = seen.join(rare, "word", "left").withColumn("m", F.when(F.col("places").isNotNull(), F.length("places") / 4).otherwise(0).cast("long"))
+    met = met.withColumn("cls", F.coalesce("cls", free + ending)).join(F.broadcast(lows.withColumnRenamed("cls", "own")), F.col("own") == F.col("cls"))
+    whole = met.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("codes").alias("codes"), F.sum("n_tokens").alias("n_tokens"),
+        F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("n_known"),
+        F.sum(F.col("base") + F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base"),
+        F.sum(F.col("score") + F.col("m") * F.coalesce("emit", -F.col("low"))).alias("score"),
+        F.collect_list(F.when(F.col("places").isNotNull(), F.struct("cls", "places"))).alias("later"),
     )
-    out = more.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])
+    coded = cut(whole.select("doc_id", "held_out", "n_tokens", "n_known", "base", "score", "codes", F.col("later.cls").alias("later_cls"), F.col("later.places").alias("later_places")))
+
+    def lines(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for codes, cls, places in zip(*(batch.column(x).to_pylist() for x in ("codes", "later_cls", "later_places"))):
+            line = np.full(len(codes) // 2 + 2, end, np.int64)
+            line[1:-1] = np.frombuffer(codes, np.uint16)
+            for a, p in zip(cls, places):
+                line[1 + np.frombuffer(p, np.uint32)] = a
+            yield line
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(total * total, np.int64)
+        for batch in batches:
+            for low in range(0, len(batch), 500):
+                if many := [line[:-1] * total + line[1:] for line in lines(batch.slice(low, 500))]:
+                    out += np.bincount(np.concatenate(many), minlength=total * total)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["pair", "n"])
+
+    ids = [F.col(x) for x in ("codes", "later_cls", "later_places")]
+    pairs = np.zeros(total * total)
+    for r in coded.where("not held_out").select(*ids).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[r["pair"]] = r["n"]
+    pairs = pairs.reshape(total, total)
+    # an unknown word stands where words that occur once do
+    part = once / np.maximum(size, 1)[:, None]
+    pairs[:, free:end] = pairs @ part
+    pairs[free:end] = part.T @ pairs
+    share = (pairs.sum(0) + 1) / (pairs.sum() + total)
+    step = np.log10((pairs + PRIOR * share) / (pairs.sum(1, keepdims=True) + PRIOR))
+    steps = spark.sparkContext.broadcast(step)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = [steps.value[line[:-1], line[1:]].sum() for line in lines(batch)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(batch.column(5).to_numpy() + np.array(more, float))], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+    out = coded.select("doc_id", "held_out", "n_tokens", "n_known", "base", "score", *ids).mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
@@ -300,5 +451,4 @@ def class_model_scores(docs: DataFrame, training: DataFrame) -> DataFrame:
 
 
 def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)))
-    return class_model_scores(docs, docs.where(~F.col("held_out")))
+    return class_model_scores(table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))))

@@ -236,7 +236,7 @@ def test_mixing(odd, documents, empty):
 def test_brown_scores(spark, odd, documents, empty):
     for df, rows in ((documents[0], documents[1]), (odd[0], [r[:2] for r in odd[1]])):
         flagged = df.select("*", (remainder("doc_id", 7) == 2).alias("held_out")).na.fill(False, ["held_out"])
-        out = brown_lm.class_model_scores(flagged, flagged.where("not held_out")).collect()
+        out = brown_lm.class_model_scores(flagged).collect()
         low = [(i, words((t or "").translate(LOWER)), i is not None and zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows]
         c, ends = Counter(w for _, ws, h in low if not h for w in ws), sum(not h for *_, h in low)
         n, v = sum(c.values()) + ends, len(c) + 1
@@ -245,12 +245,12 @@ def test_brown_scores(spark, odd, documents, empty):
     base = sum(r["base_score"] for r in out if r["held_out"])
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in out) and base < 0
     flagged = empty.selectExpr("*", "false as held_out")
-    assert brown_lm.class_model_scores(flagged, flagged).count() == 0
+    assert brown_lm.class_model_scores(flagged).count() == 0
 
 
 def test_brown_model_is_better_than_counts(spark):
     df = spark.read.parquet(f"{DIR}/documents.parquet").select("*", (remainder("doc_id", 7) == 2).alias("held_out"))
-    out = brown_lm.class_model_scores(df, df.where("not held_out")).where("held_out").collect()
+    out = brown_lm.class_model_scores(df).where("held_out").collect()
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
@@ -528,3 +528,71 @@ def test_language_id_equals_counting(spark):
         assert out[i][0] == lang and abs(out[i][1] - share) < 1e-4
     low, high = ([h.tolist() for h, _ in language_id.grams([t], 3)] for t in ("\U00010428\U00010429", "\U00010400\U00010401"))
     assert low == high
+
+
+def test_brown_score_equals_counting(spark):
+    """With fewer words than classes each word is a class of its own: then the score follows from counts alone."""
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}" for a in "abcde" for b in "xyz"]
+    rows = [(i, " ".join(rng.choice(vocabulary[: 5 + i % 11]) for _ in range(rng.randint(0, 30))), i % 4 == 0) for i in range(60)]
+    rows += [(60, "only once", False), (61, "ax never by NEVER once", True), (62, None, True)]
+    train = [words((t or "").lower()) for _, t, held in rows if not held]
+    c = Counter(w for t in train for w in t)
+    tail = lambda w: f"<{zlib.crc32(w.encode()[-2:]) % 24}>"
+    states = [*c, *(f"<{i}>" for i in range(24)), "."]
+    n = Counter()
+    for t in train:
+        n.update(zip([".", *t], [*t, "."]))
+    once = {f"<{i}>": [w for w in c if c[w] == 1 and tail(w) == f"<{i}>"] for i in range(24)}
+    for s, own in once.items():
+        for x in [*c, "."]:
+            n[x, s] = sum(n[x, w] for w in own)
+    for s, own in once.items():
+        for x in states:
+            n[s, x] = sum(n[w, x] for w in own)
+    into, out_of = (Counter() for _ in range(2))
+    for (a, b), m in n.items():
+        into[b] += m
+        out_of[a] += m
+    everything = sum(n.values())
+
+    def score(text):
+        line = ["."] + [w if w in c else tail(w) for w in text] + ["."]
+        total = sum(math.log10((n[a, b] + 20 * (into[b] + 1) / (everything + len(states))) / (out_of[a] + 20)) for a, b in zip(line, line[1:]))
+        return total - sum(math.log10(len(once[tail(w)]) + 1) for w in text if w not in c)
+
+    out = {r["doc_id"]: r["score"] for r in brown_lm.class_model_scores(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    for i, t, _ in rows:
+        assert abs(out[i] - score(words((t or "").lower()))) < 1e-6
+
+
+def test_brown_rare_and_equally_frequent_words(spark, monkeypatch):
+    """All words equally frequent, more than may be seeds or broadcast: the same base counts, whatever is broadcast."""
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(40):
+        rng.shuffle(vocabulary)
+        rows.append((i, " ".join(vocabulary), i % 5 == 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    whole = {r["doc_id"]: r for r in brown_lm.class_model_scores(df).collect()}
+    monkeypatch.setattr(brown_lm, "SEEDS", 50)
+    monkeypatch.setattr(brown_lm, "FREQUENT", 120)
+    few = {r["doc_id"]: r for r in brown_lm.class_model_scores(df).collect()}
+    for i, r in few.items():
+        assert (r["n_tokens"], r["n_known"]) == (401, 401) and abs(r["base_score"] - whole[i]["base_score"]) < 1e-6
+        assert abs(r["score"] - whole[i]["score"]) < 0.05 * abs(r["score"])
+    counts = df.selectExpr("explode(split(text, ' ')) as w").groupBy("w").count().selectExpr("cast(w as binary) word", "count c")
+    assert 40 < counts.where(brown_lm._most_frequent(counts, 50)).count() <= 50
+
+
+def test_brown_assigns_all_words(spark):
+    """Words that aren't seeds get the class of words with the same neighbours."""
+    counts = np.zeros((4 + brown_lm.TAILS + 1,) * 2)
+    counts[0, 1] = counts[1, 0] = counts[2, 3] = counts[3, 2] = 1000
+    of = np.concatenate([[0, 1, 2, 3], 4 + np.arange(brown_lm.TAILS + 1)])
+    m = len(of)
+    rows = [(b"like0", np.array([1, 1 + m] * 3, np.uint16).tobytes()), (b"like0", np.array([1, 1 + m], np.uint16).tobytes()), (b"like3", np.array([2, 2 + m], np.uint16).tobytes())]
+    rows = [(bytearray(w), bytearray(x)) for w, x in rows]
+    out = brown_lm._assigned(spark.createDataFrame(rows, "word binary, near binary"), of, counts).collect()
+    assert sorted((bytes(r["word"]), r["c"], r["cls"]) for r in out) == [(b"like0", 4, 0), (b"like3", 1, 3)]
