@@ -66,8 +66,8 @@ FINE = 512
 #: Candidates whose finer sketches agree in fewer coordinates than this share have a true similarity below the
 #: threshold but for a chance of about 1 in 30,000 (four standard deviations).
 SLACK = 4.0
-#: Members of a bucket that are compared at once.
-BLOCK = 1024
+#: Members of a bucket that are compared at once with as many others.
+BLOCK = 256
 #: Bits of the map of wanted documents, 4 MB; more documents than it can tell apart only cost extra reading.
 BITS = 1 << 25
 
@@ -162,7 +162,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _close(percent: int):
-    """For each bucket, the pairs of different components whose finer sketches agree enough."""
+    """For each two blocks of a bucket, the pairs of different components whose finer sketches agree enough."""
     share = percent / 100
     least = FINE * share - SLACK * (FINE * share * (1 - share)) ** 0.5
 
@@ -217,16 +217,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     Documents with equal sets are one class, by a fingerprint of the set, and only its smallest id goes on. Band
     keys group the classes. In each group the member that meets most others over all its bands is the centre,
-    and the others are verified against it on full sets: this links a family of copies in one step. Where members
-    of a group are then still in different components, each such pair is compared by finer sketches, in blocks,
-    and those that agree enough are verified too. So no pair that shares a band key is left out.
+    and the others are verified against it on full sets: this links a family of copies in one step. Members that are
+    then not in the centre's component, the strays, are compared with all others of other components by finer
+    sketches, in blocks, and pairs that agree enough are verified too. So no pair that shares a band key is left out.
+    The members at home with the centre aren't compared with one another, so this costs strays times members.
 
     Null texts and texts without words have an empty set and link with nothing. A null id links with nothing, has a
     null component and is kept. Rows that repeat an id are one node. An empty table gives no rows. Other columns
     are not read.
     """
-    own = cut(sketched(docs))
-    some = own.where("n > 0 and doc_id is not null")
+    sketches = cut(sketched(docs))
+    some = sketches.where("n > 0 and doc_id is not null")
     classes = cut(some.groupBy("n", "fp0", "fp1").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     keyed = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     several = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -241,18 +242,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     first = cut(components(links))
     label = members.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = label.where("size > 2").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = label.join(open_, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    rest = rest.join(sets.select("rep", "fine", "bands"), "rep")
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "band", "rep", "n", "component", "fine", "bands")
+    home = centre.join(first.withColumnsRenamed({"id": "centre", "component": "home"}), "centre", "left").select("key", F.coalesce("home", "centre").alias("home"))
+    rest = label.where("size > 2").join(home, "key").withColumn("stray", F.col("component") != F.col("home"))
+    open_ = rest.groupBy("key").agg(F.count_if("stray").alias("strays")).where("strays > 0")
+    rest = rest.join(open_, "key").join(sets.select("rep", "fine", "bands"), "rep")
+    # blocks of strays have numbers from 0 up, those of the others from -1 down
+    all_ = lambda n: F.sequence(F.lit(0).cast("long"), F.ceil(n / BLOCK) - 1)
+    deal = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(n / BLOCK))
+    strays, others = F.col("strays"), F.col("size") - F.col("strays")
+    rest = rest.withColumn("block", F.when(F.col("stray"), deal(strays)).otherwise(-1 - deal(others)))
+    pair = lambda left, right: F.struct(left.alias("left"), right.alias("right"))
+    own = F.concat(F.transform(all_(strays), lambda o: pair(F.least(o, "block"), F.greatest(o, "block"))), F.transform(all_(others), lambda o: pair(F.col("block"), -1 - o)))
+    rest = rest.withColumn("pair", F.explode(F.when(F.col("stray"), own).otherwise(F.transform(all_(strays), lambda o: pair(o, F.col("block"))))))
+    rest = rest.select("key", "pair.left", "pair.right", "block", "band", "rep", "n", "component", "fine", "bands")
     rest = rest.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
     again = rest.mapInArrow(_close(percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
     more = _verified(again, sets, percent)
 
     joined = cut(components(first.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
     of_class = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("n", "fp0", "fp1", F.coalesce("component", "rep").alias("component"))
-    out = own.join(of_class, ["n", "fp0", "fp1"], "left")
+    out = sketches.join(of_class, ["n", "fp0", "fp1"], "left")
     linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"), F.col("doc_id").eqNullSafe(linked).alias("kept"))
 

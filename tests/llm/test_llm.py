@@ -596,3 +596,18 @@ def test_brown_assigns_all_words(spark):
     rows = [(bytearray(w), bytearray(x)) for w, x in rows]
     out = brown_lm._assigned(spark.createDataFrame(rows, "word binary, near binary"), of, counts).collect()
     assert sorted((bytes(r["word"]), r["c"], r["cls"]) for r in out) == [(b"like0", 4, 0), (b"like3", 1, 3)]
+
+
+def test_minhash_strays(spark, monkeypatch):
+    """Documents that share most of a template, in blocks of a few: those linked with others than the centre are found."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    rng = random.Random(21)
+    said = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    template = said(150)
+    rows = []
+    for i in range(12):  # twelve families, about 0.6 alike
+        family = template[:110] + said(40)
+        rows += [(3 * i + j, " ".join(family + said(2 * j))) for j in range(3)]
+    rows += [(100 + i, " ".join(template[:135] + said(3 * i))) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(minhash.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == near(rows)
