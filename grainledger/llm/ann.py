@@ -1,6 +1,7 @@
 """Approximate nearest neighbours: inverted lists with product-quantised residuals, and exact reranking.
 
-Coarse centroids and the codebooks of the residuals come from a bounded sample; every row is indexed. A query reads
+There are as many lists as the square root of the rows; coarse centroids and the codebooks of the residuals come from
+samples that ``fit_cells`` states; every row is indexed. A query reads
 the lists whose centroids are nearest. In a list it looks up, for each code, the product of its own part and the
 code's centroid in a table that it makes once (the asymmetric distance), and reranks on the original vectors those
 rows that could by this estimate and its error be among the nearest. How many lists are read is set by an audit:
@@ -23,9 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from grainledger.llm.common import cut, mix64, table
-from grainledger.llm.vectors import k_means, nearest, sample, unit, usable
+from grainledger.llm.vectors import Cells, fit_cells, k_means, matrix, nearest, unit, usable
 
-SAMPLE, LISTS = 20_000, 1_024
 SUBSPACES, CODES = 16, 256
 #: Rows of a block of a list, and of a part of the index, about.
 BLOCK, PART = 2_048, 4_096
@@ -51,7 +51,7 @@ def _true_neighbours(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
         for batch in batches:
-            own, x = batch.column("vec_id").to_numpy(), _matrix(batch.column("vec"))
+            own, x = batch.column("vec_id").to_numpy(), matrix(batch.column("vec"))
             s = unit(x) @ unit(queries).T
             s[own[:, None] == ids[None, :]] = -2
             top = np.argsort(-s, axis=0)[:k].T
@@ -67,18 +67,14 @@ def _true_neighbours(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: i
     return [np.array(v).reshape(len(v), -1) for v in out]
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
 class _Index:
-    def __init__(self, coarse: np.ndarray, books: np.ndarray, blocks: np.ndarray, parts: int):
-        self.coarse, self.books, self.blocks, self.parts = coarse, books, blocks, parts
-        self.sizes = np.zeros(len(coarse), np.int64)
+    def __init__(self, cells: Cells, books: np.ndarray, parts: int):
+        self.cells, self.coarse, self.books, self.parts = cells, cells.all, books, parts
+        self.blocks, self.sizes = np.ones(len(cells.all), np.int64), np.zeros(len(cells.all), np.int64)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and length of what the codes miss, of unit vectors."""
-        list_ = nearest(x, self.coarse, 1)[:, 0]
+        list_ = self.cells.nearest(x, 1)[:, 0]
         rest = x - self.coarse[list_]
         codes, missed = np.empty((len(x), len(self.books)), np.uint8), np.zeros(len(x))
         for s, part in enumerate(np.array_split(np.arange(x.shape[1]), len(self.books))):
@@ -104,42 +100,40 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataF
     """query_id, rank, vec_id, score: for each query the k nearest rows found but itself; ties to the smaller id.
 
     Both have the columns vec_id and embedding. Rows that ``usable`` leaves out take no part. Rows that repeat an id
-    count as one, the first by vector. No rows or queries give no rows. With no more than k rows all are found.
+    count as one, the first by vector. Queries of another length than the rows' have no neighbours. No rows or queries give
+    no rows. With no more than k rows all are found.
     """
     base = cut(usable(rows).groupBy("vec_id").agg(F.min("vec").alias("vec")))
-    asked = cut(usable(queries).groupBy("vec_id").agg(F.min("vec").alias("vec")))
+    width = base.select(F.size("vec")).first()
+    asked = cut(usable(queries, length=width[0] if width else 0).groupBy("vec_id").agg(F.min("vec").alias("vec")))
     schema = "query_id long, vec_id long, score double"
     spark, count, n_asked = rows.sparkSession, base.count(), asked.count()
     if not count or not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = sample(base, count, SAMPLE, 10)
-    if not len(x):
-        x = unit(np.array([r["vec"] for r in base.limit(100).collect()], np.float32))
-    coarse = k_means(x, min(LISTS, max(1, round(count**0.5))), spherical=True)
-    index = _Index(coarse, _books(x, coarse), np.ones(len(coarse), np.int64), max(1, -(-count // PART)))
+    cells, x = fit_cells(base, count, max(1, round(count**0.5)), 10)
+    coarse = cells.all
+    index = _Index(cells, _books(x, coarse), max(1, -(-count // PART)))
     shared = spark.sparkContext.broadcast(index)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                x = unit(_matrix(batch.column("vec"))).astype(np.float32)
+                x = unit(matrix(batch.column("vec"))).astype(np.float32)
                 list_, codes, missed = shared.value.encode(x)
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), pa.array(list_, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed)], names=["vec_id", "vec", "list", "codes", "missed"])
 
     coded = cut(base.mapInArrow(encode, "vec_id long, vec array<double>, list int, codes binary, missed double"))
-    for r in coded.groupBy("list").count().collect():  # LISTS rows at most
+    for r in coded.groupBy("list").count().collect():  # a row for each list at most
         index.blocks[r["list"]] = -(-r["count"] // BLOCK)
         index.sizes[r["list"]] = r["count"]
 
     some = asked.orderBy(F.xxhash64("vec_id", F.lit(11))).limit(AUDITED).collect()
     ids, q = np.array([r["vec_id"] for r in some]), np.array([r["vec"] for r in some])
-    if q.shape[1] != x.shape[1]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     needed = [0]
     for near, own in zip(_true_neighbours(base, ids, q, k), q):
         if len(near):
             order = np.argsort(-(unit(own[None, :]).astype(np.float32) @ coarse.T)[0], kind="stable")
-            needed += np.argsort(order)[nearest(unit(near).astype(np.float32), coarse, 1)[:, 0]].tolist()
+            needed += np.argsort(order)[cells.nearest(unit(near).astype(np.float32), 1)[:, 0]].tolist()
     probes = int(np.sort(needed)[min(len(needed) - 1, int(SHARE * len(needed)))]) + 1
     shared = spark.sparkContext.broadcast(index)
 

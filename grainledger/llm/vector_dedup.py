@@ -8,7 +8,8 @@
    shards are united.
 4. Each vector is searched for in all blocks of its first shard: greedy search from the block's medoid with a beam,
    which then expands its range: as long as a node within range has neighbours in range, they are looked at too.
-5. Links found are verified by cosine in double precision. An audit compares vectors with all rows, block by block,
+5. Links found are verified by cosine in double precision; each task sends how many each query has, and as many of the
+   links as join the same vectors. An audit compares vectors with all rows, block by block,
    until enough that have links were met; if too small a share of the links was found, on the average of these
    vectors, the overlap and beam grow and the search is done again. Where the widest search is still not enough, this
    is an error. Where hardly any vector has a link, the audit ends at a number of vectors that costs about as much as
@@ -17,6 +18,7 @@
 
 from __future__ import annotations
 
+import logging
 import warnings
 from collections.abc import Iterator
 
@@ -28,20 +30,16 @@ from pyspark.sql import functions as F
 
 from grainledger.llm.common import cut, table
 from grainledger.llm.components import components
-from grainledger.llm.vectors import k_means, nearest, sample, unit, usable
+from grainledger.llm.vectors import fit_cells, matrix, unit, usable
 
-SAMPLE, OVERLAP, SHARD, BLOCK, CENTROIDS = 20_000, 3, 1_500, 3_000, 4_096
+OVERLAP, SHARD, BLOCK = 3, 1_500, 3_000
 #: Neighbours of a node, near and chance candidates, the pruning factor, and the beam of a search.
 DEGREE, NEAR, CHANCE, ALPHA, BEAM = 32, 48, 16, 1.2, 48
 #: Nodes this far below the threshold are still expanded; vectors audited at first, and the share of links to be found.
 LEEWAY, AUDITED, RECALL = 0.1, 64, 0.97
 #: Audited vectors with links, vectors audited at once and in all at most; searches, each twice as wide as the one before.
 LINKED, AUDIT_BLOCK, AUDIT_MOST, TRIES = 64, 4_096, 16_384, 6
-_PAIR = "a long, b long"
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+_FOUND = "a long, b long, n long"
 
 
 def robust_prune(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -145,23 +143,24 @@ def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: f
 
 
 def _links(base: DataFrame, count: int, least: float, overlap: int, beam: int) -> DataFrame:
-    """Verified pairs (a < b) of the rows (vec_id, vec)."""
-    x = sample(base, count, SAMPLE, 7)
-    if not len(x):
-        x = unit(np.array([r["vec"] for r in base.limit(100).collect()], np.float32))
-    centroids = k_means(x, min(CENTROIDS, max(1, count // SHARD)), spherical=True)
-    shared = base.sparkSession.sparkContext.broadcast(centroids)
+    """Of the rows (vec_id, vec, copies) two kinds of rows, verified. a < b or a > b, n = 0: links that join all that are
+    linked, about one for a vector. a = b, n: how many others were found to be linked with it, copies counted.
+
+    Pairs themselves stay in their task, so that what goes out follows the vectors, not the pairs of a dense group.
+    """
+    cells, _ = fit_cells(base, count, count // SHARD, 7)
+    shared = base.sparkSession.sparkContext.broadcast(cells)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                near = nearest(unit(_matrix(batch.column("vec"))).astype(np.float32), shared.value, overlap)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int64()))], names=["vec_id", "vec", "shards"])
+                near = shared.value.nearest(unit(matrix(batch.column("vec"))).astype(np.float32), overlap)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([list(dict.fromkeys(v)) for v in near.tolist()], pa.list_(pa.int64()))], names=["vec_id", "vec", "copies", "shards"])
 
-    dealt = cut(base.select("vec_id", "vec").mapInArrow(deal, "vec_id long, vec array<double>, shards array<long>"))
-    member = dealt.select("vec_id", "vec", F.posexplode("shards").alias("turn", "shard"))
-    sizes = member.groupBy("shard").count().collect()  # a row for each centroid at most
-    blocks = np.ones(len(centroids), np.int64)
+    dealt = cut(base.select("vec_id", "vec", "copies").mapInArrow(deal, "vec_id long, vec array<double>, copies long, shards array<long>"))
+    member = dealt.select("vec_id", "vec", "copies", F.posexplode("shards").alias("turn", "shard"))
+    sizes = member.groupBy("shard").count().collect()  # a row for each cell at most
+    blocks = np.ones(len(cells.all), np.int64)
     for r in sizes:
         blocks[r["shard"]] = -(-r["count"] // BLOCK)
     many = F.broadcast(base.sparkSession.createDataFrame([(int(i), int(b)) for i, b in enumerate(blocks)], "shard long, blocks long"))
@@ -176,14 +175,14 @@ def _links(base: DataFrame, count: int, least: float, overlap: int, beam: int) -
     built = member.groupBy("shard", "block").applyInPandas(build, "vec_id long, near array<long>")
     # a node has at most overlap * DEGREE neighbours
     united = built.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    nodes = member.select("shard", "block", "vec_id", "vec").join(united, "vec_id")
+    nodes = member.select("shard", "block", "vec_id", "vec", "copies").join(united, "vec_id")
     asked = member.where("turn = 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("shard", "block", "vec_id", "vec").toDF("q_shard", "q_block", "q_id", "q_vec")
 
     def search(held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(held) or not len(queries):
-            return pd.DataFrame({"a": [], "b": []})
+            return pd.DataFrame({"a": [], "b": [], "n": []})
         held, queries = held.sort_values("vec_id"), queries.sort_values("q_id")
-        ids, asked_ids = held["vec_id"].to_numpy(), queries["q_id"].to_numpy()
+        ids, asked_ids, copies = held["vec_id"].to_numpy(), queries["q_id"].to_numpy(), held["copies"].to_numpy()
         exact, q = unit(np.stack(held["vec"].to_numpy())), unit(np.stack(queries["q_vec"].to_numpy()))
         width = max(len(v) for v in held["near"])
         graph = np.full((len(ids), max(1, width)), -1, np.int64)
@@ -191,21 +190,28 @@ def _links(base: DataFrame, count: int, least: float, overlap: int, beam: int) -
             at = np.searchsorted(ids, v)
             own = (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == v)
             graph[i, : own.sum()] = at[own]
-        x, out = exact.astype(np.float32), []
+        x, n, joined, out = exact.astype(np.float32), np.zeros(len(q), np.int64), np.arange(len(ids)), []
         for a, b in range_search(x, graph, q.astype(np.float32), least, beam):
-            for low in range(0, len(a), 1 << 15):
-                i, j = a[low : low + (1 << 15)], b[low : low + (1 << 15)]
-                real = (np.einsum("id,id->i", q[i], exact[j]) >= least) & (asked_ids[i] != ids[j])
-                u, v = asked_ids[i[real]], ids[j[real]]
-                out.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
-        found = np.unique(np.concatenate(out, 1), axis=1)
-        return pd.DataFrame({"a": found[0], "b": found[1]})
-
-    return nodes.groupBy("shard", "block").cogroup(asked.groupBy("q_shard", "q_block")).applyInPandas(search, _PAIR).distinct()
+            # one query's links at a time
+            order = np.argsort(a, kind="stable")
+            some, starts = np.unique(a[order], return_index=True)
+            for i, rows in zip(some.tolist(), np.split(b[order], starts[1:])):
+                rows = np.unique(rows)
+                rows = rows[(exact[rows] @ q[i] >= least) & (ids[rows] != asked_ids[i])]
+                n[i] += copies[rows].sum()
+                # a link to one of each set of vectors that aren't joined yet
+                sets, first = np.unique(joined[rows], return_index=True)
+                out.extend((asked_ids[i], ids[j], 0) for j in rows[first].tolist())
+                if len(sets) > 1:
+                    joined[np.isin(joined, sets)] = sets[0]
+        out.extend((i, i, m) for i, m in zip(asked_ids[n > 0].tolist(), n[n > 0].tolist()))
+        return pd.DataFrame(out, columns=["a", "b", "n"])
+
+    return nodes.groupBy("shard", "block").cogroup(asked.groupBy("q_shard", "q_block")).applyInPandas(search, _FOUND)
 
 
 def _audited(base: DataFrame, count: int, least: float) -> tuple[DataFrame, int, int]:
-    """(links of audited vectors: own, a, b; vectors audited; those with links), found by comparison with all rows."""
+    """(links of audited vectors: own, n; vectors audited; those with links), found by comparison with all rows."""
     spark = base.sparkSession
     order = base.select("vec_id", "vec").orderBy(F.xxhash64("vec_id", F.lit(17)), "vec_id")
     true, audited, linked, size = None, 0, 0, AUDITED
@@ -214,25 +220,26 @@ def _audited(base: DataFrame, count: int, least: float) -> tuple[DataFrame, int,
         shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in some]), unit(np.array([r["vec"] for r in some]))))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            all_ids, all_q = shared.value
+            ids, q = shared.value
+            n = np.zeros(len(ids), np.int64)
             for batch in batches:
-                if len(batch):
-                    own, x = batch.column("vec_id").to_numpy(), unit(_matrix(batch.column("vec")))
-                    for at in range(0, len(all_ids), 256):
-                        ids, q = all_ids[at : at + 256], all_q[at : at + 256]
-                        i, j = np.nonzero((x @ q.T >= least) & (own[:, None] != ids[None, :]))
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(np.minimum(own[i], ids[j])), pa.array(np.maximum(own[i], ids[j]))], names=["own", "a", "b"])
-
-        met = cut(base.select("vec_id", "vec").mapInArrow(run, "own long, a long, b long"))
+                for at in range(0, len(batch), 4096):
+                    part = batch.slice(at, 4096)
+                    near = unit(matrix(part.column("vec"))) @ q.T >= least
+                    near &= part.column("vec_id").to_numpy()[:, None] != ids[None, :]
+                    n += part.column("copies").to_numpy() @ near
+            yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.array(n[n > 0])], names=["own", "n"])
+
+        met = cut(base.select("vec_id", "vec", "copies").mapInArrow(run, "own long, n long").groupBy("own").agg(F.sum("n").alias("n")))
         true = met if true is None else true.union(met)
-        audited, linked, size = audited + len(some), linked + met.select("own").distinct().count(), min(4 * size, AUDIT_BLOCK)
+        audited, linked, size = audited + len(some), linked + met.count(), min(4 * size, AUDIT_BLOCK)
     return true, audited, linked
 
 
-def _recall(true: DataFrame, links: DataFrame) -> float:
-    """Average share of an audited vector's links that are in links; 1 where none has any."""
-    met = true.join(links.withColumn("met", F.lit(1.0)), ["a", "b"], "left")
-    share = met.groupBy("own").agg((F.sum(F.coalesce("met", F.lit(0.0))) / F.count("*")).alias("share")).agg(F.avg("share")).first()[0]
+def _recall(true: DataFrame, found: DataFrame) -> float:
+    """Average share of an audited vector's links that were found; 1 where none has any."""
+    met = true.join(found.where("a = b").groupBy(F.col("a").alias("own")).agg(F.sum("n").alias("met")), "own", "left")
+    share = met.select((F.coalesce("met", F.lit(0)) / F.col("n")).alias("share")).agg(F.avg("share")).first()[0]
     return 1.0 if share is None else share
 
 
@@ -241,8 +248,9 @@ def near_duplicate_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
 
     Rows that ``usable`` leaves out have no links and are components of their own; a null id has a null component and is
     kept. Rows that repeat an id are one vector, the first by value, and each gets that result. Equal vectors are linked
-    with one another without being compared pair by pair. An empty table gives no rows. A search that the audit finds
-    incomplete at its widest is a RuntimeError.
+    with one another without being compared pair by pair. ``n_links`` counts what the search from the vector itself found.
+    An empty table gives no rows. A search that the audit finds incomplete at its widest is a RuntimeError; the share of
+    links found is logged.
     """
     own = usable(rows).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     own = cut(own)
@@ -255,19 +263,18 @@ def near_duplicate_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
     sure = linked >= LINKED or audited >= count
     for turn in range(TRIES):
         overlap, beam = OVERLAP << turn, BEAM << turn
-        links = cut(_links(classes, count, least, overlap, beam))
-        recall = _recall(true, links)
+        found = cut(_links(classes, count, least, overlap, beam))
+        recall = _recall(true, found)
+        logging.getLogger(__name__).info("%.4f of the links of %d vectors found, with overlap %d and beam %d", recall, linked, overlap, beam)
         if recall >= RECALL and (sure or turn):
             break
     else:
         raise RuntimeError(f"links found of {linked} audited vectors that have any: {recall:.4f}, less than {RECALL}, with overlap {overlap} and beam {beam}")
     if not sure:
         warnings.warn(f"only {linked} of {audited} audited vectors have links, too few to tell what share of links was found", stacklevel=2)
-    both = links.union(links.select("b", "a"))
-    copies = classes.select(F.col("vec_id").alias("b"), "copies")
-    linked = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "rep")
-    joined = components(links).withColumnRenamed("id", "rep")
-    of_class = classes.withColumnRenamed("vec_id", "rep").join(linked, "rep", "left").join(joined, "rep", "left")
+    counted = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    joined = components(found.where("a != b").select("a", "b")).withColumnRenamed("id", "rep")
+    of_class = classes.withColumnRenamed("vec_id", "rep").join(counted, "rep", "left").join(joined, "rep", "left")
     of_class = of_class.select("vec", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     got = own.join(of_class, "vec").select("vec_id", "n_links", "component")
     out = out.join(got, "vec_id", "left")

@@ -338,11 +338,58 @@ def test_vector_dedup_audit(spark, monkeypatch):
 
 def test_vector_dedup_recall_by_vector(spark):
     """A large group that was found doesn't outweigh the pairs that weren't."""
-    group = [(a, b) for a in range(40) for b in range(a + 1, 40)]
-    pairs = [(100 + 2 * i, 101 + 2 * i) for i in range(20)]
-    true = spark.createDataFrame([(own, *p) for p in group + pairs for own in p], "own long, a long, b long")
-    assert vector_dedup._recall(true, spark.createDataFrame(group, "a long, b long")) == 0.5
-    assert vector_dedup._recall(true.limit(0), true.select("a", "b")) == 1.0
+    true = spark.createDataFrame([(i, 39) for i in range(40)] + [(100 + i, 1) for i in range(40)], "own long, n long")
+    found = spark.createDataFrame([(i, i, 20) for i in range(40)] + [(i, i, 19) for i in range(40)] + [(0, 1, 0)], "a long, b long, n long")
+    assert vector_dedup._recall(true, found) == 0.5
+    assert vector_dedup._recall(true.limit(0), found) == 1.0
+
+
+def test_vector_dedup_rows_follow_vectors(spark):
+    """A dense group of different vectors gives a few rows a vector, not its pairs."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=16) + 0.02 * rng.normal(size=(900, 16))
+    base = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, vec array<double>, copies long")
+    found = vector_dedup._links(base, 900, 0.9, 3, 48).collect()
+    assert len(found) <= 3 * 900 and {r["n"] for r in found if r["a"] == r["b"]} == {899}
+
+
+def test_cells_of_two_levels(spark, monkeypatch):
+    """More cells than one level has: nearly all vectors get their nearest one, and both operators still find their rows."""
+    from grainledger.llm import vectors as v
+
+    monkeypatch.setattr(v, "FLAT", 8)
+    monkeypatch.setattr(v, "FIT", 300)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(40, 12))[rng.integers(0, 40, 2000)] + 0.15 * rng.normal(size=(2000, 12))
+    df = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "vec_id long, vec array<double>")
+    cells, _ = v.fit_cells(df, 2000, 60, 5)
+    assert not cells.flat and 40 <= len(cells.all) <= 90
+    u = v.unit(x).astype(np.float32)
+    assert np.mean(cells.nearest(u, 1)[:, 0] == v.nearest(u, cells.all, 1)[:, 0]) > 0.95
+    s = v.unit(x) @ v.unit(x).T
+    np.fill_diagonal(s, -2)
+    rows = df.withColumnRenamed("vec", "embedding")
+    hits, found = 0, {}
+    for r in ann.nearest_neighbours(rows, rows.where("vec_id % 20 = 0")).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(found) == 100 and np.mean([len(own & set(np.argsort(-s[q])[:5].tolist())) / 5 for q, own in found.items()]) > 0.9
+    monkeypatch.setattr(vector_dedup, "SHARD", 60)
+    out = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicate_vectors(rows).collect()}
+    true = (s >= 0.9).sum(1)
+    assert all(out[i] <= true[i] for i in out) and sum(out.values()) >= 0.95 * true.sum()
+
+
+def test_neighbours_of_queries_of_other_lengths(spark):
+    rows = spark.createDataFrame([(i, [float(i + 1), 1.0, 0.5]) for i in range(20)], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(0, [1.0, 1.0, 0.5]), (100, [1.0]), (101, [2.0])], "vec_id long, embedding array<double>")
+    assert {r["query_id"] for r in ann.nearest_neighbours(rows, queries).collect()} == {0}
+
+
+def test_neighbours_ties_go_to_the_smaller_id(spark):
+    rows = spark.createDataFrame([(i, [1.0, 0.0, 0.0] if i % 2 else [0.0, 1.0, float(i)]) for i in range(30)], "vec_id long, embedding array<double>")
+    out = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest_neighbours(rows, rows.where("vec_id in (1, 7)")).collect())
+    assert [v for q, _, v in out if q == 1] == [3, 5, 7, 9, 11] and [v for q, _, v in out if q == 7] == [1, 3, 5, 9, 11]
+    assert ann.nearest_neighbours(rows.where("vec_id < 0"), rows).count() == 0
 
 
 def test_nearest_neighbours(vectors, spark):
