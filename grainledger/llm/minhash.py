@@ -67,7 +67,7 @@ FINE = 512
 #: threshold but for a chance of about 1 in 30,000 (four standard deviations).
 SLACK = 4.0
 #: Members of a bucket that are compared at once with as many others.
-BLOCK = 256
+BLOCK = 1024
 #: Bits of the map of wanted documents, 4 MB; more documents than it can tell apart only cost extra reading.
 BITS = 1 << 25
 
@@ -246,14 +246,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     rest = label.where("size > 2").join(home, "key").withColumn("stray", F.col("component") != F.col("home"))
     open_ = rest.groupBy("key").agg(F.count_if("stray").alias("strays")).where("strays > 0")
     rest = rest.join(open_, "key").join(sets.select("rep", "fine", "bands"), "rep")
-    # blocks of strays have numbers from 0 up, those of the others from -1 down
+    # a small bucket is one block; else blocks of strays have numbers from 0 up, those of the others from -1 down
     all_ = lambda n: F.sequence(F.lit(0).cast("long"), F.ceil(n / BLOCK) - 1)
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(n / BLOCK))
     strays, others = F.col("strays"), F.col("size") - F.col("strays")
-    rest = rest.withColumn("block", F.when(F.col("stray"), deal(strays)).otherwise(-1 - deal(others)))
+    small = F.col("size") <= BLOCK
+    rest = rest.withColumn("block", F.when(small, F.lit(0)).when(F.col("stray"), deal(strays)).otherwise(-1 - deal(others)))
     pair = lambda left, right: F.struct(left.alias("left"), right.alias("right"))
     own = F.concat(F.transform(all_(strays), lambda o: pair(F.least(o, "block"), F.greatest(o, "block"))), F.transform(all_(others), lambda o: pair(F.col("block"), -1 - o)))
-    rest = rest.withColumn("pair", F.explode(F.when(F.col("stray"), own).otherwise(F.transform(all_(strays), lambda o: pair(o, F.col("block"))))))
+    rest = rest.withColumn("pair", F.explode(F.when(small, F.array(pair(F.col("block"), F.col("block")))).when(F.col("stray"), own).otherwise(F.transform(all_(strays), lambda o: pair(o, F.col("block"))))))
     rest = rest.select("key", "pair.left", "pair.right", "block", "band", "rep", "n", "component", "fine", "bands")
     rest = rest.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
     again = rest.mapInArrow(_close(percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
