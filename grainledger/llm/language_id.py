@@ -39,9 +39,11 @@ def _letters(codes: int) -> tuple[np.ndarray, np.ndarray]:
 def grams(texts: list[str], n: int, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each of 1 to n: hashed n-grams around the texts' letters, and the number of the text of each."""
     raw = np.frombuffer(("   " + "   ".join(texts) + "   ").encode("utf-32-le", "surrogatepass"), "<u4")
-    letter, lower = _letters(0x10000 if raw.max() < 0x10000 else 0x110000)
-    is_letter = letter[raw]
-    code = np.where(is_letter, lower[raw], np.uint32(32))
+    codes = 0x10000 if raw.max() < 0x10000 else 0x110000
+    letter, lower = (x[:codes] for x in _letters(codes))
+    narrow = raw.astype(np.uint16) if len(letter) == 0x10000 else raw
+    is_letter = letter[narrow]
+    code = np.where(is_letter, lower[narrow], np.uint32(32))
     at = np.flatnonzero(is_letter)
     ends = np.cumsum([len(t) + 3 for t in texts])
     text = np.searchsorted(ends, at - 3, side="right")

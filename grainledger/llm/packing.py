@@ -142,12 +142,14 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = encoder(tokenizer, True), _Packer(tokens, segments, loss, waiting)
+        end = np.array([END], encode.dtype).tobytes()
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 since = part.column(2).to_pylist() if loss_from else [0] * len(part)
-                for doc_id, text, skip in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), since):
-                    ids = np.frombuffer(encode.encode(text or "") + np.array([END], encode.dtype).tobytes(), encode.dtype)
+                coded = encode.encode_many([text or "" for text in part.column(1).to_pylist()])
+                for doc_id, code, skip in zip(part.column(0).to_pylist(), coded, since):
+                    ids = np.frombuffer(code + end, encode.dtype)
                     packer.add(doc_id, ids, min(max(skip or 0, 0), len(ids)))
                 yield packer.taken()
         packer.end()

@@ -55,8 +55,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json"
             for batch in batches:
                 for at in range(0, len(batch), 256):
                     part = batch.slice(at, 256)
-                    for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                        ids = encode.encode(text)
+                    for doc_id, ids in zip(part.column(0).to_pylist(), encode.encode_many(part.column(1).to_pylist())):
                         out.write(ids)
                         out.write(end)
                         n = len(ids) // encode.dtype.itemsize + 1

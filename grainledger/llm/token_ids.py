@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
+from array import array
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -23,9 +26,29 @@ class _Units(dict):
 
     def __init__(self, ids, before: str, room: int, line: _Units | None = None, end: dict | None = None):
         self.ids, self.before, self.room, self.line, self.end = ids, before, room, line, end
+        self.ready: dict[str, bytes] = {}
+
+    def prepare(self, units: Iterable[str], ids_of_many) -> None:
+        """Finds at once what the units need that isn't known; it is at hand until the next call."""
+        new, need, lines = [unit for unit in set(units) if unit not in self], set(), []
+        for unit in new:  # grows as lines are split
+            if self.end is not None and (parts := _ENDED(unit)):
+                need.add(parts[1])
+            elif self.line is not None and unit.count("\n") == 1 and unit[0] != "\n" and unit[-1] != "\n":
+                left, right = unit.split("\n")
+                new.append(left)
+                lines.append(right)
+            else:
+                need.add(unit)
+        if lines:
+            self.line.prepare(lines, ids_of_many)
+        asked = [unit for unit in need if unit not in self]
+        self.ready = dict(zip(asked, ids_of_many([self.before + unit for unit in asked])))
 
     def __missing__(self, unit: str) -> bytes:
-        if self.end is not None and (parts := _ENDED(unit)):
+        if (found := self.ready.get(unit)) is not None:
+            pass
+        elif self.end is not None and (parts := _ENDED(unit)):
             found = self[parts[1]] + self.end[parts[2]]
         elif self.line is not None and unit.count("\n") == 1 and unit[0] != "\n" and unit[-1] != "\n":
             left, right = unit.split("\n")
@@ -63,19 +86,28 @@ class WordEncoder:
         else:
             self.first = self.known = _Units(self.ids, "", remember, end=end)
 
+    def ids_of_many(self, texts: list[str]) -> list[bytes]:
+        kind = "I" if self.wide else "H"  # as self.dtype, on a little-endian machine
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self.ids_of_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned integers of ``self.dtype``."""
+        split = [None if _RARE.search(t) or self.keeps_space and _SPACES(t) else t.split(" " if self.keeps_space else None) for t in texts]
+        skip = 1 if self.keeps_space else 0
+        self.known.prepare(itertools.chain.from_iterable(itertools.islice(u, skip, None) for u in split if u), self.ids_of_many)
+        get, out = self.known.__getitem__, []
+        for text, units in zip(texts, split):
+            if units is None:
+                out.append(self.ids(text))
+            else:
+                out.append((self.first[units[0]] if skip else b"") + b"".join(map(get, itertools.islice(units, skip, None))))
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned integers of ``self.dtype``."""
-        if _RARE.search(text):
-            return self.ids(text)
-        if not self.keeps_space:
-            return b"".join(map(self.known.__getitem__, text.split()))
-        if _SPACES(text):
-            return self.ids(text)
-        units = text.split(" ")
-        return self.first[units[0]] + b"".join(map(self.known.__getitem__, units[1:]))
+        return self.encode_many([text])[0]
 
 
 def tokenizer_path(name: str) -> str:
