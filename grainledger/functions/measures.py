@@ -166,13 +166,30 @@ def total_revenue(consolidated, contract, lease) -> Column:
     return F.coalesce(_c(consolidated), F.when(_c(contract).isNotNull() | _c(lease).isNotNull(), parts))
 
 
-def total_debt(noncurrent, current, debt_current, with_leases, notes, convertibles) -> tuple[Column, Column]:
-    """(debt, tier): lease-free, with leases, notes or convertibles, current alone. Negative figures don't count."""
-    n, c, d, w, p, v = (F.when(_c(x) >= 0, _c(x)) for x in (noncurrent, current, debt_current, with_leases, notes, convertibles))
-    short = F.coalesce(c, d)
-    free = F.when(n.isNotNull(), n + F.coalesce(short, F.lit(0.0)))
-    other = F.greatest(p, v)
-    return F.coalesce(free, w, other, short), tier_of(lease_free=free, with_leases=w, notes=other, current_only=short)
+def sum_known(*parts) -> Column:
+    """Sum of the parts that are known; null if none is."""
+    parts = [_c(x) for x in parts]
+    known = reduce(Column.__or__, [x.isNotNull() for x in parts])
+    return F.when(known, reduce(Column.__add__, [F.coalesce(x, F.lit(0.0)) for x in parts]))
+
+
+def greatest_known(*parts) -> Column:
+    return F.greatest(*map(_c, parts)) if len(parts) > 1 else _c(parts[0])
+
+
+def total_debt(totals: list, noncurrent, current: list, leases, leases_noncurrent, leases_current, notes, convertibles: list) -> tuple[Column, Column]:
+    """(debt, flag) by tiers; negative figures don't count.
+
+    Free of leases: the largest of the totals and of non-current plus current debt, no flag. With leases: their total, or
+    else the sum of its parts. Instruments: the larger of notes and the sum of convertibles. Last the current portion alone.
+    """
+    usable = lambda x: F.when(_c(x) >= 0, _c(x))
+    short = F.coalesce(*map(usable, current))
+    free = greatest_known(*map(usable, totals), usable(noncurrent) + F.coalesce(short, F.lit(0.0)))
+    leased = F.coalesce(usable(leases), sum_known(usable(leases_noncurrent), usable(leases_current)))
+    other = greatest_known(usable(notes), sum_known(*map(usable, convertibles)))
+    flag = F.when(free.isNotNull(), F.lit(None).cast("string")).otherwise(tier_of(debt_includes_finance_leases=leased, debt_from_instrument_tag=other, debt_current_portion_only=short))
+    return F.coalesce(free, leased, other, short), flag
 
 
 def depreciation(combined, net_of_accretion, alone, amortisation, last_resort) -> tuple[Column, Column]:

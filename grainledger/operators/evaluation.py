@@ -10,12 +10,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from grainledger.functions.measures import ratio, symmetric_difference
 from grainledger.operators.series import average_rank
 
 #: Cells below this stay hidden; weights of the six scores (risk counts inverted), bars of the status.
 SMALL_CELL = 5
-WEIGHTS = {"business": 0.20, "moat": 0.25, "strength": 0.20, "management": 0.10, "valuation": 0.15, "risk": 0.10}
+WEIGHTS = {
+    "business": 0.25,
+    "moat": 0.20,
+    "strength": 0.15,
+    "management": 0.10,
+    "valuation": 0.25,
+    "risk": 0.05,
+}
+#: The scores that each persona gives.
+PERSONAS = {"quality": ("business", "moat", "management"), "valuation": ("strength", "valuation"), "bear": ("risk",)}
 INVESTIGATE, WATCH = 70.0, 50.0
+LEAST_ASSESSED, BOUNDARY, DEFINITIONAL = 6, 33.0, ("Financials", "Real Estate")
+NEAR_ZERO, POINT = 0.0001, 0.01
 REPLICATES, SEED, LEAST_ROWS, LEAST_STRATUM = 10_000, 61001, 20, 5
 
 
@@ -61,9 +73,9 @@ def suppressed(counts: DataFrame, family: list[str], n: str) -> DataFrame:
     return counts.withColumn("shown", F.when(F.min(n).over(W.partitionBy(*family)) >= SMALL_CELL, F.col(n)))
 
 
-def overall_score(scores: dict[str, Column], without: str | None = None, replace: dict[str, Column] | None = None) -> Column:
-    """Weighted score; risk counts as 100 less itself. A missing one is an error; without one the rest is renormalised."""
-    used = {k: w for k, w in WEIGHTS.items() if k != without}
+def overall_score(scores: dict[str, Column], without: tuple[str, ...] = (), replace: dict[str, Column] | None = None) -> Column:
+    """Weighted score; risk counts as 100 less itself. A missing one is an error; without some the rest is renormalised."""
+    used = {k: w for k, w in WEIGHTS.items() if k not in without}
     terms = []
     for k, w in used.items():
         v = (replace or {}).get(k, scores[k])
@@ -72,25 +84,124 @@ def overall_score(scores: dict[str, Column], without: str | None = None, replace
     return reduce(Column.__add__, terms)
 
 
-def verdict_status(score: Column, severity: Column) -> Column:
-    """Investigate, watch or reject; a severe bear case holds the first back."""
+def verdict_status(score: Column, severity: Column, capped: bool = True) -> Column:
+    """Investigate, watch or reject; a severe bear case holds the first back, unless the cap is off."""
     known = F.when(~F.coalesce(severity.isin("low", "medium", "high"), F.lit(False)), F.raise_error(F.concat(F.lit("unknown severity: "), F.coalesce(severity, F.lit("none")))))
-    return F.coalesce(known.cast("string"), F.when(score >= INVESTIGATE, F.when(severity == "high", "watch").otherwise("investigate")).when(score >= WATCH, "watch").otherwise("reject"))
+    best = F.when((severity == "high") & F.lit(capped), "watch").otherwise("investigate")
+    return F.coalesce(known.cast("string"), F.when(score >= INVESTIGATE, best).when(score >= WATCH, "watch").otherwise("reject"))
 
 
-def counterfactuals(df: DataFrame, key: str, scores: list[str]) -> DataFrame:
-    """key, scenario, score: each score replaced by 0, 50, 100 and the cohort's median, and left out."""
-    columns = {s: F.col(s) for s in scores}
-    medians = df.agg(*[F.median(s).alias(f"_{s}") for s in scores])
+def counterfactuals(df: DataFrame, key: str, severity: str = "severity") -> DataFrame:
+    """key, scenario, score, status; df has the six scores and the severity.
+
+    Of each persona all scores are replaced at once: by the cohort's medians, by 50, by what contributes nothing (0, and
+    100 for risk), or left out. Two scenarios of the bear case follow: its cap off, and its score and cap gone.
+    """
+    columns = {s: F.col(s) for s in WEIGHTS}
+    medians = df.agg(*[F.median(s).alias(f"_{s}") for s in WEIGHTS])
     met = df.crossJoin(F.broadcast(medians))  # one row
-    out = [F.struct(F.lit("as_is").alias("scenario"), overall_score(columns).alias("score"))]
-    for s in scores:
-        for name, v in (("0", F.lit(0.0)), ("50", F.lit(50.0)), ("100", F.lit(100.0)), ("median", F.col(f"_{s}"))):
-            out.append(F.struct(F.lit(f"{s}_{name}").alias("scenario"), overall_score(columns, replace={s: v}).alias("score")))
-        out.append(F.struct(F.lit(f"{s}_left_out").alias("scenario"), overall_score(columns, without=s).alias("score")))
+    out = []
+
+    def add(name: str, score: Column, capped: bool = True) -> None:
+        out.append(F.struct(F.lit(name).alias("scenario"), score.alias("score"), verdict_status(score, F.col(severity), capped).alias("status")))
+
+    add("as_is", overall_score(columns))
+    for persona, own in PERSONAS.items():
+        add(f"{persona}_median", overall_score(columns, replace={s: F.col(f"_{s}") for s in own}))
+        add(f"{persona}_midpoint", overall_score(columns, replace={s: F.lit(50.0) for s in own}))
+        add(f"{persona}_nothing", overall_score(columns, replace={s: F.lit(100.0 if s == "risk" else 0.0) for s in own}))
+        add(f"{persona}_left_out", overall_score(columns, without=own))
+    add("bear_cap_off", overall_score(columns), False)
+    add("bear_gone", overall_score(columns, without=("risk",)), False)
     return met.select(key, F.inline(F.array(*out)))
 
 
+def stratum(found: Column, passed: Column, assessed: Column, score: Column, sector: Column) -> Column:
+    """What a run made of a company: abstain, pass, unassessable (by definition or for want of data), fail near the bar or
+    clearly."""
+    return (
+        F.when(~F.coalesce(found, F.lit(False)), "abstain").when(passed, "pass")
+        .when(F.coalesce(assessed, F.lit(0)) < LEAST_ASSESSED, F.when(sector.isin(*DEFINITIONAL), "unassessable-definitional").otherwise("unassessable-datagap"))
+        .when(score >= BOUNDARY, "fail-boundary").otherwise("fail-clear")
+    )
+
+
+def external_support(moat: Column, value_class: Column, tier: Column) -> Column:
+    """Support of a verdict by outside labels; quantitative coverage abstains first, a contradiction outweighs a gap."""
+    moat, value_class, tier = (F.coalesce(x, F.lit("")) for x in (moat, value_class, tier))
+    return (
+        F.when(tier == "quantitative", "abstain").when((moat == "None") | (value_class == "expensive"), "contradicted")
+        .when((moat == "") | value_class.isin("", "abstain"), "abstain").when((moat == "Wide") & (value_class == "cheap"), "strong")
+        .when((moat == "Narrow") & (value_class == "cheap"), "weak").otherwise("ambiguous")
+    )
+
+
+def star_class(price: Column, five_star: Column, one_star: Column, fair: Column) -> tuple[Column, Column, Column]:
+    """(class, rule, direction) of a price against the band of star prices; direction against the fair value itself."""
+    good = lambda x: F.coalesce((x > 0) & ~F.isnan(x) & (x < float("inf")), F.lit(False))
+    rule = (
+        F.when(~(good(price) & good(five_star) & good(one_star)), "unusable input").when(~(five_star < one_star), "band out of order")
+        .when(price <= five_star, "at or below five stars").when(price > one_star, "above one star").otherwise("between")
+    )
+    cls = F.when(rule == "at or below five stars", "cheap").when(rule == "above one star", "expensive").when(rule == "between", "fair").otherwise("abstain")
+    known = price.isNotNull() & ~F.isnan(price) & (F.abs(price) < float("inf")) & good(fair)
+    return cls, rule, F.when(~F.coalesce(known, F.lit(False)), "unavailable").when(price <= fair, "at or below").otherwise("above")
+
+
+def agreement(df: DataFrame, group: list[str]) -> DataFrame:
+    """group, eligible, scored, coverage, exact, false_cheap, rho, direction of own_class against bench_class, and of
+    own_direction against bench_direction; shares are null where there is nothing to divide by."""
+    scored = (F.col("own_class") != "abstain") & (F.col("bench_class") != "abstain")
+    pointed = scored & (F.col("own_direction") != "unavailable") & (F.col("bench_direction") != "unavailable")
+    cheap = scored & (F.col("own_class") == "cheap")
+    counts = df.groupBy(*group).agg(
+        F.count("*").alias("eligible"), F.count_if(scored).alias("scored"), F.count_if(scored & (F.col("own_class") == F.col("bench_class"))).alias("_same"),
+        F.count_if(cheap).alias("_cheap"), F.count_if(cheap & (F.col("bench_class") != "cheap")).alias("_false"),
+        F.count_if(pointed).alias("_pointed"), F.count_if(pointed & (F.col("own_direction") == F.col("bench_direction"))).alias("_agree"),
+    )
+    # ranks of three classes follow from their counts
+    place = lambda c: F.when(F.col(c) == "expensive", 0).when(F.col(c) == "fair", 1).otherwise(2)
+    pairs = df.where(scored).groupBy(*group, place("own_class").alias("x"), place("bench_class").alias("y")).agg(F.count("*").alias("n"))
+    mean_rank = lambda c: sum(F.when(F.col(c) > v, F.col(f"_{c}{v}")).otherwise(0) for v in range(2)) + F.element_at(F.array(*[F.col(f"_{c}{v}") for v in range(3)]), F.col(c) + 1) / 2.0
+    sizes = pairs.groupBy(*group).agg(*[F.sum(F.when(F.col(c) == v, F.col("n")).otherwise(0)).alias(f"_{c}{v}") for c in "xy" for v in range(3)])
+    ranked = pairs.join(sizes, group).select(*group, "n", mean_rank("x").alias("rx"), mean_rank("y").alias("ry"))
+    s = lambda e: F.sum(F.col("n") * e)
+    n, sx, sy = F.sum("n"), s(F.col("rx")), s(F.col("ry"))
+    vx, vy = s(F.col("rx") * F.col("rx")) - sx * sx / n, s(F.col("ry") * F.col("ry")) - sy * sy / n
+    rho = ranked.groupBy(*group).agg(F.when((n > 1) & (vx > 0) & (vy > 0), (s(F.col("rx") * F.col("ry")) - sx * sy / n) / F.sqrt(vx * vy)).alias("rho"))
+    return counts.join(rho, group, "left").select(
+        *group, "eligible", "scored", rate(F.col("scored"), F.col("eligible")).alias("coverage"), rate(F.col("_same"), F.col("scored")).alias("exact"),
+        rate(F.col("_false"), F.col("_cheap")).alias("false_cheap"), "rho", rate(F.col("_agree"), F.col("_pointed")).alias("direction"),
+    )
+
+
+def comparison(x: Column, y: Column, near_zero: float) -> dict[str, Column]:
+    """Diagnostics of two figures: difference relative (null near zero) and absolute, sign agreement, orders of magnitude."""
+    near = (F.abs(x) <= near_zero) | (F.abs(y) <= near_zero)
+    return {
+        "relative": F.when(~near, symmetric_difference(x, y)),
+        "absolute": F.abs(x - y),
+        "same_sign": ((x == 0) & (y == 0)) | ((x > 0) == (y > 0)),
+        "magnitudes": F.when((x != 0) & (y != 0), F.abs(F.log10(F.abs(x)) - F.log10(F.abs(y)))),
+        "near_zero": near,
+    }
+
+
+def ratio_outcome(x: Column, y: Column) -> Column:
+    """``match`` within a percentage point and of one sign (or both near zero), else ``probable defect``."""
+    d = comparison(x, y, NEAR_ZERO)
+    fine = (d["absolute"] <= POINT) & (d["same_sign"] | ((F.abs(x) <= NEAR_ZERO) & (F.abs(y) <= NEAR_ZERO)))
+    return F.when(x.isNull() | y.isNull(), F.lit(None).cast("string")).when(fine, "match").otherwise("probable defect")
+
+
+def average_equity_roe(panel: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, fiscal_year, roe of each year on the mean of its own and the year before's equity; null without that year."""
+    w = W.partitionBy(*keys).orderBy("fiscal_year")
+    before, year = F.lag("equity").over(w), F.lag("fiscal_year").over(w)
+    mean = F.when(year == F.col("fiscal_year") - 1, (F.col("equity") + before) / 2)
+    return panel.select(*keys, "fiscal_year", ratio("net_income", mean).alias("roe"))
+
+
 def bootstrap_interval(df: DataFrame, value: str, stratum: str, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
     """One row: n, mean, low and high (2.5 and 97.5 %) of resampled means, strata kept at their size.
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainledger.functions.measures import clamp, ev_to_ebit, fcf_yield, margin_of_safety, owner_earnings, price_to_earnings, two_stage_value
-from grainledger.operators.series import as_of, growth, last_rows, top_row
+from grainledger.functions.measures import clamp, ev_to_ebit, fcf_yield, growth_rate, margin_of_safety, owner_earnings, price_to_earnings, two_stage_value
+from grainledger.operators.series import as_of
 
 #: The discount rate, terminal growth by scenario, spread and bounds of growth, years projected and read.
 DISCOUNT = 0.095
@@ -20,14 +20,30 @@ def scenario_growth(rate: Column, spread: float) -> Column:
     return clamp(clamp(F.coalesce(rate, F.lit(0.0)), GROWTH_LOW, GROWTH_HIGH) + spread, GROWTH_LOW, GROWTH_HIGH)
 
 
+def _basis(panel_row_columns: tuple[str, ...] = ()) -> list[Column]:
+    """Aggregates of a ticker's years: rate, base and the newest row's columns."""
+    when = F.when(F.col("revenue") > 0, F.col("fiscal_year"))
+    rate = growth_rate(F.min_by("revenue", when), F.min(when), F.max_by("revenue", when), F.max(when))
+    earned = owner_earnings("net_income", "depreciation", "capex", "working_capital_change")
+    years = F.slice(F.sort_array(F.collect_list(F.struct("fiscal_year", earned.alias("earned"))), asc=False), 1, READ)
+    known = F.filter(F.transform(years, lambda y: y["earned"]), lambda e: e.isNotNull())
+    mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, e: a + e) / F.size(known))
+    return [rate.alias("rate"), mean.alias("base"), *[F.max_by(c, "fiscal_year").alias(c) for c in panel_row_columns]]
+
+
+def _scenarios() -> list[tuple[str, Column, Column]]:
+    """(name, growth, value) from the columns rate and base."""
+    out = []
+    for name, (spread, terminal) in SCENARIOS.items():
+        growth = scenario_growth(F.col("rate"), spread)
+        out.append((name, growth, F.when(F.col("base").isNotNull(), two_stage_value("base", growth, DISCOUNT, terminal, YEARS))))
+    return out
+
+
 def scenario_values(panel: DataFrame) -> DataFrame:
     """ticker, scenario, growth, base and value from owner earnings of the last rows (columns as in the panel)."""
-    rate = growth(panel, ["ticker"], "fiscal_year", "revenue", strict=True).select("ticker", F.col("growth").alias("rate"))
-    last = last_rows(panel, ["ticker"], READ, F.desc("fiscal_year"))
-    base = last.withColumn("earned", owner_earnings("net_income", "depreciation", "capex", "working_capital_change")).groupBy("ticker").agg(F.avg("earned").alias("base"))
-    rows = [F.struct(F.lit(n).alias("scenario"), scenario_growth(F.col("rate"), s).alias("growth"), F.lit(t).alias("terminal")) for n, (s, t) in SCENARIOS.items()]
-    met = base.join(rate, "ticker", "left").select("ticker", "base", F.inline(F.array(*rows)))
-    return met.withColumn("value", F.when(F.col("base").isNotNull(), two_stage_value("base", "growth", DISCOUNT, "terminal", YEARS))).drop("terminal")
+    rows = [F.struct(F.lit(n).alias("scenario"), g.alias("growth"), F.col("base").alias("base"), v.alias("value")) for n, g, v in _scenarios()]
+    return panel.groupBy("ticker").agg(*_basis()).select("ticker", F.inline(F.array(*rows)))
 
 
 def past_multiples(panel: DataFrame, prices: DataFrame) -> DataFrame:
@@ -41,35 +57,43 @@ def valuations(panel: DataFrame, prices: DataFrame) -> tuple[DataFrame, DataFram
     """(six rows for each company, errors). Rows: ticker, method, scenario, low, high, margin_of_safety, reason.
 
     A company without rows, prices or shares above zero is an error and has no rows. A method that can't be applied has
-    a reason and no values.
+    a reason and no values. Panel and prices are laid in one order once; a company is then one wide row, and its six
+    rows come from that.
     """
-    price = top_row(prices.where("close is not null"), ["ticker"], F.desc("date")).select("ticker", F.col("close").alias("price"))
-    last = top_row(panel, ["ticker"], F.desc("fiscal_year"))
-    all_ = panel.select("ticker").union(prices.select("ticker")).distinct().join(last, "ticker", "left").join(price, "ticker", "left")
+    names = ("fiscal_year", "shares", "eps", "free_cash_flow", "total_debt", "cash", "operating_income")
+    needed = {*names, "revenue", "net_income", "depreciation", "capex", "working_capital_change"}
+    priced = as_of(panel.select("ticker", "period_end_date", *sorted(needed)), prices, "ticker", "period_end_date", "date", "close")
+    pe = price_to_earnings("close", "eps")
+    wide = priced.groupBy("ticker").agg(*_basis(names), F.min(pe).alias("pe_low"), F.max(pe).alias("pe_high"))
+    price = prices.where("close is not null").groupBy("ticker").agg(F.max_by("close", F.struct("date", "close")).alias("price"))
+    all_ = wide.join(price, "ticker", "full_outer").withColumn("market_cap", F.col("price") * F.col("shares"))
     error = F.when(F.col("fiscal_year").isNull(), "no fundamentals").when(F.col("price").isNull(), "no prices").when(~F.coalesce(F.col("shares") > 0, F.lit(False)), "no shares")
     all_ = all_.withColumn("error", error)
-    good = all_.where("error is null").withColumn("market_cap", F.col("price") * F.col("shares"))
-
-    dcf = scenario_values(panel).join(good.select("ticker", "price", "shares"), "ticker")
-    each = F.col("value") / F.col("shares")
-    dcf = dcf.select("ticker", F.lit("dcf").alias("method"), "scenario", each.alias("low"), each.alias("high"), margin_of_safety(each, "price").alias("margin_of_safety"), F.when(F.col("value").isNull(), "no owner earnings").alias("reason"))
-
-    def one(method: str, value: Column, reason: str) -> DataFrame:
-        return good.select("ticker", F.lit(method).alias("method"), F.lit(None).cast("string").alias("scenario"), value.alias("low"), value.alias("high"), F.lit(None).cast("double").alias("margin_of_safety"), F.when(value.isNull(), reason).alias("reason"))
 
-    yield_ = one("fcf_yield", fcf_yield("free_cash_flow", "market_cap"), "no free cash flow")
-    multiple = one("ev_to_ebit", ev_to_ebit(F.col("market_cap"), "total_debt", "cash", "operating_income"), "no debt figure or no positive EBIT")
-    range_ = good.join(past_multiples(panel, prices), "ticker", "left")
+    def row(method: str, scenario: str | None, low: Column, high: Column, margin: Column, reason: str) -> Column:
+        return F.struct(
+            F.lit(method).alias("method"), F.lit(scenario).cast("string").alias("scenario"), low.cast("double").alias("low"), high.cast("double").alias("high"),
+            margin.cast("double").alias("margin_of_safety"), F.when(low.isNull(), reason).alias("reason"),
+        )
+
+    none, rows = F.lit(None), []
+    for name, _, value in _scenarios():
+        each = value / F.col("shares")
+        rows.append(row("dcf", name, each, each, margin_of_safety(each, "price"), "no owner earnings"))
+    yield_ = fcf_yield("free_cash_flow", "market_cap")
+    multiple = ev_to_ebit("market_cap", "total_debt", "cash", "operating_income")
     low, high = (F.when(F.col("eps") > 0, F.col(c) * F.col("eps")) for c in ("pe_low", "pe_high"))
-    range_ = range_.select("ticker", F.lit("pe_range").alias("method"), F.lit(None).cast("string").alias("scenario"), low.alias("low"), high.alias("high"), margin_of_safety(low, "price").alias("margin_of_safety"), F.when(low.isNull(), "no past P/E or no positive earnings").alias("reason"))
-    return dcf.unionByName(yield_).unionByName(multiple).unionByName(range_), all_.where("error is not null").select("ticker", "error")
+    rows.append(row("fcf_yield", None, yield_, yield_, none, "no free cash flow"))
+    rows.append(row("ev_to_ebit", None, multiple, multiple, none, "no debt figure or no positive EBIT"))
+    rows.append(row("pe_range", None, low, high, margin_of_safety(low, "price"), "no past P/E or no positive earnings"))
+    return all_.where("error is null").select("ticker", F.inline(F.array(*rows))), all_.where("error is not null").select("ticker", "error")
 
 
 def value_class(bear: Column, base: Column, bull: Column, price: Column, scenarios: Column, tight: Column) -> tuple[Column, Column]:
     """(class, reason): cheap at or under the bear value, expensive at or over the bull value, fair between; or abstain."""
     reason = (
         F.when(scenarios == 0, "no scenarios").when(scenarios != 3, "not three scenarios").when(bear.isNull() | base.isNull() | bull.isNull(), "unknown value")
-        .when(~tight, "low and high differ").when((bear <= 0) | (base <= 0) | (bull <= 0), "value not positive").when((bear > base) | (base > bull), "scenarios out of order")
+        .when(~tight, "low and high differ").when((bear <= 0) | (base <= 0) | (bull <= 0), "value not positive").when((bear >= base) | (base >= bull), "scenarios out of order")
         .when(price.isNull() | ~(price > 0), "no price")
     )
     return F.when(reason.isNotNull(), "abstain").when(price <= bear, "cheap").when(price >= bull, "expensive").otherwise("fair"), reason

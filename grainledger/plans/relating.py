@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from grainledger.functions.measures import symmetric_difference
 from grainledger.operators import committee, evaluation, facts, lineage, series, text, upsert
-from grainledger.plans.base import SPEND_SQL, spend
+from grainledger.plans.base import PANEL_SQL, SPEND_SQL, panel, spend
 from grainledger.sources.readers import table
 from grainledger.sources.writers import table_digest
 from grainledger.streaming import incremental
@@ -43,10 +43,10 @@ def coalesce_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.fill_upsert(c.where("id % 3 <> 0"), new, "id", ["name"], ["segment"])
 
 
-@query("WITH a AS (SELECT c_nationkey AS ticker, min(c_name) AS name, 'customer' AS tags FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS ticker, min(s_name) AS name, 'supplier' AS tags FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY 1) SELECT CAST(coalesce(a.ticker, b.ticker) AS INTEGER) AS ticker, coalesce(a.name, b.name) AS name, CAST(NULL AS VARCHAR) AS sector, concat_ws(',', a.tags, b.tags) AS tags FROM a FULL JOIN b ON a.ticker = b.ticker")
+@query("WITH a AS (SELECT c_nationkey AS ticker, min(c_name) AS name, 'customer' AS tags FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS ticker, min(s_name) AS name, 'supplier' AS tags FROM supplier GROUP BY 1) SELECT CAST(coalesce(a.ticker, b.ticker) AS INTEGER) AS ticker, coalesce(a.name, b.name) AS name, CAST(NULL AS VARCHAR) AS sector, concat_ws(',', a.tags, b.tags) AS tags FROM a FULL JOIN b ON a.ticker = b.ticker")
 def universe_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda t, k, n, tag: table(spark, sf_dir, t).groupBy(F.col(k).alias("ticker")).agg(F.min(n).alias("name")).select("ticker", "name", F.lit(None).cast("string").alias("sector"), F.lit(tag).alias("tags"))
-    return upsert.merged_universe(one("customer", "c_nationkey", "c_name", "customer"), one("supplier", "s_nationkey", "s_name", "supplier").where("ticker % 2 = 0"))
+    return upsert.merged_universe(one("customer", "c_nationkey", "c_name", "customer"), one("supplier", "s_nationkey", "s_name", "supplier"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 100000)")
@@ -193,7 +193,30 @@ def stratified_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.bootstrap_interval(table(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment")
 
 
-_SCORE = "(0.2 * (c_acctbal + 1000) / 110 + 0.25 * (c_custkey % 101) + 0.2 * (c_nationkey * 4) + 0.1 * 50 + 0.15 * (c_custkey % 97) + 0.1 * (100 - c_custkey % 89))"
+#: Fixed values once more, for the SQL: the weights of the scores, and which scores are whose.
+_WEIGHTS = {"business": 0.25, "moat": 0.20, "strength": 0.15, "management": 0.10, "valuation": 0.25, "risk": 0.05}
+_PERSONAS = {"quality": ("business", "moat", "management"), "valuation": ("strength", "valuation"), "bear": ("risk",)}
+_SCORED = "scored AS (SELECT c_custkey AS ticker, (c_acctbal + 1000) / 110 AS business, CAST(c_custkey % 101 AS DOUBLE) AS moat, CAST(c_nationkey * 4 AS DOUBLE) AS strength, 50.0::DOUBLE AS management, CAST(c_custkey % 97 AS DOUBLE) AS valuation, CAST(c_custkey % 89 AS DOUBLE) AS risk, CASE WHEN c_custkey % 7 = 0 THEN 'high' WHEN c_custkey % 7 < 4 THEN 'medium' ELSE 'low' END AS severity FROM customer)"
+
+
+def _sum(values: dict[str, str]) -> str:
+    """SQL of the weighted score of these values, over their weights."""
+    said = " + ".join(f"{_WEIGHTS[k]} * ({f'100 - {v}' if k == 'risk' else v})" for k, v in values.items())
+    return f"({said}) / CAST({sum(_WEIGHTS[k] for k in values)} AS DOUBLE)"
+
+
+def _scenario_sql() -> str:
+    plain = {k: k for k in _WEIGHTS}
+    found = {"as_is": (_sum(plain), True)}
+    for persona, own in _PERSONAS.items():
+        found[f"{persona}_median"] = _sum(plain | {k: f"m_{k}" for k in own}), True
+        found[f"{persona}_midpoint"] = _sum(plain | {k: "50.0" for k in own}), True
+        found[f"{persona}_nothing"] = _sum(plain | {k: "100.0" if k == "risk" else "0.0" for k in own}), True
+        found[f"{persona}_left_out"] = _sum({k: k for k in _WEIGHTS if k not in own}), True
+    found["bear_cap_off"] = _sum(plain), False
+    found["bear_gone"] = _sum({k: k for k in _WEIGHTS if k != "risk"}), False
+    one = "SELECT ticker, '{n}' AS scenario, {e} AS score, severity = 'high' AND {c} AS held FROM s"
+    return " UNION ALL ".join(one.format(n=n, e=e, c=str(c).upper()) for n, (e, c) in found.items())
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,17 +227,73 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"SELECT ticker, round(score, 4) AS score, CASE WHEN score >= 70 THEN CASE WHEN ticker % 7 = 0 THEN 'watch' ELSE 'investigate' END WHEN score >= 50 THEN 'watch' ELSE 'reject' END AS status FROM (SELECT c_custkey AS ticker, {_SCORE} AS score FROM customer)")
+@query(f"WITH {_SCORED} SELECT ticker, round(score, 4) AS score, CASE WHEN score >= 70 THEN CASE WHEN severity = 'high' THEN 'watch' ELSE 'investigate' END WHEN score >= 50 THEN 'watch' ELSE 'reject' END AS status FROM (SELECT *, {_sum({k: k for k in _WEIGHTS})} AS score FROM scored)")
 def weighted_score_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir)
     score = evaluation.overall_score({s: F.col(s) for s in evaluation.WEIGHTS})
     return rows.withColumn("score", score).select("ticker", F.round("score", 4).alias("score"), evaluation.verdict_status(F.col("score"), F.col("severity")).alias("status"))
 
 
-@query(f"WITH m AS (SELECT median(c_custkey % 97)::DOUBLE AS v FROM customer), s AS (SELECT c_custkey AS ticker, {_SCORE} AS score, (c_custkey % 97) AS val, v FROM customer CROSS JOIN m) SELECT ticker, x.n AS scenario, round(CASE x.n WHEN 'as_is' THEN score WHEN 'valuation_0' THEN score - 0.15 * val WHEN 'valuation_50' THEN score - 0.15 * val + 7.5 WHEN 'valuation_100' THEN score - 0.15 * val + 15 WHEN 'valuation_median' THEN score - 0.15 * val + 0.15 * v ELSE (score - 0.15 * val) / 0.85 END, 4) AS score FROM s CROSS JOIN (VALUES ('as_is'), ('valuation_0'), ('valuation_50'), ('valuation_100'), ('valuation_median'), ('valuation_left_out')) x(n)")
+@query(f"WITH {_SCORED}, m AS (SELECT {', '.join(f'median({k}) AS m_{k}' for k in _WEIGHTS)} FROM scored), s AS (SELECT * FROM scored CROSS JOIN m), x AS ({_scenario_sql()}) SELECT ticker, scenario, round(score, 7) AS score, CASE WHEN score >= 70 THEN CASE WHEN held THEN 'watch' ELSE 'investigate' END WHEN score >= 50 THEN 'watch' ELSE 'reject' END AS status FROM x")
 def counterfactual_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = evaluation.counterfactuals(_scored(spark, sf_dir), "ticker", list(evaluation.WEIGHTS))
-    return got.where("scenario = 'as_is' or scenario like 'valuation%'").withColumn("score", F.round("score", 4))
+    return evaluation.counterfactuals(_scored(spark, sf_dir), "ticker").withColumn("score", F.round("score", 7))
+
+
+@query("""SELECT c_custkey AS ticker, CASE WHEN c_acctbal < -900 THEN 'abstain' WHEN c_acctbal > 8000 THEN 'pass' WHEN c_nationkey < 6 THEN CASE WHEN c_mktsegment = 'BUILDING' THEN 'unassessable-definitional' ELSE 'unassessable-datagap' END WHEN c_acctbal / 100 >= 33 THEN 'fail-boundary' ELSE 'fail-clear' END AS stratum,
+CASE WHEN c_nationkey % 5 = 0 THEN 'abstain' WHEN c_custkey % 4 = 0 OR c_custkey % 3 = 0 THEN 'contradicted' WHEN c_custkey % 4 = 1 THEN 'abstain' WHEN c_custkey % 4 = 2 AND c_custkey % 3 = 1 THEN 'strong' WHEN c_custkey % 4 = 3 AND c_custkey % 3 = 1 THEN 'weak' ELSE 'ambiguous' END AS support FROM customer""")
+def strata_and_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    sector = F.when(F.col("c_mktsegment") == "BUILDING", "Financials").otherwise(F.col("c_mktsegment"))
+    moat = F.when(k % 4 == 0, "None").when(k % 4 == 2, "Wide").when(k % 4 == 3, "Narrow")
+    value = F.when(k % 3 == 0, "expensive").when(k % 3 == 1, "cheap").otherwise("fair")
+    tier = F.when(F.col("c_nationkey") % 5 == 0, "quantitative").otherwise("analyst")
+    return c.select(k.alias("ticker"), evaluation.stratum(F.col("c_acctbal") >= -900, F.col("c_acctbal") > 8000, F.col("c_nationkey"), F.col("c_acctbal") / 100, sector).alias("stratum"), evaluation.external_support(moat, value, tier).alias("support"))
+
+
+_STARS = """stars AS (SELECT o_orderkey AS id, o_orderpriority AS cohort, o_totalprice AS price, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice * (7 + o_orderkey % 7) / 10 END AS five, o_totalprice * (8 + o_custkey % 6) / 10 AS one, CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice * (8 + o_custkey % 5) / 10 END AS fair FROM orders),
+ruled AS (SELECT *, CASE WHEN NOT coalesce(price > 0 AND five > 0 AND one > 0, FALSE) THEN 'unusable input' WHEN NOT five < one THEN 'band out of order' WHEN price <= five THEN 'at or below five stars' WHEN price > one THEN 'above one star' ELSE 'between' END AS rule, CASE WHEN fair IS NULL THEN 'unavailable' WHEN price <= fair THEN 'at or below' ELSE 'above' END AS direction FROM stars),
+classed AS (SELECT id, cohort, CASE rule WHEN 'at or below five stars' THEN 'cheap' WHEN 'above one star' THEN 'expensive' WHEN 'between' THEN 'fair' ELSE 'abstain' END AS class, rule, direction FROM ruled)"""
+
+
+def _stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
+    five, fair = F.when(k % 11 != 0, price * (7 + k % 7) / 10), F.when(k % 13 != 0, price * (8 + c % 5) / 10)
+    cls, rule, direction = evaluation.star_class(price, five, price * (8 + c % 6) / 10, fair)
+    return table(spark, sf_dir, "orders").select(k.alias("id"), F.col("o_orderpriority").alias("cohort"), cls.alias("class"), rule.alias("rule"), direction.alias("direction"))
+
+
+@query(f"WITH {_STARS} SELECT * FROM classed")
+def star_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stars(spark, sf_dir)
+
+
+@query(f"""WITH {_STARS}, o AS (SELECT c.*, o_orderstatus AS st FROM classed c JOIN orders ON o_orderkey = id),
+p AS (SELECT cohort, CASE st WHEN 'F' THEN 'cheap' WHEN 'O' THEN 'fair' ELSE 'expensive' END AS own, class AS bench, CASE st WHEN 'F' THEN 'at or below' ELSE 'above' END AS od, direction AS bd FROM o),
+r AS (SELECT cohort, CASE own WHEN 'cheap' THEN 2 WHEN 'fair' THEN 1 ELSE 0 END AS x, CASE bench WHEN 'cheap' THEN 2 WHEN 'fair' THEN 1 ELSE 0 END AS y FROM p WHERE bench <> 'abstain'),
+k AS (SELECT cohort, rank() OVER (PARTITION BY cohort ORDER BY x) + (count(*) OVER (PARTITION BY cohort, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY cohort ORDER BY y) + (count(*) OVER (PARTITION BY cohort, y) - 1) / 2.0 AS ry FROM r),
+rho AS (SELECT cohort, corr(rx, ry) AS rho FROM k GROUP BY 1)
+SELECT p.cohort, count(*) AS eligible, count(*) FILTER (WHERE bench <> 'abstain') AS scored, round(count(*) FILTER (WHERE bench <> 'abstain') / count(*), 6) AS coverage, round(count(*) FILTER (WHERE bench = own) / count(*) FILTER (WHERE bench <> 'abstain'), 6) AS exact,
+round(count(*) FILTER (WHERE own = 'cheap' AND bench NOT IN ('cheap', 'abstain')) / count(*) FILTER (WHERE own = 'cheap' AND bench <> 'abstain'), 6) AS false_cheap, round(any_value(rho), 6) AS rho,
+round(count(*) FILTER (WHERE bench <> 'abstain' AND bd = od) / count(*) FILTER (WHERE bench <> 'abstain' AND bd <> 'unavailable'), 6) AS direction FROM p JOIN rho ON rho.cohort = p.cohort GROUP BY 1""")
+def agreement_by_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's status stands for our own class."""
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "cheap").when(F.col("o_orderstatus") == "O", "fair").otherwise("expensive").alias("own_class"))
+    rows = _stars(spark, sf_dir).withColumnsRenamed({"class": "bench_class", "direction": "bench_direction"}).join(own, "id")
+    got = evaluation.agreement(rows.withColumn("own_direction", F.when(F.col("own_class") == "cheap", "at or below").otherwise("above")), ["cohort"])
+    return got.select("cohort", "eligible", "scored", *[F.round(c, 6).alias(c) for c in ("coverage", "exact", "false_cheap", "rho", "direction")])
+
+
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_discount AS x, l_tax AS y FROM lineitem) SELECT l_orderkey, l_linenumber, round(abs(x - y), 6) AS absolute, CASE WHEN abs(x) > 0.0001 AND abs(y) > 0.0001 THEN round(2 * abs(x - y) / (abs(x) + abs(y)), 6) END AS relative, (x = 0 AND y = 0) OR (x > 0) = (y > 0) AS same_sign, CASE WHEN x <> 0 AND y <> 0 THEN round(abs(log10(abs(x)) - log10(abs(y))), 6) END AS magnitudes, abs(x) <= 0.0001 OR abs(y) <= 0.0001 AS near_zero,
+CASE WHEN abs(x - y) <= 0.01 AND ((x = 0 AND y = 0) OR (x > 0) = (y > 0) OR (abs(x) <= 0.0001 AND abs(y) <= 0.0001)) THEN 'match' ELSE 'probable defect' END AS outcome FROM d""")
+def figure_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = evaluation.comparison(F.col("l_discount"), F.col("l_tax"), evaluation.NEAR_ZERO)
+    number = {n: F.round(d[n], 6) for n in ("absolute", "relative", "magnitudes")}
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[e.alias(n) for n, e in (d | number).items()], evaluation.ratio_outcome(F.col("l_discount"), F.col("l_tax")).alias("outcome"))
+
+
+@query(f"WITH {PANEL_SQL} SELECT ticker, fiscal_year, CASE WHEN lag(fiscal_year) OVER w = fiscal_year - 1 AND equity + lag(equity) OVER w <> 0 THEN round(net_income / ((equity + lag(equity) OVER w) / 2), 6) END AS roe FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY fiscal_year)")
+def average_equity_roe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.average_equity_roe(panel(spark, sf_dir), ["ticker"]).withColumn("roe", F.round("roe", 6))
 
 
 _DELTA = "d AS (SELECT coalesce(a.k, b.k) AS k, round(abs(a.v - b.v), 2) AS delta FROM (SELECT o_custkey AS k, sum(o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) a JOIN (SELECT o_custkey AS k, sum(o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1) b ON a.k = b.k)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainledger.functions.measures import debt_to_fcf, first_usable, ratio, row_flags, tier_of
+from grainledger.functions.measures import debt_to_fcf, first_usable, ratio, row_flags, tier_of, total_debt
 from grainledger.operators import screen, series
 from grainledger.plans.base import PANEL_SQL, SPEND_SQL, panel, spend
 from grainledger.sources.readers import table
@@ -32,13 +32,13 @@ SELECT ticker, sector, spend,
 FROM spend"""
 
 
-@query("SELECT *, CASE WHEN percentile IS NULL THEN floor_pass ELSE floor_pass AND percentile >= 66.666667 END AS overall_pass, CASE WHEN spend IS NULL THEN 'unavailable' WHEN CASE WHEN percentile IS NULL THEN floor_pass ELSE floor_pass AND percentile >= 66.666667 END THEN 'pass' ELSE 'fail' END AS status FROM (" + _PERCENTILE.format(spend=SPEND_SQL, order="ASC") + ")")
+@query("SELECT *, coalesce(floor_pass, FALSE) AND coalesce(percentile >= 66.666667, TRUE) AS overall_pass, CASE WHEN floor_pass IS NULL THEN 'unavailable' WHEN coalesce(floor_pass, FALSE) AND coalesce(percentile >= 66.666667, TRUE) THEN 'pass' ELSE 'fail' END AS status FROM (" + _PERCENTILE.format(spend=SPEND_SQL, order="ASC") + ")")
 def sector_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: spend against its sector and a floor, in three states."""
     rows = spend(spark, sf_dir)
     rows = rows.withColumn("percentile", F.round(series.peer_percentile(rows, ["sector"], "spend"), 6)).withColumn("floor_pass", F.col("spend") > 1_000_000)
     rows = rows.withColumn("overall_pass", screen.combine(F.col("floor_pass"), F.col("percentile") >= 66.666667))
-    return rows.withColumn("status", screen.status(F.col("spend"), F.col("floor_pass"), F.col("overall_pass")))
+    return rows.withColumn("status", screen.status(F.col("floor_pass"), F.col("overall_pass")))
 
 
 @query(_PERCENTILE.format(spend=SPEND_SQL, order="DESC"))
@@ -48,7 +48,7 @@ def sector_percentile_lower_better(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 @query("""
-SELECT *, CASE WHEN percentile IS NULL THEN floor_pass ELSE floor_pass AND percentile >= 66.666667 END AS overall_pass FROM (
+SELECT *, coalesce(floor_pass, FALSE) AND coalesce(percentile >= 66.666667, TRUE) AS overall_pass FROM (
 SELECT s_suppkey AS ticker, n_name AS sector, s_acctbal AS value, s_acctbal > 0 AS floor_pass,
        CASE WHEN count(*) OVER (PARTITION BY n_name) >= 5 THEN round(100 * cume_dist() OVER (PARTITION BY n_name ORDER BY s_acctbal), 6) END AS percentile
 FROM supplier JOIN nation ON n_nationkey = s_nationkey)""")
@@ -64,12 +64,12 @@ def annual_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel(spark, sf_dir).select("ticker", "fiscal_year", "sector", "period_end_date", "revenue", "net_income", "total_debt", F.round("eps", 6).alias("eps"), F.round("free_cash_flow", 4).alias("free_cash_flow"), F.round("operating_margin", 8).alias("operating_margin"))
 
 
-def _screen_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _screen_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panel(spark, sf_dir).withColumn("gross_margin", ratio(F.col("revenue") - F.col("capex"), "revenue"))
     rows = rows.withColumn("roic", ratio("operating_income", F.col("total_debt") + F.col("equity"))).withColumn("roe", ratio("net_income", "equity"))
     rows = rows.withColumn("sector", F.when(F.col("sector") == "BUILDING", "Financials").otherwise(F.col("sector")))
     rows = rows.withColumn("flags", row_flags("eps", "shares", "net_income", "operating_income", "revenue"))
-    return rows, rows.where("ticker % 3 = 0").select("ticker", "fiscal_year")
+    return rows.withColumn("split", F.col("ticker") % 3 == 0)
 
 
 # Shares step by 1.4 or more only where a split is recorded (here for every third company); the product of the later
@@ -91,36 +91,36 @@ factor AS (
 adj AS (SELECT b.*, b.shares * f.factor AS s, b.eps / f.factor AS e FROM base b JOIN factor f USING (ticker, fiscal_year)),
 ends AS (
   SELECT ticker, min(fiscal_year) AS y1, max(fiscal_year) AS y2, arg_min(e, fiscal_year) AS e1, arg_max(e, fiscal_year) AS e2, arg_min(s, fiscal_year) AS s1, arg_max(s, fiscal_year) AS s2,
-         arg_min(gross_margin, fiscal_year) AS g1, arg_max(gross_margin, fiscal_year) AS g2, count(*) AS n FROM adj GROUP BY ticker),
+         arg_min(revenue, fiscal_year) AS r1, arg_max(revenue, fiscal_year) AS r2, arg_min(gross_margin, fiscal_year) AS g1, arg_max(gross_margin, fiscal_year) AS g2 FROM adj GROUP BY ticker),
 wide AS (
   SELECT a.ticker, a.sector, a.roic, a.roe, a.operating_margin, a.free_cash_flow / a.revenue AS fcf_margin,
          CASE WHEN a.debt <= 0 THEN 0.0 WHEN a.free_cash_flow > 0 THEN a.debt / a.free_cash_flow END AS debt_to_fcf,
-         CASE WHEN y2 > y1 AND e1 > 0 AND e2 >= 0 THEN pow(e2 / e1, 1.0 / (y2 - y1)) - 1 END AS eps_growth,
+         CASE WHEN y2 > y1 AND r1 > 0 AND r2 >= 0 THEN pow(r2 / r1, 1.0 / (y2 - y1)) - 1 END AS revenue_growth,
          CASE WHEN y2 > y1 AND s1 > 0 AND s2 >= 0 THEN pow(s2 / s1, 1.0 / (y2 - y1)) - 1 END AS dilution,
-         CASE WHEN n >= 2 THEN g2 - g1 END AS gross_margin_change, e1, e2, a.debt, a.free_cash_flow AS fcf
+         a.gross_margin, g2 - g1 AS change, e1, e2, a.debt, a.free_cash_flow AS fcf
   FROM adj a JOIN ends USING (ticker) WHERE a.back = 1),
 long AS (
-  SELECT ticker, sector, e1, e2, debt, fcf, m.metric, CASE m.metric WHEN 'roic' THEN roic WHEN 'roe' THEN roe WHEN 'fcf_margin' THEN fcf_margin WHEN 'operating_margin' THEN operating_margin
-         WHEN 'eps_growth' THEN eps_growth WHEN 'debt_to_fcf' THEN debt_to_fcf WHEN 'dilution' THEN dilution ELSE gross_margin_change END AS value
-  FROM wide CROSS JOIN (VALUES ('roic'), ('roe'), ('fcf_margin'), ('operating_margin'), ('eps_growth'), ('debt_to_fcf'), ('dilution'), ('gross_margin_change')) m(metric)),
-marked AS (SELECT *, sector = 'Financials' AND metric IN ('gross_margin_change', 'fcf_margin', 'debt_to_fcf') AS off FROM long),
+  SELECT ticker, sector, e1, e2, debt, fcf, change, m.metric, CASE m.metric WHEN 'roic' THEN roic WHEN 'roe' THEN roe WHEN 'fcf_margin' THEN fcf_margin WHEN 'operating_margin' THEN operating_margin
+         WHEN 'revenue_growth' THEN revenue_growth WHEN 'debt_to_fcf' THEN debt_to_fcf WHEN 'dilution' THEN dilution ELSE gross_margin END AS value
+  FROM wide CROSS JOIN (VALUES ('roic'), ('roe'), ('fcf_margin'), ('operating_margin'), ('revenue_growth'), ('debt_to_fcf'), ('dilution'), ('gross_margin')) m(metric)),
+marked AS (SELECT *, sector = 'Financials' AND metric IN ('gross_margin', 'fcf_margin', 'debt_to_fcf') AS off FROM long),
 ranked AS (
   SELECT *, round(CASE WHEN NOT off THEN CASE WHEN metric IN ('debt_to_fcf', 'dilution') THEN -value ELSE value END END, 9) AS signed FROM marked),
 pct AS (
   SELECT *, CASE WHEN signed IS NOT NULL AND count(*) OVER (PARTITION BY metric, sector, signed IS NOT NULL) >= 5
                  THEN 100 * cume_dist() OVER (PARTITION BY metric, sector, signed IS NOT NULL ORDER BY signed) END AS percentile,
-         CASE metric WHEN 'eps_growth' THEN value > 0 AND coalesce(e2 >= e1, TRUE) WHEN 'debt_to_fcf' THEN CASE WHEN debt > 0 AND NOT coalesce(fcf > 0, FALSE) THEN FALSE ELSE value <= 4.0 END
-              WHEN 'gross_margin_change' THEN value >= -0.005 WHEN 'dilution' THEN value <= 0.02 ELSE value > 0 END AS floor_pass
+         CASE metric WHEN 'revenue_growth' THEN value > 0 AND coalesce(e2 >= e1, TRUE) WHEN 'debt_to_fcf' THEN CASE WHEN debt > 0 AND NOT coalesce(fcf > 0, FALSE) THEN FALSE ELSE value <= 5.0 END
+              WHEN 'gross_margin' THEN change >= -0.005 WHEN 'dilution' THEN value <= 0.01 ELSE value > 0 END AS floor_pass
   FROM ranked),
-passed AS (SELECT *, CASE WHEN percentile IS NULL THEN floor_pass ELSE floor_pass AND percentile >= CAST(200 AS DOUBLE) / 3 END AS overall_pass FROM pct),
+passed AS (SELECT *, coalesce(floor_pass, FALSE) AND coalesce(percentile >= CAST(200 AS DOUBLE) / 3, TRUE) AS overall_pass FROM pct),
 scores AS (
   SELECT ticker, sector, metric, round(value, 6) AS value, round(percentile, 6) AS percentile, floor_pass, overall_pass,
-         CASE WHEN off THEN 'not_applicable' WHEN floor_pass IS NULL AND value IS NULL THEN 'unavailable' WHEN overall_pass THEN 'pass' ELSE 'fail' END AS status FROM passed)
+         CASE WHEN off THEN 'not_applicable' WHEN floor_pass IS NULL THEN 'unavailable' WHEN overall_pass THEN 'pass' ELSE 'fail' END AS status FROM passed)
 """
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screen.scores(screen.raw_metrics(*_screen_input(spark, sf_dir)))
+    return screen.scores(screen.raw_metrics(_screen_input(spark, sf_dir)))
 
 
 @query(_SCORES + "SELECT * FROM scores")
@@ -169,7 +169,8 @@ def strict_cagr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SCORES.split("ends AS (")[0].rstrip().rstrip(",") + " SELECT ticker, fiscal_year, round(s, 6) AS shares FROM adj")
 def split_factor_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, splits = _screen_input(spark, sf_dir)
+    rows = _screen_input(spark, sf_dir)
+    splits = rows.where("split").select("ticker", "fiscal_year")
     f = series.split_factors(rows, ["ticker"], "fiscal_year", "shares", splits)
     met = rows.join(f, ["ticker", "fiscal_year"], "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
     return met.select("ticker", "fiscal_year", F.round(F.col("shares") * F.col("factor"), 6).alias("shares"))
@@ -219,12 +220,19 @@ def tag_priority_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "day", F.coalesce(*TYPES).alias("v"), tier_of(**{t: F.col(t) for t in TYPES}).alias("tag"))
 
 
-@query(f"WITH {_TAGS_SQL}, u AS (SELECT user_id, day, CASE WHEN click >= 0 THEN click END AS n, CASE WHEN purchase >= 0 THEN purchase END AS c, CASE WHEN error >= 0 THEN error END AS w, CASE WHEN signup >= 0 THEN signup END AS p, CASE WHEN view >= 0 THEN view END AS v FROM tags) SELECT user_id, day, round(coalesce(n + coalesce(c, 0), w, greatest(p, v), c), 6) AS debt, CASE WHEN n IS NOT NULL THEN 'lease_free' WHEN w IS NOT NULL THEN 'with_leases' WHEN greatest(p, v) IS NOT NULL THEN 'notes' WHEN c IS NOT NULL THEN 'current_only' END AS tier FROM u")
-def debt_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from grainledger.functions.measures import total_debt
+_KINDS = {f"{t}_{h}": f"{f}(CASE WHEN event_type = '{t}' THEN value - {d} END)" for t in TYPES for h, f, d in (("hi", "max", 40), ("lo", "min", 20))}
+_KINDS_SQL = "kinds AS (SELECT user_id, CAST(ts AS DATE) AS day, " + ", ".join(f"CASE WHEN {e} >= 0 THEN {e} END AS {n}" for n, e in _KINDS.items()) + " FROM events GROUP BY 1, 2)"
+
 
-    debt, tier = total_debt("click", "purchase", F.lit(None).cast("double"), "error", "signup", "view")
-    return _tags(spark, sf_dir).select("user_id", "day", F.round(debt, 6).alias("debt"), tier.alias("tier"))
+@query(f"""WITH {_KINDS_SQL},
+t AS (SELECT user_id, day, coalesce(purchase_lo, error_lo) AS short, click_hi, click_lo, purchase_hi, coalesce(error_hi, CASE WHEN signup_hi IS NOT NULL OR signup_lo IS NOT NULL THEN coalesce(signup_hi, 0) + coalesce(signup_lo, 0) END) AS leases, view_hi AS notes, CASE WHEN view_lo IS NOT NULL OR error_lo IS NOT NULL THEN coalesce(view_lo, 0) + coalesce(error_lo, 0) END AS convertible FROM kinds),
+f AS (SELECT *, greatest(click_hi, click_lo, purchase_hi + coalesce(short, 0)) AS free, greatest(notes, convertible) AS other FROM t)
+SELECT user_id, day, round(coalesce(free, leases, other, short), 6) AS debt, CASE WHEN free IS NOT NULL THEN NULL WHEN leases IS NOT NULL THEN 'debt_includes_finance_leases' WHEN other IS NOT NULL THEN 'debt_from_instrument_tag' WHEN short IS NOT NULL THEN 'debt_current_portion_only' END AS flag FROM f""")
+def debt_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest and least value of each event type stand for the ten figures."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(*[F.expr(e).alias(n) for n, e in _KINDS.items()])
+    debt, flag = total_debt(["click_hi", "click_lo"], "purchase_hi", ["purchase_lo", "error_lo"], "error_hi", "signup_hi", "signup_lo", "view_hi", ["view_lo", "error_lo"])
+    return rows.select("user_id", "day", F.round(debt, 6).alias("debt"), flag.alias("flag"))
 
 
 @query(f"WITH {_TAGS_SQL} SELECT user_id, day, round(CASE WHEN click >= 0 THEN click WHEN purchase >= 0 THEN purchase WHEN error >= 0 THEN error + CASE WHEN signup >= 0 THEN signup ELSE 0 END WHEN view >= 0 THEN view END, 6) AS depreciation FROM tags")

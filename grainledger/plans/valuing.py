@@ -63,7 +63,7 @@ def multiples_with_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel(spark, sf_dir).select("ticker", "fiscal_year", F.round(fcf_yield("free_cash_flow", "revenue"), 6).alias("fcf_yield"), F.round(ev_to_ebit("revenue", "total_debt", "cash", "operating_income"), 4).alias("ev_to_ebit"), F.round(price_to_earnings(F.lit(100.0), "eps"), 6).alias("pe"))
 
 
-_DAILY = "daily AS (SELECT o_custkey AS ticker, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS close FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1, 2)"
+_DAILY = "daily AS (SELECT o_custkey AS ticker, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS close FROM orders GROUP BY 1, 2)"
 
 
 @query(f"WITH {PANEL_SQL}, {_DAILY}, priced AS (SELECT p.ticker, close / eps AS pe FROM panel p ASOF JOIN daily d ON p.ticker = d.ticker AND p.period_end_date >= d.date WHERE eps > 0) SELECT ticker, round(min(pe), 4) AS pe_low, round(max(pe), 4) AS pe_high, count(*) AS pe_years, count(*) < 5 AS low_confidence FROM priced GROUP BY ticker")
@@ -73,13 +73,12 @@ def pe_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices of two orders in three, so that some periods end without one on the day."""
-    return table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").groupBy(F.col("o_custkey").alias("ticker"), F.col("o_orderdate").cast("date").alias("date")).agg(F.max("o_totalprice").alias("close"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ticker"), F.col("o_orderdate").cast("date").alias("date")).agg(F.max("o_totalprice").alias("close"))
 
 
 @query(_VALUES + f""", {_DAILY}, last AS (SELECT ticker, arg_max(close, date) AS price FROM daily GROUP BY ticker),
 wide AS (SELECT v.ticker, max(CASE WHEN scenario = 'bear' THEN value END) AS bear, max(CASE WHEN scenario = 'base' THEN value END) AS mid, max(CASE WHEN scenario = 'bull' THEN value END) AS bull, count(*) AS n, any_value(price) AS price FROM values_ v LEFT JOIN last l ON l.ticker = v.ticker GROUP BY v.ticker),
-why AS (SELECT *, CASE WHEN bear IS NULL OR mid IS NULL OR bull IS NULL THEN 'unknown value' WHEN bear <= 0 OR mid <= 0 OR bull <= 0 THEN 'value not positive' WHEN bear > mid OR mid > bull THEN 'scenarios out of order' WHEN price IS NULL OR NOT price > 0 THEN 'no price' END AS reason FROM wide)
+why AS (SELECT *, CASE WHEN bear IS NULL OR mid IS NULL OR bull IS NULL THEN 'unknown value' WHEN bear <= 0 OR mid <= 0 OR bull <= 0 THEN 'value not positive' WHEN bear >= mid OR mid >= bull THEN 'scenarios out of order' WHEN price IS NULL OR NOT price > 0 THEN 'no price' END AS reason FROM wide)
 SELECT ticker, CASE WHEN reason IS NOT NULL THEN 'abstain' WHEN price <= bear THEN 'cheap' WHEN price >= bull THEN 'expensive' ELSE 'fair' END AS class, reason FROM why""")
 def valuation_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = valuation.scenario_values(panel(spark, sf_dir))

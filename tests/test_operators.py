@@ -78,10 +78,9 @@ def test_measures(spark):
         measures.growth_rate(F.lit(1.0), F.lit(2000), F.lit(-1.0), F.lit(2002)).alias("e"), measures.owner_earnings(F.lit(5.0), F.lit(1.0), F.lit(2.0), F.lit(None).cast("double")).alias("f"), measures.owner_earnings(F.lit(5.0), F.lit(None).cast("double"), F.lit(2.0), F.lit(1.0)).alias("g"),
         measures.weekdays_between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-08").cast("date")).alias("h"), measures.basis_change(F.lit(1.0), F.lit(3.0)).alias("i"), measures.basis_change(F.lit(1.0), F.lit(1000.0)).alias("j"), measures.basis_change(F.lit(1.0), F.lit(1.2)).alias("k"),
         measures.two_stage_value(F.lit(100.0), F.lit(0.0), F.lit(0.1), F.lit(0.0)).alias("l"),
-        measures.total_debt(F.lit(None).cast("double"), F.lit(2.0), F.lit(None).cast("double"), F.lit(-1.0), F.lit(None).cast("double"), F.lit(7.0))[1].alias("m"),
     ).first()
     assert (row.a, row.b, row.c, row.d, row.e, row.f, row.g, row.h) == (0.0, None, None, -1.5, None, 4.0, None, 0)
-    assert (row.i, row.j, row.k, row.m) == ("split", "unit_correction", None, "notes") and row.l == pytest.approx(1000.0)
+    assert (row.i, row.j, row.k) == ("split", "unit_correction", None) and row.l == pytest.approx(1000.0)
     with pytest.raises(Exception, match="terminal growth"):
         spark.range(1).select(measures.two_stage_value(F.lit(1.0), F.lit(0.0), F.lit(0.05), F.lit(0.05))).collect()
 
@@ -202,3 +201,74 @@ def test_many_passages(spark, tmp_path):
     said.toDF("item_id", "text").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = relating.quote_exact(spark, str(tmp_path))
     assert got.count() == 12_000 and got.where("doc_id = item_id and start_ = 0").count() == 12_000
+
+
+def test_total_debt_tiers(spark):
+    """Columns: two totals, non-current, two current, with leases (total, non-current, current), notes, two convertibles."""
+    none = None
+    rows = [
+        ((3050.0, none, none, none, none, none, none, none, none, none, none), 3050.0, None),
+        ((none, none, none, 3387.8, none, 37220.3, 33832.5, 3387.8, none, none, none), 37220.3, "debt_includes_finance_leases"),
+        ((29291.0, none, none, 124.0, none, none, 29167.0, none, none, none, none), 29291.0, None),
+        ((39973.0, none, 39973.0, 725.0, none, none, none, none, none, none, none), 40698.0, None),
+        ((140.0, none, 993.0, none, none, none, none, none, none, none, none), 993.0, None),
+        ((none, none, none, none, none, none, 10.0, 5.0, none, none, none), 15.0, "debt_includes_finance_leases"),
+        ((none, none, none, none, none, none, none, none, 4.0, 3.0, 2.0), 5.0, "debt_from_instrument_tag"),
+        ((-1.0, none, none, none, 7.0, none, none, none, none, none, none), 7.0, "debt_current_portion_only"),
+        ((none,) * 11, None, None),
+    ]
+    df = spark.createDataFrame([r for r, *_ in rows], ", ".join(f"c{i} double" for i in range(11)))
+    debt, flag = measures.total_debt(["c0", "c1"], "c2", ["c3", "c4"], "c5", "c6", "c7", "c8", ["c9", "c10"])
+    assert [tuple(r) for r in df.select(debt, flag).collect()] == [r[1:] for r in rows]
+
+
+def screened(spark, years, sector="Tech"):
+    """Status of each metric of one company with these years' (revenue, fcf, debt, margin, gross, eps, shares)."""
+    from grainledger.operators import screen
+
+    rows = [("A", sector, 2000 + i, float(r), f, d, m, g, 0.1, 0.1, e, s, [], False) for i, (r, f, d, m, g, e, s) in enumerate(years)]
+    kind = "ticker string, sector string, fiscal_year int, revenue double, free_cash_flow double, total_debt double, operating_margin double, gross_margin double, roic double, roe double, eps double, shares double, flags array<string>, split boolean"
+    return {r["metric"]: r for r in screen.scores(screen.raw_metrics(spark.createDataFrame(rows, kind))).collect()}
+
+
+def test_screen_metrics_and_states(spark):
+    got = screened(spark, [(100, 10.0, 50.0, 0.1, 0.40, 1.0, 100.0), (121, 10.0, 50.0, 0.1, 0.396, 2.0, 100.9)])
+    assert got["revenue_growth"]["value"] == pytest.approx(0.21) and got["revenue_growth"]["status"] == "pass"
+    assert got["gross_margin"]["value"] == 0.396 and got["gross_margin"]["status"] == "pass"
+    assert got["debt_to_fcf"]["value"] == 5.0 and got["debt_to_fcf"]["status"] == "pass" and got["dilution"]["status"] == "pass"
+    got = screened(spark, [(100, 10.0, 51.0, 0.1, 0.40, 2.0, 100.0), (121, 10.0, 51.0, 0.1, 0.39, 1.0, 101.5)])
+    assert {m: got[m]["status"] for m in ("revenue_growth", "gross_margin", "debt_to_fcf", "dilution")} == dict.fromkeys(("revenue_growth", "gross_margin", "debt_to_fcf", "dilution"), "fail")
+    got = screened(spark, [(100, -1.0, 5.0, None, None, 1.0, 100.0)])
+    assert got["debt_to_fcf"]["value"] is None and got["debt_to_fcf"]["status"] == "fail"
+    assert got["operating_margin"]["status"] == got["gross_margin"]["status"] == got["revenue_growth"]["status"] == "unavailable"
+    assert got["operating_margin"]["overall_pass"] is False
+    assert {m for m, r in screened(spark, [(100, 1.0, 1.0, 0.1, 0.4, 1.0, 100.0)], "Financials").items() if r["status"] == "not_applicable"} == {"gross_margin", "fcf_margin", "debt_to_fcf"}
+
+
+def test_overall_score_and_counterfactuals(spark):
+    kind = "k int, business double, moat double, strength double, management double, valuation double, risk double, severity string"
+    df = spark.createDataFrame([(1, 80.0, 80.0, 80.0, 80.0, 80.0, 20.0, "high"), (2, 40.0, 40.0, 40.0, 40.0, 40.0, 90.0, "low"), (3, 60.0, 60.0, 60.0, 60.0, 60.0, 50.0, "low")], kind)
+    got = {(r["k"], r["scenario"]): (round(r["score"], 6), r["status"]) for r in evaluation.counterfactuals(df, "k").collect()}
+    assert len(got) == 45 and got[1, "as_is"] == (80.0, "watch") and got[1, "bear_cap_off"] == (80.0, "investigate")
+    assert got[2, "as_is"] == (38.5, "reject") and got[2, "bear_left_out"] == (40.0, "reject") and got[1, "bear_gone"] == (80.0, "investigate")
+    assert got[1, "quality_nothing"][0] == 36.0 and got[1, "bear_nothing"][0] == 76.0 and got[1, "valuation_midpoint"][0] == 68.0 and got[1, "quality_median"][0] == 69.0
+
+
+def test_value_class_needs_strict_order(spark):
+    from grainledger.operators import valuation
+
+    df = spark.createDataFrame([(1.0, 2.0, 3.0), (2.0, 2.0, 3.0), (1.0, 3.0, 3.0)], "a double, b double, c double")
+    cls, reason = valuation.value_class(F.col("a"), F.col("b"), F.col("c"), F.lit(2.0), F.lit(3), F.lit(True))
+    assert [tuple(r) for r in df.select(cls, reason).collect()] == [("fair", None), ("abstain", "scenarios out of order"), ("abstain", "scenarios out of order")]
+
+
+def test_prices_and_partners_that_are_missing(spark):
+    """A period without a price on its day takes the last one before; a company on one side only stays."""
+    from grainledger.operators import upsert, valuation
+
+    panel = spark.createDataFrame([("a", 2000, "2000-12-31", 2.0), ("a", 2001, "2001-12-31", 4.0), ("b", 2000, "2000-12-31", 1.0)], "ticker string, fiscal_year int, d string, eps double").withColumn("period_end_date", F.to_date("d"))
+    prices = spark.createDataFrame([("a", "2000-12-30", 10.0), ("a", "2001-12-31", 40.0), ("b", "2001-01-01", 9.0)], "ticker string, d string, close double").withColumn("date", F.to_date("d"))
+    assert [(r["ticker"], r["pe_low"], r["pe_high"]) for r in valuation.past_multiples(panel, prices).collect()] == [("a", 5.0, 10.0)]
+    one = lambda *rows: spark.createDataFrame(rows, "ticker string, name string, sector string, tags string")
+    got = {r["ticker"]: (r["name"], r["tags"]) for r in upsert.merged_universe(one(("x", "X", None, "c"), ("y", None, None, "c")), one(("y", "Y", None, "s"), ("z", "Z", None, "s"))).collect()}
+    assert got == {"x": ("X", "c"), "y": ("Y", "c,s"), "z": ("Z", "s")}
