@@ -218,9 +218,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     Documents with equal sets are one class, by a fingerprint of the set, and only its smallest id goes on. Band
     keys group the classes. In each group the member that meets most others over all its bands is the centre,
     and the others are verified against it on full sets: this links a family of copies in one step. Members that are
-    then not in the centre's component, the strays, are compared with all others of other components by finer
+    then not in the group's largest component, the strays, are compared with all others of other components by finer
     sketches, in blocks, and pairs that agree enough are verified too. So no pair that shares a band key is left out.
-    The members at home with the centre aren't compared with one another, so this costs strays times members.
+    The members of the largest component aren't compared with one another, so this costs strays times members.
 
     Null texts and texts without words have an empty set and link with nothing. A null id links with nothing, has a
     null component and is kept. Rows that repeat an id are one node. An empty table gives no rows. Other columns
@@ -242,10 +242,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     first = cut(components(links))
     label = members.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    home = centre.join(first.withColumnsRenamed({"id": "centre", "component": "home"}), "centre", "left").select("key", F.coalesce("home", "centre").alias("home"))
-    rest = label.where("size > 2").join(home, "key").withColumn("stray", F.col("component") != F.col("home"))
-    open_ = rest.groupBy("key").agg(F.count_if("stray").alias("strays")).where("strays > 0")
-    rest = rest.join(open_, "key").join(sets.select("rep", "fine", "bands"), "rep")
+    # the component that most members of a bucket are in is at home there
+    in_key = label.where("size > 2").groupBy("key", "component").agg(F.count("*").alias("n"))
+    open_ = in_key.groupBy("key").agg(F.max(F.struct("n", (-F.col("component")).alias("minus"))).alias("top"), F.sum("n").alias("all")).where("top.n < all")
+    open_ = open_.select("key", (-F.col("top.minus")).alias("home"), (F.col("all") - F.col("top.n")).alias("strays"))
+    rest = label.join(open_, "key").withColumn("stray", F.col("component") != F.col("home"))
+    rest = rest.join(sets.select("rep", "fine", "bands"), "rep")
     # a small bucket is one block; else blocks of strays have numbers from 0 up, those of the others from -1 down
     all_ = lambda n: F.sequence(F.lit(0).cast("long"), F.ceil(n / BLOCK) - 1)
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(n / BLOCK))
