@@ -37,9 +37,9 @@ from grainledger.llm.common import cut, remainder, table
 #: Words of the exchange clustering, words that are broadcast, least number of classes, classes of unknown words.
 SEEDS, FREQUENT, CLASSES, TAILS = 8192, 200_000, 32, 24
 #: Rounds of exchange at most; parts of the words of which one moves at a time; gain of the likelihood that is worth a round.
-ROUNDS, PARTS, WORTH = 12, 3, 1e-4
+ROUNDS, PARTS, WORTH = 9, 3, 1e-3
 #: Tasks over the seeds' neighbours: there are at most SEEDS + TAILS + 1 rows, whatever the input's size.
-NEAR_PARTS = 24
+NEAR_PARTS = 12
 #: Weight of the class's own frequency among its transitions, and what each word's count is raised by.
 PRIOR, RAISED = 20.0, 1.0
 #: Distinct words or pairs that a task counts before it hands them on, and neighbours of other words.
@@ -50,7 +50,7 @@ LATER = 0xFFFF
 
 def classes_for(vocabulary: int) -> int:
     """Classes of so many distinct words."""
-    return max(CLASSES, round(vocabulary ** (1 / 3) / 2))
+    return max(CLASSES, round(vocabulary ** (1 / 3) / 3))
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -371,13 +371,13 @@ def class_model_scores(docs: DataFrame) -> DataFrame:
         rows: list[tuple] = []
         for doc_id, text, held in _texts(batches):
             own, row = _words(text), next(row_of)
-            ids = np.fromiter((get(w, -1) for w in own), np.int64, len(own))
+            ids = np.fromiter(map(get, own, itertools.repeat(-1)), np.int64, len(own))
             there = ids >= 0
             at, places = ids[there], np.flatnonzero(~there)
             line = np.full(len(own), LATER, np.uint16)
             line[there] = cls[at]
             number = _Numbers({})
-            rare = np.fromiter((number[own[i]] for i in places.tolist()), np.int64, len(places))
+            rare = np.fromiter(map(number.__getitem__, map(own.__getitem__, places.tolist())), np.int64, len(places))
             # a key with a space, which no word has: the row meets no count, and rows spread over tasks
             rows.append((row, b" %d" % row, None, doc_id, held, len(own) + 1, len(at) + (ends > 0), base[at].sum() + of_end, emits[at].sum(), line.tobytes()))
             if len(places):
