@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainledger.llm.common import set_aside, shared_folder
+from grainledger.llm.common import cut, set_aside, shared_folder
 from grainledger.llm.language_id import UNKNOWN, learn, learning_rows, predict
 from grainledger.llm.minhash import near_duplicates
 from grainledger.llm.mixing import mixed
@@ -22,6 +22,8 @@ from grainledger.llm.substrings import remove_repeats
 
 #: A language must be at least this probable for a document to stay.
 LEAST_PROBABLE = 0.5
+#: Ids that are sent to every task at most, about 16 MB.
+BROADCAST_IDS = 1_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,9 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows with a null id, and texts without words, are duplicates of none and stay. Rows that repeat an id stay or go
     together.
     """
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = cut(near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    # few ids go to every task, so that texts aren't shuffled; more meet them in a join
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     plain, back = set_aside(docs, "doc_id")
     return back(plain.join(gone, "doc_id", "left_anti"))
 
