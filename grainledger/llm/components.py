@@ -17,16 +17,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     is spread over tasks.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
     edges = cut(edges)
-    before = None
-    while True:
+    before = state(edges)
+    while before[0]:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select("u", "m")).distinct()
         edges = cut(small)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
+        now = state(edges)
         if now == before:
             break
         before = now

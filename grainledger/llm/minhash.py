@@ -262,8 +262,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     again = rest.mapInArrow(_close(percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
     more = _verified(again, sets, percent)
 
-    joined = cut(components(first.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
-    of_class = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("n", "fp0", "fp1", F.coalesce("component", "rep").alias("component"))
+    # the components that these pairs join, by the smallest id of each
+    ends = lambda pairs, x: pairs.join(first.select(F.col("id").alias(x), "component"), x, "left").withColumn(x, F.coalesce("component", x)).drop("component")
+    joined = components(ends(ends(more, "a"), "b")).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    of_class = classes.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    of_class = of_class.join(joined, "component", "left").select("n", "fp0", "fp1", F.coalesce("to", "component").alias("component"))
     out = sketches.join(of_class, ["n", "fp0", "fp1"], "left")
     linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"), F.col("doc_id").eqNullSafe(linked).alias("kept"))
