@@ -128,13 +128,23 @@ class _Numbers(dict):
         return number
 
 
-def _packed(words: list[bytes], of: np.ndarray, values: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Words that have values, and their values as bytes."""
+def _grouped(of: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Numbers that have values, ascending, and the values of each as bytes, in their order."""
     order = np.argsort(of, kind="stable")
-    there, starts = np.unique(of[order], return_index=True)
-    raw, size = values[order].tobytes(), values.itemsize
-    ends = np.append(starts[1:], len(of))
-    return pa.array([words[i] for i in there.tolist()], pa.binary()), pa.array([raw[a * size : b * size] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())
+    of = of[order]
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    ends = (np.append(starts, len(of)) * values.itemsize).astype(np.int32)
+    return of[starts], pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values[order].tobytes())])
+
+
+def _numbers(packed: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers that an array of bytes holds, and how many each element has."""
+    if not len(packed):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    _, ends, data = packed.buffers()
+    ends = np.frombuffer(ends, np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    return raw.view(kind), np.diff(ends) // np.dtype(kind).itemsize
 
 
 def _neighbours(docs: DataFrame, seeds: list[bytes]) -> DataFrame:
@@ -181,7 +191,8 @@ def _neighbours(docs: DataFrame, seeds: list[bytes]) -> DataFrame:
                 code, n = held[0][at : at + (1 << 17)], held[1][at : at + (1 << 17)]
                 yield row(a=pa.array(code // m, pa.int32()), b=pa.array(code % m, pa.int32()), n=pa.array(n))
             if near and number.others:
-                words, packed = _packed(number.others, np.concatenate([x for x, _ in near]), np.concatenate([x for _, x in near]))
+                met, packed = _grouped(np.concatenate([x for x, _ in near]), np.concatenate([x for _, x in near]))
+                words = pa.array(number.others, pa.binary()).take(pa.array(met))
                 for at in range(0, len(words), 1 << 16):
                     yield row(word=words[at : at + (1 << 16)], near=packed[at : at + (1 << 16)])
             near.clear()
@@ -362,13 +373,27 @@ def class_model_scores(docs: DataFrame) -> DataFrame:
 
     shared = spark.sparkContext.broadcast((dict(zip([w for w, _, _ in frequent], range(len(frequent)))), np.log10(c + RAISED) - below[cls], np.log10(c + 1), cls))
     of_end = np.log10(ends + 1)
-    names = ["row", "word", "places", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "codes"]
-    types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+    names = ["row", "word", "places", "doc"]
+    fields = [pa.field(*x) for x in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("codes", pa.binary()))]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, emits, base, cls = shared.value
         get, row_of = known.get, itertools.count(TaskContext.get().partitionId() << 36)
-        rows: list[tuple] = []
+        rows, own_rows, rare, rare_rows, spots, size = [], [], [], [], [], 0
+
+        def give() -> Iterator[pa.RecordBatch]:
+            # a key with a space, which no word has: the row meets no count, and rows spread over tasks
+            keys = pa.array([b" %d" % r for r in own_rows], pa.binary())
+            whole = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), fields)], fields=fields)
+            yield pa.RecordBatch.from_arrays([pa.array(own_rows, pa.int64()), keys, pa.nulls(len(rows), pa.binary()), whole], names=names)
+            if rare:
+                number = _Numbers({})
+                of = np.fromiter(map(number.__getitem__, rare), np.int64, len(rare))
+                kinds = len(number.others)
+                of, places = _grouped(np.repeat(np.arange(len(spots)), [len(x) for x in spots]) * kinds + of, np.concatenate(spots).astype(np.uint32))
+                words = pa.array(number.others, pa.binary()).take(pa.array(of % kinds))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(rare_rows)[of // kinds]), words, places, pa.nulls(len(of), pa.struct(fields))], names=names)
+
         for doc_id, text, held in _texts(batches):
             own, row = _words(text), next(row_of)
             ids = np.fromiter(map(get, own, itertools.repeat(-1)), np.int64, len(own))
@@ -376,51 +401,56 @@ def class_model_scores(docs: DataFrame) -> DataFrame:
             at, places = ids[there], np.flatnonzero(~there)
             line = np.full(len(own), LATER, np.uint16)
             line[there] = cls[at]
-            number = _Numbers({})
-            rare = np.fromiter(map(number.__getitem__, map(own.__getitem__, places.tolist())), np.int64, len(places))
-            # a key with a space, which no word has: the row meets no count, and rows spread over tasks
-            rows.append((row, b" %d" % row, None, doc_id, held, len(own) + 1, len(at) + (ends > 0), base[at].sum() + of_end, emits[at].sum(), line.tobytes()))
+            own_rows.append(row)
+            rows.append((doc_id, held, len(own) + 1, len(at) + (ends > 0), base[at].sum() + of_end, emits[at].sum(), line.tobytes()))
             if len(places):
-                words, packed = _packed(number.others, rare, places.astype(np.uint32))
-                rows.extend((row, w, p, None, None, 0, 0, 0.0, 0.0, None) for w, p in zip(words.to_pylist(), packed.to_pylist()))
-            if len(rows) > 20_000:
-                yield give(rows)
-                rows = []
+                rare.extend(map(own.__getitem__, places.tolist()))
+                rare_rows.append(row)
+                spots.append(places)
+            size += len(own) + 100
+            if size > 500_000:
+                yield from give()
+                rows, own_rows, rare, rare_rows, spots, size = [], [], [], [], [], 0
         if rows:
-            yield give(rows)
-
-    def give(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
+            yield from give()
 
-    seen = docs.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(encode, "row long, word binary, places binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, codes binary")
+    seen = docs.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(
+        encode, "row long, word binary, places binary, doc struct<doc_id: long, held_out: boolean, n_tokens: long, n_known: long, base: double, score: double, codes: binary>"
+    )
     rare = others.where(is_rare).withColumn("emit", F.log10(F.col("c") + RAISED))
     lows = spark.createDataFrame([(i, float(x)) for i, x in enumerate(below)], "cls int, low double")
     rare = rare.join(F.broadcast(lows), "cls").select("word", "c", "cls", (F.col("emit") - F.col("low")).alias("emit"))
     met = seen.join(rare, "word", "left").withColumn("m", F.when(F.col("places").isNotNull(), F.length("places") / 4).otherwise(0).cast("long"))
     met = met.withColumn("cls", F.coalesce("cls", free + ending)).join(F.broadcast(lows.withColumnRenamed("cls", "own")), F.col("own") == F.col("cls"))
     whole = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("codes").alias("codes"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base"),
-        F.sum(F.col("score") + F.col("m") * F.coalesce("emit", -F.col("low"))).alias("score"),
+        F.first("doc", ignorenulls=True).alias("doc"),
+        F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("n_known"),
+        F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base"),
+        F.sum(F.col("m") * F.coalesce("emit", -F.col("low"))).alias("score"),
         F.collect_list(F.when(F.col("places").isNotNull(), F.struct("cls", "places"))).alias("later"),
     )
-    coded = cut(whole.select("doc_id", "held_out", "n_tokens", "n_known", "base", "score", "codes", F.col("later.cls").alias("later_cls"), F.col("later.places").alias("later_places")))
+    sums = [(F.col(f"doc.{x}") + F.col(x)).alias(x) for x in ("n_known", "base", "score")]
+    coded = cut(whole.select("doc.doc_id", "doc.held_out", "doc.n_tokens", *sums, "doc.codes", F.col("later.cls").alias("later_cls"), F.col("later.places").alias("later_places")))
 
-    def lines(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for codes, cls, places in zip(*(batch.column(x).to_pylist() for x in ("codes", "later_cls", "later_places"))):
-            line = np.full(len(codes) // 2 + 2, end, np.int64)
-            line[1:-1] = np.frombuffer(codes, np.uint16)
-            for a, p in zip(cls, places):
-                line[1 + np.frombuffer(p, np.uint32)] = a
-            yield line
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Some rows, their class numbers with the end before each text and after the last, and where each text's begin."""
+        for batch in batches:
+            for low in range(0, len(batch), 500):
+                part = batch.slice(low, 500)
+                own, words = _numbers(part.column("codes"), np.uint16)
+                starts = np.append(0, np.cumsum(words + 1))
+                line = np.full(starts[-1] + 1, end, np.int64)
+                line[np.arange(len(own)) + np.repeat(np.arange(1, len(words) + 1), words)] = own
+                later = part.column("later_places")
+                places, each = _numbers(later.flatten(), np.uint32)
+                first = np.repeat(starts[:-1], later.value_lengths().to_numpy()) + 1
+                line[np.repeat(first, each) + places] = np.repeat(part.column("later_cls").flatten().to_numpy(), each)
+                yield part, line, starts[:-1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(total * total, np.int64)
-        for batch in batches:
-            for low in range(0, len(batch), 500):
-                if many := [line[:-1] * total + line[1:] for line in lines(batch.slice(low, 500))]:
-                    out += np.bincount(np.concatenate(many), minlength=total * total)
+        for _, line, _ in parts(batches):
+            out += np.bincount(line[:-1] * total + line[1:], minlength=total * total)
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["pair", "n"])
 
@@ -438,9 +468,9 @@ def class_model_scores(docs: DataFrame) -> DataFrame:
     steps = spark.sparkContext.broadcast(step)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            more = [steps.value[line[:-1], line[1:]].sum() for line in lines(batch)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(batch.column(5).to_numpy() + np.array(more, float))], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+        for part, line, starts in parts(batches):
+            more = np.add.reduceat(steps.value[line[:-1], line[1:]], starts)
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(5)), pa.array(part.column(5).to_numpy() + more)], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
     out = coded.select("doc_id", "held_out", "n_tokens", "n_known", "base", "score", *ids).mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     return out.select(
