@@ -148,13 +148,15 @@ def _numbers(packed: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _neighbours(docs: DataFrame, seeds: list[bytes]) -> DataFrame:
-    """Two kinds of rows. (a, b, n): counts of neighbouring symbols, which are seeds, then endings of other words, then the
+    """Two kinds of rows. pair (a, b, n): counts of neighbouring symbols, which are seeds, then endings of other words, then the
     end. (word, near): for other words the symbols before (as they are) and after (raised by their number) each occurrence.
     """
     known = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(seeds)})
     k = len(seeds)
     m = k + TAILS + 1
-    kinds = [("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64()), ("word", pa.binary()), ("near", pa.binary())]
+    # a struct, since the rows of words are many and a null struct takes less room than three null columns
+    pair = [pa.field("a", pa.int32()), pa.field("b", pa.int32()), pa.field("n", pa.int64())]
+    kinds = [("pair", pa.struct(pair)), ("word", pa.binary()), ("near", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, tails = _Numbers(known.value), np.zeros(0, np.int64)
@@ -189,7 +191,7 @@ def _neighbours(docs: DataFrame, seeds: list[bytes]) -> DataFrame:
             nonlocal held, tails, number
             for at in range(0, len(held[0]), 1 << 17):
                 code, n = held[0][at : at + (1 << 17)], held[1][at : at + (1 << 17)]
-                yield row(a=pa.array(code // m, pa.int32()), b=pa.array(code % m, pa.int32()), n=pa.array(n))
+                yield row(pair=pa.StructArray.from_arrays([pa.array(code // m, pa.int32()), pa.array(code % m, pa.int32()), pa.array(n)], fields=pair))
             if near and number.others:
                 met, packed = _grouped(np.concatenate([x for x, _ in near]), np.concatenate([x for _, x in near]))
                 words = pa.array(number.others, pa.binary()).take(pa.array(met))
@@ -208,7 +210,7 @@ def _neighbours(docs: DataFrame, seeds: list[bytes]) -> DataFrame:
         add()
         yield from give()
 
-    return docs.select("text").mapInArrow(run, "a int, b int, n long, word binary, near binary")
+    return docs.select("text").mapInArrow(run, "pair struct<a: int, b: int, n: long>, word binary, near binary")
 
 
 def _gain(counts: np.ndarray, left: np.ndarray, right: np.ndarray, own: int, after: np.ndarray, before: np.ndarray, free: int) -> int:
@@ -348,7 +350,7 @@ def class_model_scores(docs: DataFrame) -> DataFrame:
     seeds = sorted(((bytes(r["word"]), r["c"]) for r in counts.where(_most_frequent(counts, SEEDS)).collect()), key=lambda x: (-x[1], x[0]))
     k = len(seeds)
     met = cut(_neighbours(training, [w for w, _ in seeds]))
-    of, pairs = exchange(cut(met.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"))), k, classes_for(v))
+    of, pairs = exchange(cut(met.where("pair is not null").select("pair.*").groupBy("a", "b").agg(F.sum("n").alias("n"))), k, classes_for(v))
     free, total = len(pairs) - TAILS - 1, len(pairs)
     end = total - 1
     others = cut(_assigned(met.where("word is not null").select("word", "near"), of, pairs))
