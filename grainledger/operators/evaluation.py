@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from grainledger.functions.measures import ratio, symmetric_difference
+from grainledger.functions.measures import is_close, ratio, symmetric_difference
 from grainledger.operators.series import average_rank
+from grainledger.operators.valuation import value_class
 
 #: Cells below this stay hidden; weights of the six scores (risk counts inverted), bars of the status.
 SMALL_CELL = 5
@@ -230,3 +231,86 @@ def bootstrap_interval(df: DataFrame, value: str, stratum: str, replicates: int
     means = drawn.groupBy("r").agg((F.sum("total") / F.sum("n")).alias("m"), F.sum("n").alias("n"), (F.sum("own") / F.sum("n")).alias("own"))
     enough = F.max("n") >= LEAST_ROWS
     return means.agg(F.max("n").alias("n"), F.max("own").alias("mean"), F.when(enough, F.percentile("m", 0.025)).alias("low"), F.when(enough, F.percentile("m", 0.975)).alias("high"))
+
+
+def improvements(pairs: DataFrame, before: str, after: str) -> DataFrame:
+    """outcome and n of each way in which a difference moved; those that don't occur stay as 0."""
+    b, a = F.col(before), F.col(after)
+    moved = F.when(a.isNull() | b.isNull(), "unavailable").when(a < b, "improved").when(a > b, "worsened").otherwise("unchanged")
+    counts = pairs.groupBy(moved.alias("outcome")).agg(F.count("*").alias("n"))
+    grid = pairs.sparkSession.createDataFrame([(o,) for o in ("improved", "worsened", "unchanged", "unavailable")], "outcome string")
+    return grid.join(counts, "outcome", "left").select("outcome", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def price_views(scenarios: DataFrame, reference: DataFrame) -> DataFrame:
+    """ticker, view, price, value_class, reason: each reference company (ticker, price) at the price of the run and at its own.
+
+    Scenarios have ticker, scenario (bear, base, bull), low, high and current_price. A company whose scenarios name
+    different prices abstains in the first view; the second doesn't look at them.
+    """
+    value = lambda s: F.max(F.when(F.col("scenario") == s, F.col("low"))).alias(s)
+    wide = scenarios.groupBy("ticker").agg(
+        *[value(s) for s in ("bear", "base", "bull")], F.count("*").alias("n"), F.min(F.col("low").eqNullSafe(F.col("high"))).alias("tight"),
+        F.min("current_price").alias("p1"), F.max("current_price").alias("p2"),
+    )
+    all_ = reference.select("ticker", F.col("price").alias("other")).join(wide, "ticker", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    clash = F.coalesce(F.col("p1") != F.col("p2"), F.lit(False))
+    view = lambda name, price: F.struct(F.lit(name).alias("view"), price.alias("price"))
+    rows = all_.withColumn("v", F.explode(F.array(view("as_run", F.when(~clash, F.col("p1"))), view("price_normalised", F.col("other")))))
+    cls, reason = value_class(F.col("bear"), F.col("base"), F.col("bull"), F.col("v.price"), F.col("n"), F.coalesce("tight", F.lit(True)))
+    differing = clash & (F.col("v.view") == "as_run")
+    return rows.select("ticker", "v.view", "v.price", F.when(differing, "abstain").otherwise(cls).alias("value_class"), F.when(differing, "prices differ").otherwise(reason).alias("reason"))
+
+
+def linked_suppression(counts: DataFrame, group: list[str], n: str) -> DataFrame:
+    """Counts with ``shown`` and ``mark``: null for all families of a group as soon as any cell of one is below five.
+
+    Families of a group share totals, so one that is shown would give away another that isn't. The mark is ``small`` or,
+    for a cell that is large enough itself, ``linked``. Nulls in a group's key are one value.
+    """
+    least = counts.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.min(n).alias("_least"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group])
+    small, hidden = F.col(n) < SMALL_CELL, F.col("_least") < SMALL_CELL
+    mark = F.when(small, "small").when(hidden, "linked")
+    return counts.join(least, same).select(*counts.columns, F.when(~hidden, F.col(n)).alias("shown"), mark.alias("mark"))
+
+
+def record_issues(verdicts: DataFrame, valuation_run: str, quality_run: str) -> DataFrame:
+    """ticker and code of what is wrong with a run's verdicts; sound ones give no row.
+
+    Verdicts have ticker, status, severity (low, medium, high), the six scores, overall_score, valuation_run_id and
+    quality_run_id. The score is computed anew and the status from it, which needs usable numbers.
+    """
+    usable = lambda c: F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.lit(False))
+    numbers = reduce(lambda a, b: a & b, [usable(c) & F.col(c).between(0, 100) for c in WEIGHTS], usable("overall_score"))
+    score = sum(((100.0 - F.col(c)) if c == "risk" else F.col(c)) * w for c, w in WEIGHTS.items())
+    status = F.when((score >= INVESTIGATE) & (F.col("severity") != "high"), "Investigate").when(score >= WATCH, "Watch").otherwise("Reject")
+    found = {
+        "committee_unknown_status": ~F.coalesce(F.col("status").isin("Investigate", "Watch", "Reject"), F.lit(False)),
+        "committee_unknown_severity": ~F.coalesce(F.col("severity").isin("low", "medium", "high"), F.lit(False)),
+        "committee_invalid_numeric_scores": ~numbers,
+        "committee_overall_score_mismatch": numbers & ~is_close(score, F.col("overall_score")),
+        "committee_status_formula_mismatch": numbers & ~F.col("status").eqNullSafe(status),
+        "committee_lineage_mismatch": ~(F.col("valuation_run_id").eqNullSafe(valuation_run) & F.col("quality_run_id").eqNullSafe(quality_run)),
+    }
+    return verdicts.select("ticker", F.explode(F.array_compact(F.array(*[F.when(c, code) for code, c in found.items()]))).alias("code"))
+
+
+def replicate_refusal(stored: DataFrame, replicate: DataFrame) -> DataFrame:
+    """One row: why a repeated run's verdicts can't measure noise, the first reason that holds; null if they can.
+
+    Both have ticker, reused_from_run_id, quality_run_id, valuation_run_id and cache_key.
+    """
+    columns = ("reused_from_run_id", "quality_run_id", "valuation_run_id", "cache_key")
+    one = lambda df, p: df.groupBy("ticker").agg(F.count("*").alias(f"{p}n"), *[F.first(c).alias(f"{p}{c}") for c in columns])
+    both = one(stored, "a_").join(one(replicate, "b_"), "ticker", "full_outer")
+    differs = lambda c: ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
+    found = {
+        "ambiguous identifiers": (F.col("a_n") > 1) | (F.col("b_n") > 1),
+        "cohorts differ": F.col("a_n").isNull() | F.col("b_n").isNull(),
+        "replicate reuses verdicts": F.col("b_reused_from_run_id").isNotNull(),
+        "lineage differs": differs("quality_run_id") | differs("valuation_run_id"),
+        "inputs differ": differs("cache_key"),
+    }
+    counts = both.agg(*[F.count_if(c).alias(k) for k, c in found.items()])
+    return counts.select(F.coalesce(*[F.when(F.col(k) > 0, k) for k in found]).alias("reason"))

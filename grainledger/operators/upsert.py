@@ -23,6 +23,13 @@ def fill_upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str], repla
     return both.select(F.coalesce("_key", key).alias(key), *kept, *replaced)
 
 
+def upsert_attempts(old: DataFrame, new: DataFrame, key: str, *order: str) -> DataFrame:
+    """As ``latest_wins`` for a key that may be null: rows without one never replace each other, and all stay."""
+    keyed = latest_wins(old.where(F.col(key).isNotNull()), new.where(F.col(key).isNotNull()), [key], *order)
+    rest = old.where(F.col(key).isNull()).unionByName(new.where(F.col(key).isNull()), allowMissingColumns=True)
+    return keyed.unionByName(rest, allowMissingColumns=True)
+
+
 def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows, and new ones whose key is not there yet."""
     return old.unionByName(new.join(old.select(*keys).distinct(), keys, "left_anti"))

@@ -97,3 +97,13 @@ def value_class(bear: Column, base: Column, bull: Column, price: Column, scenari
         .when(price.isNull() | ~(price > 0), "no price")
     )
     return F.when(reason.isNotNull(), "abstain").when(price <= bear, "cheap").when(price >= bull, "expensive").otherwise("fair"), reason
+
+
+def thin_history(panel: DataFrame, least: int = 3) -> DataFrame:
+    """ticker, years of the companies with fewer years than that."""
+    return panel.groupBy("ticker").agg(F.count_distinct("fiscal_year").alias("years")).where(F.col("years") < least)
+
+
+def assumptions(**values: Column) -> Column:
+    """What a value rests on, as JSON with the names in the order given; unknown ones are written as null."""
+    return F.to_json(F.struct(*[v.alias(k) for k, v in values.items()]), {"ignoreNullFields": "false"})

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainledger.functions.keys import company_key, ticker
+
 #: What a filing document needs: content and at least so many bytes.
 LEAST_BYTES = 10_000
 
@@ -54,3 +56,61 @@ def strict_records(spark: SparkSession, path: str, required: list[str], optional
 def clean_prices(rows: DataFrame) -> DataFrame:
     """Prices without a close go, and a volume that isn't a number is unknown."""
     return rows.where("close is not null and not isnan(close)").withColumn("volume", F.when(~F.isnan(F.col("volume").cast("double")), F.col("volume")))
+
+
+def index_members(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """ticker, name, sector, industry, universe, cik out of the first table of saved pages; columns go by their headings.
+
+    A row needs a ticker. The key may be surrounded by other signs.
+    """
+    pages = spark.read.text(path, wholetext=True)
+    first = F.regexp_extract("value", r"(?is)<table[^>]*>(.*?)</table>", 1)
+    rows = pages.select(first.alias("t")).select(F.regexp_extract_all("t", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)).alias("rows"))
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", ""), "&amp;", "&"))
+    cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), F.lit(1)), plain)
+    listed = rows.where("size(rows) > 1").select(cells(F.get("rows", 0)).alias("head"), F.explode(F.slice("rows", F.lit(2), F.size("rows"))).alias("row")).select("head", cells(F.col("row")).alias("c"))
+    at = lambda heading: F.when(F.array_position("head", heading) > 0, F.get("c", (F.array_position("head", heading) - 1).cast("int")))
+    some = lambda c: F.when(c != "", c)
+    got = listed.select(ticker(at("Symbol")).alias("ticker"), at("Security").alias("name"), some(at("GICS Sector")).alias("sector"), some(at("GICS Sub-Industry")).alias("industry"), F.lit(name).alias("universe"), company_key(at("CIK")).alias("cik"))
+    return got.where("ticker != ''")
+
+
+def index_rows(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """ticker, name, sector, industry, universe, cik (null) out of a saved JSON reply, rows under data.data.rows."""
+    kind = "data struct<data: struct<rows: array<struct<symbol: string, companyName: string, sector: string>>>>"
+    rows = fresh_json(spark, path, kind).select(F.explode("data.data.rows").alias("r"))
+    sector = F.trim("r.sector")
+    return rows.select(
+        ticker(F.col("r.symbol")).alias("ticker"), F.trim(F.regexp_replace("r.companyName", r"\s+Common Stock.*$", "")).alias("name"),
+        F.when(sector != "", sector).alias("sector"), F.lit(None).cast("string").alias("industry"), F.lit(name).alias("universe"), F.lit(None).cast("string").alias("cik"),
+    )
+
+
+def company_keys(spark: SparkSession, path: str) -> DataFrame:
+    """ticker, cik of the bulk list, a JSON object of entries; of two entries of one ticker the last in order stays."""
+    entries = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, struct<cik_str: string, ticker: string>>")).alias("k", "e"))
+    named = entries.select(F.col("k").cast("long").alias("k"), F.upper("e.ticker").alias("ticker"), company_key(F.col("e.cik_str")).alias("cik"))
+    return named.groupBy("ticker").agg(F.max_by("cik", "k").alias("cik"))
+
+
+def feed_keys(spark: SparkSession, path: str) -> DataFrame:
+    """ticker, cik out of saved feeds, a file each, named by its ticker; those without a key are left out."""
+    feeds = spark.read.text(path, wholetext=True)
+    named = feeds.select(F.upper(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)).alias("ticker"), F.regexp_extract("value", r"<cik>(\d+)</cik>", 1).alias("cik"))
+    return named.where("cik != ''").withColumn("cik", company_key(F.col("cik")))
+
+
+def with_keys(companies: DataFrame, bulk: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Companies with the bulk list's key, else the feed's; null without either. Tickers are compared in capitals."""
+    at = lambda df, c: df.select(F.upper("ticker").alias("_ticker"), F.col("cik").alias(c))
+    plain = companies.drop("cik").withColumn("_ticker", F.upper("ticker"))
+    return plain.join(at(bulk, "_a"), "_ticker", "left").join(at(feeds, "_b"), "_ticker", "left").withColumn("cik", F.coalesce("_a", "_b")).drop("_ticker", "_a", "_b")
+
+
+def frozen(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
+    """A snapshot's rows, once its Parquet files are exactly those of the manifest (name, content_hash); else an error."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
+    wrong = expected.join(files, "name", "full_outer").where(~F.col("found").eqNullSafe(F.col("content_hash"))).select("name").limit(5).collect()
+    if wrong:
+        raise ValueError(f"snapshot isn't the recorded one: {', '.join(r['name'] for r in wrong)}")
+    return spark.read.parquet(path)
