@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from grainledger.llm.ann import op10_ann
 from grainledger.llm.brown_lm import op1_brown_lm
+from grainledger.llm.html_text import op12_html_text
 from grainledger.llm.language_id import op2_language_id
 from grainledger.llm.minhash import op9_minhash
 from grainledger.llm.mixing import op3_mixing
 from grainledger.llm.packing import op5_packing
+from grainledger.llm.prefix_trie import op11_prefix_trie
 from grainledger.llm.quality import op8_quality
+from grainledger.llm.structure_repair import op13_structure_repair
 from grainledger.llm.substrings import op4_substrings
 from grainledger.llm.token_files import op6_token_files
+from grainledger.llm.turn_sql import OP11, OP13
 from grainledger.llm.vector_dedup import op7_vector_dedup
 
 QUERIES = {
@@ -24,6 +28,9 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_html_text": op12_html_text,
+    "op13_structure_repair": op13_structure_repair,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_prefix_trie": OP11, "op13_structure_repair": OP13}
