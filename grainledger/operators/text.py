@@ -1,4 +1,4 @@
-"""Filing text: normalisation, sections, quotes, claims in model replies, and re-anchoring of citations."""
+"""Filing text: normalisation, quotes, claims in model replies, and re-anchoring of citations."""
 
 from __future__ import annotations
 
@@ -15,11 +15,8 @@ from pyspark.sql.window import Window as W
 from grainledger.functions.vectorised import vectorised
 from grainledger.session import cut
 
-#: Context kept beside a quote, the least share of a fuzzy match, bars of a section's length by item.
+#: Context kept beside a quote, the least share of a fuzzy match.
 CONTEXT, LEAST_SHARE = 48, 0.60
-FLOOR, GOOD = 5_000, {"1": 15_000, "1A": 20_000, "7": 15_000}
-MOST_OF_DOCUMENT, LEAST_ALPHA = 0.60, 0.55
-CONTENTS_SPAN, CONTENTS_ITEMS, LEADER_SPAN = 6_000, 4, 120
 #: Words of the runs by which documents are found for a passage, the first size that it is long enough for; parts of a frequent run.
 RUNS, SALTS = (3, 1), 16
 
@@ -72,60 +69,6 @@ def normalise(raw: pd.Series) -> pd.Series:
     return raw.map(_normal)
 
 
-_HEADING = re.compile(r"^[ \t]*item[ \t]+(1a|1b|1|2|3|7a|7|8)\b[.:\- \t]*", re.I | re.M)
-_ENDS = {"1": ("1A", "1B", "2"), "1A": ("1B", "2", "3"), "7": ("7A", "8")}
-_SECTION = "array<struct<item:string,start:int,end:int,end_item:string>>"
-
-
-def _sections(text: str | None) -> list[tuple]:
-    """Spans of items 1, 1A and 7: the earliest headings, in this order, that aren't entries of a contents list."""
-    if not text:
-        return []
-    found = [(m.group(1).upper(), m.start(), m.end()) for m in _HEADING.finditer(text)]
-    real = []
-    for i, (item, at, end) in enumerate(found):
-        near = {x for x, a, _ in found[i:] if a - at <= CONTENTS_SPAN}
-        line = text[end : end + LEADER_SPAN].split("\n", 1)[0]
-        in_contents = len(near) >= CONTENTS_ITEMS or re.search(r"\.{3,}|\s\d{1,3}\s*$", line)
-        refers = re.search(r"\b(see|refer to|described in|included in)\b", text[max(0, at - 40) : at].rsplit("\n", 1)[-1], re.I)
-        if not in_contents and not refers:
-            real.append((item, at))
-    out, after = [], -1
-    for item in ("1", "1A", "7"):
-        start = min((a for x, a in real if x == item and a > after), default=None)
-        if start is None:
-            continue
-        ends = [(a, x) for x, a in real if x in _ENDS[item] and a > start]
-        end, by = min(ends, default=(len(text), None))
-        out.append((item, start, end, by))
-        after = start
-    return out
-
-
-@vectorised(_SECTION)
-def sections(text: pd.Series) -> pd.Series:
-    return text.map(_sections)
-
-
-def graded_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, item, start, end, confidence: high, low, or rejected for spans under 5,000 characters."""
-    spans = docs.select(key, F.col(text).alias("_t"), F.inline(sections(text)))
-    body = F.substring(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start"))
-    length = F.col("end") - F.col("start")
-    alpha = F.length(F.regexp_replace(body, "[^A-Za-z]", "")) / F.greatest(length, F.lit(1))
-    bar = F.lit(None).cast("int")
-    for item, least in GOOD.items():
-        bar = F.when(F.col("item") == item, least).otherwise(bar)
-    high = (length >= bar) & (length <= MOST_OF_DOCUMENT * F.length("_t")) & (alpha >= LEAST_ALPHA) & F.col("end_item").isNotNull()
-    return spans.select(key, "item", "start", "end", "end_item", F.when(length < FLOOR, "rejected").when(high, "high").otherwise("low").alias("confidence"))
-
-
-def extraction_method(graded: DataFrame, key: str) -> DataFrame:
-    """key, method: sections where all three are high, partial where only some are, else full."""
-    n = graded.groupBy(key).agg(F.count_if(F.col("confidence") == "high").alias("high"), F.count("*").alias("n"))
-    return n.select(key, F.when(F.col("high") == 3, "sections").when((F.col("high") > 0) & (F.col("high") == F.col("n")), "partial").otherwise("full").alias("method"))
-
-
 def occurrences(text: Column, quote: Column) -> Column:
     """Starts, from 0, of all occurrences, overlapping ones too."""
     hits = F.filter(F.sequence(F.lit(0), F.length(text) - F.length(quote)), lambda i: F.substring(text, i + 1, F.length(quote)) == quote)

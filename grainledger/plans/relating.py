@@ -227,11 +227,11 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {_SCORED} SELECT ticker, round(score, 4) AS score, CASE WHEN score >= 70 THEN CASE WHEN severity = 'high' THEN 'watch' ELSE 'investigate' END WHEN score >= 50 THEN 'watch' ELSE 'reject' END AS status FROM (SELECT *, {_sum({k: k for k in _WEIGHTS})} AS score FROM scored)")
+@query(f"WITH {_SCORED} SELECT ticker, round(score, 7) AS score, CASE WHEN score >= 70 THEN CASE WHEN severity = 'high' THEN 'watch' ELSE 'investigate' END WHEN score >= 50 THEN 'watch' ELSE 'reject' END AS status FROM (SELECT *, {_sum({k: k for k in _WEIGHTS})} AS score FROM scored)")
 def weighted_score_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir)
     score = evaluation.overall_score({s: F.col(s) for s in evaluation.WEIGHTS})
-    return rows.withColumn("score", score).select("ticker", F.round("score", 4).alias("score"), evaluation.verdict_status(F.col("score"), F.col("severity")).alias("status"))
+    return rows.withColumn("score", score).select("ticker", F.round("score", 7).alias("score"), evaluation.verdict_status(F.col("score"), F.col("severity")).alias("status"))
 
 
 @query(f"WITH {_SCORED}, m AS (SELECT {', '.join(f'median({k}) AS m_{k}' for k in _WEIGHTS)} FROM scored), s AS (SELECT * FROM scored CROSS JOIN m), x AS ({_scenario_sql()}) SELECT ticker, scenario, round(score, 7) AS score, CASE WHEN score >= 70 THEN CASE WHEN held THEN 'watch' ELSE 'investigate' END WHEN score >= 50 THEN 'watch' ELSE 'reject' END AS status FROM x")
@@ -402,11 +402,6 @@ def html_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.normalise("html").alias("text"))
 
 
-@query()
-def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.graded_sections(table(spark, sf_dir, "pages").select("page_id", text.normalise("html").alias("text")), "page_id", "text")
-
-
 @query("SELECT conv_id, sha256(string_agg(length(text)::VARCHAR || ':' || text, '|' ORDER BY turn)) AS bundle FROM conversations GROUP BY 1")
 def bundle_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")

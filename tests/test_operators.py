@@ -102,13 +102,7 @@ def test_occurrences_overlap(spark):
     assert [list(r.a) for r in row] == [list(r.b) for r in row] == [[0, 1, 2], [], []]
 
 
-def test_sections_and_claims(spark):
-    body = "Item 1. Business\n" + "word " * 4000 + "\nItem 1A. Risk\n" + "risk " * 5000 + "\nItem 2. Other\n" + "x " * 9000 + "\nItem 7. Talk\n" + "talk " * 4000 + "\nItem 8. Numbers\n" + "9 " * 20000
-    contents = "Item 1. A .... 1\nItem 1A. B .... 2\nItem 7. C .... 3\nItem 8. D .... 4\n"
-    df = spark.createDataFrame([(1, contents + body), (2, "nothing"), (3, None)], "id int, t string")
-    got = text.graded_sections(df, "id", "t")
-    assert [(r["item"], r["confidence"], r["end_item"]) for r in got.orderBy("start").collect()] == [("1", "high", "1A"), ("1A", "high", "2"), ("7", "high", "8")]
-    assert text.extraction_method(got, "id").first()["method"] == "sections"
+def test_claims(spark):
     cite = [{"document_index": 0, "start_char_index": 0, "end_char_index": 4, "cited_text": "word"}]
     blocks = [("text", "# Moat\n- First claim", cite), ("text", "\n- Second claim\n- Insufficient evidence here\n---", []), ("tool", "x", [])]
     kind = "id int, b array<struct<type:string,text:string,citations:array<struct<document_index:int,start_char_index:int,end_char_index:int,cited_text:string>>>>"

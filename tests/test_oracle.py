@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from grainledger.plans import evidencing, relating, screening, valuing
+from grainledger.plans import evidencing, filing, relating, screening, valuing
 
 DIR = "/root/testdata/sf0.001"
-SQL = screening.SQL | valuing.SQL | relating.SQL | evidencing.SQL
-QUERIES = screening.QUERIES | valuing.QUERIES | relating.QUERIES | evidencing.QUERIES
+SQL = screening.SQL | valuing.SQL | relating.SQL | evidencing.SQL | filing.SQL
+QUERIES = screening.QUERIES | valuing.QUERIES | relating.QUERIES | evidencing.QUERIES | filing.QUERIES
 
 
 def rows(columns, values):
