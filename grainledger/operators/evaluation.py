@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -30,6 +32,8 @@ INVESTIGATE, WATCH = 70.0, 50.0
 LEAST_ASSESSED, BOUNDARY, DEFINITIONAL = 6, 33.0, ("Financials", "Real Estate")
 NEAR_ZERO, POINT = 0.0001, 0.01
 REPLICATES, SEED, LEAST_ROWS, LEAST_STRATUM = 10_000, 61001, 20, 5
+#: Different rows of a stratum that a task draws from.
+PIECE = 4096
 
 
 def rate(top: Column, bottom: Column) -> Column:
@@ -203,34 +207,63 @@ def average_equity_roe(panel: DataFrame, keys: list[str]) -> DataFrame:
     return panel.select(*keys, "fiscal_year", ratio("net_income", mean).alias("roe"))
 
 
-def bootstrap_interval(df: DataFrame, value: str, stratum: str, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
-    """One row: n, mean, low and high (2.5 and 97.5 %) of resampled means, strata kept at their size.
+def bootstrap(df: DataFrame, stratum: str, sums: dict[str, Column], metric: Callable[[dict[str, Column]], Column], replicates: int = REPLICATES, seed: int = SEED, piece: int = PIECE) -> DataFrame:
+    """One row: n, estimate, low and high (2.5 and 97.5 %), replicates (those with a finite metric), method.
+
+    The metric is a column over ``sums``, totals over the rows that a replicate draws (``{"v": F.col("x"), "n": F.lit(1)}`` and v / n for a
+    mean). Strata keep their size; a null or empty one is Unknown. Those under five rows are pooled, or if the pool is under five, all
+    rows are one stratum. Under twenty rows there is no interval. Null terms of a sum are 0.
 
-    Strata under five rows are pooled, and all are if the pool is under five; under twenty rows there is no interval.
-    A stratum's rows meet in its task as (value, count) pairs, so that its memory follows the distinct values; replicates
-    draw multinomial counts of them.
+    A stratum's different rows with their counts lie in pieces of about ``piece``, each drawn in its own task. How many
+    of a replicate's draws fall to a piece is split along a binary tree over the pieces' sizes, with a generator for each node, so every
+    task that passes a node sees the same split, and no task holds a stratum.
     """
-    known = df.where(F.col(value).isNotNull())
-    sized = known.groupBy(stratum).agg(F.count("*").alias("_n"))
-    small = sized.where(F.col("_n") < LEAST_STRATUM).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("pool"))
-    pooled = sized.crossJoin(F.broadcast(small)).select(F.col(stratum).alias("_s"), F.when((F.col("pool") > 0) & (F.col("pool") < LEAST_STRATUM), "all").when(F.col("_n") < LEAST_STRATUM, "pool").otherwise(F.concat(F.lit("s:"), F.col(stratum).cast("string"))).alias("_group"))
-    anyall = pooled.agg(F.bool_or(F.col("_group") == "all").alias("_all"))
-    pooled = pooled.crossJoin(F.broadcast(anyall)).select("_s", F.when(F.col("_all"), "all").otherwise(F.col("_group")).alias("_group"))
-    counts = known.join(pooled, F.col(stratum).eqNullSafe(F.col("_s"))).groupBy("_group", F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-
-    def draw(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("v")
-        rng = np.random.default_rng([seed, *key[0].encode()])
-        n, v = int(frame["n"].sum()), frame["v"].to_numpy()
-        total = np.empty(replicates)
-        for r in range(replicates):
-            total[r] = rng.multinomial(n, frame["n"].to_numpy() / n) @ v
-        return pd.DataFrame({"r": np.arange(replicates), "total": total, "n": n, "own": float(frame["n"] @ v)})
-
-    drawn = counts.groupBy("_group").applyInPandas(draw, "r int, total double, n long, own double")
-    means = drawn.groupBy("r").agg((F.sum("total") / F.sum("n")).alias("m"), F.sum("n").alias("n"), (F.sum("own") / F.sum("n")).alias("own"))
-    enough = F.max("n") >= LEAST_ROWS
-    return means.agg(F.max("n").alias("n"), F.max("own").alias("mean"), F.when(enough, F.percentile("m", 0.025)).alias("low"), F.when(enough, F.percentile("m", 0.975)).alias("high"))
+    named = F.coalesce(F.when(F.col(stratum).cast("string") != "", F.col(stratum).cast("string")), F.lit("Unknown"))
+    rows = df.select(named.alias("_s"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(k) for k, c in sums.items()])
+    sized = rows.groupBy("_s").agg(F.count("*").alias("_n"))
+    small = F.coalesce(F.sum(F.when(F.col("_n") < LEAST_STRATUM, F.col("_n"))), F.lit(0))
+    method = F.when(small == 0, "sector_stratified").when(small >= LEAST_STRATUM, "sector_stratified_with_pooled_small_sectors").otherwise("unstratified_small_sector_fallback")
+    how = sized.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), method.alias("method"))  # one row
+    group = F.when(F.col("method").startswith("unstratified"), "all").when(F.col("_n") < LEAST_STRATUM, "pool").otherwise(F.concat(F.lit("s:"), F.col("_s")))
+    groups = sized.crossJoin(F.broadcast(how.select("method"))).select("_s", group.alias("_g"))
+    counts = rows.join(groups, "_s").groupBy("_g", *sums).agg(F.count("*").alias("_n"))
+    pieces = counts.groupBy("_g").agg(F.ceil(F.count("*") / piece).alias("_k"))
+    counts = counts.join(pieces, "_g").withColumn("_p", F.pmod(F.xxhash64(*sums), F.col("_k"))).drop("_k")
+    sizes = counts.groupBy("_g", "_p").agg(F.sum("_n").alias("_n")).groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_p", "_n"))).alias("_l"))
+    sizes = sizes.select("_g", F.transform("_l", lambda x: x["_n"]).alias("_sizes"), F.posexplode("_l").alias("_at", "_x")).select(F.col("_g").alias("_h"), F.col("_x._p").alias("_q"), "_at", "_sizes")
+    names = list(sums)
+
+    def draw(key: tuple, own: pd.DataFrame, place: pd.DataFrame) -> pd.DataFrame:
+        all_, at, mark = np.asarray(place["_sizes"][0], np.int64), int(place["_at"][0]), zlib.crc32(key[0].encode())
+        low, high, n = 0, len(all_), np.full(replicates, all_.sum(), np.int64)
+        while high - low > 1:
+            middle = (low + high) // 2
+            first = np.random.default_rng([seed, mark, low, high]).binomial(n, all_[low:middle].sum() / all_[low:high].sum())
+            low, high, n = (low, middle, first) if at < middle else (middle, high, n - first)
+        own = own.sort_values(names)
+        v, share = own[names].to_numpy(), own["_n"].to_numpy() / own["_n"].sum()
+        rng, out = np.random.default_rng([seed, mark, at]), np.empty((replicates, len(names)))
+        step = max(1, 2_000_000 // len(v))
+        for r in range(0, replicates, step):
+            out[r : r + step] = rng.multinomial(n[r : r + step], share) @ v
+        return pd.DataFrame({"r": np.arange(replicates)} | {k: out[:, i] for i, k in enumerate(names)})
+
+    kinds = ", ".join(f"`{k}` double" for k in names)
+    drawn = counts.groupBy("_g", "_p").cogroup(sizes.groupBy("_h", "_q")).applyInPandas(draw, f"r int, {kinds}")
+    value = metric({k: F.col(k) for k in names}).cast("double")
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    totals = drawn.groupBy("r").agg(*[F.sum(k).alias(k) for k in names]).select(F.when(finite, value).alias("m"))
+    interval = totals.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.count("m").alias("replicates"))
+    estimate = rows.agg(*[F.sum(k).alias(k) for k in names]).select(value.alias("estimate"))
+    enough = F.col("n") >= LEAST_ROWS
+    met = how.crossJoin(estimate).crossJoin(interval)  # one row each
+    return met.select("n", "estimate", *[F.when(enough, F.col(c)).alias(c) for c in ("low", "high", "replicates", "method")])
+
+
+def bootstrap_interval(df: DataFrame, value: str, stratum: str, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+    """The mean of ``value`` by ``bootstrap``, as n, mean, low, high and method; rows without a value don't count."""
+    got = bootstrap(df.where(F.col(value).isNotNull()), stratum, {"total": F.col(value), "rows": F.lit(1)}, lambda t: F.try_divide(t["total"], t["rows"]), replicates, seed)
+    return got.select("n", F.col("estimate").alias("mean"), "low", "high", "method")
 
 
 def improvements(pairs: DataFrame, before: str, after: str) -> DataFrame:

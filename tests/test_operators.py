@@ -134,8 +134,31 @@ def test_status_and_errors(spark):
 def test_bootstrap(spark):
     df = spark.createDataFrame([(float(i % 10), f"s{i % 3}") for i in range(60)] + [(1.0, "tiny")], "v double, s string")
     one, two = (evaluation.bootstrap_interval(df, "v", "s", 500).first() for _ in range(2))
-    assert one == two and one["n"] == 61 and one["low"] < one["mean"] < one["high"]
-    assert evaluation.bootstrap_interval(df.limit(10), "v", "s", 50).first()["low"] is None
+    assert one == two and one["n"] == 61 and one["low"] < one["mean"] < one["high"] and one["method"] == "unstratified_small_sector_fallback"
+    few = evaluation.bootstrap_interval(df.limit(10), "v", "s", 50).first()
+    assert few["low"] is None and few["method"] is None and few["n"] == 10
+    assert evaluation.bootstrap_interval(df.limit(0), "v", "s", 50).first()["n"] == 0
+
+
+def test_bootstrap_in_pieces(spark):
+    rows = [((i * 37 % 101) / 7.0, "a" if i % 3 else "b") for i in range(900)] + [(5.0, None), (6.0, ""), (7.0, "c"), (8.0, "d"), (9.0, "e")]
+    df = spark.createDataFrame(rows, "v double, s string")
+    terms = {"total": F.col("v"), "n": F.lit(1), "a": F.when(F.col("s") == "a", 1)}
+    mean = lambda t: F.try_divide(t["total"], t["n"])
+    got = {p: evaluation.bootstrap(df, "s", terms, mean, 3000, 5, p).first() for p in (7, 4096)}
+    want = sum(v for v, _ in rows) / len(rows)
+    strata = [[v for v, s in rows if s == "a"], [v for v, s in rows if s == "b"], [v for v, s in rows if s not in ("a", "b")]]
+    error = sum(sum((v - sum(x) / len(x)) ** 2 for v in x) for x in strata) ** 0.5 / len(rows)
+    for r in got.values():
+        assert r["method"] == "sector_stratified_with_pooled_small_sectors" and r["replicates"] == 3000 and abs(r["estimate"] - want) < 1e-9
+        assert abs((r["high"] - r["low"]) / (2 * 1.96 * error) - 1) < 0.08 and abs((r["high"] + r["low"]) / 2 - want) < 0.2 * error
+    # sizes of strata and of the whole don't vary
+    for key, n in (("n", 905), ("a", 600)):
+        r = evaluation.bootstrap(df, "s", terms, lambda t, key=key: t[key], 200, 5, 7).first()
+        assert r["low"] == r["high"] == r["estimate"] == n
+    assert evaluation.bootstrap(df, "s", terms, lambda t: F.try_divide(t["total"], t["n"] * 0), 100, 5).first()["low"] is None
+    plain = df.where("s in ('a', 'b')")
+    assert evaluation.bootstrap(plain, "s", terms, mean, 100, 5).first()["method"] == "sector_stratified"
 
 
 def test_chain_with_cycle(spark):

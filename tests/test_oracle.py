@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from grainledger.plans import auditing, evidencing, filing, relating, screening, valuing
+from grainledger.plans import auditing, disclosing, evidencing, filing, relating, screening, valuing
 
 DIR = "/root/testdata/sf0.001"
-SQL = screening.SQL | valuing.SQL | relating.SQL | evidencing.SQL | filing.SQL | auditing.SQL
-QUERIES = screening.QUERIES | valuing.QUERIES | relating.QUERIES | evidencing.QUERIES | filing.QUERIES | auditing.QUERIES
+SQL = screening.SQL | valuing.SQL | relating.SQL | evidencing.SQL | filing.SQL | auditing.SQL | disclosing.SQL
+QUERIES = screening.QUERIES | valuing.QUERIES | relating.QUERIES | evidencing.QUERIES | filing.QUERIES | auditing.QUERIES | disclosing.QUERIES
 
 
 def rows(columns, values):
