@@ -47,7 +47,8 @@ def disclosed(counts: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFra
     """(cells: family, cell, n, shown, mark, component; totals: total, n, shown, mark).
 
     ``counts`` has family, cell, n. As soon as one cell of a component is below LEAST, all its families' cells and totals are hidden: with
-    any of them shown, others could be had by subtraction. Marks say whether a count is small itself or only withheld.
+    any of them shown, others could be had by subtraction. Families that part the same rows in two ways must both name those rows as a
+    total. Marks say whether a count is small itself or only withheld.
     """
     labels = linked_families(members)
     small = counts.join(labels, "family").groupBy("component").agg((F.min("n") < LEAST).alias("hidden"))

@@ -23,9 +23,9 @@ def query(sql: str | None = None):
 
 _MET = "met AS (SELECT source, lang, quality, toxic FROM documents JOIN labels USING (doc_id))"
 _COUNTS = f"""{_MET},
-counts AS (SELECT 'quality of ' || source AS family, CAST(quality AS VARCHAR) AS cell, count(*) AS n FROM met GROUP BY source, quality UNION ALL SELECT 'toxic of ' || source, CAST(toxic AS VARCHAR), count(*) FROM met GROUP BY source, toxic
-  UNION ALL SELECT 'quality in ' || lang, CAST(quality AS VARCHAR), count(*) FROM met GROUP BY lang, quality UNION ALL SELECT 'languages of ' || source, lang, count(*) FROM met WHERE length(source) % 2 = 1 GROUP BY source, lang),
-members AS (SELECT DISTINCT 'quality of ' || source AS family, 'source ' || source AS total FROM met UNION SELECT 'toxic of ' || source, 'source ' || source FROM met UNION SELECT 'quality in ' || lang, 'language ' || lang FROM met
+counts AS (SELECT 'quality of ' || source AS family, CAST(quality AS VARCHAR) AS cell, count(*) AS n FROM met WHERE length(source) % 2 = 1 GROUP BY source, quality UNION ALL SELECT 'toxic of ' || source, CAST(toxic AS VARCHAR), count(*) FROM met WHERE length(source) % 2 = 1 GROUP BY source, toxic
+  UNION ALL SELECT 'quality in ' || lang, CAST(quality AS VARCHAR), count(*) FROM met WHERE length(source) % 2 = 0 GROUP BY lang, quality UNION ALL SELECT 'languages of ' || source, lang, count(*) FROM met WHERE length(source) % 2 = 1 GROUP BY source, lang),
+members AS (SELECT DISTINCT 'quality of ' || source AS family, 'source ' || source AS total FROM met WHERE length(source) % 2 = 1 UNION SELECT 'toxic of ' || source, 'source ' || source FROM met WHERE length(source) % 2 = 1 UNION SELECT 'quality in ' || lang, 'language ' || lang FROM met WHERE length(source) % 2 = 0
   UNION SELECT 'languages of ' || source, 'source ' || source FROM met WHERE length(source) % 2 = 1),
 reach AS (SELECT DISTINCT family, family AS other FROM members UNION SELECT r.family, b.family FROM reach r JOIN members a ON a.family = r.other JOIN members b ON b.total = a.total),
 labels_ AS (SELECT family, min(other) AS component FROM reach GROUP BY family),
@@ -34,8 +34,8 @@ small AS (SELECT component, min(n) < 5 AS hidden FROM counts JOIN labels_ USING
 
 def _counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     met = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
-    odd = met.where(F.length("source") % 2 == 1)
-    parts = [(met, "quality of ", "source", "quality"), (met, "toxic of ", "source", "toxic"), (met, "quality in ", "lang", "quality"), (odd, "languages of ", "source", "lang")]
+    odd, even = met.where(F.length("source") % 2 == 1), met.where(F.length("source") % 2 == 0)
+    parts = [(odd, "quality of ", "source", "quality"), (odd, "toxic of ", "source", "toxic"), (even, "quality in ", "lang", "quality"), (odd, "languages of ", "source", "lang")]
     counts, members = None, None
     for rows, name, by, cell in parts:
         c = rows.groupBy(F.concat(F.lit(name), by).alias("family"), F.col(cell).cast("string").alias("cell")).agg(F.count("*").alias("n"))
@@ -46,7 +46,7 @@ def _counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH RECURSIVE {_COUNTS} SELECT family, cell, n, CASE WHEN NOT hidden THEN n END AS shown, CASE WHEN n < 5 THEN 'suppressed_lt_5' WHEN hidden THEN 'withheld_secondary_suppression' END AS mark, component FROM counts JOIN labels_ USING (family) JOIN small USING (component)")
 def linked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Families of counts by source and by language; the links are found over the totals that they share."""
+    """Families of counts by source, and by language over other sources; the links are found over the totals that they share."""
     return disclosure.disclosed(*_counts(spark, sf_dir))[0]
 
 
