@@ -231,50 +231,89 @@ def re_anchor(citations: DataFrame) -> DataFrame:
     return c.select("citation_id", found.alias("_f")).select("citation_id", "_f.*")
 
 
-_CLAIM = "array<struct<section:string,ordinal:int,claim:string,status:string,citations:array<struct<document_index:int,start_char:int,end_char:int,cited_text:string>>>>"
-_MARK = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+")
-_HEAD = re.compile(r"^\s*#{1,4}\s*(.+?)\s*$")
+_CITATION = "struct<document_index:int,start_char:int,end_char:int,cited_text:string>"
+_CLAIM = f"array<struct<section:string,ordinal:int,claim:string,status:string,citations:array<{_CITATION}>>>"
+# The headings of a reply with the names of their sections, the two prefixes, the line that ends a section.
+REPLY_SECTIONS = {"BUSINESS QUALITY": "business_quality", "MOAT": "moat", "MANAGEMENT": "management", "RISK": "risk"}
+CLAIM, LACKING = "claim:", "insufficient evidence:"
+_MARKER = re.compile(rf"##\s+({'|'.join(REPLY_SECTIONS)})\b[^\n]*|({LACKING}|{CLAIM})", re.I)
+_RULE = re.compile(r"\n*-{3,}\s*\Z")
 
 
-def _claims(blocks) -> list[dict]:
-    """Claims of one reply: a heading switches the section, a marker starts a claim, a cited block completes it."""
-    out: list[dict] = []
-    section, open_ = None, None
-
-    def close():
-        nonlocal open_
-        if open_ and (text := re.sub(r"\s*(?:-{3,}|_{3,})\s*$", "", open_["claim"]).strip()):
-            lacking = "insufficient evidence" in text.lower()
-            n = sum(c["section"] == open_["section"] for c in out) + 1
-            out.append(open_ | {"claim": text, "ordinal": n, "status": "insufficient" if lacking else "cited" if open_["citations"] else "uncited"})
-        open_ = None
+class _Reply:
+    """Claims of a reply while its blocks are read: which section is open, and whether a claim was announced and still has no text."""
+
+    def __init__(self):
+        self.section, self.waiting, self.found, self.counts = None, False, [], {}
+
+    def add(self, text: str, status: str, citations: list[dict]) -> None:
+        text = _RULE.sub("", text).rstrip()
+        if self.section and text:
+            n = self.counts[self.section] = self.counts.get(self.section, 0) + 1
+            self.found.append({"section": self.section, "ordinal": n, "claim": text, "status": status, "citations": citations})
+            self.waiting = False
+
+    def block(self, text: str, cited: bool, citations: list[dict]) -> None:
+        marks = list(_MARKER.finditer(text))
+        lead = text[: marks[0].start() if marks else len(text)].strip()
+        if cited and marks:
+            self.waiting = False  # what stands before the first mark can't be bound to the claim that waits
+        elif cited:
+            if lead and self.waiting:
+                self.add(lead, "asserted", citations)
+            else:
+                self.waiting = False
+        elif lead and self.waiting:
+            self.add(lead, "asserted", [])
+        for m, end in zip(marks, [n.start() for n in marks[1:]] + [len(text)]):
+            body = text[m.end() : end].strip()
+            if m[1]:
+                self.section = REPLY_SECTIONS[m[1].upper()]
+                self.waiting &= cited
+            elif m[2].lower() == LACKING:
+                self.add(body, "insufficient_evidence", [])
+            elif body:
+                self.add(body, "asserted", citations if cited else [])
+            else:
+                self.waiting = True
 
+
+def _claims(blocks) -> list[dict]:
+    reply = _Reply()
     for block in blocks if blocks is not None else []:
-        if block["type"] != "text":
-            continue
-        cites = [{"document_index": c["document_index"], "start_char": c["start_char_index"], "end_char": c["end_char_index"], "cited_text": c["cited_text"]} for c in (block["citations"] if block["citations"] is not None else [])]
-        lines = (block["text"] or "").split("\n")
-        for line in lines:
-            if head := _HEAD.match(line):
-                close()
-                section = head[1].lower()
-            elif mark := _MARK.match(line):
-                close()
-                open_ = {"section": section, "claim": line[mark.end() :], "citations": []}
-            elif open_ is not None and line.strip():
-                open_["claim"] += " " * bool(open_["claim"]) + line.strip()
-        if cites:
-            open_ = open_ or {"section": section, "claim": (block["text"] or "").strip(), "citations": []}
-            open_["citations"] += cites
-    close()
-    return out
+        if block["type"] == "text":
+            given = block["citations"] if block["citations"] is not None else []
+            kept = [{"document_index": c["document_index"], "start_char": c["start_char_index"], "end_char": c["end_char_index"], "cited_text": c["cited_text"]} for c in given if c["type"] == "char_location"]
+            reply.block(block["text"] or "", len(given) > 0, kept)
+    return reply.found
 
 
 @vectorised(_CLAIM)
 def claims(blocks: pd.Series) -> pd.Series:
+    """Claims of replies, arrays of (type, text, citations of (type, document_index, start_char_index, end_char_index, cited_text)).
+
+    A heading opens a section; text outside one makes no claim. A claim's text follows its prefix, or is the next block. A cited block
+    is the text of the claim that waits; one with prefixes or headings of its own gives its citations to the claims that it announces itself. Status:
+    asserted or insufficient_evidence, which has no citations. Null, empty and other blocks say nothing.
+    """
     return blocks.map(_claims)
 
 
+def reply_issues(replies: DataFrame, found: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """reply_id, code, section, ordinal: why a reply can't be stored; a sound one gives no row.
+
+    ``replies`` has reply_id and stop_reason, ``found`` reply_id, section, ordinal, status, citations, ``unresolved`` (errors of
+    ``resolved_citations``) reply_id, section, ordinal and error. Codes: truncated, missing_section, uncited, and those errors.
+    """
+    none = [F.lit(None).cast("string").alias("section"), F.lit(None).cast("int").alias("ordinal")]
+    cut_off = replies.where("stop_reason = 'max_tokens'").select("reply_id", F.lit("truncated").alias("code"), *none)
+    wanted = replies.select("reply_id", F.explode(F.array(*map(F.lit, REPLY_SECTIONS.values()))).alias("section"))
+    missing = wanted.join(found.select("reply_id", "section").distinct(), ["reply_id", "section"], "left_anti").select("reply_id", F.lit("missing_section").alias("code"), "section", none[1])
+    uncited = found.where((F.col("status") == "asserted") & (F.size("citations") == 0)).select("reply_id", F.lit("uncited").alias("code"), "section", "ordinal")
+    wrong = unresolved.where("error is not null").select("reply_id", F.col("error").alias("code"), "section", "ordinal")
+    return cut_off.unionByName(missing).unionByName(uncited).unionByName(wrong)
+
+
 def resolved_citations(found: DataFrame, documents: DataFrame) -> DataFrame:
     """Cited claims against their documents: found, or why not: unknown_document, out_of_range, text_differs.
 

@@ -388,13 +388,47 @@ def claim_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.row_number().over(W.partitionBy("conv_id", "role").orderBy("turn")).cast("long").alias("ordinal"))
 
 
-@query()
+_REPLIES = """
+turns AS (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, turn % 5 AS kind, turn // 5 AS part, length(text) AS n FROM conversations WHERE turn IS NOT NULL),
+heads AS (SELECT conv_id, part, max(CASE WHEN kind = 0 THEN ['business_quality', 'moat', 'management', 'risk'][(conv_id + part) % 4 + 1] END) AS section FROM turns GROUP BY 1, 2),
+kinds AS (SELECT t.*, h.section, max(kind = 0) OVER (PARTITION BY t.conv_id, t.part) AS headed FROM turns t JOIN heads h USING (conv_id, part)),
+found AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, section ORDER BY turn) AS INTEGER) AS ordinal FROM kinds WHERE kind > 0 AND section IS NOT NULL AND body <> '')"""
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """reply_id, blocks: a conversation as a reply; by place in fives, a turn opens a section, is cited, uncited, lacks evidence, or is cited in one block with its prefix."""
+    c = table(spark, sf_dir, "conversations").where("turn is not null")
+    kind, part, said = F.col("turn") % 5, F.floor(F.col("turn") / 5), F.coalesce("text", F.lit(""))
+    heading = F.element_at(F.array(*[F.lit(h) for h in text.REPLY_SECTIONS]), ((F.col("conv_id") + part) % 4 + 1).cast("int"))
+    words = F.when(kind == 0, F.concat(F.lit("Now:\n## "), heading, F.lit("\n\nCLAIM: "))).when(kind == 1, said).when(kind == 2, F.concat(F.lit("claim: "), said, F.lit("\n\n---\n"))).when(kind == 3, F.concat(F.lit("Insufficient evidence: "), said)).otherwise(F.concat(F.lit("As said, CLAIM: "), said))
+    cite = F.struct(F.lit("char_location").alias("type"), F.col("turn").cast("int").alias("document_index"), F.lit(0).alias("start_char_index"), F.length(said).alias("end_char_index"), said.alias("cited_text"))
+    cites = F.when(kind.isin(1, 4), F.array(cite)).otherwise(F.array().cast("array<struct<type:string,document_index:int,start_char_index:int,end_char_index:int,cited_text:string>>"))
+    blocks = c.select("conv_id", F.struct("turn", F.lit("text").alias("type"), words.alias("text"), cites.alias("citations")).alias("b"))
+    return blocks.groupBy(F.col("conv_id").alias("reply_id")).agg(F.transform(F.sort_array(F.collect_list("b")), lambda b: F.struct(b["type"].alias("type"), b["text"].alias("text"), b["citations"].alias("citations"))).alias("blocks"))
+
+
+@query(f"WITH {_REPLIES} SELECT conv_id AS reply_id, section, CAST(ordinal AS INTEGER) AS ordinal, body AS claim, CASE kind WHEN 3 THEN 'insufficient_evidence' ELSE 'asserted' END AS status, CASE WHEN kind IN (1, 4) THEN 1 ELSE 0 END AS citations FROM found")
 def turn_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each assistant turn read as a reply of one block, headed by its role and listed by sentence."""
-    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    said = F.concat(F.lit("# "), F.col("role"), F.lit("\n- "), F.regexp_replace("text", r"\. ", ".\n- "))
-    block = F.array(F.struct(F.lit("text").alias("type"), said.alias("text"), F.array().cast("array<struct<document_index:int,start_char_index:int,end_char_index:int,cited_text:string>>").alias("citations")))
-    return c.select("conv_id", "turn", F.inline(text.claims(block))).select("conv_id", "turn", "section", "ordinal", "claim", "status")
+    """Claims of conversations read as replies."""
+    return _replies(spark, sf_dir).select("reply_id", F.inline(text.claims("blocks"))).select("reply_id", "section", "ordinal", "claim", "status", F.size("citations").alias("citations"))
+
+
+@query(f"""WITH {_REPLIES}, r AS (SELECT DISTINCT conv_id FROM turns), s(section) AS (VALUES ('business_quality'), ('moat'), ('management'), ('risk'))
+SELECT conv_id AS reply_id, 'truncated' AS code, CAST(NULL AS VARCHAR) AS section, CAST(NULL AS INTEGER) AS ordinal FROM r WHERE conv_id % 9 = 2
+UNION ALL SELECT conv_id, 'missing_section', section, NULL FROM r CROSS JOIN s WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.conv_id = r.conv_id AND f.section = s.section)
+UNION ALL SELECT conv_id, 'uncited', section, ordinal FROM found WHERE kind = 2
+UNION ALL SELECT conv_id, CASE WHEN turn = 6 THEN 'unknown_document' WHEN conv_id % 4 = 1 THEN 'out_of_range' ELSE 'text_differs' END, section, ordinal FROM found WHERE kind IN (1, 4) AND (turn = 6 OR (n > 0 AND conv_id % 4 IN (1, 3)))""")
+def reply_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that end early, lack a section or a citation, or cite what their documents don't have: some documents are short of a character, or another."""
+    replies = _replies(spark, sf_dir)
+    found = replies.select("reply_id", F.inline(text.claims("blocks")))
+    cited = found.select("reply_id", "section", "ordinal", F.inline("citations")).select(F.struct("reply_id", "section", "ordinal").alias("claim_id"), F.struct("reply_id", F.col("document_index").cast("long").alias("turn")).alias("document_id"), "start_char", "end_char", "cited_text")
+    said, k = F.col("text"), F.col("conv_id") % 4
+    kept = F.when(k == 1, F.expr("substring(text, 1, length(text) - 1)")).when(k == 3, F.concat(F.lit("\u0001"), F.expr("substring(text, 2)"))).otherwise(said)
+    documents = table(spark, sf_dir, "conversations").where("turn <> 6").select(F.struct(F.col("conv_id").alias("reply_id"), "turn").alias("document_id"), kept.alias("text"))
+    wrong = text.resolved_citations(cited, documents).select("claim_id.*", "error")
+    ended = replies.select("reply_id", F.when(F.col("reply_id") % 9 == 2, "max_tokens").otherwise("end_turn").alias("stop_reason"))
+    return text.reply_issues(ended, found, wrong)
 
 
 @query()

@@ -103,11 +103,30 @@ def test_occurrences_overlap(spark):
 
 
 def test_claims(spark):
-    cite = [{"document_index": 0, "start_char_index": 0, "end_char_index": 4, "cited_text": "word"}]
-    blocks = [("text", "# Moat\n- First claim", cite), ("text", "\n- Second claim\n- Insufficient evidence here\n---", []), ("tool", "x", [])]
-    kind = "id int, b array<struct<type:string,text:string,citations:array<struct<document_index:int,start_char_index:int,end_char_index:int,cited_text:string>>>>"
-    out = spark.createDataFrame([(1, blocks)], kind).select(F.inline(text.claims("b"))).collect()
-    assert [(r["section"], r["ordinal"], r["claim"], r["status"]) for r in out] == [("moat", 1, "First claim", "cited"), ("moat", 2, "Second claim", "uncited"), ("moat", 3, "Insufficient evidence here", "insufficient")]
+    cite = [("char_location", 0, 0, 4, "word")]
+    other = [("page_location", 0, 0, 4, "word")]
+    blocks = {
+        "waits for a cited block": [("CLAIM: lost\n## MOAT\n\nCLAIM: ", []), ("First\n---\n", cite), ("CLAIM: Second", []), ("INSUFFICIENT EVIDENCE: third\n\n----\n", [])],
+        "waits for a plain block": [("## risk and more\nclaim:", []), ("text of it", []), ("not a claim", [])],
+        "cited without a claim": [("## MOAT", []), ("no prefix", cite), ("CLAIM:", []), ("", cite), ("too late", [])],
+        "compound": [("## MOAT\nCLAIM: ", []), ("tail of none CLAIM: inner ## RISK x\nCLAIM: next INSUFFICIENT EVIDENCE: none CLAIM: ", cite), ("body", cite)],
+        "a heading ends waiting": [("## MOAT\nCLAIM: ## RISK\nafter", []), ("cited", cite)],
+        "unknown heading": [("## OTHER\nCLAIM: x", []), ("## MANAGEMENT CLAIM: same line\nCLAIM: y", [])],
+        "other citations": [("## BUSINESS  QUALITY\n## Business Quality\nCLAIM: ", []), ("z", other)],
+        "nothing": [(None, None), ("", [])],
+    }
+    kind = "id string, b array<struct<type:string,text:string,citations:array<struct<type:string,document_index:int,start_char_index:int,end_char_index:int,cited_text:string>>>>"
+    df = spark.createDataFrame([(k, [("text", t, c) for t, c in v] + [("tool", "CLAIM: no", [])]) for k, v in blocks.items()] + [("null", None)], kind)
+    got = {}
+    for r in df.select("id", F.inline(text.claims("b"))).collect():
+        got.setdefault(r["id"], []).append((r["section"], r["ordinal"], r["claim"], r["status"][0], len(r["citations"])))
+    assert got == {
+        "waits for a cited block": [("moat", 1, "First", "a", 1), ("moat", 2, "Second", "a", 0), ("moat", 3, "third", "i", 0)],
+        "waits for a plain block": [("risk", 1, "text of it", "a", 0)],
+        "compound": [("moat", 1, "inner", "a", 1), ("risk", 1, "next", "a", 1), ("risk", 2, "none", "i", 0), ("risk", 3, "body", "a", 1)],
+        "unknown heading": [("management", 1, "y", "a", 0)],
+        "other citations": [("business_quality", 1, "z", "a", 0)],
+    }
 
 
 def test_normalise(spark):
