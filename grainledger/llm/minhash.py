@@ -212,21 +212,46 @@ def _close(percent: int):
     return run
 
 
+def text_digest(text: str = "text"):
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each document.
+    """doc_id, n_shingles, component_id, kept and own_text of each document.
 
     Documents with equal sets are one class, by a fingerprint of the set, and only its smallest id goes on. Band
     keys group the classes. In each group the member that meets most others over all its bands is the centre,
     and the others are verified against it on full sets: this links a family of copies in one step. Members that are
     then not in the group's largest component, the strays, are compared with all others of other components by finer
-    sketches, in blocks, and pairs that agree enough are verified too. So no pair that shares a band key is left out.
-    The members of the largest component aren't compared with one another, so this costs strays times members.
+    sketches, in blocks, and pairs that agree enough are verified too. The finer sketches miss a close pair with a chance
+    of 1 in 30,000. The members of the largest component aren't compared with one another, so this costs strays times members.
 
     Null texts and texts without words have an empty set and link with nothing. A null id links with nothing, has a
-    null component and is kept. Rows that repeat an id are one node. An empty table gives no rows. Other columns
-    are not read.
+    null component and is kept. Rows of one id with one set are one document. Rows of one id with different sets are documents of their
+    own, which don't link each other: component_id is the smallest id among the rows linked, kept whether it is the row's own, and
+    own_text the SHA-256 of the row's text, which together with the id names it; it is null where the id does. An empty table gives
+    no rows. Other columns are not read.
     """
     sketches = cut(sketched(docs))
+    set_ = F.struct("n", "fp0", "fp1")
+    several = cut(sketches.where("doc_id is not null").groupBy("doc_id").agg(F.min(set_).alias("a"), F.max(set_).alias("b")).where("a <> b").select("doc_id"))
+    none = F.lit(None).cast("string").alias("own_text")
+    if several.isEmpty():
+        return _linked(docs, sketches, percent).select("*", none)
+    # such rows get numbers below all ids; links are found between these, and the smallest id of a component afterwards
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_digest().alias("own_text"))
+    low = min(0, plain.agg(F.min("doc_id")).first()[0]) - 1
+    named = cut(plain.join(several, "doc_id").select("doc_id", "own_text").distinct())
+    named = cut(named.select("doc_id", "own_text", (F.lit(low) - F.monotonically_increasing_id()).alias("node")))
+    renamed = plain.join(named, ["doc_id", "own_text"], "left").select(F.coalesce("node", "doc_id").alias("doc_id"), "text")
+    got = cut(_linked(renamed, cut(sketched(renamed)), percent).join(named.select(F.col("node").alias("doc_id"), F.col("doc_id").alias("id"), "own_text"), "doc_id", "left").withColumn("id", F.coalesce("id", "doc_id")))
+    least = got.where("component_id is not null").groupBy("component_id").agg(F.min("id").alias("least"))
+    met = got.join(least, "component_id", "left")
+    return met.select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"), F.col("id").eqNullSafe(F.col("least")).alias("kept"), "own_text")
+
+
+def _linked(docs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; rows of one id have one set."""
     some = sketches.where("n > 0 and doc_id is not null")
     classes = cut(some.groupBy("n", "fp0", "fp1").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     keyed = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
@@ -273,4 +298,4 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("own_text")
