@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from grainledger.llm.common import cut, set_aside, shared_folder
 from grainledger.llm.language_id import UNKNOWN, learn, learning_rows, predict
-from grainledger.llm.minhash import near_duplicates
+from grainledger.llm.minhash import near_duplicates, text_digest
 from grainledger.llm.mixing import mixed
 from grainledger.llm.packing import pack
 from grainledger.llm.substrings import remove_repeats
@@ -40,13 +40,14 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each group of near duplicates stays, that with the smallest id.
 
     Rows with a null id, and texts without words, are duplicates of none and stay. Rows that repeat an id stay or go
-    together.
+    together if their texts have the same words; else each is a document of its own.
     """
-    gone = cut(near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    gone = cut(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), "own_text").distinct())
     # few ids go to every task, so that texts aren't shuffled; more meet them in a join
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    plain, back = set_aside(docs, "doc_id")
-    return back(plain.join(gone, "doc_id", "left_anti"))
+    plain, back = set_aside(docs, "doc_id", "text")
+    this = (F.col("doc_id") == F.col("gone_id")) & (F.col("own_text").isNull() | (F.col("own_text") == text_digest()))
+    return back(plain.join(gone, this, "left_anti"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
