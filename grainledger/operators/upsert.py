@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainledger.operators.series import top_row
@@ -23,6 +25,29 @@ def fill_upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str], repla
     return both.select(F.coalesce("_key", key).alias(key), *kept, *replaced)
 
 
+def _same(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys])
+
+
+def retaining_upsert(old: DataFrame, new: DataFrame, keys: list[str], retain: list[str], *order: str) -> DataFrame:
+    """All keys of both; a key's new row replaces its old one but for ``retain``, which keep what was first stored, also a null.
+
+    Of several new rows of a key the last in ``order`` counts. Null keys are keys like others.
+    """
+    latest = top_row(new, keys, *[F.desc(c) for c in order])
+    n = latest.select(*[F.col(c).alias(f"_new_{c}") for c in old.columns], F.lit(True).alias("_there"))
+    met = old.withColumn("_here", F.lit(True)).join(n, _same(keys), "full_outer")
+    pick = lambda c: F.when(F.col("_here") & (F.lit(c in retain or c in keys) | F.col("_there").isNull()), F.col(c)).otherwise(F.col(f"_new_{c}")).alias(c)
+    return met.select(*[pick(c) for c in old.columns])
+
+
+def partial_upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str], *order: str) -> DataFrame:
+    """Old rows with the columns ``update`` of their key's new row, nulls too; keys that aren't there yet are not added."""
+    n = top_row(new, keys, *[F.desc(c) for c in order]).select(*[F.col(c).alias(f"_new_{c}") for c in (*keys, *update)], F.lit(True).alias("_there"))
+    met = old.join(n, _same(keys), "left")
+    return met.select(*[F.when(F.col("_there"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in update else c for c in old.columns])
+
+
 def upsert_attempts(old: DataFrame, new: DataFrame, key: str, *order: str) -> DataFrame:
     """As ``latest_wins`` for a key that may be null: rows without one never replace each other, and all stay."""
     keyed = latest_wins(old.where(F.col(key).isNotNull()), new.where(F.col(key).isNotNull()), [key], *order)

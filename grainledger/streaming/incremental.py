@@ -6,23 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from grainledger.operators.series import top_row
+from grainledger.sources.versions import merging
 
 
 def merge_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], *order: str) -> StreamingQuery:
-    """Keeps at ``path`` the latest row of each key, as batches come; each batch writes a new version of the table.
+    """Keeps under ``path`` the latest row of each key, as batches come; ``versions.merged`` reads it.
 
-    A version's folder is named after its batch, so a batch that is run again writes the same version again.
+    A batch is written as a run of its own and runs are joined level by level, so work follows the batch, not the table. A
+    batch that is run again after a restart writes the same again.
     """
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = batch
-        if epoch > 0:
-            new = spark.read.parquet(f"{path}/{epoch - 1}").unionByName(batch, allowMissingColumns=True)
-        top_row(new, keys, *[F.desc(c) for c in order]).write.mode("overwrite").parquet(f"{path}/{epoch}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(merging(path, keys, list(order))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def new_prices(batch: DataFrame, stored: DataFrame) -> DataFrame:
