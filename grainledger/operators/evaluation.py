@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from grainledger.functions.measures import is_close, ratio, symmetric_difference
-from grainledger.operators.series import average_rank
+from grainledger.operators.series import average_ranks
 from grainledger.operators.valuation import value_class
 
 #: Cells below this stay hidden; weights of the six scores (risk counts inverted), bars of the status.
@@ -58,7 +58,7 @@ def precision_and_lift(df: DataFrame, passed: Column, label: Column) -> DataFram
 def spearman(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
     """group, n and rho; null with fewer than two rows or where either side doesn't vary."""
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = known.withColumn("_x", average_rank(x, group)).withColumn("_y", average_rank(y, group))
+    ranked = average_ranks(average_ranks(known, x, group, "_x"), y, group, "_y")
     varied = (F.count("*") > 1) & (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
     return ranked.groupBy(*group).agg(F.count("*").alias("n"), F.when(varied, F.corr("_x", "_y")).alias("rho"))
 

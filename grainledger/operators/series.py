@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -19,19 +21,47 @@ def last_rows(df: DataFrame, keys: list[str], count: int, *order: Column) -> Dat
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= count).drop("_n")
 
 
-def peer_percentile(df: DataFrame, group: list[str], value: str, higher_is_better: bool = True, least_peers: int = 5) -> Column:
-    """Share, in percent, of the peers that a value is at least as good as; ties count in its favour.
+#: Parts, of about equal numbers of different values, into which a group's values are laid for counting.
+PARTS = 128
+
+
+def value_counts(df: DataFrame, group: list[str], value: str, parts: int = PARTS, tally: Column | None = None) -> DataFrame:
+    """group, value, n, upto and total of each different value: its rows, those with at most this value, and all of its group.
 
-    Null where the value or the group is null, or fewer than ``least_peers`` have one. Rows without a value are no
-    peers, so they are set apart in the window.
+    With ``tally``, a condition, also tally_upto: how many of the rows up to this value fulfil it.
+
+    A group may hold any share of the rows: its values are parted at approximate quantiles, counted up inside a part, on top of the parts before.
+    So no task orders a whole group. Rows with a null value are left out; null keys of a group are one.
+    """
+    g = [F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]
+    keys = [f"_g{i}" for i in range(len(group))] or ["_g"]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*(g or [F.lit(0).alias("_g")]), F.col(value).alias("_v")).agg(F.count("*").alias("n"), F.count_if(tally if tally is not None else F.lit(False)).alias("t"))
+    edges = counts.groupBy(*keys).agg(F.percentile_approx("_v", [k / parts for k in range(1, parts)], 20 * parts).alias("_edges"), F.sum("n").alias("total"))
+    edges = edges.select(*[F.col(k).alias(f"{k}e") for k in keys], F.array_distinct("_edges").alias("_edges"), "total")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}e")) for k in keys])
+    laid = counts.join(edges, same).withColumn("_p", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
+    inside = W.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    sums = laid.groupBy(*keys, "_p").agg(F.sum("n").alias("_n"), F.sum("t").alias("_t"))
+    before = lambda c: F.coalesce(F.sum(c).over(W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(k).alias(f"{k}s") for k in keys], F.col("_p").alias("_q"), before("_n").alias("_n_before"), before("_t").alias("_t_before"))
+    met = laid.withColumn("_n_inside", F.sum("n").over(inside)).withColumn("_t_inside", F.sum("t").over(inside)).join(sums, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}s")) for k in keys]) & (F.col("_p") == F.col("_q")))
+    return met.select(*[F.col(k).alias(c) for k, c in zip(keys, group)], F.col("_v").alias(value), "n", (F.col("_n_inside") + F.col("_n_before")).alias("upto"), "total", *([] if tally is None else [(F.col("_t_inside") + F.col("_t_before")).alias("tally_upto")]))
+
+
+def _by_value(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    counts = value_counts(df, group, value).select(*[F.col(c).alias(f"_of_{c}") for c in group], F.col(value).alias("_of_value"), "n", "upto", "total")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group], F.col(value) == F.col("_of_value"))
+    return df.join(counts, same, "left").drop(*[f"_of_{c}" for c in group], "_of_value")
+
+
+def peer_percentiles(df: DataFrame, group: list[str], value: str, name: str, higher_is_better: bool = True, least_peers: int = 5) -> DataFrame:
+    """df with ``name``: the share, in percent, of the peers that a value is at least as good as; ties count in its favour.
+
+    Null where the value or the group is null, or fewer than ``least_peers`` have one. df has no columns n, upto or total.
     """
-    known = F.col(value).isNotNull()
-    w = W.partitionBy(*group, known)
-    order = F.col(value).asc() if higher_is_better else F.col(value).desc()
-    grouped = known
-    for g in group:
-        grouped = grouped & F.col(g).isNotNull()
-    return F.when(grouped & (F.count("*").over(w) >= least_peers), 100 * F.cume_dist().over(w.orderBy(order)))
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in group], F.col(value).isNotNull())
+    good = F.col("upto") if higher_is_better else F.col("total") - F.col("upto") + F.col("n")
+    return _by_value(df, group, value).withColumn(name, F.when(known & (F.col("total") >= least_peers), 100 * (good / F.col("total")))).drop("n", "upto", "total")
 
 
 def first_and_last(df: DataFrame, keys: list[str], year: str, value: str) -> DataFrame:
@@ -105,7 +135,6 @@ def running_prefix(df: DataFrame, keys: list[str], amount: str, cap: float, *ord
     return df.withColumn("spent_before", F.coalesce(F.sum(amount).over(w), F.lit(0.0))).where(F.col("spent_before") < cap)
 
 
-def average_rank(value: str, group: list[str]) -> Column:
-    """Rank from 1; ties share their mean rank."""
-    w = W.partitionBy(*group)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(W.partitionBy(*group, value)) - 1) / 2
+def average_ranks(df: DataFrame, value: str, group: list[str], name: str) -> DataFrame:
+    """df with ``name``: the rank from 1, ties share their mean rank; null for a null value. df has no columns n, upto or total."""
+    return _by_value(df, group, value).withColumn(name, F.col("upto") - (F.col("n") - 1) / 2).drop("n", "upto", "total")

@@ -332,9 +332,8 @@ def cost_cap_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source, min(n) AS halted_after FROM (SELECT source, row_number() OVER w AS n, count(*) FILTER (WHERE n_chars < 600) OVER w AS short FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)) WHERE n >= 5 AND short / n > 0.1 GROUP BY 1")
 def fallback_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """After how many documents of a source more than a tenth were short ones."""
-    w = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)
-    d = table(spark, sf_dir, "documents").select("source", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("n"), F.count_if(F.col("n_chars") < 600).over(w).alias("short"))
-    return d.where("n >= 5 and short / n > 0.1").groupBy("source").agg(F.min("n").cast("long").alias("halted_after"))
+    d = series.value_counts(table(spark, sf_dir, "documents"), ["source"], "doc_id", tally=F.col("n_chars") < 600)
+    return d.where("upto >= 5 and tally_upto / upto > 0.1").groupBy("source").agg(F.min("upto").cast("long").alias("halted_after"))
 
 
 # text

@@ -36,7 +36,7 @@ FROM spend"""
 def sector_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: spend against its sector and a floor, in three states."""
     rows = spend(spark, sf_dir)
-    rows = rows.withColumn("percentile", F.round(series.peer_percentile(rows, ["sector"], "spend"), 6)).withColumn("floor_pass", F.col("spend") > 1_000_000)
+    rows = series.peer_percentiles(rows, ["sector"], "spend", "percentile").withColumn("percentile", F.round("percentile", 6)).withColumn("floor_pass", F.col("spend") > 1_000_000)
     rows = rows.withColumn("overall_pass", screen.combine(F.col("floor_pass"), F.col("percentile") >= 66.666667))
     return rows.withColumn("status", screen.status(F.col("floor_pass"), F.col("overall_pass")))
 
@@ -44,7 +44,7 @@ def sector_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_PERCENTILE.format(spend=SPEND_SQL, order="DESC"))
 def sector_percentile_lower_better(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spend(spark, sf_dir)
-    return rows.select("*", F.round(series.peer_percentile(rows, ["sector"], "spend", False), 6).alias("percentile"), (F.col("spend") > 1_000_000).alias("floor_pass"))
+    return series.peer_percentiles(rows, ["sector"], "spend", "percentile", False).withColumn("percentile", F.round("percentile", 6)).select("*", (F.col("spend") > 1_000_000).alias("floor_pass"))
 
 
 @query("""
@@ -55,7 +55,7 @@ FROM supplier JOIN nation ON n_nationkey = s_nationkey)""")
 def peer_floor_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     rows = rows.select(F.col("s_suppkey").alias("ticker"), F.col("n_name").alias("sector"), F.col("s_acctbal").alias("value"), (F.col("s_acctbal") > 0).alias("floor_pass"))
-    rows = rows.withColumn("percentile", F.round(series.peer_percentile(rows, ["sector"], "value"), 6))
+    rows = series.peer_percentiles(rows, ["sector"], "value", "percentile").withColumn("percentile", F.round("percentile", 6))
     return rows.withColumn("overall_pass", screen.combine(F.col("floor_pass"), F.col("percentile") >= 66.666667))
 
 

@@ -1,9 +1,11 @@
 """Cases with known answers for operators that the supplied tables can't show."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from grainledger.functions import measures
 from grainledger.operators import committee, evaluation, facts, lineage, series, text, upsert
@@ -180,6 +182,23 @@ def test_bootstrap_in_pieces(spark):
     assert evaluation.bootstrap(plain, "s", terms, mean, 100, 5).first()["method"] == "sector_stratified"
 
 
+def test_percentiles_and_ranks_in_parts(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([None, 1.5, 2.5, *[rng.random() * 9 for _ in range(4)]])) for _ in range(900)] + [("few", 1.0)] * 4
+    df = spark.createDataFrame(rows, "g string, v double").withColumn("id", F.monotonically_increasing_id())
+    w = W.partitionBy("g", F.col("v").isNotNull())
+    known = F.col("v").isNotNull()
+    want = df.select(
+        "id", *[F.when(known & F.col("g").isNotNull() & (F.count("*").over(w) >= 5), 100 * F.cume_dist().over(w.orderBy(o))) for o in (F.asc("v"), F.desc("v"))],
+        F.when(known, F.rank().over(w.orderBy("v")) + (F.count("*").over(W.partitionBy("g", "v")) - 1) / 2),
+    )
+    got = series.average_ranks(series.peer_percentiles(series.peer_percentiles(df, ["g"], "v", "up"), ["g"], "v", "down", False), "v", ["g"], "rank").select("id", "up", "down", "rank")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    total = series.value_counts(df, [], "v", 4).agg(F.max("upto"), F.max("total"), F.sum("n")).first()
+    assert total[0] == total[1] == total[2] == sum(v is not None for _, v in rows)
+    assert series.value_counts(df.limit(0), ["g"], "v").count() == 0
+
+
 def test_chain_with_cycle(spark):
     links = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "gone")], "run string, parent string")
     got = {r["run"]: (r["root"], r["hops"]) for r in lineage.chain_roots(links, "run", "parent").collect()}
