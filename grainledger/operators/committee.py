@@ -58,6 +58,17 @@ def cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     return met.withColumn("cost", F.when(F.col("input_price").isNull(), F.raise_error(F.concat(F.lit("no price for "), F.col("model")))).otherwise(total))
 
 
+def projected_cost(requests: DataFrame, prices: DataFrame, output: int = ASSUMED_OUTPUT) -> DataFrame:
+    """Requests (model, input_tokens, batch) with ``projected``, their cost before anything is sent, for an assumed length of the reply."""
+    got = cost(requests.withColumn("output_tokens", F.lit(output)), prices)
+    return got.select(*requests.columns, F.col("cost").alias("projected"))
+
+
+def within_cap(projected: DataFrame, cap: float) -> DataFrame:
+    """One row: requests, their projected cost, and whether all of them may be sent."""
+    return projected.agg(F.count("*").alias("requests"), F.coalesce(F.sum("projected"), F.lit(0.0)).alias("projected")).withColumn("may_send", F.col("projected") <= cap)
+
+
 def gates(companies: DataFrame, analyses: DataFrame, valuations: DataFrame, cached: DataFrame, needed: list[str]) -> DataFrame:
     """ticker, gate: why a company isn't read anew, or ``call``. Analyses: ticker, analysis_type; cached: ticker."""
     kinds = analyses.where(F.col("analysis_type").isin(needed)).groupBy("ticker").agg(F.count_distinct("analysis_type").alias("kinds"))

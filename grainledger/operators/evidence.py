@@ -169,3 +169,15 @@ def stitched(quality: Column, bear: Column, valuation: Column, score: Column, st
 def to_monitor(statements: Column) -> Column:
     """A bear case's statements (array of text) as a JSON list."""
     return F.to_json(F.coalesce(statements, F.array().cast("array<string>")))
+
+
+def stale_analyses(analyses: DataFrame, claims: DataFrame, events: DataFrame) -> DataFrame:
+    """_RUN, degraded, checked, stale of each analysis with checked citations: stale if the last result of one is fuzzy or unresolved.
+
+    Events, which are only ever added, have claim_id, citation_id, checked_at and result. Claims of a copied analysis are those of the run that it was
+    copied from; the flag is that of the analysis shown.
+    """
+    last = events.groupBy("claim_id", "citation_id").agg(F.max_by("result", "checked_at").alias("result"))
+    met = shown_claims(analyses, claims).select(*_RUN, "claim_id").join(last, "claim_id")
+    bad = F.col("result").isin("fuzzy", "unresolved")
+    return met.groupBy(*_RUN).agg(F.count_if(bad).alias("degraded"), F.count("*").alias("checked"), F.bool_or(bad).alias("stale"))

@@ -6,7 +6,7 @@ metric, priority, tag, unit, kind (duration or instant).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainledger.functions.measures import SPLIT_STEP, basis_change
@@ -17,6 +17,28 @@ COMPANY_FACTS = f"cik string, facts struct<`us-gaap`: map<string, struct<units:
 #: Days that a period of a year spans at least and at most.
 YEAR_DAYS = (350, 380)
 
+# The tags that feed a metric, the preferred first, with its unit and kind. Lease income is added to revenue, not ranked with it.
+TAGS = {
+    "revenue": ("USD", "duration", ("Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax", "RevenueFromContractWithCustomerIncludingAssessedTax", "RevenuesNetOfInterestExpense", "SalesRevenueNet", "SalesRevenueGoodsNet", "SalesRevenueServicesNet")),
+    "lease_income": ("USD", "duration", ("OperatingLeaseLeaseIncome", "OperatingLeasesIncomeStatementLeaseRevenue")),
+    "cost_of_revenue": ("USD", "duration", ("CostOfRevenue", "CostOfGoodsAndServicesSold")),
+    "gross_profit": ("USD", "duration", ("GrossProfit",)),
+    "operating_income": ("USD", "duration", ("OperatingIncomeLoss",)),
+    "net_income": ("USD", "duration", ("NetIncomeLoss", "ProfitLoss")),
+    "eps_diluted": ("USD/shares", "duration", ("EarningsPerShareDiluted",)),
+    "shares_diluted": ("shares", "duration", ("WeightedAverageNumberOfDilutedSharesOutstanding",)),
+    "operating_cash_flow": ("USD", "duration", ("NetCashProvidedByUsedInOperatingActivities", "NetCashProvidedByUsedInOperatingActivitiesContinuingOperations")),
+    "capex": ("USD", "duration", ("PaymentsToAcquirePropertyPlantAndEquipment", "PaymentsForCapitalImprovements", "PaymentsToAcquireProductiveAssets")),
+    "cash_and_equiv": ("USD", "instant", ("CashAndCashEquivalentsAtCarryingValue", "CashCashEquivalentsRestrictedCashAndRestrictedCashEquivalents")),
+    "stockholders_equity": ("USD", "instant", ("StockholdersEquity",)),
+}
+
+
+def tag_registry(spark: SparkSession) -> DataFrame:
+    """TAGS as a registry, a row a tag, priorities from 0."""
+    rows = [(metric, i, tag, unit, kind) for metric, (unit, kind, tags) in TAGS.items() for i, tag in enumerate(tags)]
+    return spark.createDataFrame(rows, "metric string, priority int, tag string, unit string, kind string")
+
 
 def long_facts(documents: DataFrame) -> DataFrame:
     """One row for each entry; ``ord`` is its place in its array, which decides ties."""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grainledger.functions.keys import company_key, ticker
+from grainledger.functions.keys import canonical_ticker, company_key, ticker
 
 #: What a filing document needs: content and at least so many bytes.
 LEAST_BYTES = 10_000
@@ -30,27 +31,36 @@ def verified_files(spark: SparkSession, path: str, expected: DataFrame) -> DataF
     return files.join(expected, "name").where((F.sha2("content", 256) == F.col("content_hash")) & (F.col("length") >= LEAST_BYTES)).select("name", "content")
 
 
-def strict_records(spark: SparkSession, path: str, required: list[str], optional: list[str], numbers: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(records, issues) of JSON lines with a closed set of keys.
+def strict_records(
+    spark: SparkSession, path: str, required: list[str], optional: list[str], numbers: list[str], closed: dict[str, tuple[str, ...]] | None = None, dates: tuple[str, ...] = (), checks: dict[str, Callable[[Column], Column]] | None = None, key: str = "ticker"
+) -> tuple[DataFrame, DataFrame]:
+    """(records, issues) of JSON lines with a closed set of keys, a required one of which may be null.
 
-    Issues: line, ticker and code, one of unparsable, unknown_key, missing_key, not_finite, duplicate. Records are the
-    lines without one.
+    Issues: value, ticker and code, one of unparsable, unknown_key, missing_key, not_finite, unmapped_ticker, unknown_value (a field of ``closed``
+    has another value than those named), invalid_date (a field of ``dates`` isn't a day as YYYY-MM-DD), invalid_value (a field fails its check), duplicate.
+    Records are the lines without one; their ``key`` is canonical, and by this spelling they are duplicates.
     """
     lines = spark.read.text(path).where("trim(value) != ''")
     fields = [T.StructField(k, T.DoubleType() if k in numbers else T.StringType()) for k in required + optional]
     parsed = lines.withColumn("keys", F.json_object_keys("value")).withColumn("r", F.from_json("value", T.StructType(fields)))
-    known = F.array(*[F.lit(k) for k in required + optional])
-    finite = [F.when(F.col(f"r.{k}").isNotNull() & (F.isnan(f"r.{k}") | (F.abs(f"r.{k}") == float("inf"))), F.lit("not_finite")) for k in numbers]
+    known, read = F.array(*[F.lit(k) for k in required + optional]), F.col("keys").isNotNull()
+    there = lambda k: F.col(f"r.{k}").isNotNull()
+    finite = [F.when(there(k) & (F.isnan(f"r.{k}") | (F.abs(f"r.{k}") == float("inf"))), F.lit("not_finite")) for k in numbers]
+    sets = [F.when(there(k) & ~F.col(f"r.{k}").isin(*values), "unknown_value") for k, values in (closed or {}).items()]
+    day = lambda k: F.col(f"r.{k}").rlike(r"^\d{4}-\d{2}-\d{2}\z") & F.try_to_date(F.col(f"r.{k}"), "yyyy-MM-dd").isNotNull()
+    days = [F.when(read & ~F.coalesce(day(k), F.lit(False)), "invalid_date") for k in dates]
+    own = [F.when(there(k) & ~F.coalesce(good(F.col(f"r.{k}")), F.lit(False)), "invalid_value") for k, good in (checks or {}).items()]
+    name = canonical_ticker(F.col(f"r.{key}"))
     codes = F.array_compact(F.array(
-        F.when(F.col("keys").isNull(), "unparsable"), F.when(F.size(F.array_except("keys", known)) > 0, "unknown_key"),
-        *[F.when(F.col("keys").isNotNull() & (F.col(f"r.{k}").isNull()), "missing_key") for k in required], *finite,
+        F.when(~read, "unparsable"), F.when(F.size(F.array_except("keys", known)) > 0, "unknown_key"),
+        *[F.when(read & ~F.array_contains("keys", k), "missing_key") for k in required], F.when(read & F.array_contains("keys", key) & name.isNull(), "unmapped_ticker"), *finite, *sets, *days, *own,
     ))
-    key = F.coalesce("r.ticker", F.lit(""))
-    twice = parsed.groupBy(key.alias("ticker")).count().where("count > 1 and ticker != ''").select("ticker", F.lit(True).alias("twice"))
-    met = parsed.withColumn("ticker", key).withColumn("codes", F.array_distinct(codes)).join(twice, "ticker", "left")
+    shown = F.coalesce(name, F.col(f"r.{key}"), F.lit(""))
+    twice = parsed.groupBy(name.alias("ticker")).count().where("count > 1 and ticker is not null").select("ticker", F.lit(True).alias("twice"))
+    met = parsed.withColumn("ticker", shown).withColumn("codes", F.array_distinct(codes)).join(twice, "ticker", "left")
     met = met.withColumn("codes", F.when(F.col("twice"), F.array_union("codes", F.array(F.lit("duplicate")))).otherwise(F.col("codes")))
     issues = met.select("value", "ticker", F.explode("codes").alias("code"))
-    return met.where("size(codes) = 0").select("r.*"), issues
+    return met.where("size(codes) = 0").select(*[(F.col("ticker") if k == key else F.col(f"r.{k}")).alias(k) for k in required + optional]), issues
 
 
 def clean_prices(rows: DataFrame) -> DataFrame:

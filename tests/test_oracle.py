@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from grainledger.plans import auditing, disclosing, evidencing, filing, relating, screening, storing, valuing
+from grainledger.plans import auditing, benchmarks, disclosing, evidencing, filing, relating, screening, storing, valuing
 
 DIR = "/root/testdata/sf0.001"
-SQL = screening.SQL | valuing.SQL | relating.SQL | evidencing.SQL | filing.SQL | auditing.SQL | disclosing.SQL | storing.SQL
-QUERIES = screening.QUERIES | valuing.QUERIES | relating.QUERIES | evidencing.QUERIES | filing.QUERIES | auditing.QUERIES | disclosing.QUERIES | storing.QUERIES
+SQL = screening.SQL | valuing.SQL | relating.SQL | evidencing.SQL | filing.SQL | auditing.SQL | disclosing.SQL | storing.SQL | benchmarks.SQL
+QUERIES = screening.QUERIES | valuing.QUERIES | relating.QUERIES | evidencing.QUERIES | filing.QUERIES | auditing.QUERIES | disclosing.QUERIES | storing.QUERIES | benchmarks.QUERIES
 
 
 def rows(columns, values):
