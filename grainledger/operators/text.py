@@ -217,7 +217,12 @@ def re_anchor(citations: DataFrame) -> DataFrame:
     hits = c.select("citation_id", "quote", "prefix", "suffix", "_n", F.inline_outer("others").alias("o_section", "o_text")).where("o_text is not null").withColumn("_at", find_all("o_text", "quote"))
     hits = hits.withColumn("o_start", by_context(F.col("o_text"), F.col("_at"))).where("o_start is not null")
     one = hits.groupBy("citation_id").agg(F.count("*").alias("_k"), F.min("o_section").alias("o_section"), F.min("o_start").alias("o_start")).where("_k = 1").drop("_k")
-    c = c.join(one, "citation_id", "left").withColumn("_loose", _loose("text", "quote")).withColumn("_fuzzy", fuzzy("text", "quote"))
+    c = c.join(one, "citation_id", "left")
+    # only what the first rungs leave open is searched loosely, and only what that leaves open for its longest run
+    open_ = ~F.coalesce(exact, F.lit(False)) & moved.isNull() & F.col("o_start").isNull()
+    c = c.withColumn("_loose", F.when(open_, _loose(F.when(open_, F.col("text")), "quote")))
+    still = open_ & (F.size("_loose") != 2)
+    c = c.withColumn("_fuzzy", F.when(still, fuzzy(F.when(still, F.col("text")), "quote")))
     spot = lambda name, section, start, end: F.struct(F.lit(name).alias("result"), section.cast("string").alias("new_section"), start.cast("int").alias("new_start"), end.cast("int").alias("new_end"))
     here, none = F.col("section"), F.lit(None)
     found = F.coalesce(

@@ -358,17 +358,29 @@ def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.quoted(*_passages(spark, sf_dir))
 
 
-@query("SELECT doc_id, item_id, CAST(strpos(d.text, b.text) - 1 AS INTEGER) AS start_ FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+_STARTS = """hits AS (
+  SELECT doc_id, item_id, d.text, b.text AS quote, strpos(d.text, b.text) AS at_ FROM documents d JOIN benchmark b ON contains(d.text, b.text)
+  UNION ALL SELECT doc_id, item_id, text, quote, at_ + strpos(substr(text, at_ + 1), quote) FROM hits WHERE strpos(substr(text, at_ + 1), quote) > 0)"""
+
+
+def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each place where a document holds a passage, also where places overlap; at from 0."""
+    return _quotes(spark, sf_dir).select("doc_id", "item_id", "text", "quote", F.explode(text.find_all("text", "quote")).alias("at"))
+
+
+@query(f"WITH RECURSIVE {_STARTS} SELECT doc_id, item_id, CAST(at_ - 1 AS INTEGER) AS start_ FROM hits")
 def quote_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quotes(spark, sf_dir).select("doc_id", "item_id", (F.expr("locate(quote, text)") - 1).alias("start_"))
+    return _starts(spark, sf_dir).select("doc_id", "item_id", F.col("at").alias("start_"))
 
 
-@query("SELECT doc_id, item_id, substr(d.text, greatest(strpos(d.text, b.text) - 48, 1), least(strpos(d.text, b.text) - 1, 48)) AS prefix, substr(d.text, strpos(d.text, b.text) + length(b.text), 48) AS suffix, sha256(b.text) AS quote_sha256 FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+@query(f"WITH RECURSIVE {_STARTS} SELECT doc_id, item_id, CAST(at_ - 1 AS INTEGER) AS start_, substr(text, greatest(at_ - 48, 1), least(at_ - 1, 48)) AS prefix, substr(text, at_ + length(quote), 48) AS suffix, sha256(quote) AS quote_sha256 FROM hits")
 def quote_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _quotes(spark, sf_dir).withColumn("at", F.expr("locate(quote, text)") - 1)
-    found = got.select(F.struct("doc_id", "item_id").alias("claim_id"), F.col("doc_id").alias("document_id"), F.col("at").alias("start_char"), (F.col("at") + F.length("quote")).alias("end_char"), F.col("quote").alias("cited_text"))
-    cited = text.resolved_citations(found, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text").dropDuplicates(["document_id"]))
-    return cited.select("claim_id.doc_id", "claim_id.item_id", "prefix", "suffix", "quote_sha256")
+    """What stands before and behind each place, and the passage's hash."""
+    low = F.greatest(F.col("at") - text.CONTEXT, F.lit(0))
+    return _starts(spark, sf_dir).select(
+        "doc_id", "item_id", F.col("at").alias("start_"), F.substring(F.col("text"), low + 1, F.col("at") - low).alias("prefix"),
+        F.substring(F.col("text"), F.col("at") + F.length("quote") + 1, F.lit(text.CONTEXT)).alias("suffix"), F.sha2("quote", 256).alias("quote_sha256"),
+    )
 
 
 @query("SELECT item_id, count(*) AS documents, count(*) = 1 AS unique_ FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY 1")
