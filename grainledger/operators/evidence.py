@@ -148,6 +148,19 @@ def request_documents(sections: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "document_index", "_d.section_id", titles[F.col("_d.section_id")].alias("title"), "_d.document_id")
 
 
+# The note on sections that can't be cited, and what is asked for.
+GAP_NOTE = ("NOTE: The following section(s) are incorporated by reference in this filing and are not available for citation:\n", "\nUse INSUFFICIENT EVIDENCE for any claim that would require them.")
+ANALYSIS_REQUEST = ("Analyse ", "'s 10-K for the period ending ", " and produce the four sections (BUSINESS QUALITY, MOAT, MANAGEMENT, RISK) using the format specified in the system prompt.")
+
+
+def request_texts(have: Column, ticker: Column, period: Column) -> dict[str, Column]:
+    """note and request: the texts behind the documents of a request. ``have`` are its sections; the note names those that lack, and is null if none does."""
+    titles = F.create_map(*[F.lit(x) for kv in SECTION_TITLES.items() for x in kv])
+    lines = F.array_join(F.transform(gap_sections(have), lambda s: F.concat(F.lit("- "), titles[s])), "\n")
+    note = F.when(lines != "", F.concat(F.lit(GAP_NOTE[0]), lines, F.lit(GAP_NOTE[1])))
+    return {"note": note, "request": F.concat(F.lit(ANALYSIS_REQUEST[0]), ticker, F.lit(ANALYSIS_REQUEST[1]), F.coalesce(period, F.lit("unknown")), F.lit(ANALYSIS_REQUEST[2]))}
+
+
 def claims_block(claims: DataFrame, keys: list[str], kind: str, order: str, ref: str, claim: str) -> DataFrame:
     """keys, block: a text that lists claims by kind, each with its reference, in order."""
     line = F.struct(F.col(kind).alias("kind"), F.col(order).alias("ord"), F.concat(F.lit("["), F.col(ref), F.lit("] "), F.col(claim)).alias("line"))

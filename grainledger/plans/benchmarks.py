@@ -93,3 +93,37 @@ def stale_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = lambda at, r: claims.select("claim_id", k.alias("citation_id"), F.lit(at).alias("checked_at"), r.alias("result"))
     events = event(2, result).unionByName(event(1, F.when(k % 2 == 0, "unresolved").otherwise("exact")))
     return evidence.stale_analyses(_analyses(spark, sf_dir).where("is_current"), claims, events)
+
+
+_VERDICTS = """
+WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 0.03 END AS cap, c_custkey % 101 AS business, c_custkey % 97 AS moat, c_custkey % 89 AS management, c_custkey % 83 AS risk, c_custkey % 79 AS valuation, c_custkey % 73 AS strength, CASE c_nationkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS severity FROM customer),
+g AS (SELECT *, CASE WHEN k % 17 = 0 THEN CASE WHEN k % 2 = 0 THEN 'missing: management,moat' ELSE 'missing: moat' END WHEN k % 13 = 0 THEN 'no valuation' END AS lacks FROM c),
+r AS (SELECT *, CASE WHEN lacks IS NOT NULL THEN ['api_error', lacks, '0'] WHEN k % 11 = 0 THEN ['cache_hit', NULL, '0'] WHEN k % 23 = 1 THEN ['refused', 'quality', '1'] WHEN k % 37 = 1 THEN ['validation_failed', 'quality: unknown_ref:999', '1'] WHEN k % 19 = 1 THEN ['api_error', 'bear call failed', '1']
+  WHEN k % 31 = 1 THEN ['validation_failed', 'bear: no_severity', '2'] WHEN cap IS NOT NULL THEN ['cost_capped', 'valuation', '2'] WHEN k % 29 = 1 THEN ['validation_failed', 'valuation: few_statements', '3'] ELSE ['persisted', NULL, '3'] END AS e FROM g),
+s AS (SELECT *, 0.25::DOUBLE * business + 0.20::DOUBLE * moat + 0.15::DOUBLE * strength + 0.10::DOUBLE * management + 0.25::DOUBLE * valuation + 0.05::DOUBLE * (100 - risk) AS score FROM r)
+SELECT k AS ticker, e[1] AS outcome, e[2] AS reason, round(0.02 * CAST(e[3] AS INTEGER), 6)::DOUBLE AS cost, CASE WHEN e[1] = 'persisted' THEN round(score, 7) END AS overall_score,
+  CASE WHEN e[1] = 'persisted' THEN CASE WHEN score >= 70 AND severity <> 'high' THEN 'Investigate' WHEN score >= 50 THEN 'Watch' ELSE 'Reject' END END AS status FROM s"""
+
+
+@query(_VERDICTS)
+def committee_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as companies: their analyses, valuations and the readers' replies follow from their keys, each gate being met by some."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    companies = c.select(k.alias("ticker"), F.lit(True).alias("known"), F.when(k % 7 == 0, 0.03).alias("cap"))
+    kinds = F.when(k % 34 == 0, F.array(F.lit("business_quality"), F.lit("risk"))).when(k % 17 == 0, F.array(*[F.lit(x) for x in committee.KINDS if x != "moat"])).otherwise(F.array(*map(F.lit, committee.KINDS)))
+    analyses = c.select(k.alias("ticker"), F.explode(kinds).alias("analysis_type"))
+    line = lambda label, n: F.concat(F.lit(f"{label}: "), (k % n).cast("string"), F.lit("\n"))
+    severity = F.when(F.col("c_nationkey") % 3 == 0, "high").when(F.col("c_nationkey") % 3 == 1, "LOW").otherwise("medium")
+    said = lambda ref: F.concat(F.lit("## STATEMENTS\n"), *[F.concat(F.lit(f"STATEMENT: line {i} [refs: "), ref, F.lit("]\n")) for i in range(4)])
+    head = F.lit("## VERDICT\nas it is\n## SCORES\n")
+    own = k.cast("string")
+    few = F.lit("## STATEMENTS\nSTATEMENT: only one\n")
+    raw = {
+        "quality": F.concat(head, line("BUSINESS_QUALITY", 101), line("COMPETITIVE_MOAT", 97), line("MANAGEMENT", 89), said(F.when(k % 37 == 1, "999").otherwise(own))),
+        "bear": F.concat(head, line("RISK", 83), F.when(k % 31 == 1, "").otherwise(F.concat(F.lit("SEVERITY: "), severity, F.lit("\n"))), said(own)),
+        "valuation": F.concat(head, line("VALUATION", 79), line("FINANCIAL_STRENGTH", 73), F.when(k % 29 == 1, few).otherwise(said(F.lit("DCF base")))),
+    }
+    calls = F.array(*[F.struct(F.lit(p).alias("persona"), t.alias("raw"), ((k % 19 == 1) & F.lit(p == "bear")).alias("failed"), F.when((k % 23 == 1) & F.lit(p == "quality"), "refusal").otherwise("end_turn").alias("stop_reason"), F.lit(0.02).alias("cost")) for p, t in raw.items()])
+    replies = committee.persona_replies(c.select(k.alias("ticker"), F.inline(calls)), c.select(k.alias("ticker"), F.array(own).alias("refs")), ["ticker"])
+    got = committee.verdicts(companies, analyses, c.where(k % 13 != 0).select(k.alias("ticker")), c.where(k % 11 == 0).select(k.alias("ticker")), replies)
+    return got.withColumn("cost", F.round("cost", 6)).withColumn("overall_score", F.round("overall_score", 7))

@@ -160,6 +160,19 @@ def gap_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return have.select("conv_id", F.array_join(evidence.gap_sections(F.col("have")), ",").alias("gaps"))
 
 
+_NOTE = "array_to_string(list_transform(list_filter(['item_1', 'item_1a', 'item_7'], lambda s: NOT list_contains(have, s)), lambda s: '- ' || CASE s WHEN 'item_1' THEN 'Item 1: Business' WHEN 'item_1a' THEN 'Item 1A: Risk Factors' ELSE 'Item 7: MD&A' END), chr(10))"
+_SAID = "'NOTE: The following section(s) are incorporated by reference in this filing and are not available for citation:' || chr(10) || {note} || chr(10) || 'Use INSUFFICIENT EVIDENCE for any claim that would require them.'"
+_ASKED = "'Analyse C' || conv_id || chr(39) || 's 10-K for the period ending ' || CASE WHEN conv_id % 5 = 0 THEN 'unknown' ELSE '2024-12-31' END || ' and produce the four sections (BUSINESS QUALITY, MOAT, MANAGEMENT, RISK) using the format specified in the system prompt.'"
+
+
+@query(f"WITH {_SECTIONS}, h AS (SELECT conv_id, list(section_id) AS have FROM sections GROUP BY 1) SELECT conv_id, CASE WHEN NOT list_contains(have, 'full') AND {_NOTE} <> '' THEN {_SAID.format(note=_NOTE)} END AS note, {_ASKED} AS request FROM h")
+def request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said behind the documents of each request."""
+    have = _sections(spark, sf_dir).groupBy("conv_id").agg(F.collect_list("section_id").alias("have"))
+    texts = evidence.request_texts(F.col("have"), F.concat(F.lit("C"), F.col("conv_id").cast("string")), F.when(F.col("conv_id") % 5 != 0, "2024-12-31"))
+    return have.select("conv_id", *[c.alias(k) for k, c in texts.items()])
+
+
 @query(f"WITH {_SECTIONS} SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY CASE section_id WHEN 'item_1' THEN 1 WHEN 'item_1a' THEN 2 WHEN 'item_7' THEN 3 ELSE 4 END) - 1 AS INTEGER) AS document_index, section_id, CASE section_id WHEN 'item_1' THEN 'Item 1: Business' WHEN 'item_1a' THEN 'Item 1A: Risk Factors' WHEN 'item_7' THEN 'Item 7: MD&A' ELSE 'Full Filing' END AS title, document_id FROM sections")
 def request_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.request_documents(_sections(spark, sf_dir), ["conv_id"])

@@ -136,13 +136,20 @@ def test_normalise(spark):
     assert [r[0] for r in df.select(text.normalise("h")).collect()] == ['A "b"\n\nc - d', None]
 
 
-def test_persona_reply(spark):
-    good = "VERDICT: hold\nSCORES: moat=80, risk=20\nSEVERITY: low\nSTATEMENTS:\n- a [c1]\n- b [c2]\n- c\n- d"
-    df = spark.createDataFrame([(good, ["c1", "c2"]), (good, ["c1"]), ("SCORES: moat=180", [])], "raw string, known array<string>")
-    got = [r[0] for r in df.select(committee.persona_reply("raw", "known")).collect()]
-    assert got[0]["errors"] == [] and got[0]["scores"] == {"moat": 80.0, "risk": 20.0}
-    assert got[1]["errors"] == ["unknown reference: c2"]
-    assert got[2]["errors"] == ["missing verdict", "missing severity", "score out of range: moat", "number of statements"]
+def test_persona_replies(spark):
+    lines = lambda *refs: "## STATEMENTS\n" + "\n".join(f"STATEMENT: said {i}" + (f" [refs: {r}]" if r else "") for i, r in enumerate(refs))
+    quality = "## VERDICT\nfine\n## SCORES\nBUSINESS_QUALITY: 80\nCOMPETITIVE_MOAT: 70.5\nMANAGEMENT: 60\nRISK: 5\n"
+    bear = "## Verdict\nso so\n## Scores\nRISK: 140\nseverity: High\n"
+    cases = {
+        "good": ("quality", quality + lines("1, 02", "", "1", "2"), []), "few": ("quality", quality + lines("1"), ["few_statements"]), "many": ("bear", bear + lines(*[""] * 9), ["out_of_range:RISK", "many_statements"]),
+        "refs": ("quality", quality + lines("roic", "7", "1", ""), ["not_a_number:roic", "unknown_ref:7"]), "figures": ("valuation", "## VERDICT\nok\n## SCORES\nVALUATION: 50\nFINANCIAL_STRENGTH: 40\n" + lines("DCF bear", "", "", "9"), ["unknown_ref:9"]),
+        "none": ("bear", None, ["no_verdict", "no_score:RISK", "no_severity", "few_statements"]),
+    }
+    df = spark.createDataFrame([(k, p, raw) for k, (p, raw, _) in cases.items()], "ticker string, persona string, raw string")
+    known = spark.createDataFrame([(k, ["1", "2"]) for k in cases if k != "none"], "ticker string, refs array<string>")
+    got = {r["ticker"]: r for r in committee.persona_replies(df, known, ["ticker"]).collect()}
+    assert {k: r["errors"] for k, r in got.items()} == {k: e for k, (_, _, e) in cases.items()}
+    assert got["good"]["scores"] == {"business": 80.0, "moat": 70.5, "management": 60.0} and got["many"]["scores"] == {"risk": 100.0} and got["many"]["severity"] == "high"
 
 
 def test_status_and_errors(spark):
