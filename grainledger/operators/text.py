@@ -18,7 +18,7 @@ from grainledger.session import cut
 #: Context kept beside a quote, the least share of a fuzzy match.
 CONTEXT, LEAST_SHARE = 48, 0.60
 #: Words of the runs by which documents are found for a passage, the first size that it is long enough for; parts of a frequent run.
-RUNS, SALTS = (3, 1), 16
+RUNS, SALTS, GRAM = (3, 1), 16, 3
 
 _DASHES = dict.fromkeys(map(ord, "‐‑‒–—―−"), "-")
 _QUOTES = {ord("‘"): "'", ord("’"): "'", ord("“"): '"', ord("”"): '"'}
@@ -154,11 +154,29 @@ def _needed(quote: pd.Series, whole: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(q, w) for q, w in zip(quote, whole)], columns=["n", "need"])
 
 
+@vectorised("array<string>")
+def _grams(text: pd.Series, sizes: pd.Series) -> pd.Series:
+    """The different runs of so many characters."""
+    return pd.Series([[] if t is None else sorted({t[i : i + n] for n in own for i in range(len(t) - n + 1)}) for t, own in zip(text, sizes)])
+
+
+def _short(documents: DataFrame, quotes: DataFrame) -> DataFrame:
+    """doc_id, quote: documents that hold the first GRAM characters of a passage, all of it if it is shorter."""
+    keys = quotes.where("quote <> ''").select("quote", F.substring("quote", 1, GRAM).alias("gram"))
+    sizes = [r["n"] for r in keys.select(F.length("gram").alias("n")).distinct().collect()]  # GRAM rows at most
+    everywhere = documents.select("doc_id").crossJoin(F.broadcast(quotes.where("quote = ''").select("quote")))  # one row at most
+    if not sizes:
+        return everywhere
+    held = documents.select("doc_id", F.explode(_grams("text", F.array(*map(F.lit, sizes)))).alias("gram"))
+    return held.join(keys, "gram").select("doc_id", "quote").distinct().union(everywhere)
+
+
 def _pairs(documents: DataFrame, passages: DataFrame, whole: bool) -> DataFrame:
     """doc_id, text, quote, n, need and runs: every document with every different passage that it can hold.
 
     Of a passage's runs of words, of which a document needs some, only the rarest are looked up, so many that a document
-    without any of them lacks too many. Passages too short for a sure run, of one or two words, are tried with every document.
+    without any of them lacks too many. Passages too short for a sure run, of one or two words, are met by their first characters, or,
+    where a part of them is enough, tried with every document.
     """
     quotes = passages.where("quote is not null").select("quote").distinct().select("quote", _needed("quote", F.lit(whole)).alias("_n")).select("quote", "_n.*")
     words = _words(F.col("quote"))
@@ -166,18 +184,23 @@ def _pairs(documents: DataFrame, passages: DataFrame, whole: bool) -> DataFrame:
     for n in RUNS:
         runs = F.when(F.col("n") == n, _runs(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), n)).otherwise(runs)
     quotes = cut(quotes.withColumn("runs", runs))
-    sizes = [r["n"] for r in quotes.where("n > 0").select("n").distinct().collect()]  # a row for each of RUNS at most
-    rest = documents.crossJoin(quotes.where("n = 0")).select("doc_id", "text", "quote", "n", "need", "runs")
-    if not sizes:
-        return rest
-    wanted = quotes.where("n > 0").select("quote", (F.lit(1) if whole else F.size("runs") - F.col("need") + 1).alias("keys"), F.explode("runs").alias("run"))
-    own = F.concat(*[_runs(_words(F.col("text")), n) for n in sizes])
-    held = cut(documents.select("doc_id", F.explode(own).alias("run")).join(wanted.select("run").distinct(), "run", "left_semi"))
-    often = held.groupBy("run").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(W.partitionBy("quote").orderBy(F.coalesce("often", F.lit(0)), "run"))
-    keys = wanted.join(often, "run", "left").withColumn("rank", rank).where("rank <= keys and often > 0").select("quote", "run", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = held.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(keys, ["run", "salt"]).select(F.col("doc_id").alias("_doc"), "quote").distinct()
-    return documents.join(met, F.col("doc_id").eqNullSafe(F.col("_doc"))).join(quotes, "quote").select("doc_id", "text", "quote", "n", "need", "runs").union(rest)
+    kinds = [r["n"] for r in quotes.select("n").distinct().collect()]  # 0 and RUNS at most
+    sizes, short = [n for n in kinds if n], quotes.where("n = 0").select("quote")
+    met = None
+    if sizes:
+        wanted = quotes.where("n > 0").select("quote", (F.lit(1) if whole else F.size("runs") - F.col("need") + 1).alias("keys"), F.explode("runs").alias("run"))
+        own = F.concat(*[_runs(_words(F.col("text")), n) for n in sizes])
+        held = cut(documents.select("doc_id", F.explode(own).alias("run")).join(wanted.select("run").distinct(), "run", "left_semi"))
+        often = held.groupBy("run").agg(F.count("*").alias("often"))
+        rank = F.row_number().over(W.partitionBy("quote").orderBy(F.coalesce("often", F.lit(0)), "run"))
+        keys = wanted.join(often, "run", "left").withColumn("rank", rank).where("rank <= keys and often > 0").select("quote", "run", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        met = held.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(keys, ["run", "salt"]).select(F.col("doc_id").alias("_doc"), "quote").distinct()
+    if 0 in kinds:
+        few = (_short(documents, short) if whole else documents.select("doc_id").crossJoin(short)).select(F.col("doc_id").alias("_doc"), "quote").distinct()
+        met = few if met is None else met.unionByName(few)
+    if met is None:
+        met = documents.limit(0).select(F.col("doc_id").alias("_doc"), F.lit("").alias("quote"))
+    return documents.join(met, F.col("doc_id").eqNullSafe(F.col("_doc"))).join(quotes, "quote").select("doc_id", "text", "quote", "n", "need", "runs")
 
 
 def quoted(documents: DataFrame, passages: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from grainledger.functions.measures import symmetric_difference
 from grainledger.operators import committee, evaluation, facts, lineage, series, text, upsert
 from grainledger.plans.base import PANEL_SQL, SPEND_SQL, panel, spend
 from grainledger.sources.readers import table
-from grainledger.sources.writers import table_digest
+from grainledger.sources.writers import portable_digest
 from grainledger.streaming import incremental
 
 QUERIES, SQL = {}, {}
@@ -467,6 +467,11 @@ def committee_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return committee.gates(c, c.withColumnRenamed("role", "analysis_type"), c.where("turn >= 2"), c.where("ticker % 5 = 0"), ["user", "assistant"])
 
 
-@query()
+@query("""WITH r AS (SELECT ['k' || o_orderkey, o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(20, 2)) AS VARCHAR), o_comment] AS cells FROM (SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS o_comment FROM orders)),
+h AS (SELECT ('0x' || left(sha256(array_to_string(list_transform(cells, lambda c: coalesce(length(c) || ':' || c, '-')), '|')), 15))::BIGINT AS h FROM r)
+SELECT count(*) AS n, coalesce(bit_xor(h), 0) AS mixed, coalesce(sum(h), 0)::VARCHAR AS summed FROM h""")
 def upstream_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table_digest(table(spark, sf_dir, "orders"))
+    """What tells whether the orders have changed, whatever the order of their rows."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("k"), k.cast("string")).alias("k"), "o_orderstatus", F.col("o_totalprice").cast("decimal(20,2)").cast("string").alias("price"), F.when(k % 5 != 0, F.col("o_orderpriority")).alias("priority"))
+    return portable_digest(rows)
