@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from grainledger.llm.ann import op10_ann
 from grainledger.llm.brown_lm import op1_brown_lm
+from grainledger.llm.corpus_sql import OP4, OP7, OP9
 from grainledger.llm.html_text import op12_html_text
 from grainledger.llm.language_id import op2_language_id
 from grainledger.llm.minhash import op9_minhash
@@ -33,4 +34,4 @@ QUERIES = {
     "op13_structure_repair": op13_structure_repair,
 }
 
-ORACLE_SQL: dict[str, str] = {"op11_prefix_trie": OP11, "op13_structure_repair": OP13}
+ORACLE_SQL: dict[str, str] = {"op4_substrings": OP4, "op7_vector_dedup": OP7, "op9_minhash": OP9, "op11_prefix_trie": OP11, "op13_structure_repair": OP13}
