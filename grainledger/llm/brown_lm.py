@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainledger.llm.common import cut, remainder, table
+from grainledger.llm.common import cut, remainder, stored, table
 
 #: Words of the exchange clustering, words that are broadcast, least number of classes, classes of unknown words.
 SEEDS, FREQUENT, CLASSES, TAILS = 8192, 200_000, 32, 24
@@ -349,11 +349,12 @@ def class_model_scores(docs: DataFrame) -> DataFrame:
     n, v = sums["n"] + ends, sums["v"] + (ends > 0)
     seeds = sorted(((bytes(r["word"]), r["c"]) for r in counts.where(_most_frequent(counts, SEEDS)).collect()), key=lambda x: (-x[1], x[0]))
     k = len(seeds)
-    met = cut(_neighbours(training, [w for w, _ in seeds]))
+    met, forget = stored(_neighbours(training, [w for w, _ in seeds]))
     of, pairs = exchange(cut(met.where("pair is not null").select("pair.*").groupBy("a", "b").agg(F.sum("n").alias("n"))), k, classes_for(v))
     free, total = len(pairs) - TAILS - 1, len(pairs)
     end = total - 1
     others = cut(_assigned(met.where("word is not null").select("word", "near"), of, pairs))
+    forget()
 
     # what is broadcast: seeds and as many others as there is room for
     is_rare = ~_most_frequent(others, FREQUENT - SEEDS)

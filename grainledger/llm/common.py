@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -27,6 +28,15 @@ def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataF
     return plain, lambda got: got.select(*[F.col(names[c]).alias(c) for c in docs.columns])
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """(df, written to the shared folder as Parquet and read again; what deletes it). For what is large and needed for a while only."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True) and None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
