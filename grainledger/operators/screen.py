@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grainledger.functions.measures import SPLIT_STEP, debt_to_fcf, growth_rate, ratio
 from grainledger.operators.series import peer_percentiles
+from grainledger.session import cut
 
 #: Floors, and the percentile that a value must reach among its peers.
 FLOORS = {
@@ -108,6 +109,7 @@ def scores(metrics: DataFrame) -> DataFrame:
     long = long.withColumn("off", off).withColumn("peer_value", F.when(~F.col("quarantined") & ~F.col("off"), F.col("value")))
     signed = F.when(F.col("metric").isin(*LOWER_IS_BETTER), -F.col("peer_value")).otherwise(F.col("peer_value"))
     long = long.withColumn("signed", F.round(signed, 9))  # values that differ by rounding alone are ties
+    long = cut(long)  # a row a company and metric: the panel behind it is computed once, not for the counts and again for the rows
     long = peer_percentiles(long, ["metric", "sector"], "signed", "percentile", True, LEAST_PEERS)
     long = long.withColumn("floor_pass", floor_passed(F.col("metric"), F.col("value")))
     long = long.withColumn("overall_pass", combine(F.col("floor_pass"), F.col("percentile") >= F.lit(PEER_BAR)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from grainledger.functions.measures import SPLIT_STEP, growth_rate
+from grainledger.session import cut
 
 
 def top_row(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -36,6 +37,7 @@ def value_counts(df: DataFrame, group: list[str], value: str, parts: int = PARTS
     g = [F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]
     keys = [f"_g{i}" for i in range(len(group))] or ["_g"]
     counts = df.where(F.col(value).isNotNull()).groupBy(*(g or [F.lit(0).alias("_g")]), F.col(value).alias("_v")).agg(F.count("*").alias("n"), F.count_if(tally if tally is not None else F.lit(False)).alias("t"))
+    counts = cut(counts)  # read three times
     edges = counts.groupBy(*keys).agg(F.percentile_approx("_v", [k / parts for k in range(1, parts)], 20 * parts).alias("_edges"), F.sum("n").alias("total"))
     edges = edges.select(*[F.col(k).alias(f"{k}e") for k in keys], F.array_distinct("_edges").alias("_edges"), "total")
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}e")) for k in keys])
