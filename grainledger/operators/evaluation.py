@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 import numpy as np
@@ -78,15 +79,19 @@ def suppressed(counts: DataFrame, family: list[str], n: str) -> DataFrame:
     return counts.withColumn("shown", F.when(F.min(n).over(W.partitionBy(*family)) >= SMALL_CELL, F.col(n)))
 
 
+def weighted(scores: dict[str, Column]) -> Column:
+    """Sum of these scores by their weights, divided last; risk counts as 100 less itself.
+
+    Weights are decimals: whole-numbered scores add up exactly, so that a score on a bar is on it; doubles add up as doubles.
+    """
+    terms = [F.lit(Decimal(str(WEIGHTS[k]))) * (100 - v if k == "risk" else v) for k, v in scores.items()]
+    return reduce(Column.__add__, terms) / F.lit(float(sum(WEIGHTS[k] for k in scores)))
+
+
 def overall_score(scores: dict[str, Column], without: tuple[str, ...] = (), replace: dict[str, Column] | None = None) -> Column:
-    """Weighted score; risk counts as 100 less itself. A missing one is an error; without some the rest is renormalised."""
-    used = {k: w for k, w in WEIGHTS.items() if k not in without}
-    terms = []
-    for k, w in used.items():
-        v = (replace or {}).get(k, scores[k])
-        v = F.when(v.isNull(), F.raise_error(F.lit(f"score {k} is missing"))).otherwise(v)
-        terms.append(F.lit(w / sum(used.values())) * (100 - v if k == "risk" else v))
-    return reduce(Column.__add__, terms)
+    """Weighted score; a missing one is an error; without some the rest is renormalised."""
+    used = {k: (replace or {}).get(k, scores[k]) for k in WEIGHTS if k not in without}
+    return weighted({k: F.when(v.isNull(), F.raise_error(F.lit(f"score {k} is missing"))).otherwise(v) for k, v in used.items()})
 
 
 def verdict_status(score: Column, severity: Column, capped: bool = True) -> Column:
