@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainledger.operators.evaluation import INVESTIGATE, WATCH, WEIGHTS
+from grainledger.operators.evaluation import INVESTIGATE, WATCH, WEIGHTS, weighted
 from grainledger.operators.valuation import value_class
 from grainledger.functions.measures import is_close
 from grainledger.session import cut
@@ -96,7 +96,7 @@ def sound_verdict() -> Column:
     """Whether a verdict has known values, usable scores, and the score and status that follow from these."""
     usable = lambda c: F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.lit(False))
     numbers = reduce(lambda a, b: a & b, [usable(c) & F.col(c).between(0, 100) for c in WEIGHTS], usable("overall_score"))
-    score = sum(((100.0 - F.col(c)) if c == "risk" else F.col(c)) * w for c, w in WEIGHTS.items())
+    score = weighted({c: F.col(c) for c in WEIGHTS})
     status = F.when((score >= INVESTIGATE) & (F.col("severity") != "high"), "Investigate").when(score >= WATCH, "Watch").otherwise("Reject")
     return F.coalesce(F.col("severity").isin("low", "medium", "high") & numbers & is_close(score, F.col("overall_score")) & (F.col("status") == status), F.lit(False))
 

@@ -321,7 +321,7 @@ def record_issues(verdicts: DataFrame, valuation_run: str, quality_run: str) ->
     """
     usable = lambda c: F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.lit(False))
     numbers = reduce(lambda a, b: a & b, [usable(c) & F.col(c).between(0, 100) for c in WEIGHTS], usable("overall_score"))
-    score = sum(((100.0 - F.col(c)) if c == "risk" else F.col(c)) * w for c, w in WEIGHTS.items())
+    score = weighted({c: F.col(c) for c in WEIGHTS})
     status = F.when((score >= INVESTIGATE) & (F.col("severity") != "high"), "Investigate").when(score >= WATCH, "Watch").otherwise("Reject")
     found = {
         "committee_unknown_status": ~F.coalesce(F.col("status").isin("Investigate", "Watch", "Reject"), F.lit(False)),

@@ -12,3 +12,12 @@ def test_left_out_score_on_the_bar(spark):
     df = spark.createDataFrame([(1, 10.0, 10.0, 28.0, 10.0, 62.0, 44.0, "low")], "k int, " + ", ".join(f"{n} double" for n in NAMES) + ", severity string")
     got = {r["scenario"]: (r["score"], r["status"]) for r in evaluation.counterfactuals(df, "k").collect()}
     assert got["quality_left_out"] == (50.0, "watch")
+
+
+def test_recorded_score_on_the_bar(spark):
+    """These whole numbers weigh exactly 70, which doubles miss."""
+    kind = "ticker int, " + ", ".join(f"{n} long" for n in NAMES) + ", severity string, status string, valuation_run_id string, quality_run_id string"
+    df = spark.createDataFrame([(1, 100, 44, 56, 65, 71, 29, "low", "Watch", "v", "q"), (2, 100, 44, 56, 65, 71, 29, "low", "Investigate", "v", "q")], kind)
+    df = df.withColumn("overall_score", evaluation.overall_score({n: F.col(n) for n in NAMES}))
+    assert [tuple(r) for r in evaluation.record_issues(df, "v", "q").collect()] == [(1, "committee_status_formula_mismatch")]
+    assert df.first()["overall_score"] == 70.0
