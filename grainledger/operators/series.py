@@ -39,7 +39,7 @@ def value_counts(df: DataFrame, group: list[str], value: str, parts: int = PARTS
     counts = df.where(F.col(value).isNotNull()).groupBy(*(g or [F.lit(0).alias("_g")]), F.col(value).alias("_v")).agg(F.count("*").alias("n"), F.count_if(tally if tally is not None else F.lit(False)).alias("t"))
     counts = cut(counts)  # read three times
     edges = counts.groupBy(*keys).agg(F.percentile_approx("_v", [k / parts for k in range(1, parts)], 20 * parts).alias("_edges"), F.sum("n").alias("total"))
-    edges = edges.select(*[F.col(k).alias(f"{k}e") for k in keys], F.array_distinct("_edges").alias("_edges"), "total")
+    edges = cut(edges.select(*[F.col(k).alias(f"{k}e") for k in keys], F.array_distinct("_edges").alias("_edges"), "total"))  # read twice, and another run may part the values elsewhere
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}e")) for k in keys])
     laid = counts.join(edges, same).withColumn("_p", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
     inside = W.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
