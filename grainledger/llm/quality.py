@@ -10,18 +10,18 @@ Features read characters, words and lines of the whole text, never labels, langu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainledger.llm.common import mix64, remainder, table, word_hashes, word_spans
+from grainledger.llm.common import cut, mix64, remainder, table, word_hashes, word_spans
+from grainledger.llm.turns import numbered
 
-#: Labelled rows that are learned from at most, of either label, chosen by a hash of the id.
-LEARN_ROWS = 8_000
-#: Opponents of each document in the pairs.
+#: Opponents, in the pairs, of each document of the more frequent label.
 OPPONENTS = 8
 PLAIN = 13
 FEATURES = 2 * PLAIN
@@ -94,56 +94,93 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np
 class Model:
     """Weights on standardised features and their squares; the threshold is a quantile of training worths."""
 
-    def __init__(self, x: np.ndarray, good: np.ndarray, weight: np.ndarray, seed: int = 8, penalty: float = 1e-3):
-        self.middle, self.spread = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(PLAIN), np.ones(PLAIN))
+    def __init__(self, middle: np.ndarray, spread: np.ndarray):
+        self.middle, self.spread = middle, spread
         self.weights, self.threshold = np.zeros(FEATURES), 0.0
-        f, rng = self.expand(x), np.random.default_rng(seed)
-        a, b = np.flatnonzero(good), np.flatnonzero(~good)
-        if not len(a) or not len(b):
-            self.threshold = 0.0 if not len(x) else (-4.0 if len(a) else 4.0)
-            return
-        pairs = max(len(a), len(b)) * OPPONENTS
-        d = f[rng.choice(a, pairs)] - f[rng.choice(b, pairs)]
-        for _ in range(25):  # Newton's method
-            p = 1 / (1 + np.exp(-np.clip(d @ self.weights, -30, 30)))
-            step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / pairs + penalty * np.eye(FEATURES), d.T @ (1 - p) / pairs - penalty * self.weights)
-            self.weights += step
-            if np.abs(step).max() < 1e-6:
-                break
-        worth = f @ self.weights
-        order = np.argsort(worth, kind="stable")
-        below = np.cumsum(weight[order]) / weight.sum()
-        i = min(max(int(np.searchsorted(below, weight[~good].sum() / weight.sum())), 0), len(order) - 2)
-        self.threshold = float(worth[order[i]] + worth[order[i + 1]]) / 2
 
     def expand(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.middle) / self.spread, -5, 5)
         return np.hstack([z, z * z])
 
+    def worth(self, x: np.ndarray) -> np.ndarray:
+        return self.expand(x) @ self.weights
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.expand(x) @ self.weights - self.threshold, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.worth(x) - self.threshold, -30, 30)))
+
+    def loss(self, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+        """Sums over pairs: of what the logistic loss curves by, row after row, then of its slope."""
+        d = self.expand(good) - self.expand(bad)
+        p = 1 / (1 + np.exp(-np.clip(d @ self.weights, -30, 30)))
+        return np.concatenate((((d * (p * (1 - p))[:, None]).T @ d).ravel(), d.T @ (1 - p)))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, PLAIN)
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> Model:
-    """From the texts of documents with a label (columns doc_id, quality; rows with nulls are left out)."""
-    rows = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality")
-    sizes = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
-    rate = F.lit(0.0)
-    for q, n in sizes.items():
-        rate = F.when(F.col("quality") == q, F.lit(min(1.0, most / n))).otherwise(rate)
-    # at most about 2 * most rows, whatever the number of labels, so they can go to every task
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) < rate * (1 << 20)).distinct()
+def _totals(rows: DataFrame, f: Callable[..., np.ndarray], size: int) -> np.ndarray:
+    """Sum of f over the rows' columns, all of features: a row for each task comes to the driver, and they are added in the tasks' order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, x in _run(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(part.column("doc_id").to_pylist(), pa.int64()), part.column("quality").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
+        total = np.zeros(size)
+        for batch in batches:
+            if len(batch):
+                total += f(*map(_matrix, batch.columns))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total], pa.list_(pa.float64()))], names=["part", "total"])
+
+    return sum((np.array(r["total"]) for r in sorted(rows.mapInArrow(run, "part int, total array<double>").collect())), np.zeros(size))
+
 
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, x array<double>")
-    got = sorted(found.collect(), key=lambda r: (r["doc_id"], r["quality"], r["x"]))
-    good = np.array([r["quality"] == 1 for r in got], bool)
-    seen = {q: max(1, int((good == bool(q)).sum())) for q in (0, 1)}
-    weight = np.array([sizes[r["quality"]] / seen[r["quality"]] for r in got])
-    return Model(np.array([r["x"] for r in got]).reshape(-1, PLAIN), good, weight)
+def _pairs(rows: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """good, bad: every row of the more frequent label with OPPONENTS of the other, all of which are met; ``rows`` have places by a hash."""
+    many, few = (1, 0) if sizes[1] >= sizes[0] else (0, 1)
+    own = rows.where(F.col("quality") == many).select(F.col("x").alias("own"), F.explode(F.sequence(F.col("pos") * OPPONENTS, F.col("pos") * OPPONENTS + OPPONENTS - 1)).alias("n"))
+    others = rows.where(F.col("quality") == few).select(F.col("x").alias("other"), "pos")
+    met = own.withColumn("at", F.col("n") % sizes[few]).join(others, F.col("at") == F.col("pos"))
+    return met.select(F.col("own" if many else "other").alias("good"), F.col("other" if many else "own").alias("bad"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, penalty: float = 1e-3) -> Model:
+    """From all texts of documents with a label (columns doc_id, quality; rows with nulls are left out).
+
+    Only features are shuffled and stored, never texts. Rows of either label are dealt by a hash, and each meets opponents
+    of the other; each round of Newton's method sums over the pairs in tasks. The quantile of the worths is exact.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in _run(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+    marks = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    rows = numbered(read.join(marks, "doc_id").withColumn("h", F.xxhash64("doc_id", "x")), "quality", ["h", "doc_id"])
+    sizes = {0: 0, 1: 0} | {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
+    n = sizes[0] + sizes[1]
+    if not n:
+        return Model(np.zeros(PLAIN), np.ones(PLAIN))
+    x = rows.select("x")
+    middle = _totals(x, lambda v: v.sum(0), PLAIN) / n
+    model = Model(middle, np.sqrt(_totals(x, lambda v: ((v - middle) ** 2).sum(0), PLAIN) / n) + 1e-3)
+    if not sizes[0] or not sizes[1]:
+        model.threshold = -4.0 if sizes[1] else 4.0
+        return model
+    pairs, count = cut(_pairs(rows, sizes)), max(sizes.values()) * OPPONENTS
+    for _ in range(25):  # Newton's method
+        got = _totals(pairs, model.loss, FEATURES * (FEATURES + 1)) / count
+        step = np.linalg.solve(got[: FEATURES**2].reshape(FEATURES, FEATURES) + penalty * np.eye(FEATURES), got[FEATURES**2 :] - penalty * model.weights)
+        model.weights = model.weights + step
+        if np.abs(step).max() < 1e-6:
+            break
+
+    def worths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(batch), np.int32)), pa.array(model.worth(_matrix(batch.column(0))))], names=["all", "worth"])
+
+    place = min(sizes[0] - 1, n - 2)
+    edge = numbered(x.mapInArrow(worths, "all int, worth double"), "all", ["worth"]).where(F.col("pos").between(place, place + 1)).collect()  # two rows
+    model.threshold = float(sum(r["worth"] for r in edge)) / 2
+    return model
 
 
 def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -164,5 +201,5 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
-    got = quality_scores(docs, learn(docs, labels.where(~held)))
+    got = quality_scores(docs, learn(docs.where(~held), labels.where(~held)))
     return got.select("doc_id", held.alias("held_out"), "score", "predicted")
