@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from grainledger.functions.measures import SPLIT_STEP, growth_rate
-from grainledger.session import cut
+from grainledger.session import cut, dealt
 
 
 def top_row(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -103,17 +103,17 @@ def split_factors(df: DataFrame, keys: list[str], year: str, shares: str, confir
     return folded.select(*keys, F.explode("out").alias("o")).select(*keys, F.col("o.year").alias(year), F.col("o.factor").alias("factor"))
 
 
-def as_of(probes: DataFrame, prices: DataFrame, key: str, probe_date: str, price_date: str, value: str) -> DataFrame:
+def as_of(probes: DataFrame, prices: DataFrame, key: str, probe_date: str, price_date: str, value: str, parts: int = 1) -> DataFrame:
     """Each probe with the latest value on or before its date, null if there is none or the date is null.
 
     Probes and prices are laid in one order by key and date, and the last value is carried forward: one shuffle, and
-    no pairs of rows are made. Of prices with one date the greatest counts.
+    no pairs of rows are made. Of prices with one date the greatest counts. ``parts``: in how many, by key, they are laid.
     """
     names = [c for c in probes.columns if c != key]
     left = probes.select(key, F.col(probe_date).alias("_d"), F.lit(1).alias("_probe"), F.lit(None).cast(prices.schema[value].dataType).alias("_v"), F.struct(*names).alias("_row"))
     right = prices.groupBy(key, F.col(price_date).alias("_d")).agg(F.max(value).alias("_v")).select(key, "_d", F.lit(0).alias("_probe"), "_v", F.lit(None).cast(left.schema["_row"].dataType).alias("_row"))
     w = W.partitionBy(key).orderBy(F.col("_d").asc_nulls_first(), "_probe").rowsBetween(W.unboundedPreceding, 0)
-    both = left.union(right.where(F.col("_d").isNotNull())).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_probe = 1")
+    both = dealt(left.union(right.where(F.col("_d").isNotNull())), parts, key).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_probe = 1")
     return both.select(key, *[F.col(f"_row.{c}").alias(c) for c in names], F.col("_v").alias(value))
 
 

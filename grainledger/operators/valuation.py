@@ -53,16 +53,16 @@ def past_multiples(panel: DataFrame, prices: DataFrame) -> DataFrame:
     return pe.groupBy("ticker").agg(F.min("pe").alias("pe_low"), F.max("pe").alias("pe_high"), F.count("*").alias("pe_years")).withColumn("low_confidence", F.col("pe_years") < FEW_MULTIPLES)
 
 
-def valuations(panel: DataFrame, prices: DataFrame) -> tuple[DataFrame, DataFrame]:
+def valuations(panel: DataFrame, prices: DataFrame, parts: int = 1) -> tuple[DataFrame, DataFrame]:
     """(six rows for each company, errors). Rows: ticker, method, scenario, low, high, margin_of_safety, reason.
 
     A company without rows, prices or shares above zero is an error and has no rows. A method that can't be applied has
-    a reason and no values. Panel and prices are laid in one order once; a company is then one wide row, and its six
+    a reason and no values. Panel and prices are laid in one order once, in so many ``parts``; a company is then one wide row, and its six
     rows come from that.
     """
     names = ("fiscal_year", "shares", "eps", "free_cash_flow", "total_debt", "cash", "operating_income")
     needed = {*names, "revenue", "net_income", "depreciation", "capex", "working_capital_change"}
-    priced = as_of(panel.select("ticker", "period_end_date", *sorted(needed)), prices, "ticker", "period_end_date", "date", "close")
+    priced = as_of(panel.select("ticker", "period_end_date", *sorted(needed)), prices, "ticker", "period_end_date", "date", "close", parts)
     pe = price_to_earnings("close", "eps")
     wide = priced.groupBy("ticker").agg(*_basis(names), F.min(pe).alias("pe_low"), F.max(pe).alias("pe_high"))
     price = prices.where("close is not null").groupBy("ticker").agg(F.max_by("close", F.struct("date", "close")).alias("price"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainledger.session import dealt, parts_of
 from grainledger.sources.readers import table
 
 #: name: (what is summed for each line, digits)
@@ -40,7 +41,8 @@ panel AS (
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("ticker"), "o_orderdate")
     lines, customers = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ticker"), F.col("c_mktsegment").alias("sector"))
-    met = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("fiscal_year", F.year("o_orderdate"))
+    parts = parts_of(lines)
+    met = dealt(orders, parts, "o_orderkey").join(dealt(lines, parts, "l_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("fiscal_year", F.year("o_orderdate"))
     sums = met.groupBy("ticker", "fiscal_year").agg(F.max("o_orderdate").cast("date").alias("period_end_date"), *[F.round(F.sum(F.expr(e)), d).alias(n) for n, (e, d) in MEASURES.items()])
     rows = sums.join(customers, "ticker")
     return rows.select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from grainledger.functions.measures import ev_to_ebit, fcf_yield, margin_of_safety, owner_earnings, price_to_earnings, weekdays_between
 from grainledger.operators import valuation
 from grainledger.plans.base import PANEL_SQL, panel
+from grainledger.session import parts_of
 from grainledger.sources.readers import table
 
 QUERIES, SQL = {}, {}
@@ -100,7 +101,7 @@ six AS (
  UNION ALL SELECT g.ticker, 'pe_range', NULL, CASE WHEN eps > 0 THEN lo * eps END, CASE WHEN eps > 0 THEN hi * eps END, CASE WHEN CASE WHEN eps > 0 THEN lo * eps END > 0 THEN (lo * eps - price) / (lo * eps) END FROM good g LEFT JOIN mult m ON m.ticker = g.ticker)
 SELECT ticker, method, scenario, round(low, 3) AS low, round(high, 3) AS high, round(margin, 4) AS margin FROM six""")
 def six_valuations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = valuation.valuations(panel(spark, sf_dir), _daily(spark, sf_dir))
+    rows, _ = valuation.valuations(panel(spark, sf_dir), _daily(spark, sf_dir), parts_of(table(spark, sf_dir, "orders")))
     return rows.select("ticker", "method", "scenario", F.round("low", 3).alias("low"), F.round("high", 3).alias("high"), F.round("margin_of_safety", 4).alias("margin"))
 
 

@@ -30,6 +30,20 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
+#: Rows that a task is given where large tables meet: what it sorts or holds doesn't grow with the tables.
+PART_ROWS = 500_000
+
+
+def parts_of(df: DataFrame) -> int:
+    """Parts of about PART_ROWS rows; counting a table's rows reads its footers only."""
+    return max(1, -(-df.count() // PART_ROWS))
+
+
+def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """df in so many parts by these keys, which stay as they are, also where small ones would be joined to large ones; one part: as it comes."""
+    return df.repartition(parts, *keys) if parts > 1 else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder, so that a lost executor costs no work done before this point."""
     context = df.sparkSession.sparkContext
