@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainledger.operators.series import top_row
+from grainledger.session import dealt
 
 #: Sections that a filing should have, in the order in which they are sent, with their titles. Fixed values.
 SECTION_TITLES = {"item_1": "Item 1: Business", "item_1a": "Item 1A: Risk Factors", "item_7": "Item 7: MD&A", "full": "Full Filing"}
@@ -37,17 +38,21 @@ def citation_states(citations: DataFrame, documents: DataFrame) -> DataFrame:
     return citations.join(d, keys, "left").select("citation_id", "is_current", detail.alias("detail")).select("citation_id", state.alias("state"), "detail")
 
 
-def shown_claims(analyses: DataFrame, claims: DataFrame) -> DataFrame:
+def shown_claims(analyses: DataFrame, claims: DataFrame, parts: int = 1) -> DataFrame:
     """Claims of each analysis; one that was copied forward shows those of the run that it was copied from."""
+    keys = ["claims_run_id", "ticker", "analysis_type"]
     a = analyses.withColumn("claims_run_id", F.coalesce("reused_from_run_id", "run_id"))
-    return a.join(claims.withColumnRenamed("run_id", "claims_run_id"), ["claims_run_id", "ticker", "analysis_type"])
+    return dealt(a, parts, *keys).join(dealt(claims.withColumnRenamed("run_id", "claims_run_id"), parts, *keys), keys)
 
 
-def filing_evidence(citations: DataFrame, claims: DataFrame, analyses: DataFrame) -> DataFrame:
-    """accession, claim_id, run_id, ticker, analysis_type, claim_order, is_current: each claim once for a filing it cites."""
+def filing_evidence(citations: DataFrame, claims: DataFrame, analyses: DataFrame, parts: int = 1) -> DataFrame:
+    """accession, claim_id, run_id, ticker, analysis_type, claim_order, is_current: each claim once for a filing it cites.
+
+    Rows meet in so many ``parts``; those by claim serve the join and what makes them different.
+    """
     cited = citations.select("accession", "claim_id")
-    known = claims.join(analyses.select(*_RUN, "is_current"), _RUN)
-    return cited.join(known, "claim_id").select("accession", "claim_id", *_RUN, "claim_order", "is_current").distinct()
+    known = dealt(claims, parts, *_RUN).join(dealt(analyses.select(*_RUN, "is_current"), parts, *_RUN), _RUN)
+    return dealt(cited, parts, "claim_id").join(dealt(known, parts, "claim_id"), "claim_id").select("accession", "claim_id", *_RUN, "claim_order", "is_current").distinct()
 
 
 def source_filings(shown: DataFrame, citations: DataFrame, filings: DataFrame) -> DataFrame:
@@ -184,13 +189,13 @@ def to_monitor(statements: Column) -> Column:
     return F.to_json(F.coalesce(statements, F.array().cast("array<string>")))
 
 
-def stale_analyses(analyses: DataFrame, claims: DataFrame, events: DataFrame) -> DataFrame:
+def stale_analyses(analyses: DataFrame, claims: DataFrame, events: DataFrame, parts: int = 1) -> DataFrame:
     """_RUN, degraded, checked, stale of each analysis with checked citations: stale if the last result of one is fuzzy or unresolved.
 
     Events, which are only ever added, have claim_id, citation_id, checked_at and result. Claims of a copied analysis are those of the run that it was
-    copied from; the flag is that of the analysis shown.
+    copied from; the flag is that of the analysis shown. Rows meet in so many ``parts``.
     """
-    last = events.groupBy("claim_id", "citation_id").agg(F.max_by("result", "checked_at").alias("result"))
-    met = shown_claims(analyses, claims).select(*_RUN, "claim_id").join(last, "claim_id")
+    last = dealt(events, parts, "claim_id").groupBy("claim_id", "citation_id").agg(F.max_by("result", "checked_at").alias("result"))
+    met = dealt(shown_claims(analyses, claims, parts).select(*_RUN, "claim_id"), parts, "claim_id").join(last, "claim_id")
     bad = F.col("result").isin("fuzzy", "unresolved")
     return met.groupBy(*_RUN).agg(F.count_if(bad).alias("degraded"), F.count("*").alias("checked"), F.bool_or(bad).alias("stale"))

@@ -14,6 +14,7 @@ from grainledger.functions import keys
 from grainledger.operators import evaluation, evidence, upsert, valuation
 from grainledger.plans.base import PANEL_SQL, panel
 from grainledger.plans.valuing import _VALUES
+from grainledger.session import dealt, parts_of
 from grainledger.sources.readers import table
 
 QUERIES, SQL = {}, {}
@@ -49,7 +50,8 @@ def _analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("ticker"), F.col("o_orderpriority").alias("analysis_type"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("claim_id"), F.col("l_linenumber").alias("claim_order"), F.col("l_partkey").alias("accession"))
-    return lines.join(o, "run_id")
+    parts = parts_of(lines)
+    return dealt(lines, parts, "run_id").join(dealt(o, parts, "run_id"), "run_id")
 
 
 # evidence
@@ -57,19 +59,19 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_ANALYSES} SELECT a.run_id, a.ticker, a.analysis_type, claim_id, claim_order FROM analyses a JOIN claims c ON c.run_id = coalesce(a.reused_from_run_id, a.run_id) AND c.ticker = a.ticker AND c.analysis_type = a.analysis_type WHERE is_current")
 def shown_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.shown_claims(_analyses(spark, sf_dir).where("is_current"), _claims(spark, sf_dir)).select("run_id", "ticker", "analysis_type", "claim_id", "claim_order")
+    return evidence.shown_claims(_analyses(spark, sf_dir).where("is_current"), _claims(spark, sf_dir), parts_of(table(spark, sf_dir, "lineitem"))).select("run_id", "ticker", "analysis_type", "claim_id", "claim_order")
 
 
 @query(f"WITH {_ANALYSES} SELECT DISTINCT q.accession, c.claim_id, c.run_id, c.ticker, c.analysis_type, c.claim_order, a.is_current FROM claims c JOIN claims q ON q.claim_id = c.claim_id JOIN analyses a ON a.run_id = c.run_id AND a.ticker = c.ticker AND a.analysis_type = c.analysis_type")
 def filing_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _claims(spark, sf_dir)
-    return evidence.filing_evidence(c.select("claim_id", "accession"), c.drop("accession"), _analyses(spark, sf_dir))
+    return evidence.filing_evidence(c.select("claim_id", "accession"), c.drop("accession"), _analyses(spark, sf_dir), parts_of(table(spark, sf_dir, "lineitem")))
 
 
 @query(f"WITH {_ANALYSES} SELECT DISTINCT a.ticker, c.accession, p_name AS name FROM analyses a JOIN claims c ON c.run_id = coalesce(a.reused_from_run_id, a.run_id) AND c.ticker = a.ticker AND c.analysis_type = a.analysis_type JOIN part ON p_partkey = c.accession WHERE is_current")
 def source_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _claims(spark, sf_dir)
-    shown = evidence.shown_claims(_analyses(spark, sf_dir).where("is_current"), c.drop("accession"))
+    shown = evidence.shown_claims(_analyses(spark, sf_dir).where("is_current"), c.drop("accession"), parts_of(table(spark, sf_dir, "lineitem")))
     return evidence.source_filings(shown, c, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("accession"), F.col("p_name").alias("name")))
 
 
