@@ -27,8 +27,8 @@ def submitted(requests: DataFrame, attempts: DataFrame) -> DataFrame:
     return attempts.unionByName(rows)
 
 
-def retrieved(attempts: DataFrame, batch: str, results: DataFrame, issues: DataFrame) -> DataFrame:
-    """``attempts`` with the ends of the batch's pending rows for which there are results; all others stay as they are.
+def retrieved(attempts: DataFrame, batch: str | tuple[str, ...], results: DataFrame, issues: DataFrame) -> DataFrame:
+    """``attempts`` with the ends of the pending rows of the batch, or of several at once, for which there are results; all others stay as they are.
 
     Results have custom_id, stop_reason and cost, issues custom_id and code. A refusal or an error of the service has no content to check; else
     an attempt with issues is invalid, with their codes as its failure, and one without is persisted. A result of no
@@ -37,7 +37,7 @@ def retrieved(attempts: DataFrame, batch: str, results: DataFrame, issues: DataF
     end = results.groupBy("custom_id").agg(F.min(F.struct("stop_reason", "cost")).alias("_r")).select("custom_id", "_r.stop_reason", F.col("_r.cost").alias("_cost"))
     wrong = issues.groupBy("custom_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("_codes"))
     met = attempts.join(end, "custom_id", "left").join(wrong, "custom_id", "left")
-    due = (F.col("batch_id") == batch) & (F.col("outcome") == PENDING) & F.col("stop_reason").isNotNull()
+    due = F.col("batch_id").isin(*((batch,) if isinstance(batch, str) else batch)) & (F.col("outcome") == PENDING) & F.col("stop_reason").isNotNull()
     apart = F.col("stop_reason").isin(REFUSED, API_ERROR)
     outcome = F.when(apart, F.col("stop_reason")).when(F.col("_codes").isNotNull(), INVALID).otherwise(PERSISTED)
     failure = F.when(~apart, F.col("_codes"))
