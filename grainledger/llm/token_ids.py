@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import itertools
+import ctypes
+import gc
 import os
 import re
 import zlib
@@ -20,6 +21,9 @@ _RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2
 #: Latin letters, then punctuation that no contraction begins with: two pre-tokens of any pre-tokenizer used here.
 _ENDED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([-!#$%&()*+,./:;<=>?@|~]+)").fullmatch
 
+#: Stands between units that are encoded in one call, so many at a time; one of the above, so that no unit has it.
+BETWEEN, TOGETHER = "\x1e", 64
+
 
 class _Units(dict):
     """Ids (bytes) of ``before + unit``, found when first asked for; kept while there is room."""
@@ -71,11 +75,19 @@ class WordEncoder:
 
     def __init__(self, path: str, keeps_space: bool, remember: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.wide = self.tokenizer.get_vocab_size() > 65536
+        from tokenizers import AddedToken, Tokenizer
+
+        def load() -> Tokenizer:
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
+            return tokenizer
+
+        self.load = load
+        self.tokenizer = load()
+        self.between = self.tokenizer.get_vocab_size()  # the id that BETWEEN is given
+        self.tokenizer.add_tokens([AddedToken(BETWEEN, normalized=False)])
+        self.plain = None
+        self.wide = self.between > 65536
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.keeps_space = keeps_space
         end = _Units(self.ids, "", remember // 10)
@@ -86,24 +98,41 @@ class WordEncoder:
         else:
             self.first = self.known = _Units(self.ids, "", remember, end=end)
 
-    def ids_of_many(self, texts: list[str]) -> list[bytes]:
-        kind = "I" if self.wide else "H"  # as self.dtype, on a little-endian machine
-        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids_of_many(self, units: list[str]) -> list[bytes]:
+        """Units are joined by a token of their own, which the tokenizer parts them at, since a call for each costs more than its ids do."""
+        out, width = [], self.dtype.itemsize
+        for e in self.tokenizer.encode_batch_fast([BETWEEN.join(units[i : i + TOGETHER]) for i in range(0, len(units), TOGETHER)], add_special_tokens=False):
+            ids = np.frombuffer(array("I", e.ids), np.uint32)
+            raw, a = ids.astype(self.dtype).tobytes(), 0
+            for b in [*(np.flatnonzero(ids == self.between) * width).tolist(), len(raw)]:
+                out.append(raw[a:b])
+                a = b + width
+        return out
 
     def ids(self, text: str) -> bytes:
-        return self.ids_of_many([text])[0]
+        """Ids of any text in one call; one that has the joining character needs a tokenizer that knows no such token."""
+        tokenizer = self.tokenizer
+        if BETWEEN in text:
+            tokenizer = self.plain = self.plain or self.load()
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned integers of ``self.dtype``."""
         split = [None if _RARE.search(t) or self.keeps_space and _SPACES(t) else t.split(" " if self.keeps_space else None) for t in texts]
-        skip = 1 if self.keeps_space else 0
-        self.known.prepare(itertools.chain.from_iterable(itertools.islice(u, skip, None) for u in split if u), self.ids_of_many)
-        get, out = self.known.__getitem__, []
-        for text, units in zip(texts, split):
+        first = [units.pop(0) if self.keeps_space and units else "" for units in split]
+        self.first.prepare(first if self.keeps_space else (), self.ids_of_many)
+        first = [self.first[unit] if unit else b"" for unit in first]
+        # one look-up for each unit; those not known are found at once, then looked up among themselves
+        got = [list(map(self.known.get, units or ())) for units in split]
+        new = {unit for units, ids in zip(split, got) if None in ids for unit, i in zip(units, ids) if i is None}
+        self.known.prepare(new, self.ids_of_many)
+        new = {unit: self.known[unit] for unit in new}
+        out = []
+        for text, units, before, ids in zip(texts, split, first, got):
             if units is None:
                 out.append(self.ids(text))
             else:
-                out.append((self.first[units[0]] if skip else b"") + b"".join(map(get, itertools.islice(units, skip, None))))
+                out.append(before + b"".join([new[unit] if i is None else i for unit, i in zip(units, ids)] if None in ids else ids))
         return out
 
     def encode(self, text: str) -> bytes:
@@ -122,10 +151,21 @@ def tokenizer_path(name: str) -> str:
 _encoders: dict[tuple, WordEncoder] = {}
 
 
+def let_go() -> None:
+    """Gives back what an encoder with its units takes, more than 100 MB: for tasks of operators that have no use for it and
+    may run in the same Python worker."""
+    if _encoders:
+        _encoders.clear()
+        gc.collect()  # units and encoder refer to one another
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
 def encoder(name: str, keeps_space: bool) -> WordEncoder:
-    """One encoder for each Python worker, kept between tasks."""
+    """One encoder for each Python worker, kept between tasks until another is asked for or ``let_go`` is called."""
     key = (name, keeps_space)
     if key not in _encoders:
+        let_go()
         _encoders[key] = WordEncoder(tokenizer_path(name), keeps_space)
     return _encoders[key]
 
