@@ -8,11 +8,12 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from grainledger.functions.vectorised import vectorised
+from grainledger.functions.vectorised import sliced, vectorised
 from grainledger.session import cut
 
 #: Context kept beside a quote, the least share of a fuzzy match.
@@ -261,6 +262,8 @@ def re_anchor(citations: DataFrame) -> DataFrame:
 
 _CITATION = "struct<document_index:int,start_char:int,end_char:int,cited_text:string>"
 _CLAIM = f"array<struct<section:string,ordinal:int,claim:string,status:string,citations:array<{_CITATION}>>>"
+_CITED = pa.struct([("document_index", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("cited_text", pa.string())])
+_CLAIMS = pa.list_(pa.struct([("section", pa.string()), ("ordinal", pa.int32()), ("claim", pa.string()), ("status", pa.string()), ("citations", pa.list_(_CITED))]))
 # The headings of a reply with the names of their sections, the two prefixes, the line that ends a section.
 REPLY_SECTIONS = {"BUSINESS QUALITY": "business_quality", "MOAT": "moat", "MANAGEMENT": "management", "RISK": "risk"}
 CLAIM, LACKING = "claim:", "insufficient evidence:"
@@ -316,15 +319,15 @@ def _claims(blocks) -> list[dict]:
     return reply.found
 
 
-@vectorised(_CLAIM)
-def claims(blocks: pd.Series) -> pd.Series:
+@sliced(_CLAIM, _CLAIMS)
+def claims(blocks: list[dict] | None) -> list[dict]:
     """Claims of replies, arrays of (type, text, citations of (type, document_index, start_char_index, end_char_index, cited_text)).
 
     A heading opens a section; text outside one makes no claim. A claim's text follows its prefix, or is the next block. A cited block
     is the text of the claim that waits; one with prefixes or headings of its own gives its citations to the claims that it announces itself. Status:
     asserted or insufficient_evidence, which has no citations. Null, empty and other blocks say nothing.
     """
-    return blocks.map(_claims)
+    return _claims(blocks)
 
 
 def reply_issues(replies: DataFrame, found: DataFrame, unresolved: DataFrame) -> DataFrame:
