@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainledger.llm.common import remainder, table
+from grainledger.llm.token_ids import let_go
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3)
@@ -60,6 +61,7 @@ def grams(texts: list[str], n: int, buckets: int = BUCKETS) -> Iterator[tuple[np
 
 def _batches(batches: Iterator[pa.RecordBatch], chars: int = 400_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of about so many characters at most, or one row, with their texts (column ``text``)."""
+    let_go()
     for batch in batches:
         low, texts, total = 0, [], 0
         for i in range(len(batch)):

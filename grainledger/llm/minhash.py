@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from grainledger.llm.common import cut, gram_hashes, mix64, table, word_hashes, word_spans
 from grainledger.llm.components import components
+from grainledger.llm.token_ids import let_go
 
 BANDS, ROWS = 32, 4
 _M32 = np.uint64(0xFFFFFFFF)
@@ -75,6 +76,7 @@ _SKETCHED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp0", pa.int
 
 
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    let_go()
     for batch in batches:
         for at in range(0, len(batch), 256):
             part = batch.slice(at, 256)

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainledger.llm.common import gram_hashes, parts_for, table, word_hashes, word_spans
+from grainledger.llm.token_ids import let_go
 
 WINDOW, PHRASE = 13, 5
 SHARD_BYTES, BUCKET_BYTES = 2 << 20, 24 << 20
@@ -106,6 +107,7 @@ def _cuts(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def _ask_anchors(buckets: int, window: int, phrase: int):
     def run(documents: pa.Table) -> pa.Table:
+        let_go()
         anchors, several = _Shard(documents, window, phrase).anchors()
         cuts = _cuts(anchors, buckets)
         some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]

@@ -1,9 +1,10 @@
 """What encoding costs a worker: calls of the library, and memory kept after the tasks that need it."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from grainledger.llm import token_ids
+from grainledger.llm import language_id, minhash, substrings, token_ids
 from grainledger.llm.token_ids import WordEncoder, tokenizer_path
 
 FILES = (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False))
@@ -33,6 +34,18 @@ def test_new_words_are_encoded_together(name, space):
     assert counting.strings < 100
 
 
+@pytest.mark.parametrize("task", [
+    lambda docs: list(language_id._batches(iter(docs.to_batches()))),
+    lambda docs: list(minhash._text_rows(iter(docs.to_batches()))),
+    lambda docs: substrings._ask_anchors(1, 13, 5)(docs),
+])
+def test_other_operators_let_an_encoder_go(task):
+    token_ids.encoder(*FILES[1])
+    assert token_ids._encoders
+    task(pa.table({"doc_id": pa.array([1]), "text": ["a b"], "shard": pa.array([0], pa.int32())}))
+    assert not token_ids._encoders
+
+
 def test_one_encoder_is_kept():
     for given in FILES:
         kept = token_ids.encoder(*given)
