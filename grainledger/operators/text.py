@@ -64,10 +64,10 @@ def _normal(raw: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
-@vectorised("string")
-def normalise(raw: pd.Series) -> pd.Series:
+@sliced("string", pa.string())
+def normalise(raw: str | None) -> str | None:
     """Text without tags, with plain dashes, quotes and spaces, lines trimmed and at most one empty line in a row."""
-    return raw.map(_normal)
+    return _normal(raw)
 
 
 def occurrences(text: Column, quote: Column) -> Column:
