@@ -23,6 +23,8 @@ from grainledger.llm.common import parts_for, shared_folder, table
 from grainledger.llm.token_ids import crc_of_ids, encoder
 
 END = 1
+#: Texts whose words are looked up together.
+TOGETHER = 1024
 _NO_ID = np.iinfo(np.int64).min
 WRITTEN = "shard int, n_docs long, n_ids long, width int"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -53,8 +55,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json"
         index, total = [], 0
         with files.open_output_stream(f"{here}.ids") as out:
             for batch in batches:
-                for at in range(0, len(batch), 256):
-                    part = batch.slice(at, 256)
+                for at in range(0, len(batch), TOGETHER):
+                    part = batch.slice(at, TOGETHER)
                     for doc_id, ids in zip(part.column(0).to_pylist(), encode.encode_many(part.column(1).to_pylist())):
                         out.write(ids)
                         out.write(end)

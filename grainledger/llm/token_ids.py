@@ -9,8 +9,11 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space after white space: here the words cannot be told by single spaces.
 _SPACES = re.compile(r"\s ").search
@@ -19,49 +22,48 @@ _SPACES = re.compile(r"\s ").search
 _RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 #: Latin letters, then punctuation that no contraction begins with: two pre-tokens of any pre-tokenizer used here.
-_ENDED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([-!#$%&()*+,./:;<=>?@|~]+)").fullmatch
+_LETTERS, _MARKS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch, "-!#$%&()*+,./:;<=>?@|~"
 
 #: Stands between units that are encoded in one call, so many at a time; one of the above, so that no unit has it.
 BETWEEN, TOGETHER = "\x1e", 64
 
 
 class _Units(dict):
-    """Ids (bytes) of ``before + unit``, found when first asked for; kept while there is room."""
-
-    def __init__(self, ids, before: str, room: int, line: _Units | None = None, end: dict | None = None):
-        self.ids, self.before, self.room, self.line, self.end = ids, before, room, line, end
-        self.ready: dict[str, bytes] = {}
-
-    def prepare(self, units: Iterable[str], ids_of_many) -> None:
-        """Finds at once what the units need that isn't known; it is at hand until the next call."""
-        new, need, lines = [unit for unit in set(units) if unit not in self], set(), []
-        for unit in new:  # grows as lines are split
-            if self.end is not None and (parts := _ENDED(unit)):
-                need.add(parts[1])
+    """Ids (bytes) of ``before + unit`` of the units that came first, while there is room."""
+
+    def __init__(self, before: str, room: int, line: _Units | None = None, end: _Units | None = None):
+        self.before, self.room, self.line, self.end = before, room, line, end
+
+    def of(self, units: Iterable[str], ids_of_many) -> dict[str, bytes]:
+        """Ids of units of which none is known: those of parts that are known or come more than once are found once, the others in one call."""
+        ended, lined, need = [], [], set()
+        for unit in units:
+            if self.end is not None and len(word := unit.rstrip(_MARKS)) < len(unit) and _LETTERS(word):
+                ended.append((unit, word, unit[len(word) :]))
+                need.add(word)
             elif self.line is not None and unit.count("\n") == 1 and unit[0] != "\n" and unit[-1] != "\n":
-                left, right = unit.split("\n")
-                new.append(left)
-                lines.append(right)
+                lined.append((unit, *unit.split("\n")))
             else:
                 need.add(unit)
-        if lines:
-            self.line.prepare(lines, ids_of_many)
-        asked = [unit for unit in need if unit not in self]
-        self.ready = dict(zip(asked, ids_of_many([self.before + unit for unit in asked])))
-
-    def __missing__(self, unit: str) -> bytes:
-        if (found := self.ready.get(unit)) is not None:
-            pass
-        elif self.end is not None and (parts := _ENDED(unit)):
-            found = self[parts[1]] + self.end[parts[2]]
-        elif self.line is not None and unit.count("\n") == 1 and unit[0] != "\n" and unit[-1] != "\n":
-            left, right = unit.split("\n")
-            found = self[left] + self.line[right]
-        else:
-            found = self.ids(self.before + unit)
+        left = self.all([x[1] for x in lined], ids_of_many)
+        right = self.line.all([x[2] for x in lined], ids_of_many) if lined else ()
+        marks = self.end.all([x[2] for x in ended], ids_of_many) if ended else ()
+        got = {unit: self[unit] for unit in need if unit in self}
+        new = [unit for unit in need if unit not in got]
+        got.update(zip(new, ids_of_many([self.before + unit for unit in new])))
+        got.update((unit, got[word] + mark) for (unit, word, _), mark in zip(ended, marks))
+        got.update((unit, a + b) for (unit, _, _), a, b in zip(lined, left, right))
         if len(self) < self.room:
-            self[unit] = found
-        return found
+            self.update(islice(got.items(), self.room - len(self)))
+        return got
+
+    def all(self, units: list[str], ids_of_many) -> list[bytes]:
+        """Ids of any units, of each in its place."""
+        got = list(map(self.get, units))
+        if new := {unit for unit, ids in zip(units, got) if ids is None}:
+            found = self.of(new, ids_of_many)
+            got = [found[unit] if ids is None else ids for unit, ids in zip(units, got)]
+        return got
 
 
 class WordEncoder:
@@ -69,7 +71,8 @@ class WordEncoder:
 
     The pre-tokenizers of the files used never join what stands before white space with what follows its
     start, nor letters with the punctuation after them, so a text falls into units whose ids concatenate to
-    the text's. Units are remembered up to ``remember`` of them; the frequent ones come early and stay.
+    the text's. Arrow tells the distinct units of the texts given, and each is looked up once; up to ``remember``
+    of them are remembered, of which the frequent ones come early and stay.
     Strings of special tokens in a text are ordinary text.
     """
 
@@ -90,13 +93,13 @@ class WordEncoder:
         self.wide = self.between > 65536
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.keeps_space = keeps_space
-        end = _Units(self.ids, "", remember // 10)
+        end = _Units("", remember // 10)
         if keeps_space:
-            line = _Units(self.ids, "\n", remember // 5, end=end)
-            self.first = _Units(self.ids, "", remember // 10, line, end)
-            self.known = _Units(self.ids, " ", remember, line, end)
+            line = _Units("\n", remember // 5, end=end)
+            self.first = _Units("", remember // 10, line, end)
+            self.known = _Units(" ", remember, line, end)
         else:
-            self.first = self.known = _Units(self.ids, "", remember, end=end)
+            self.first = self.known = _Units("", remember, end=end)
 
     def ids_of_many(self, units: list[str]) -> list[bytes]:
         """Units are joined by a token of their own, which the tokenizer parts them at, since a call for each costs more than its ids do."""
@@ -118,22 +121,28 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned integers of ``self.dtype``."""
-        split = [None if _RARE.search(t) or self.keeps_space and _SPACES(t) else t.split(" " if self.keeps_space else None) for t in texts]
-        first = [units.pop(0) if self.keeps_space and units else "" for units in split]
-        self.first.prepare(first if self.keeps_space else (), self.ids_of_many)
-        first = [self.first[unit] if unit else b"" for unit in first]
-        # one look-up for each unit; those not known are found at once, then looked up among themselves
-        got = [list(map(self.known.get, units or ())) for units in split]
-        new = {unit for units, ids in zip(split, got) if None in ids for unit, i in zip(units, ids) if i is None}
-        self.known.prepare(new, self.ids_of_many)
-        new = {unit: self.known[unit] for unit in new}
-        out = []
-        for text, units, before, ids in zip(texts, split, first, got):
-            if units is None:
-                out.append(self.ids(text))
-            else:
-                out.append(before + b"".join([new[unit] if i is None else i for unit, i in zip(units, ids)] if None in ids else ids))
-        return out
+        out = [self.ids(t) if _RARE.search(t) or self.keeps_space and _SPACES(t) else None for t in texts]
+        split = pa.array([t for t, ids in zip(texts, out) if ids is None], pa.large_string())
+        split = pc.split_pattern(split, " ") if self.keeps_space else pc.ascii_split_whitespace(split)
+        units, bounds = split.values, split.offsets.to_numpy()
+        first = np.zeros(len(units), bool)
+        if self.keeps_space:
+            first[bounds[:-1]] = True
+        code, found = np.empty(len(units), np.int64), [b""]
+        for here, known in ((first, self.first), (~first, self.known)):
+            if here.any():
+                coded = units.filter(pa.array(here)).dictionary_encode()
+                code[here] = coded.indices.to_numpy() + len(found)
+                found += known.all(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.ids_of_many)
+        # the ids of all distinct units one after the other, and of each unit in the texts its run of them
+        width = self.dtype.itemsize
+        size = np.fromiter(map(len, found), np.int64, len(found)) // width
+        start, size = (np.cumsum(size) - size)[code], size[code]
+        after = np.cumsum(size)
+        ids = np.frombuffer(b"".join(found), self.dtype)[np.arange(size.sum()) + np.repeat(start - after + size, size)].tobytes()
+        at = (np.concatenate([[0], after])[bounds] * width).tolist()
+        got = iter(zip(at, at[1:]))
+        return [ids[slice(*next(got))] if whole is None else whole for whole in out]
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
@@ -161,12 +170,12 @@ def let_go() -> None:
             trim(0)
 
 
-def encoder(name: str, keeps_space: bool) -> WordEncoder:
+def encoder(name: str, keeps_space: bool, remember: int = 500_000) -> WordEncoder:
     """One encoder for each Python worker, kept between tasks until another is asked for or ``let_go`` is called."""
-    key = (name, keeps_space)
+    key = (name, keeps_space, remember)
     if key not in _encoders:
         let_go()
-        _encoders[key] = WordEncoder(tokenizer_path(name), keeps_space)
+        _encoders[key] = WordEncoder(tokenizer_path(name), keeps_space, remember)
     return _encoders[key]
 
 
