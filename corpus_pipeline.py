@@ -1,7 +1,7 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept. Columns beside doc_id, text, lang,
-source and n_chars are passed on, whatever their names; an empty table gives an empty one.
+source and n_chars are passed on, whatever their names; an empty table gives an empty one. A stage bounds the session's Arrow batches in bytes.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from grainledger.llm.minhash import near_duplicates, text_digest
 from grainledger.llm.mixing import mixed
 from grainledger.llm.packing import pack
 from grainledger.llm.substrings import remove_repeats
+from grainledger.session import small_batches
 
 #: A language must be at least this probable for a document to stay.
 LEAST_PROBABLE = 0.5
@@ -31,6 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text goes. Null ids stay, repeated rows each do; with nothing to learn from no row stays.
     """
+    small_batches(spark)
     plain, back = set_aside(docs, "doc_id", "text")
     got = predict(plain, *learn(learning_rows(docs)), keep=[c for c in plain.columns if c != "doc_id"])
     return back(got.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_PROBABLE)))
@@ -42,6 +44,7 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows with a null id, and texts without words, are duplicates of none and stay. Rows that repeat an id stay or go
     together if their texts have the same words; else each is a document of its own.
     """
+    small_batches(spark)
     gone = cut(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), "own_text").distinct())
     # few ids go to every task, so that texts aren't shuffled; more meet them in a join
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
@@ -56,6 +59,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     All rows stay, also those left without words. A null text stays null; a null id comes after all others, and
     rows that repeat an id don't repeat each other.
     """
+    small_batches(spark)
     plain, back = set_aside(docs, "doc_id", "text", "n_chars")
     got = remove_repeats(plain, keep=[c for c in plain.columns if c not in ("doc_id", "text")], texts=True).withColumnRenamed("kept", "text")
     if "n_chars" in docs.columns:
@@ -69,11 +73,13 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts have no words and are never drawn. Null sources are one source, null ids are ids like others,
     repeated rows are documents of their own.
     """
+    small_batches(spark)
     return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences; a null or empty text is its end id alone, a null id is kept."""
+    small_batches(spark)
     return pack(docs)
 
 

@@ -32,8 +32,8 @@ _tables: dict[str, np.ndarray] = {}
 def _letters(codes: int) -> tuple[np.ndarray, np.ndarray]:
     """For each of so many code points whether it is a letter, and its lower case."""
     if len(_tables.get("letter", ())) < codes:
-        _tables["letter"] = np.array([chr(i).isalpha() for i in range(codes)])
-        _tables["lower"] = np.array([ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(codes)], np.uint32)
+        _tables["letter"] = np.fromiter((chr(i).isalpha() for i in range(codes)), bool, codes)
+        _tables["lower"] = np.fromiter((ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(codes)), np.uint32, codes)
     return _tables["letter"], _tables["lower"]
 
 

@@ -24,6 +24,8 @@ from grainledger.llm.token_ids import crc_of_ids, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 END = 1
+#: Units that a worker's encoder remembers: 128 bytes or so each.
+REMEMBER = 250_000
 
 
 class _Packer:
@@ -141,7 +143,7 @@ def pack(
     chosen = [id_column, text_column] + ([loss_from] if loss_from else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(tokenizer, True), _Packer(tokens, segments, loss, waiting)
+        encode, packer = encoder(tokenizer, True, REMEMBER), _Packer(tokens, segments, loss, waiting)
         end = np.array([END], encode.dtype).tobytes()
         for batch in batches:
             for at in range(0, len(batch), 256):

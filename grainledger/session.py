@@ -44,6 +44,16 @@ def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys) if parts > 1 else df
 
 
+#: Bytes of rows that go to a Python worker at once; Spark's own bound is 10,000 rows, whatever their length.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what the JVM and a Python worker hold of a task's rows, for the session from now on; a bound that the user set stays."""
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder, so that a lost executor costs no work done before this point."""
     context = df.sparkSession.sparkContext
