@@ -20,12 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from grainledger.llm.common import table
-from grainledger.llm.token_ids import crc_of_ids, encoder
+from grainledger.llm.token_ids import crc_of_ids, encoder, give_back
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 END = 1
 #: Units that a worker's encoder remembers: 128 bytes or so each.
 REMEMBER = 250_000
+#: Texts whose units are looked up together at most, and their bytes, about: a unit that many of them have is then looked up once.
+TOGETHER, BYTES = 2048, 8 << 20
 
 
 class _Packer:
@@ -132,22 +134,25 @@ def pack(
     id_column: str = "doc_id",
     text_column: str = "text",
     loss_from: str | None = None,
+    remember: int = REMEMBER,
+    together: int = TOGETHER,
 ) -> DataFrame:
     """One row for each piece: document, start, length, crc32 of its ids, the document's ids, sequence, offset.
 
     ``loss_from`` names an integer column with the number of leading tokens (a prompt's, say) that bear no
     loss; without it every token does. A null text is empty and has the end id alone; a null id is kept.
     Repeated rows are documents of their own. An empty table gives no rows. Other columns are not read. A text of
-    any length is encoded whole, and is cut at the limits.
+    any length is encoded whole, and is cut at the limits. ``remember`` and ``together`` trade a worker's memory for time.
     """
     chosen = [id_column, text_column] + ([loss_from] if loss_from else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(tokenizer, True, REMEMBER), _Packer(tokens, segments, loss, waiting)
+        encode, packer = encoder(tokenizer, True, remember), _Packer(tokens, segments, loss, waiting)
         end = np.array([END], encode.dtype).tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            step = max(1, min(together, BYTES * len(batch) // max(1, batch.nbytes)))
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
                 since = part.column(2).to_pylist() if loss_from else [0] * len(part)
                 coded = encode.encode_many([text or "" for text in part.column(1).to_pylist()])
                 for doc_id, code, skip in zip(part.column(0).to_pylist(), coded, since):
@@ -156,6 +161,7 @@ def pack(
                 yield packer.taken()
         packer.end()
         yield packer.taken()
+        give_back()
 
     return docs.select(*chosen).mapInArrow(run, SCHEMA)
 

@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: A space after white space: here the words cannot be told by single spaces.
-_SPACES = re.compile(r"\s ").search
+#: A space after white space (other than that of _RARE): here the words cannot be told by single spaces.
+_PAIRS = ("  ", "\n ", "\t ", "\r ")
 
 #: White space to one library but perhaps not to another; a text with any of it is encoded in one call.
 _RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
@@ -36,21 +36,31 @@ class _Units(dict):
 
     def of(self, units: Iterable[str], ids_of_many) -> dict[str, bytes]:
         """Ids of units of which none is known: those of parts that are known or come more than once are found once, the others in one call."""
-        ended, lined, need = [], [], set()
+        ended, lined, rest, need = [], [], [], {}
         for unit in units:
+            if unit.isalpha():  # most new ones: neither marks nor lines to look for, and not known
+                need[unit] = None
+            else:
+                rest.append(unit)
+        got = {}
+        for unit in rest:
             if self.end is not None and len(word := unit.rstrip(_MARKS)) < len(unit) and _LETTERS(word):
                 ended.append((unit, word, unit[len(word) :]))
-                need.add(word)
+                if word in self:
+                    got[word] = self[word]
+                else:
+                    need[word] = None
             elif self.line is not None and unit.count("\n") == 1 and unit[0] != "\n" and unit[-1] != "\n":
                 lined.append((unit, *unit.split("\n")))
             else:
-                need.add(unit)
+                need[unit] = None
         left = self.all([x[1] for x in lined], ids_of_many)
         right = self.line.all([x[2] for x in lined], ids_of_many) if lined else ()
         marks = self.end.all([x[2] for x in ended], ids_of_many) if ended else ()
-        got = {unit: self[unit] for unit in need if unit in self}
-        new = [unit for unit in need if unit not in got]
-        got.update(zip(new, ids_of_many([self.before + unit for unit in new])))
+        if lined:  # the lines' own words may be known by now
+            got.update((unit, self[unit]) for unit in need if unit in self)
+        new = [unit for unit in need if unit not in got] if got else list(need)
+        got.update(zip(new, ids_of_many(new, self.before)))
         got.update((unit, got[word] + mark) for (unit, word, _), mark in zip(ended, marks))
         got.update((unit, a + b) for (unit, _, _), a, b in zip(lined, left, right))
         if len(self) < self.room:
@@ -101,10 +111,10 @@ class WordEncoder:
         else:
             self.first = self.known = _Units("", remember, end=end)
 
-    def ids_of_many(self, units: list[str]) -> list[bytes]:
-        """Units are joined by a token of their own, which the tokenizer parts them at, since a call for each costs more than its ids do."""
-        out, width = [], self.dtype.itemsize
-        for e in self.tokenizer.encode_batch_fast([BETWEEN.join(units[i : i + TOGETHER]) for i in range(0, len(units), TOGETHER)], add_special_tokens=False):
+    def ids_of_many(self, units: list[str], before: str = "") -> list[bytes]:
+        """Ids of ``before + unit`` of each: joined by a token of their own, which the tokenizer parts them at, since a call for each costs more than its ids do."""
+        out, width, between = [], self.dtype.itemsize, BETWEEN + before
+        for e in self.tokenizer.encode_batch_fast([before + between.join(units[i : i + TOGETHER]) for i in range(0, len(units), TOGETHER)], add_special_tokens=False):
             ids = np.frombuffer(array("I", e.ids), np.uint32)
             raw, a = ids.astype(self.dtype).tobytes(), 0
             for b in [*(np.flatnonzero(ids == self.between) * width).tolist(), len(raw)]:
@@ -121,7 +131,7 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned integers of ``self.dtype``."""
-        out = [self.ids(t) if _RARE.search(t) or self.keeps_space and _SPACES(t) else None for t in texts]
+        out = [self.ids(t) if _RARE.search(t) or self.keeps_space and any(pair in t for pair in _PAIRS) else None for t in texts]
         split = pa.array([t for t, ids in zip(texts, out) if ids is None], pa.large_string())
         split = pc.split_pattern(split, " ") if self.keeps_space else pc.ascii_split_whitespace(split)
         units, bounds = split.values, split.offsets.to_numpy()
@@ -160,14 +170,20 @@ def tokenizer_path(name: str) -> str:
 _encoders: dict[tuple, WordEncoder] = {}
 
 
+def give_back() -> None:
+    """Returns to the machine what this Python worker has freed; else it stays the worker's while it waits for another task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def let_go() -> None:
     """Gives back what an encoder with its units takes, more than 100 MB: for tasks of operators that have no use for it and
     may run in the same Python worker."""
     if _encoders:
         _encoders.clear()
         gc.collect()  # units and encoder refer to one another
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
 
 
 def encoder(name: str, keeps_space: bool, remember: int = 500_000) -> WordEncoder:
