@@ -1,7 +1,8 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept. Columns beside doc_id, text, lang,
-source and n_chars are passed on, whatever their names; an empty table gives an empty one. A stage bounds the session's Arrow batches in bytes.
+source and n_chars are passed on, whatever their names; an empty table gives an empty one. A stage bounds
+the session's batches and row groups in bytes or rows (``session.small_batches``).
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from grainledger.session import small_batches
 LEAST_PROBABLE = 0.5
 #: Ids that are sent to every task at most, about 16 MB.
 BROADCAST_IDS = 1_000_000
+#: Units that packing's encoder remembers here, where workers live beside a JVM that four stages have filled.
+REMEMBER_UNITS = 100_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +83,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences; a null or empty text is its end id alone, a null id is kept."""
     small_batches(spark)
-    return pack(docs)
+    return pack(docs, remember=REMEMBER_UNITS, together=256)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainledger.llm.common import remainder, table
-from grainledger.llm.token_ids import let_go
+from grainledger.llm.token_ids import give_back, let_go
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3)
@@ -70,6 +70,7 @@ def _batches(batches: Iterator[pa.RecordBatch], chars: int = 400_000) -> Iterato
             if total >= chars or i == len(batch) - 1:
                 yield batch.slice(low, i + 1 - low), texts
                 low, texts, total = i + 1, [], 0
+    give_back()
 
 
 def learn(rows: DataFrame, n: int = max(GRAMS), buckets: int = BUCKETS, most: int = LEARN_ROWS, smooth: float = 0.1) -> tuple[list[str], np.ndarray, np.ndarray]:

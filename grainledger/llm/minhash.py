@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from grainledger.llm.common import cut, gram_hashes, mix64, table, word_hashes, word_spans
 from grainledger.llm.components import components
-from grainledger.llm.token_ids import let_go
+from grainledger.llm.token_ids import give_back, let_go
 
 BANDS, ROWS = 32, 4
 _M32 = np.uint64(0xFFFFFFFF)
@@ -81,6 +81,7 @@ def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for at in range(0, len(batch), 256):
             part = batch.slice(at, 256)
             yield list(zip(*[part.column(i).to_pylist() for i in range(part.num_columns)]))
+    give_back()
 
 
 def sketched(docs: DataFrame) -> DataFrame:

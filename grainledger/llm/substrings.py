@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainledger.llm.common import gram_hashes, parts_for, table, word_hashes, word_spans
-from grainledger.llm.token_ids import let_go
+from grainledger.llm.token_ids import give_back, let_go
 
 WINDOW, PHRASE = 13, 5
 SHARD_BYTES, BUCKET_BYTES = 2 << 20, 24 << 20
@@ -310,6 +311,18 @@ def _remove(window: int, phrase: int, keep: list[str], texts: bool):
     return run
 
 
+def _then_give_back(task: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The task of a shard, after which the worker keeps nothing that the shard took."""
+
+    def run(documents: pa.Table, told: pa.Table) -> pa.Table:
+        try:
+            return task(documents, told)
+        finally:
+            give_back()
+
+    return run
+
+
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None, texts: bool = False, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document; with ``texts`` also ``kept``, the text as
     given where nothing is removed, else the words left joined by one space; then the columns named by ``keep``.
@@ -326,17 +339,17 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, texts: bool =
 
     ask = dealt.groupBy("shard").applyInArrow(_ask_anchors(buckets, window, phrase), "bucket int, shard int, keys binary, several binary")
     anchors = ask.groupBy("bucket").applyInArrow(_tell_anchors, "shard int, bucket int, bits binary")
-    ask = dealt.groupBy("shard").cogroup(anchors.groupBy("shard")).applyInArrow(_ask_windows(buckets, window, phrase), "bucket int, shard int, keys binary, more binary, docs binary")
+    ask = dealt.groupBy("shard").cogroup(anchors.groupBy("shard")).applyInArrow(_then_give_back(_ask_windows(buckets, window, phrase)), "bucket int, shard int, keys binary, more binary, docs binary")
     windows = ask.groupBy("bucket").applyInArrow(_tell_windows, "shard int, bucket int, bits binary, to binary")
 
     # both kinds of answers side by side
     answers = anchors.select("*", F.lit(None).cast("binary").alias("to")).union(windows)
-    passages = dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_give_passages(buckets, window, phrase), "shard int, docs array<long>, texts array<string>")
+    passages = dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_then_give_back(_give_passages(buckets, window, phrase)), "shard int, docs array<long>, texts array<string>")
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * texts + keep
     kinds = {"doc_id": "long", "n_words": "long", "n_removed": "long", "kept_sha256": "string", "kept": "string"} | {c: docs.schema[c].dataType.simpleString() for c in keep}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-    remove = _remove(window, phrase, keep, texts)
+    remove = _then_give_back(_remove(window, phrase, keep, texts))
     return dealt.groupBy("shard").cogroup(passages.groupBy("shard")).applyInArrow(lambda documents, given: remove(documents, given).select(names), schema)
 
 

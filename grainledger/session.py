@@ -46,12 +46,16 @@ def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
 
 #: Bytes of rows that go to a Python worker at once; Spark's own bound is 10,000 rows, whatever their length.
 BATCH_BYTES = 2 << 20
+#: What a task holds of long texts: those of a vector that it reads, and of a row group that it writes.
+SMALL = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.parquet.columnarReaderBatchSize": "512", "parquet.block.size": str(8 << 20)}
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds what the JVM and a Python worker hold of a task's rows, for the session from now on; a bound that the user set stays."""
-    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    given = spark.conf.getAll
+    for key, value in SMALL.items():
+        if key not in given:
+            spark.conf.set(key, value)
 
 
 def cut(df: DataFrame) -> DataFrame:
